@@ -18,11 +18,16 @@ from sigloom.llm.common import ranks, table
 from sigloom.llm.tokens import token_pieces
 
 #: Pricing rounds, and the rate at which a served length's price falls.
-ROUNDS, RATE = 400, 0.5
+ROUNDS, RATE = 200, 0.5
+#: Configurations taken from one pricing at most, and their price beside the best one's.
+BATCH, NEARLY = 32, 0.8
 
 
-def best_configuration(price: np.ndarray, need: np.ndarray, capacity: int) -> np.ndarray:
-    """Lengths of the configuration of the largest price, by the unbounded knapsack's dynamic program."""
+def best_configurations(price: np.ndarray, need: np.ndarray, capacity: int, most: int = BATCH) -> list[np.ndarray]:
+    """Configurations of nearly the largest price, no length in two of them, by the unbounded knapsack's dynamic program.
+
+    One table serves them all: a configuration is a length and the best filling of the room beside it.
+    """
     lengths = np.flatnonzero(need > 0)
     value, last, worth = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), price[lengths]
     for room in range(int(lengths[0]), capacity + 1):
@@ -30,11 +35,18 @@ def best_configuration(price: np.ndarray, need: np.ndarray, capacity: int) -> np
         gains = value[room - lengths[:k]] + worth[:k]
         best = int(gains.argmax())
         value[room], last[room] = gains[best], lengths[best]
-    room, found = capacity, []
-    while room >= lengths[0] and last[room]:
-        found.append(last[room])
-        room -= last[room]
-    return np.array(found)
+    whole, found, taken = worth + value[capacity - lengths], [], set()
+    for k in np.argsort(-whole)[: 8 * most].tolist():
+        if len(found) == most or whole[k] < NEARLY * value[capacity]:
+            break
+        config, room = [int(lengths[k])], capacity - int(lengths[k])
+        while room >= lengths[0] and last[room]:
+            config.append(int(last[room]))
+            room -= config[-1]
+        if taken.isdisjoint(config):
+            taken.update(config)
+            found.append(np.array(config))
+    return found
 
 
 def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
@@ -42,16 +54,16 @@ def fractional(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tu
     here = need > 0
     price, used, served = np.where(here, np.arange(len(need)) / capacity, 0.0), Counter(), np.zeros(len(need))
     for _ in range(rounds):
-        config = best_configuration(price, need, capacity)
-        sizes, times = np.unique(config, return_counts=True)
-        step = max(1.0, float((need[sizes] / times).min()) / 2)
-        used[tuple(sorted(config.tolist(), reverse=True))] += step
-        served[sizes] += times * step
-        price[sizes] *= np.exp(-RATE * np.minimum(1.0, times * step / need[sizes]))
+        for config in best_configurations(price, need, capacity):
+            sizes, times = np.unique(config, return_counts=True)
+            step = max(1.0, float(np.ceil((need[sizes] / times).min() / 2)))
+            used[tuple(sorted(config.tolist(), reverse=True))] += step
+            served[sizes] += times * step
+            price[sizes] *= np.exp(-RATE * np.minimum(1.0, times * step / need[sizes]))
+            price[served >= need] *= 1 - RATE / 2
         if (served[here] >= need[here]).all():
             break
-    over = np.where(here, served / np.maximum(need, 1), 0)
-    return {c: n / max(1.0, max(over[x] for x in c)) for c, n in used.items()}
+    return dict(used)
 
 
 def best_fit(need: np.ndarray, capacity: int) -> Counter:

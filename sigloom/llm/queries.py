@@ -17,5 +17,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.secrets import secret_report
+
+    return secret_report(_read(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.simhash import simhash_report
+
+    return simhash_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
