@@ -29,5 +29,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.language import language_report
+
+    return language_report(_read(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.sharding import shard_documents
+
+    return shard_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op9_sharding)}
 ORACLES: dict[str, str] = {}
