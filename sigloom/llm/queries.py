@@ -17,6 +17,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sigloom.llm.sentences import encode_texts
+
+    return encode_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm.secrets import secret_report
 
@@ -41,5 +49,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op9_sharding)}
 ORACLES: dict[str, str] = {}
