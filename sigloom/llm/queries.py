@@ -49,5 +49,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op9_sharding)}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.jpeg import decode_media, encode_media
+
+    return decode_media(encode_media(_read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op9_sharding, op10_media_columns)}
 ORACLES: dict[str, str] = {}
