@@ -43,6 +43,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_read(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.neighbours import neighbour_report
+
+    return neighbour_report(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm.pii import pii_report
 
@@ -61,5 +67,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op8_pii, op9_sharding, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op7_nearest_neighbours, op8_pii, op9_sharding, op10_media_columns)}
 ORACLES: dict[str, str] = {}
