@@ -31,6 +31,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigloom.llm.lines import line_report
+
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm.simhash import simhash_report
 
@@ -67,5 +73,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op7_nearest_neighbours, op8_pii, op9_sharding, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op4_line_dedup, op5_simhash_near_dedup, op6_language_id, op7_nearest_neighbours, op8_pii, op9_sharding, op10_media_columns)}
 ORACLES: dict[str, str] = {}
