@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 #: Rows in the sample for rotations and radius; bits of a code; share of true neighbours that the radius should hold.
 SAMPLE, BITS, SHARE = 8_192, 128, 0.97
 #: Rows of a shard and queries of a block.
-SHARD, BLOCK = 16_384, 4_096
+SHARD, BLOCK = 65_536, 512
 MASKS = {k: np.array([x for x in range(65536) if bin(x).count("1") == k], np.uint16) for k in range(4)}
 
 
@@ -107,7 +107,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = S
     turn = rotations(lifted, bits)
     reach = radius(lifted, _lift(x[:512], longest, True), turn, min(k, max(1, len(x) - 1)))
     shards, blocks = -(-stats["n"] // SHARD), -(-queries.count() // BLOCK)
-    shards = max(shards, min(32, -(-stats["n"] // 1024)))
 
     def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asks):

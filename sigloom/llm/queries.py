@@ -73,5 +73,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(encode_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op4_line_dedup, op5_simhash_near_dedup, op6_language_id, op7_nearest_neighbours, op8_pii, op9_sharding, op10_media_columns)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_secret_scans, op4_line_dedup, op5_simhash_near_dedup, op6_language_id, op7_nearest_neighbours, op8_pii, op9_sharding, op10_media_columns, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -40,14 +40,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long. Null and empty texts give 0."""
+    """(doc_id, text_key, fp): fp the fingerprint as a signed long, text_key a hash of the text. Null and empty texts give 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,21 +146,31 @@ def fingerprint_links(distinct: DataFrame, within: int = 2, sample: int = SAMPLE
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, fp, root, component_id) for each row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the smallest doc_id reachable over links of at most ``within`` differing bits. Null, empty
-    and wordless texts have fingerprint 0 and are linked like any other; repeated rows return as often as they
-    come; other columns are ignored; an empty table gives no rows.
+    ``component_id`` is the smallest doc_id reachable over links of at most ``within`` differing bits, ``root`` the
+    smallest fingerprint. Null, empty and wordless texts have fingerprint 0 and are linked like any other; repeated
+    rows return as often as they come; null ids never name a component that has another id; other columns are
+    ignored; an empty table gives no rows.
     """
     prints = table(fingerprints(docs, shingle))
     distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = table(components(fingerprint_links(distinct, within)))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "root", "least")
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return prints.join(every, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, that of the smallest doc_id (nulls first); all columns as they are."""
+    kept = near_duplicates(docs, shingle, within).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key"))
+    keyed = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
+    chosen = keyed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left_semi")
+    return chosen.dropDuplicates(["_own", "_hash"]).select(*docs.columns)
