@@ -19,8 +19,8 @@ from sigloom.llm.common import components, table
 
 #: Edits allowed, the shortest line (in code points) that is compared, and the lines a bucket may hold to be joined.
 EDITS, SHORTEST, HOT = 1, 16, 64
-#: Segments of the finer cut.
-FINE = 16
+#: Segments of the finer cut, and the candidate lines (24 bytes each) that may be broadcast.
+FINE, BROADCAST = 16, 1_000_000
 
 
 def explode_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
@@ -51,23 +51,23 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     ones, top = (1 << width) - 1, 1 << (2 * edits)
-    text, m, n = F.split(a, ""), F.length(a), F.length(b)
+    m, n = F.length(a), F.length(b)
     inv = lambda x: x.bitwiseXOR(F.lit(ones))
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
+    # The characters of ``a`` are held in the state: outside it they would be split again at every step.
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.split(a, "").alias("text"), m.alias("m"))
 
     def column(acc: Column, x: Column) -> Column:
-        j, c, vp, vn = x["j"], x["c"], acc["vp"], acc["vn"]
-        match = reduce(lambda p, q: p + q, [F.when((j - edits + k >= 0) & (F.get(text, j - edits + k) == c), 1 << k).otherwise(0) for k in range(width)])
-        s1 = F.struct(match.alias("pm"))
-        step = F.transform(F.array(s1), lambda s: F.struct(s["pm"].alias("pm"), (((s["pm"].bitwiseAND(vp)) + vp).bitwiseXOR(vp).bitwiseOR(s["pm"]).bitwiseOR(vn)).bitwiseAND(F.lit(ones)).alias("d0")))
+        j, c, vp, vn, m = x["j"], x["c"], acc["vp"], acc["vn"], acc["m"]
+        match = reduce(lambda p, q: p + q, [F.when((j - edits + k >= 0) & (F.get(acc["text"], j - edits + k) == c), 1 << k).otherwise(0) for k in range(width)])
+        step = F.transform(F.array(match), lambda pm: F.struct(((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn)).bitwiseAND(F.lit(ones)).alias("d0")))
         more = F.transform(step, lambda s: F.struct(s["d0"].alias("d0"), vn.bitwiseOR(inv(s["d0"].bitwiseOR(vp))).alias("hp"), s["d0"].bitwiseAND(vp).alias("hn")))
 
         def last(s: Column) -> Column:
             down = F.shiftright(s["d0"], 1)
-            at = F.pow(F.lit(2.0), F.greatest(m - 1 - j + edits, F.lit(0))).cast("int")
-            along = F.when(s["hp"].bitwiseAND(at) != 0, 1).otherwise(0) - F.when(s["hn"].bitwiseAND(at) != 0, 1).otherwise(0)
+            bit = m - 1 - j + edits  # of the last row, once the band reaches it
+            along = F.when(F.call_function("shiftright", s["hp"], bit) % 2 == 1, 1).otherwise(0) - F.when(F.call_function("shiftright", s["hn"], bit) % 2 == 1, 1).otherwise(0)
             grown = F.when(j + 1 + edits <= m, F.when(s["d0"].bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)).otherwise(along)
-            return F.struct(s["hn"].bitwiseOR(inv(down.bitwiseOR(s["hp"]))).alias("vp"), s["hp"].bitwiseAND(down).alias("vn"), (acc["d"] + grown).alias("d"))
+            return F.struct(s["hn"].bitwiseOR(inv(down.bitwiseOR(s["hp"]))).alias("vp"), s["hp"].bitwiseAND(down).alias("vn"), (acc["d"] + grown).alias("d"), acc["text"].alias("text"), acc["m"].alias("m"))
 
         return F.element_at(F.transform(more, last), 1)
 
@@ -75,6 +75,19 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when((F.abs(m - n) <= edits) & (m > edits), F.aggregate(cells, start, column, lambda s: s["d"])).otherwise(edits + 1)
 
 
+def segments_agree(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but ``edits`` of 2 x ``edits`` + 2 segments of ``a`` lie in ``b``, moved by ``edits`` at most: true for
+    every pair within ``edits``, and cheap beside their distance."""
+    size, parts = F.length(a), 2 * edits + 2
+    found = []
+    for i in range(parts):
+        begin, end = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
+        own = F.substring(a, begin + 1, end - begin)
+        there = reduce(lambda p, q: p | q, [(begin + k >= 0) & (F.substring(b, begin + k + 1, end - begin) == own) for k in range(-edits, edits + 1)])
+        found.append(there.cast("int"))
+    return reduce(lambda p, q: p + q, found) >= parts - edits
+
+
 def _pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, of ``members`` (key, uid) of small buckets."""
     a, b = members.select("key", F.col("uid").alias("a")), members.select("key", F.col("uid").alias("b"))
@@ -134,12 +147,13 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     hot = larger.where(F.col("n") > most).select("uid").distinct()
     wanted = table(distinct.join(ids(pairs).unionByName(hot).distinct(), "uid", "left_semi").select("h1", "h2", "uid"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted  # beyond it, lines are shuffled by hash
     texts = table(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("uid").agg(F.max("line").alias("line")))
     if edits == 1:
         pairs = pairs.unionByName(_finer(texts.join(hot, "uid", "left_semi")))
     candidates = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left, right = texts.select(F.col("uid").alias("a"), F.col("line").alias("x")), texts.select(F.col("uid").alias("b"), F.col("line").alias("y"))
-    near = candidates.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
+    near = candidates.join(left, "a").join(right, "b").where((F.abs(F.length("x") - F.length("y")) <= edits) & segments_agree(F.col("x"), F.col("y"), edits))
     return distinct.select("h1", "h2", "uid"), near.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
 
