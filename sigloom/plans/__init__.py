@@ -1,9 +1,14 @@
 """Named queries that bind the operators to the test tables, each with its SQL where there is one."""
 
+from sigloom.plans import augmentation, features, labels, metrics, quality, reshaping, spectra, splitting
+from sigloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["augmentation", "features", "labels", "metrics", "quality", "reshaping", "spectra", "splitting"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracles() -> dict:
-    return {}
+    return dict(ORACLES)
