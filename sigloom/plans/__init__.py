@@ -1,9 +1,9 @@
 """Named queries that bind the operators to the test tables, each with its SQL where there is one."""
 
-from sigloom.plans import augmentation, features, labels, metrics, quality, reshaping, spectra, splitting
+from sigloom.plans import augmentation, features, labels, metrics, normalizing, quality, reshaping, spectra, splitting, stores
 from sigloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["augmentation", "features", "labels", "metrics", "quality", "reshaping", "spectra", "splitting"]
+__all__ = ["augmentation", "features", "labels", "metrics", "normalizing", "quality", "reshaping", "spectra", "splitting", "stores", "queries", "oracles"]
 
 
 def queries() -> dict:

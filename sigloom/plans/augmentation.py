@@ -1 +1,191 @@
+"""Augmented signals and samples, with their draws repeated in SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigloom.functions.draws import normal_sql, uniform_sql
+from sigloom.operators import augment as ag
+from sigloom.operators import filters as fl
+from sigloom.operators import spectral as sp
+from sigloom.operators import splits as sl
+from sigloom.plans.registry import query, r6, recordings, samples, signal
+
+_LONG = "long AS (SELECT recording_id AS sample_id, channel, idx, value, max(idx) OVER (PARTITION BY recording_id) + 1 AS n FROM signal)"
+_KEY3 = "concat_ws(':', sample_id, channel, idx)"
+
+
+def long(spark, sf_dir):
+    return signal(spark, sf_dir).withColumnRenamed("recording_id", "sample_id")
+
+
+def shown(df, places=6):
+    return df.select("sample_id", "channel", F.col("idx").cast("int").alias("idx"), r6("value", places).alias("value"))
+
+
+def _span(op, key, low, high):
+    return f"({low} + {high - low} * {uniform_sql(1, op, key)})"
+
+
+@query(f"WITH {_LONG} SELECT sample_id, channel, idx, round(value + {normal_sql(1, 'noise', _KEY3)} * stddev_pop(value) OVER (PARTITION BY sample_id) * {_span('level', 'sample_id', 0.001, 0.05)}, 6) + 0.0 AS value FROM long")
+def gaussian_noise(spark, sf_dir):
+    return shown(ag.gaussian_noise(long(spark, sf_dir)))
+
+
+_SHIFT = f"CAST(trunc(n * {_span('shift', 'sample_id', 0.05, 0.2)} * CASE WHEN {uniform_sql(1, 'sign', 'sample_id')} < 0.5 THEN -1 ELSE 1 END) AS INT)"
+
+
+@query(f"WITH {_LONG} SELECT sample_id, channel, CAST((idx + {_SHIFT} + n) % n AS INT) AS idx, round(value, 6) + 0.0 AS value FROM long")
+def time_shift(spark, sf_dir):
+    return shown(ag.time_shift(long(spark, sf_dir)))
+
+
+@query(f"WITH {_LONG}, s AS (SELECT *, floor(n * {_span('keep', 'sample_id', 0.8, 0.95)}) AS size FROM long), t AS (SELECT *, floor({uniform_sql(1, 'start', 'sample_id')} * (n - size + 1)) AS start FROM s) SELECT sample_id, channel, CAST(idx - start AS INT) AS idx, round(value, 6) + 0.0 AS value FROM t WHERE idx >= start AND idx < start + size")
+def window_slice(spark, sf_dir):
+    return shown(ag.window_slice(long(spark, sf_dir)))
+
+
+@query(f"WITH {_LONG} SELECT sample_id, channel, idx, round(value * {_span('scale', chr(39).join(['concat_ws(', ':', ', sample_id, channel)']), 0.9, 1.1)}, 6) + 0.0 AS value FROM long")
+def amplitude_scale(spark, sf_dir):
+    return shown(ag.amplitude_scale(long(spark, sf_dir), per_channel=True))
+
+
+_DROP = f"c AS (SELECT DISTINCT sample_id, channel FROM long), g AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {uniform_sql(1, 'drop', chr(39).join(['concat_ws(', ':', ', sample_id, channel)']))}, channel) <= greatest(1, floor(count(*) OVER (PARTITION BY sample_id) * {_span('rate', 'sample_id', 0.05, 0.2)})) AS gone FROM c)"
+
+
+@query(f"WITH {_LONG}, {_DROP}, m AS (SELECT *, avg(value) OVER (PARTITION BY sample_id, idx) AS put FROM long) SELECT sample_id, channel, idx, round(CASE WHEN gone THEN put ELSE value END, 6) + 0.0 AS value FROM m JOIN g USING (sample_id, channel)")
+def channel_dropout(spark, sf_dir):
+    """Dropped channels replaced by the mean over channels."""
+    return shown(ag.channel_dropout(long(spark, sf_dir), fill="mean"))
+
+
+@query(f"WITH {_LONG}, {_DROP}, m AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM long WINDOW w AS (PARTITION BY sample_id, idx ORDER BY channel)) SELECT sample_id, channel, idx, round(CASE WHEN gone THEN coalesce((a + b) / 2, a, b, 0) ELSE value END, 6) + 0.0 AS value FROM m JOIN g USING (sample_id, channel)")
+def channel_dropout_neighbour(spark, sf_dir):
+    return shown(ag.channel_dropout(long(spark, sf_dir), fill="neighbour"))
+
+
+@query(f"WITH {_LONG}, z AS (SELECT *, {normal_sql(1, 'direction', _KEY3)} AS z FROM long) SELECT sample_id, channel, idx, round(value + z / sqrt(sum(z * z) OVER w) * 0.01 * stddev_pop(value) OVER w, 6) + 0.0 AS value FROM z WINDOW w AS (PARTITION BY sample_id)")
+def bounded_perturbation(spark, sf_dir):
+    return shown(ag.bounded_perturbation(long(spark, sf_dir)))
+
+
+_SEGKEY = "concat_ws(':', sample_id, seg)"
+
+
+@query(f"WITH {_LONG}, s AS (SELECT *, CAST(least(idx // (n // 4), 3) AS BIGINT) AS seg FROM long), p AS (SELECT sample_id, seg, min(idx) AS first, max(idx) - min(idx) + 1 AS size FROM s GROUP BY ALL), o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sample_id ORDER BY {uniform_sql(1, 'segment', _SEGKEY)}, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p) SELECT s.sample_id, channel, CAST(start + idx - first AS INT) AS idx, round(value, 6) + 0.0 AS value FROM s JOIN o ON s.sample_id = o.sample_id AND s.seg = o.seg")
+def segment_permutation(spark, sf_dir):
+    return shown(ag.segment_permutation(long(spark, sf_dir)))
+
+
+_PAIRS = f"""r AS (SELECT sample_id, row_number() OVER (ORDER BY {uniform_sql(42, 'order', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM sample),
+pairs AS (SELECT range AS draw, a.sample_id AS first, b.sample_id AS second FROM range(0, 400) d JOIN r a ON a.rank = floor({uniform_sql(42, 'first', 'range')} * a.n) JOIN r b ON b.rank = floor({uniform_sql(42, 'second', 'range')} * b.n))"""
+_ZIP = "SELECT p.*, x.i AS idx, x.v AS a, y.v AS b FROM pairs p JOIN flat x ON x.sample_id = p.first JOIN flat y ON y.sample_id = p.second AND y.i = x.i"
+
+
+def sample_rows(spark, sf_dir):
+    return samples(spark, sf_dir).select("sample_id", F.lit("x").alias("channel"), F.posexplode("x").alias("idx", "value"))
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT draw, t.range AS i, pow({uniform_sql(1, 'mixup:a', 'draw', 't.range')}, 5.0) AS a, pow({uniform_sql(1, 'mixup:b', 'draw', 't.range')}, 5.0) AS b FROM pairs, range(0, 32) t),
+l AS (SELECT draw, arg_min(a / (a + b), i) AS weight FROM c WHERE a + b <= 1 AND a + b > 0 GROUP BY draw)
+SELECT draw, first, second, CAST(idx AS INT) AS idx, round(coalesce(weight, 0.5) * a + (1 - coalesce(weight, 0.5)) * b, 6) + 0.0 AS value FROM ({_ZIP}) LEFT JOIN l USING (draw)""")
+def mixup(spark, sf_dir):
+    pairs = sl.random_pairs(samples(spark, sf_dir), "sample_id", 400)
+    return ag.mixup(sample_rows(spark, sf_dir), pairs).select("draw", "first", "second", F.col("idx").cast("int").alias("idx"), r6("value").alias("value"))
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT *, floor(64 * (1 - {uniform_sql(1, 'cut', 'draw')})) AS cut FROM pairs), s AS (SELECT draw, cut, floor({uniform_sql(1, 'at', 'draw')} * (64 - cut + 1)) AS start FROM k)
+SELECT draw, first, second, CAST(idx AS INT) AS idx, round(CASE WHEN idx >= start AND idx < start + cut THEN b ELSE a END, 6) + 0.0 AS value, round(1 - cut / 64, 6) + 0.0 AS weight FROM ({_ZIP}) JOIN s USING (draw)""")
+def cutmix(spark, sf_dir):
+    pairs = sl.random_pairs(samples(spark, sf_dir), "sample_id", 400)
+    return ag.cutmix(sample_rows(spark, sf_dir), pairs, 64).select("draw", "first", "second", F.col("idx").cast("int").alias("idx"), r6("value").alias("value"), r6("weight").alias("weight"))
+
+
+_KNN = "knn AS (SELECT sample_id, neighbour, row_number() OVER (PARTITION BY sample_id ORDER BY d, neighbour) AS rank FROM (SELECT a.sample_id, b.sample_id AS neighbour, list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM sample a JOIN sample b ON a.label = b.label AND a.sample_id <> b.sample_id))"
+
+
+@query(f"WITH {_KNN} SELECT sample_id, neighbour, rank FROM knn WHERE rank <= 5")
+def knn_same_class(spark, sf_dir):
+    return ag.knn_same_class(samples(spark, sf_dir)).select("sample_id", "neighbour", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_KNN}, n AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM knn WHERE rank <= 5), c AS (SELECT sample_id, neighbour FROM n WHERE rank = floor({uniform_sql(1, 'pick', 'sample_id')} * n) + 1)
+SELECT a.sample_id, b.sample_id AS neighbour, a.i AS i, round(a.v + coalesce({uniform_sql(1, 'step', 'a.sample_id')} * (b.v - a.v), 0), 6) + 0.0 AS value FROM flat a LEFT JOIN c ON c.sample_id = a.sample_id LEFT JOIN flat b ON b.sample_id = c.neighbour AND b.i = a.i""")
+def smote(spark, sf_dir):
+    s = ag.smote(samples(spark, sf_dir)).select("sample_id", "neighbour", F.posexplode("x").alias("i", "value"))
+    return s.select("sample_id", "neighbour", F.col("i").cast("long").alias("i"), r6("value").alias("value"))
+
+
+@query("SELECT technique, CAST(floor(n * share * 2.0 / 2.4 + 1e-9) AS BIGINT) AS quota FROM (SELECT count(*) AS n FROM sample) CROSS JOIN (VALUES ('gaussian_noise', 0.5), ('time_shift', 0.3), ('window_slice', 0.3), ('amplitude_scale', 0.2), ('channel_dropout', 0.2), ('band_jitter_filter', 0.16), ('tf_mask', 0.24), ('mixup', 0.3), ('cutmix', 0.0), ('smote', 0.2)) t(technique, share)")
+def augmentation_quota(spark, sf_dir):
+    counts = ag.quotas(samples(spark, sf_dir).count())
+    return spark.createDataFrame(list(counts.items()), "technique string, quota long")
+
+
+def augmented(spark, sf_dir):
+    rows = long(spark, sf_dir)
+    n = rows.select("sample_id").distinct().count()
+    return ag.augment_dataset(rows, ag.quotas(n))
+
+
+_SRC = "concat_ws(':', technique, draw_no)"
+_DRAWS = f"""q AS (SELECT technique, CAST(floor((SELECT count(DISTINCT sample_id) FROM long) * share * 2.0 / 2.4 + 1e-9) AS INT) AS quota FROM (VALUES ('gaussian_noise', 0.5), ('time_shift', 0.3), ('window_slice', 0.3), ('amplitude_scale', 0.2), ('channel_dropout', 0.2)) t(technique, share)),
+k AS (SELECT sample_id, row_number() OVER (ORDER BY {uniform_sql(1, 'source', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT sample_id FROM long)),
+d AS (SELECT technique, CAST(range AS INT) AS draw_no FROM q, range(1, 100000) WHERE range <= quota),
+draws AS (SELECT technique, draw_no, sample_id AS source_id FROM d JOIN k ON k.rank = floor({uniform_sql(1, 'draw', _SRC)} * k.n))"""
+
+
+@query(f"""WITH {_LONG}, {_DRAWS}, base AS (SELECT technique, draw_no, source_id, {_SRC} AS sample_id, channel, idx, value, n FROM draws JOIN long ON long.sample_id = source_id)
+SELECT technique, draw_no, source_id, count(*) AS n, round(sum(value * {_span('scale', 'sample_id', 0.9, 1.1)}), 4) + 0.0 AS total FROM base WHERE technique = 'amplitude_scale' GROUP BY ALL
+UNION ALL SELECT technique, draw_no, source_id, count(*), round(sum(value), 4) + 0.0 FROM base WHERE technique = 'time_shift' GROUP BY ALL
+UNION ALL SELECT 'original', 0, sample_id, count(*), round(sum(value), 4) + 0.0 FROM long GROUP BY ALL""")
+def augment_dataset(spark, sf_dir):
+    """Sources drawn for each technique and augmented, with the originals; three of the techniques, summed by row."""
+    a = augmented(spark, sf_dir).where(F.col("technique").isin("amplitude_scale", "time_shift", "original"))
+    return a.groupBy("technique", "draw_no", "source_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {_LONG}, {_DRAWS} SELECT technique, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) + 0.0 AS share FROM draws GROUP BY technique")
+def technique_counts(spark, sf_dir):
+    rows = long(spark, sf_dir).select("sample_id").distinct()
+    d = ag.source_draws(rows, "sample_id", {t: n for t, n in ag.quotas(rows.count()).items() if t in ag.TECHNIQUES})
+    c = d.groupBy("technique").agg(F.count(F.lit(1)).alias("n"))
+    total = c.agg(F.sum("n").alias("total"))
+    return c.crossJoin(F.broadcast(total)).select("technique", "n", r6(F.col("n") / F.col("total")).alias("share"))
+
+
+@query(f"WITH {_LONG}, {_DRAWS} SELECT technique, draw_no, source_id, subject_id FROM draws JOIN recording ON recording_id = source_id")
+def assign_groups(spark, sf_dir):
+    """Augmented rows take their source's subject."""
+    rows = long(spark, sf_dir).select("sample_id").distinct()
+    d = ag.source_draws(rows, "sample_id", {t: n for t, n in ag.quotas(rows.count()).items() if t in ag.TECHNIQUES})
+    return d.join(recordings(spark, sf_dir).select(F.col("recording_id").alias("source_id"), "subject_id"), "source_id").select("technique", "draw_no", "source_id", "subject_id")
+
+
+@query(f"""WITH {_LONG}, {_DRAWS} SELECT technique, source_id IS NOT NULL AS augmented, count(*) AS n FROM (SELECT technique, source_id FROM draws UNION ALL SELECT 'original', NULL FROM (SELECT DISTINCT sample_id FROM long)) GROUP BY ALL""")
+def union_augmented(spark, sf_dir):
+    """Originals and augmented rows by technique."""
+    rows = long(spark, sf_dir).select("sample_id").distinct()
+    d = ag.source_draws(rows, "sample_id", {t: n for t, n in ag.quotas(rows.count()).items() if t in ag.TECHNIQUES})
+    both = d.select("technique", "source_id").unionByName(rows.select(F.lit("original").alias("technique")), allowMissingColumns=True)
+    return both.groupBy("technique", F.col("source_id").isNotNull().alias("augmented")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def band_jitter_filter(spark, sf_dir):
+    """A band whose edges are drawn for the run, one pass of an order-4 filter."""
+    return fl.jittered(signal(spark, sf_dir).where("channel = 'price'"), 4, 8.0, 13.0, 128.0)
+
+
+@query()
+def tf_mask_augment(spark, sf_dir):
+    """Short-time spectra with drawn runs of frames and bins damped, and back; tested through its parts."""
+    from sigloom.functions.draws import uniform
+
+    s = signal(spark, sf_dir).where("channel = 'price'")
+    key = F.concat_ws(":", "recording_id", "channel")
+    run = lambda op, size, width: F.when(uniform(1, op + ":hit", key) < 0.1, F.floor(uniform(1, op, key) * size)).alias(op)
+    draws = s.select("recording_id", "channel").distinct().select("recording_id", "channel", run("frame0", 16, 2), run("bin0", 30, 3))
+    spec = sp.stft(s, 64, 32).join(draws, ["recording_id", "channel"])
+    masked = sp.tf_mask(spec, (F.col("frame0"), F.col("frame0") + 1), (F.col("bin0"), F.col("bin0") + 2))
+    return sp.istft(masked, 64, 32)

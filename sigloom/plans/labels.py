@@ -124,3 +124,23 @@ def label_distribution(spark, sf_dir):
     a = recordings(spark, sf_dir).select(F.lit("signal").alias("dataset"), lb.binarize(F.col("rating")).alias("label"), "subject_id")
     b = samples(spark, sf_dir).select(F.lit("sample").alias("dataset"), "label")
     return a.unionByName(b, allowMissingColumns=True).groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject_id").alias("subjects"))
+
+
+@query("SELECT recording_id, channel, idx, round(value, 6) + 0.0 AS value FROM signal WHERE channel IN ('price', 'quantity')")
+def select_channels(spark, sf_dir):
+    return signal(spark, sf_dir).where(F.col("channel").isin("price", "quantity")).select("recording_id", "channel", "idx", r6("value").alias("value"))
+
+
+@query("SELECT sample_id, CAST(label % 4 AS INT) AS label, CAST(label % 4 IN (2, 3) AS INT) AS arousal, CAST(label % 4 NOT IN (1, 2) AS INT) AS valence FROM sample")
+def class_to_axes(spark, sf_dir):
+    s = samples(spark, sf_dir).select("sample_id", (F.col("label") % 4).cast("int").alias("label"))
+    arousal, valence = lb.class_to_axes(F.col("label"))
+    return s.select("sample_id", "label", arousal.alias("arousal"), valence.alias("valence"))
+
+
+@query("SELECT 'regular' AS dataset, recording_id, channel, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, NULL AS late FROM signal GROUP BY ALL UNION ALL SELECT 'irregular', recording_id, channel, count(*), round(avg(value), 6) + 0.0, count(*) FILTER (idx > 5) FROM irregular GROUP BY ALL")
+def union_datasets(spark, sf_dir):
+    """Two datasets with different channels put together, a column of one missing in the other."""
+    a = signal(spark, sf_dir).groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean")).withColumn("dataset", F.lit("regular"))
+    b = events(spark, sf_dir).groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), F.count_if(F.col("idx") > 5).alias("late")).withColumn("dataset", F.lit("irregular"))
+    return a.unionByName(b, allowMissingColumns=True).select("dataset", "recording_id", "channel", "n", "mean", "late")

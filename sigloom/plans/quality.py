@@ -1 +1,181 @@
+"""Quality of augmented data against its originals, and connectivity."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sigloom.functions.draws import normal_sql, uniform_sql
+from sigloom.operators import augment as ag
+from sigloom.operators import connectivity as cn
+from sigloom.operators import quality as ql
+from sigloom.operators import spectral as sp
+from sigloom.operators import windows as wn
+from sigloom.plans.augmentation import _KEY3, _LONG, _span, long
+from sigloom.plans.registry import events, query, r6, samples, signal, wide_signal
+
+_NOISY = f"noisy AS (SELECT sample_id, channel, idx, value AS a, value + {normal_sql(1, 'noise', _KEY3)} * stddev_pop(value) OVER (PARTITION BY sample_id) * {_span('level', 'sample_id', 0.001, 0.05)} AS b FROM long)"
+
+
+def paired(spark, sf_dir):
+    """(sample_id, channel, idx, a, b): originals beside their noisy copies, by lineage."""
+    rows = long(spark, sf_dir)
+    noisy = ag.gaussian_noise(rows).withColumnRenamed("value", "b")
+    return rows.withColumnRenamed("value", "a").join(noisy, ["sample_id", "channel", "idx"])
+
+
+@query(f"WITH {_LONG}, {_NOISY} SELECT sample_id, round(stddev_pop(b) / stddev_pop(a), 5) + 0.0 AS ratio, abs(stddev_pop(b) / stddev_pop(a) - 1) < 3 AS passed FROM noisy GROUP BY ALL")
+def amplitude_check(spark, sf_dir):
+    return ql.amplitude_check(paired(spark, sf_dir), ["sample_id"]).withColumn("ratio", r6("ratio", 5))
+
+
+@query(f"WITH {_LONG}, {_NOISY} SELECT sample_id, round(corr(a, b), 5) + 0.0 AS r, round(abs(avg(a) - avg(b)), 6) + 0.0 AS mean_shift FROM noisy GROUP BY ALL")
+def pair_correlation(spark, sf_dir):
+    return ql.pair_correlation(paired(spark, sf_dir), ["sample_id"]).select("sample_id", r6("r", 5).alias("r"), r6("mean_shift").alias("mean_shift"))
+
+
+@query(f"WITH {_LONG}, {_NOISY} SELECT sample_id, channel, count(*) AS n, round(sum(a * b), 4) + 0.0 AS ab FROM noisy GROUP BY ALL")
+def pair_original_augmented(spark, sf_dir):
+    return paired(spark, sf_dir).groupBy("sample_id", "channel").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("a") * F.col("b")), 4).alias("ab"))
+
+
+_TURN = "turn AS (SELECT p.range AS pos, CAST(b.range AS INT) AS bin, cos(2 * pi() * ((p.range * b.range) % 64) / 64) AS c, -sin(2 * pi() * ((p.range * b.range) % 64) / 64) AS s FROM range(0, 64) p, range(0, 33) b)"
+_SPEC = f"""{_LONG}, {_NOISY}, {_TURN}, cut AS (SELECT sample_id, idx AS pos, a, b FROM noisy WHERE channel = 'price' AND idx < 64),
+mags AS (SELECT sample_id, bin, sqrt(pow(sum(a * c), 2) + pow(sum(a * s), 2)) AS ma, sqrt(pow(sum(b * c), 2) + pow(sum(b * s), 2)) AS mb FROM cut JOIN turn USING (pos) GROUP BY ALL)"""
+
+
+def magnitudes(spark, sf_dir):
+    cut = paired(spark, sf_dir).where("channel = 'price' AND idx < 64").withColumnRenamed("idx", "pos")
+    a = sp.rfft_magnitude(cut.select("sample_id", "pos", F.col("a").alias("value")), ["sample_id"], 64).withColumnRenamed("mag", "ma")
+    b = sp.rfft_magnitude(cut.select("sample_id", "pos", F.col("b").alias("value")), ["sample_id"], 64).withColumnRenamed("mag", "mb")
+    return a.join(b, ["sample_id", "bin"])
+
+
+@query(f"WITH {_SPEC} SELECT sample_id, round(corr(ma, mb), 5) + 0.0 AS r, corr(ma, mb) >= 0.7 AS passed FROM mags GROUP BY ALL")
+def spectral_similarity(spark, sf_dir):
+    r = magnitudes(spark, sf_dir).groupBy("sample_id").agg(F.corr("ma", "mb").alias("r"))
+    return r.select("sample_id", r6("r", 5).alias("r"), (F.col("r") >= 0.7).alias("passed"))
+
+
+@query(f"WITH {_SPEC}, b AS (SELECT *, CASE WHEN bin * 2 < 0.5 THEN NULL WHEN bin * 2 < 4 THEN 'delta' WHEN bin * 2 < 8 THEN 'theta' WHEN bin * 2 < 13 THEN 'alpha' WHEN bin * 2 < 30 THEN 'beta' END AS band FROM mags) SELECT sample_id, band, round(sum(mb * mb) / (sum(ma * ma) + 1e-10), 5) + 0.0 AS ratio FROM b WHERE band IS NOT NULL GROUP BY ALL")
+def band_power_ratio(spark, sf_dir):
+    m = magnitudes(spark, sf_dir).withColumn("band", sp.band_of(F.col("bin") * 2.0)).where("band IS NOT NULL AND band <> 'gamma'")
+    return m.groupBy("sample_id", "band").agg(r6(F.sum(F.col("mb") * F.col("mb")) / (F.sum(F.col("ma") * F.col("ma")) + 1e-10), 5).alias("ratio"))
+
+
+_KS = """u AS (SELECT channel, value, count(*) FILTER (recording_id % 2 = 1) AS c1, count(*) FILTER (recording_id % 2 = 0) AS c2 FROM irregular GROUP BY ALL),
+f AS (SELECT channel, abs(sum(c1) OVER w / sum(c1) OVER (PARTITION BY channel) - sum(c2) OVER w / sum(c2) OVER (PARTITION BY channel)) AS gap FROM u WINDOW w AS (PARTITION BY channel ORDER BY value ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT channel, max(gap) AS d FROM f GROUP BY channel),
+m AS (SELECT channel, count(*) FILTER (recording_id % 2 = 1) AS n1, count(*) FILTER (recording_id % 2 = 0) AS n2, avg(value) FILTER (recording_id % 2 = 1) AS mean1, avg(value) FILTER (recording_id % 2 = 0) AS mean2, var_pop(value) FILTER (recording_id % 2 = 0) / var_pop(value) FILTER (recording_id % 2 = 1) AS var_ratio FROM irregular GROUP BY channel),
+x AS (SELECT *, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d AS x FROM d JOIN m USING (channel)),
+p AS (SELECT channel, d, mean1, mean2, var_ratio, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(2 * sum(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2 * k * k * x * x)), 0), 1) END AS p FROM x, range(1, 101) t(k) GROUP BY channel, d, mean1, mean2, var_ratio, x)"""
+
+
+@query(f"WITH {_KS} SELECT channel, round(d, 6) + 0.0 AS d, round(p, 5) + 0.0 AS p, p > 0.05 AS passed, round(mean1, 5) + 0.0 AS mean1, round(mean2, 5) + 0.0 AS mean2, round(var_ratio, 5) + 0.0 AS var_ratio FROM p")
+def ks_two_sample(spark, sf_dir):
+    """Odd against even users, by type of event."""
+    both = events(spark, sf_dir).select("channel", "value", F.when(F.col("recording_id") % 2 == 1, 1).otherwise(2).alias("side"))
+    k = ql.ks_two_sample(both, ["channel"])
+    return k.select("channel", r6("d").alias("d"), r6("p", 5).alias("p"), "passed", *[r6(c, 5).alias(c) for c in ("mean1", "mean2", "var_ratio")])
+
+
+_SIDE = "CASE WHEN sample_id % 2 = 1 THEN 1 ELSE 2 END"
+_SOME = f"few AS (SELECT side, sample_id, x FROM (SELECT {_SIDE} AS side, sample_id, x, row_number() OVER (PARTITION BY {_SIDE} ORDER BY sample_id) AS r FROM sample) WHERE r <= 100), k AS (SELECT a.side AS s, b.side AS t, avg(exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS k, count(*) AS n FROM few a, few b GROUP BY ALL)"
+
+
+def sides(spark, sf_dir):
+    return samples(spark, sf_dir).withColumn("side", F.when(F.col("sample_id") % 2 == 1, 1).otherwise(2))
+
+
+@query(f"WITH {_SOME} SELECT round(sqrt(greatest(sum(CASE WHEN s = t THEN k ELSE -k END), 0)), 5) + 0.0 AS mmd FROM k")
+def mmd_rbf(spark, sf_dir):
+    """Kernel distance of the first hundred odd and even vectors; the rule has that cap."""
+    return ql.mmd_rbf(sides(spark, sf_dir)).select(r6("mmd", 5).alias("mmd"))
+
+
+@query(f"WITH d AS (SELECT i, avg(v) FILTER (sample_id % 2 = 1) - avg(v) FILTER (sample_id % 2 = 0) AS d FROM flat GROUP BY i) SELECT round(sqrt(sum(d * d)), 6) + 0.0 AS mmd FROM d")
+def mmd_linear(spark, sf_dir):
+    return ql.mmd_linear(sides(spark, sf_dir)).select(r6("mmd").alias("mmd"))
+
+
+@query(f"WITH {_SOME} SELECT s, t, n, round(k, 6) + 0.0 AS k FROM k")
+def kernel_pairs(spark, sf_dir):
+    """Mean kernels within and between the sides' first hundred vectors."""
+    v = sides(spark, sf_dir)
+    some = v.where("side = 1").orderBy("sample_id").limit(100).unionByName(v.where("side = 2").orderBy("sample_id").limit(100))
+    pairs = some.select(F.col("side").alias("s"), "x").crossJoin(some.select(F.col("side").alias("t"), F.col("x").alias("y")))
+    return pairs.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.exp(-ql.squared_distance(F.col("x"), F.col("y"))))).alias("k"))
+
+
+_CHECKS = f"""{_SPEC}, amp AS (SELECT sample_id, abs(stddev_pop(b) / stddev_pop(a) - 1) < 3 AS amplitude, abs(avg(a) - avg(b)) < 0.5 AS mean_ok FROM noisy GROUP BY ALL), spc AS (SELECT sample_id, corr(ma, mb) >= 0.7 AS spectral FROM mags GROUP BY ALL),
+checks AS (SELECT sample_id, amplitude, spectral, mean_ok, sample_id % 3 = 0 AS extra FROM amp JOIN spc USING (sample_id)), s AS (SELECT *, (amplitude::INT + spectral::INT + mean_ok::INT + extra::INT) * 0.25 AS score FROM checks)"""
+
+
+def scores(spark, sf_dir):
+    pairs = paired(spark, sf_dir)
+    amp = pairs.groupBy("sample_id").agg((F.abs(F.stddev_pop("b") / F.stddev_pop("a") - 1) < 3).alias("amplitude"), (F.abs(F.avg("a") - F.avg("b")) < 0.5).alias("mean_ok"))
+    spec = magnitudes(spark, sf_dir).groupBy("sample_id").agg((F.corr("ma", "mb") >= 0.7).alias("spectral"))
+    checks = amp.join(spec, "sample_id").withColumn("extra", F.col("sample_id") % 3 == 0)
+    return ql.quality_score(checks, ["amplitude", "spectral", "mean_ok", "extra"])
+
+
+@query(f"WITH {_CHECKS} SELECT sample_id, amplitude, spectral, mean_ok, CAST(score AS DOUBLE) AS score, score >= 0.5 AS accepted FROM s")
+def quality_score(spark, sf_dir):
+    return scores(spark, sf_dir).select("sample_id", "amplitude", "spectral", "mean_ok", F.col("score").cast("double").alias("score"), "accepted")
+
+
+@query(f"WITH {_CHECKS} SELECT count(*) AS n, avg(CAST(score >= 0.5 AS DOUBLE)) AS pass_rate, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, avg(CAST(amplitude AS DOUBLE)) AS amplitude_rate, round(avg(CAST(spectral AS DOUBLE)), 6) + 0.0 AS spectral_rate FROM s")
+def quality_pass_rates(spark, sf_dir):
+    return ql.pass_rates(scores(spark, sf_dir), ["amplitude", "spectral"]).select("n", "pass_rate", r6("mean_score").alias("mean_score"), "amplitude_rate", r6("spectral_rate").alias("spectral_rate"))
+
+
+_TE = """w AS (SELECT recording_id, channel, idx AS t, value, count(*) OVER (PARTITION BY recording_id, channel) AS n FROM signal WHERE channel IN ('price', 'quantity') AND idx < 64),
+e AS (SELECT recording_id, channel, t, value AS v0, lead(value, 10) OVER o AS v1, lead(value, 20) OVER o AS v2, lead(value, 21) OVER o AS nxt FROM w WHERE n = 64 WINDOW o AS (PARTITION BY recording_id, channel ORDER BY t)),
+l AS (SELECT * FROM e WHERE nxt IS NOT NULL),
+oy AS (SELECT a.recording_id, a.channel, a.t, sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.nxt - b.nxt, 2)) AS r, row_number() OVER (PARTITION BY a.recording_id, a.channel, a.t ORDER BY sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.nxt - b.nxt, 2)), b.t) AS k FROM l a JOIN l b ON a.recording_id = b.recording_id AND a.channel = b.channel AND a.t <> b.t),
+hy AS (SELECT recording_id, channel, 4 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS h FROM oy WHERE k = 4 GROUP BY ALL),
+j AS (SELECT y.recording_id, x.channel AS src, y.channel AS dst, y.t, y.v0, y.v1, y.v2, y.nxt, x.v0 AS x0, x.v1 AS x1, x.v2 AS x2 FROM l y JOIN l x ON y.recording_id = x.recording_id AND y.t = x.t AND x.channel <> y.channel),
+jr AS (SELECT a.recording_id, a.src, a.dst, a.t, b.t AS t2, sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.nxt - b.nxt, 2)) AS r FROM j a JOIN j b ON a.recording_id = b.recording_id AND a.src = b.src AND a.dst = b.dst AND a.t <> b.t),
+jk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, src, dst, t ORDER BY r, t2) AS k FROM jr),
+hj AS (SELECT recording_id, src, dst, 7 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS hj FROM jk WHERE k = 4 GROUP BY ALL)"""
+
+
+def te_windows(spark, sf_dir):
+    s = signal(spark, sf_dir).where(F.col("channel").isin("price", "quantity"))
+    return wn.tumbling_windows(s, 64).where("window_id = 0").select("recording_id", "channel", "pos", "value")
+
+
+@query(f"WITH {_TE} SELECT hj.recording_id, src, dst, round(greatest(h - hj, 0), 5) + 0.0 AS value FROM hj JOIN hy ON hy.recording_id = hj.recording_id AND hy.channel = hj.dst")
+def transfer_entropy(spark, sf_dir):
+    """Between two channels in the first window of each recording."""
+    t = cn.transfer_entropy(te_windows(spark, sf_dir), ["recording_id"])
+    return t.select("recording_id", "src", "dst", r6("value", 5).alias("value"))
+
+
+@query(f"WITH {_TE} SELECT recording_id, channel, t, round(r, 6) + 0.0 AS r FROM oy WHERE k = 4")
+def kth_distance(spark, sf_dir):
+    """Distance of each delay vector and its next value to the fourth nearest other one."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("recording_id", "channel").orderBy("pos")
+    p = te_windows(spark, sf_dir).select("recording_id", "channel", F.col("pos").alias("t"), F.array("value", F.lead("value", 10).over(w), F.lead("value", 20).over(w), F.lead("value", 21).over(w)).alias("p"))
+    p = p.where(F.col("p")[3].isNotNull())
+    q = p.select("recording_id", "channel", F.col("t").alias("t2"), F.col("p").alias("q"))
+    near = p.join(q, ["recording_id", "channel"]).where("t <> t2").withColumn("r", F.sqrt(ql.squared_distance(F.col("p"), F.col("q"))))
+    rank = F.row_number().over(W.partitionBy("recording_id", "channel", "t").orderBy("r", "t2"))
+    return near.withColumn("k", rank).where("k = 4").select("recording_id", "channel", F.col("t").cast("int").alias("t"), r6("r").alias("r"))
+
+
+@query()
+def lagged_ols(spark, sf_dir):
+    """Two lags of all channels; small systems solved for each recording, tested against a direct solution."""
+    return cn.lagged_ols(wide_signal(spark, sf_dir), ["recording_id"], "idx", ["discount", "price", "quantity", "tax"])
+
+
+@query()
+def connectivity_set(spark, sf_dir):
+    """Transfer entropy, correlation and regression edges of each recording in one table."""
+    from sigloom.operators.statistics import correlation_matrix
+
+    corr = correlation_matrix(signal(spark, sf_dir), ["recording_id"])
+    ols = cn.lagged_ols(wide_signal(spark, sf_dir), ["recording_id"], "idx", ["discount", "price", "quantity", "tax"])
+    return cn.connectivity_set({"te": cn.transfer_entropy(te_windows(spark, sf_dir), ["recording_id"]), "corr": corr, "ols": ols})
