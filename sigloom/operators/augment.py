@@ -13,18 +13,19 @@ from pyspark.sql import Window as W
 from sigloom.functions.draws import beta, between, normal, uniform
 from sigloom.operators.splits import ordinals
 
-SAMPLE = W.partitionBy("sample_id")
+def per_sample():
+    return W.partitionBy("sample_id")
 
 
 def gaussian_noise(rows: DataFrame, seed: int = 1, low: float = 0.001, high: float = 0.05) -> DataFrame:
     """Noise of a drawn level times the sample's deviation over all its channels."""
     level = between(seed, "level", F.col("sample_id"), low, high)
     key = F.concat_ws(":", "sample_id", "channel", "idx")
-    return rows.withColumn("value", F.col("value") + normal(seed, "noise", key) * F.stddev_pop("value").over(SAMPLE) * level)
+    return rows.withColumn("value", F.col("value") + normal(seed, "noise", key) * F.stddev_pop("value").over(per_sample()) * level)
 
 
 def time_shift(rows: DataFrame, seed: int = 1, low: float = 0.05, high: float = 0.2) -> DataFrame:
-    n = F.max("idx").over(SAMPLE) + 1
+    n = F.max("idx").over(per_sample()) + 1
     sign = F.when(uniform(seed, "sign", F.col("sample_id")) < 0.5, -1).otherwise(1)
     shift = (n * between(seed, "shift", F.col("sample_id"), low, high) * sign).cast("int")
     return rows.withColumn("idx", F.pmod(F.col("idx") + shift, n).cast("int"))
@@ -32,7 +33,7 @@ def time_shift(rows: DataFrame, seed: int = 1, low: float = 0.05, high: float =
 
 def window_slice(rows: DataFrame, seed: int = 1, low: float = 0.8, high: float = 0.95) -> DataFrame:
     """A drawn share of the series from a drawn start, its places counted anew."""
-    n = F.max("idx").over(SAMPLE) + 1
+    n = F.max("idx").over(per_sample()) + 1
     size = F.floor(n * between(seed, "keep", F.col("sample_id"), low, high))
     start = F.floor(uniform(seed, "start", F.col("sample_id")) * (n - size + 1))
     return rows.withColumn("_at", F.col("idx") - start).withColumn("_size", size).where(F.col("_at").between(0, F.col("_size") - 1)).withColumn("idx", F.col("_at").cast("int")).drop("_at", "_size")
@@ -60,12 +61,12 @@ def channel_dropout(rows: DataFrame, seed: int = 1, low: float = 0.05, high: flo
 def bounded_perturbation(rows: DataFrame, seed: int = 1, eps: float = 0.01) -> DataFrame:
     """A random direction of unit length over the sample, times ``eps`` deviations."""
     z = rows.withColumn("_z", normal(seed, "direction", F.concat_ws(":", "sample_id", "channel", "idx")))
-    return z.withColumn("value", F.col("value") + F.col("_z") / F.sqrt(F.sum(F.col("_z") * F.col("_z")).over(SAMPLE)) * eps * F.stddev_pop("value").over(SAMPLE)).drop("_z")
+    return z.withColumn("value", F.col("value") + F.col("_z") / F.sqrt(F.sum(F.col("_z") * F.col("_z")).over(per_sample())) * eps * F.stddev_pop("value").over(per_sample())).drop("_z")
 
 
 def segment_permutation(rows: DataFrame, seed: int = 1, segments: int = 4) -> DataFrame:
     """Equal segments in a drawn order, the same for all channels; the last holds the rest."""
-    each = rows.withColumn("_n", F.max("idx").over(SAMPLE) + 1).withColumn("_len", F.floor(F.col("_n") / segments)).withColumn("_seg", F.least(F.floor(F.col("idx") / F.col("_len")), F.lit(segments - 1)))
+    each = rows.withColumn("_n", F.max("idx").over(per_sample()) + 1).withColumn("_len", F.floor(F.col("_n") / segments)).withColumn("_seg", F.least(F.floor(F.col("idx") / F.col("_len")), F.lit(segments - 1)))
     parts = each.groupBy("sample_id", "_seg").agg(F.min("idx").alias("_first"), (F.max("idx") - F.min("idx") + 1).alias("_size"))
     order = W.partitionBy("sample_id").orderBy(uniform(seed, "segment", F.concat_ws(":", "sample_id", "_seg")), "_seg").rowsBetween(W.unboundedPreceding, -1)
     placed = parts.withColumn("_start", F.coalesce(F.sum("_size").over(order), F.lit(0)))
