@@ -52,27 +52,28 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     ones, top = (1 << width) - 1, 1 << (2 * edits)
     m, n = F.length(a), F.length(b)
-    inv = lambda x: x.bitwiseXOR(F.lit(ones))
-    # The characters of ``a`` are held in the state: outside it they would be split again at every step.
-    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.split(a, "").alias("text"), m.alias("m"))
-
-    def column(acc: Column, x: Column) -> Column:
-        j, c, vp, vn, m = x["j"], x["c"], acc["vp"], acc["vn"], acc["m"]
-        match = reduce(lambda p, q: p + q, [F.when((j - edits + k >= 0) & (F.get(acc["text"], j - edits + k) == c), 1 << k).otherwise(0) for k in range(width)])
-        step = F.transform(F.array(match), lambda pm: F.struct(((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn)).bitwiseAND(F.lit(ones)).alias("d0")))
-        more = F.transform(step, lambda s: F.struct(s["d0"].alias("d0"), vn.bitwiseOR(inv(s["d0"].bitwiseOR(vp))).alias("hp"), s["d0"].bitwiseAND(vp).alias("hn")))
+    chars, inv = F.split(a, ""), lambda x: x.bitwiseXOR(F.lit(ones))
+    # Which cells of each column match: ``a`` moved by every place of the band, beside ``b``.
+    moved = [F.concat(F.array_repeat(F.lit(""), edits - k), chars) if k <= edits else F.slice(chars, F.lit(k - edits + 1), F.greatest(m - (k - edits), F.lit(0))) for k in range(width)]
+    mark = lambda bit: lambda p, q: F.when(p == q, bit).otherwise(0)
+    bits = [F.zip_with(x, F.split(b, ""), mark(1 << k)) for k, x in enumerate(moved)]
+    matches = F.slice(reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(p, F.lit(0)) + F.coalesce(q, F.lit(0))), bits), F.lit(1), n)
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"), F.lit(0).alias("j"), m.alias("m"))
+
+    def column(acc: Column, pm: Column) -> Column:
+        j, vp, vn, rows = acc["j"], acc["vp"], acc["vn"], acc["m"]
+        zero = F.array((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(F.lit(ones)))
+        more = F.transform(zero, lambda d0: F.struct(d0.alias("d0"), vn.bitwiseOR(inv(d0.bitwiseOR(vp))).alias("hp"), d0.bitwiseAND(vp).alias("hn")))
 
         def last(s: Column) -> Column:
-            down = F.shiftright(s["d0"], 1)
-            bit = m - 1 - j + edits  # of the last row, once the band reaches it
-            along = F.when(F.call_function("shiftright", s["hp"], bit) % 2 == 1, 1).otherwise(0) - F.when(F.call_function("shiftright", s["hn"], bit) % 2 == 1, 1).otherwise(0)
-            grown = F.when(j + 1 + edits <= m, F.when(s["d0"].bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)).otherwise(along)
-            return F.struct(s["hn"].bitwiseOR(inv(down.bitwiseOR(s["hp"]))).alias("vp"), s["hp"].bitwiseAND(down).alias("vn"), (acc["d"] + grown).alias("d"), acc["text"].alias("text"), acc["m"].alias("m"))
+            down, bit = F.shiftright(s["d0"], 1), rows - 1 - j + edits  # bit: of the last row, once the band reaches it
+            along = F.call_function("shiftright", s["hp"], bit) % 2 - F.call_function("shiftright", s["hn"], bit) % 2
+            grown = F.when(j + 1 + edits <= rows, F.when(s["d0"].bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)).otherwise(along)
+            return F.struct(s["hn"].bitwiseOR(inv(down.bitwiseOR(s["hp"]))).alias("vp"), s["hp"].bitwiseAND(down).alias("vn"), (acc["d"] + grown).alias("d"), (j + 1).alias("j"), rows.alias("m"))
 
         return F.element_at(F.transform(more, last), 1)
 
-    cells = F.transform(F.split(b, ""), lambda c, j: F.struct(j.alias("j"), c.alias("c")))
-    return F.when((F.abs(m - n) <= edits) & (m > edits), F.aggregate(cells, start, column, lambda s: s["d"])).otherwise(edits + 1)
+    return F.when((F.abs(m - n) <= edits) & (m > edits), F.aggregate(matches, start, column, lambda s: s["d"])).otherwise(edits + 1)
 
 
 def segments_agree(a: Column, b: Column, edits: int) -> Column:
