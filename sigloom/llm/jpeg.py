@@ -496,7 +496,7 @@ def decode_media(media: DataFrame, with_tensor: bool = False) -> DataFrame:
                     image = coefficients(data)
                     n, payload = held_payload(image)
                     rgb = tensor(image)
-                    rows.append((doc, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(rgb), *([*rgb.shape[:2], rgb.tobytes()] if with_tensor else [])))
+                    rows.append((doc, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(rgb), *([*rgb.shape[1:], rgb.tobytes()] if with_tensor else [])))
                 yield pd.DataFrame(rows, columns=names + ["height", "width", "tensor"] * with_tensor).astype({"doc_id": pdf["doc_id"].dtype})
 
     return media.mapInPandas(run, schema)
