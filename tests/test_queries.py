@@ -20,7 +20,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value or type(value).__name__ == "NAType":
+    if value is None or type(value).__name__ == "NAType" or value != value:
         return "null"
     if isinstance(value, (bool, int, float)) or type(value).__module__ == "numpy":
         return float(value)
