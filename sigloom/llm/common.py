@@ -28,11 +28,6 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def line_hash(col):
-    """Two chained 64-bit hashes; equal 128 bits stand for equal text."""
-    return F.concat(F.hex(F.xxhash64(col)), F.hex(F.xxhash64(F.lit(7), col)))
-
-
 def ranks(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
     """0-based rank of every row within ``keys``, without one task per key.
 

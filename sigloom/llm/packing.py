@@ -21,6 +21,8 @@ from sigloom.llm.tokens import token_pieces
 ROUNDS, RATE = 200, 0.5
 #: Configurations taken from one pricing at most, and their price beside the best one's.
 BATCH, NEARLY = 32, 0.8
+#: Shares of the configurations' use that are tried in rounding: small lengths kept back fill the rest better.
+SHARES = (1.0, 0.8, 0.6, 0.4)
 
 
 def best_configurations(price: np.ndarray, need: np.ndarray, capacity: int, most: int = BATCH) -> list[np.ndarray]:
@@ -95,10 +97,17 @@ def configurations(need: np.ndarray, capacity: int) -> Counter:
     need = need.astype(np.int64)
     if not need.any():
         return Counter()
+    used = sorted(fractional(need, capacity).items(), key=lambda x: -x[1])
+    plans = [rounded(used, need, capacity, share) for share in SHARES]
+    return min(plans, key=lambda plan: sum(plan.values()))
+
+
+def rounded(used: list[tuple[tuple[int, ...], float]], need: np.ndarray, capacity: int, share: float) -> Counter:
+    """``share`` of each full configuration's use, rounded down; the lengths left are packed by best fit."""
     whole, left = Counter(), need.copy()
-    for config, n in sorted(fractional(need, capacity).items(), key=lambda x: -x[1]):
+    for config, n in used:
         sizes, times = np.unique(config, return_counts=True)
-        n = min(int(n + 1e-9), int((left[sizes] // times).min()))
+        n = min(int(n * share + 1e-9), int((left[sizes] // times).min()))
         if n > 0 and sum(config) >= capacity - 1:
             whole[config] += n
             left[sizes] -= times * n
