@@ -6,13 +6,16 @@ gives the same rows again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigloom.functions.draws import beta, between, normal, uniform
 from sigloom.operators.splits import ordinals
 
+
 def per_sample():
     return W.partitionBy("sample_id")
 
@@ -99,17 +102,34 @@ def cutmix(rows: DataFrame, pairs: DataFrame, n: int, seed: int = 1) -> DataFram
 def knn_same_class(vectors: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
     """(sample_id, neighbour, rank): the ``k`` nearest of the same label, itself left out; ties to the smaller id.
 
-    A class is dealt in blocks of about ``block`` vectors and each pair of blocks is one group of the join, so no
-    task holds a class; the work is a class's square, as the rule is exact.
+    A class is dealt in blocks of about ``block`` vectors. Two blocks meet in one group, which returns ``k`` rows a
+    vector at most, so neither a class nor its pairs are ever gathered; distances are a class's square, as the rule
+    is exact.
     """
     sizes = F.broadcast(vectors.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")))
-    v = vectors.join(sizes, "label").withColumn("_own", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")))
-    a = v.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1).cast("array<long>"))).select("label", "_own", "_other", "sample_id", "x")
-    b = v.select("label", F.col("_own").alias("_other"), F.col("sample_id").alias("neighbour"), F.col("x").alias("y"))
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
-    near = a.join(b, ["label", "_other"]).where("sample_id <> neighbour").select("sample_id", "neighbour", gap.alias("d"))
+    v = vectors.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1).cast("array<long>"))
+    left = v.select("label", "own", every.alias("other"), "sample_id", "x")
+    again = v.select(*[F.col(c).alias(c) for c in v.columns])  # columns of their own, as both sides come from one table
+    right = again.select(F.col("label").alias("label"), F.col("own").alias("other"), every.alias("own"), F.col("sample_id").alias("sample_id"), F.col("x").alias("x"))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"sample_id": [], "neighbour": [], "d": []}
+        if len(a) and len(b):
+            y, ids = np.stack(b["x"].to_numpy()), b["sample_id"].to_numpy()
+            for i, x in zip(a["sample_id"], a["x"]):
+                d = ((y - x) ** 2).sum(1)
+                best = np.lexsort((ids, d))[: k + 1]
+                best = best[ids[best] != i][:k]
+                out["sample_id"] += [i] * len(best)
+                out["neighbour"] += ids[best].tolist()
+                out["d"] += d[best].tolist()
+        return pd.DataFrame(out).astype({"sample_id": "int64", "neighbour": "int64", "d": "float64"})
+
+    by = ["label", "own", "other"]
+    some = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "sample_id long, neighbour long, d double")
     rank = F.row_number().over(W.partitionBy("sample_id").orderBy("d", "neighbour"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return some.withColumn("rank", rank).where(F.col("rank") <= k).drop("d")
 
 
 def smote(vectors: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:

@@ -38,7 +38,7 @@ def averaged_prf(per_class: DataFrame, positive: int = 1) -> DataFrame:
 
 
 def threshold_counts(scored: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
-    """(by, score, tp, fp, p, n): positives and negatives at or above each distinct score.
+    """(by, score, dp, dn, tp, fp, p, n): positives and negatives at each distinct score, and at or above it.
 
     Scores are first counted, then summed in two phases by range of score, so no task holds all scores.
     """
@@ -50,7 +50,7 @@ def threshold_counts(scored: DataFrame, by: list[str], buckets: int = 256) -> Da
     tops = tops.select(*by, "_b", (F.sum("_bp").over(up) - F.col("_bp")).alias("_p0"), (F.sum("_bn").over(up) - F.col("_bn")).alias("_n0"), F.sum("_bp").over(w).alias("p"), F.sum("_bn").over(w).alias("n"))
     inside = W.partitionBy(*by, "_b").orderBy(F.desc("score"))
     run = each.withColumn("_cp", F.sum("_p").over(inside)).withColumn("_cn", F.sum("_n").over(inside))
-    return run.join(F.broadcast(tops), [*by, "_b"]).select(*by, "score", (F.col("_p0") + F.col("_cp")).alias("tp"), (F.col("_n0") + F.col("_cn")).alias("fp"), "p", "n")
+    return run.join(F.broadcast(tops), [*by, "_b"]).select(*by, "score", F.col("_p").alias("dp"), F.col("_n").alias("dn"), (F.col("_p0") + F.col("_cp")).alias("tp"), (F.col("_n0") + F.col("_cn")).alias("fp"), "p", "n")
 
 
 def roc_curve(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -59,11 +59,8 @@ def roc_curve(scored: DataFrame, by: list[str]) -> DataFrame:
 
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """(by, auc, support): by the rank sum, ties averaged: each score's negatives count below it, its ties half."""
-    t = threshold_counts(scored, by)
-    at = W.partitionBy(*by).orderBy(F.desc("score")) if by else W.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    step = t.withColumn("_dp", F.col("tp") - F.coalesce(F.lag("tp").over(at), F.lit(0))).withColumn("_dn", F.col("fp") - F.coalesce(F.lag("fp").over(at), F.lit(0)))
-    below = F.col("n") - F.col("fp") + F.col("_dn") / 2
-    return step.groupBy(*by).agg((F.sum(F.col("_dp") * below) / (F.max("p") * F.max("n"))).alias("auc"), F.max("p").alias("support"))
+    below = F.col("n") - F.col("fp") + F.col("dn") / 2
+    return threshold_counts(scored, by).groupBy(*by).agg((F.sum(F.col("dp") * below) / (F.max("p") * F.max("n"))).alias("auc"), F.max("p").alias("support"))
 
 
 def pr_curve(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -71,9 +68,8 @@ def pr_curve(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
-    c = pr_curve(scored, by)
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc("score"))
-    return c.withColumn("_d", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))).groupBy(*by).agg(F.sum(F.col("_d") * F.col("precision")).alias("ap"))
+    step = F.col("dp") / F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return threshold_counts(scored, by).groupBy(*by).agg(F.sum(step).alias("ap"))
 
 
 def confidence_stats(scored: DataFrame) -> DataFrame:

@@ -89,8 +89,21 @@ def patience_stop(history: DataFrame, by: list[str], at: str, value: str, patien
     return history.groupBy(*by).agg(F.aggregate(steps, start, step).alias("s")).select(*by, F.col("s.stop").alias("stop_at"), (F.col("s.best") * sign).alias("best"))
 
 
-def ecdf(both: DataFrame, by: list[str]) -> DataFrame:
-    """(by, value, f1, f2): the distribution functions of two samples (side 1 and 2) at each of their values."""
+def ecdf(both: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+    """(by, value, f1, f2): the distribution functions of two samples (side 1 and 2) at each of their values.
+
+    Counts of distinct values are summed within ranges of the value and shifted by the ranges' totals, at most
+    ``buckets`` a group, so no task orders a whole group.
+    """
     each = both.groupBy(*by, "value").agg(F.sum((F.col("side") == 1).cast("long")).alias("n1"), F.sum((F.col("side") == 2).cast("long")).alias("n2"))
-    upto, all_ = W.partitionBy(*by).orderBy("value").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-    return each.select(*by, "value", (F.sum("n1").over(upto) / F.sum("n1").over(all_)).alias("f1"), (F.sum("n2").over(upto) / F.sum("n2").over(all_)).alias("f2"))
+    ends = F.broadcast(each.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
+    each = each.join(ends, by) if by else each.crossJoin(ends)
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
+    each = each.withColumn("_b", part.cast("int")).drop("_lo", "_hi")
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = lambda c: (F.sum(c).over(group.orderBy("_b")) - F.col(c))
+    tops = each.groupBy(*by, "_b").agg(F.sum("n1").alias("_t1"), F.sum("n2").alias("_t2"))
+    tops = F.broadcast(tops.select(*by, "_b", before("_t1").alias("_s1"), before("_t2").alias("_s2"), F.sum("_t1").over(group).alias("_all1"), F.sum("_t2").over(group).alias("_all2")))
+    inside = W.partitionBy(*by, "_b").orderBy("value")
+    run = each.withColumns({"_c1": F.sum("n1").over(inside), "_c2": F.sum("n2").over(inside)}).join(tops, [*by, "_b"])
+    return run.select(*by, "value", ((F.col("_s1") + F.col("_c1")) / F.col("_all1")).alias("f1"), ((F.col("_s2") + F.col("_c2")) / F.col("_all2")).alias("f2"))

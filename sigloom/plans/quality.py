@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.functions.draws import normal_sql, uniform_sql
+from sigloom.functions.draws import normal_sql
 from sigloom.operators import augment as ag
 from sigloom.operators import connectivity as cn
 from sigloom.operators import quality as ql

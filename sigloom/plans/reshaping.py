@@ -9,8 +9,6 @@ from sigloom.operators import reshaping as rs
 from sigloom.operators import statistics as st
 from sigloom.operators import windows as wn
 from sigloom.plans.registry import query, r6, samples, signal
-from sigloom.plans.spectra import _FRAMES, price
-from sigloom.operators import spectral as sp
 
 _N = "n AS (SELECT recording_id, channel, CAST(max(idx) + 1 AS INT) AS n FROM signal GROUP BY ALL)"
 
@@ -110,18 +108,18 @@ def stack_4d(spark, sf_dir):
     return b.select("recording_id", F.col("block_id").cast("long").alias("block_id"), F.col("place").cast("long").alias("place"), "channel", r6("value", 5).alias("value"))
 
 
-_IMG = """WITH p AS (SELECT a.recording_id, CAST(floor(a.idx / 64) AS BIGINT) AS window_id, CAST(a.k AS INT) AS r, CAST(b.k AS INT) AS c, abs(corr(a.value, b.value)) AS corr, abs(avg(a.value - b.value)) AS gap FROM (SELECT *, dense_rank() OVER (ORDER BY channel) - 1 AS k FROM signal) a JOIN (SELECT *, dense_rank() OVER (ORDER BY channel) - 1 AS k FROM signal) b ON a.recording_id = b.recording_id AND a.idx = b.idx AND a.channel <> b.channel GROUP BY ALL HAVING count(*) = 64),
+_IMG = """WITH p AS (SELECT a.recording_id, CAST(floor(a.idx / 64) AS BIGINT) AS window_id, CAST(a.k AS INT) AS r, CAST(b.k AS INT) AS c, round(abs(corr(a.value, b.value)), 9) AS corr, round(abs(avg(a.value - b.value)), 9) AS gap FROM (SELECT *, dense_rank() OVER (ORDER BY channel) - 1 AS k FROM signal) a JOIN (SELECT *, dense_rank() OVER (ORDER BY channel) - 1 AS k FROM signal) b ON a.recording_id = b.recording_id AND a.idx = b.idx AND a.channel <> b.channel GROUP BY ALL HAVING count(*) = 64),
 m AS (SELECT recording_id, window_id, 'corr' AS measure, 0 AS nth, r, c, corr AS value FROM p UNION ALL SELECT recording_id, window_id, 'gap', 1, r, c, gap FROM p),
 x AS (SELECT *, CAST(CASE WHEN max(value) OVER w > min(value) OVER w THEN floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 255) ELSE 0 END AS INT) AS pixel, max(window_id) OVER (PARTITION BY recording_id) AS last FROM m WINDOW w AS (PARTITION BY recording_id, window_id, measure))
 SELECT recording_id, window_id - t AS block_id, CAST(r + 4 * nth AS INT) AS row, CAST(c + 4 * t AS INT) AS col, pixel FROM x, range(0, 3) q(t) WHERE window_id - t >= 0 AND window_id - t + 2 <= last"""
 
 
-@query(_IMG.replace("corr(a.value, b.value)) AS corr", "corr(a.value, b.value)) AS corr"))
+@query(_IMG)
 def fused_image(spark, sf_dir):
     """Two measures of channel pairs below each other, three windows side by side, as pixels."""
     names = F.array(*[F.lit(c) for c in ("discount", "price", "quantity", "tax")])
     p = st.channel_pairs(wn.tumbling_windows(signal(spark, sf_dir), 64), ["recording_id", "window_id"], "pos")
-    e = p.groupBy("recording_id", "window_id", "src", "dst").agg(F.abs(F.corr("x", "y")).alias("corr"), F.abs(F.avg(F.col("x") - F.col("y"))).alias("gap"))
+    e = p.groupBy("recording_id", "window_id", "src", "dst").agg(F.round(F.abs(F.corr("x", "y")), 9).alias("corr"), F.round(F.abs(F.avg(F.col("x") - F.col("y"))), 9).alias("gap"))
     m = e.unpivot(["recording_id", "window_id", "src", "dst"], ["corr", "gap"], "measure", "value").select("recording_id", "window_id", "measure", (F.array_position(names, F.col("src")) - 1).alias("r"), (F.array_position(names, F.col("dst")) - 1).alias("c"), "value")
     b = wn.consecutive_blocks(rs.to_pixels(m, ["recording_id", "window_id", "measure"]), 3, ("recording_id",))
     return rs.fused_image(b, ["recording_id"], 4, ["corr", "gap"]).withColumn("block_id", F.col("block_id").cast("long"))
