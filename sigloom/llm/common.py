@@ -28,6 +28,15 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``docs``, after lowering the session's rows of an Arrow batch to ``rows``: texts may be very long, and a Python
+    worker holds a batch of them at once."""
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return docs
+
+
 def ranks(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
     """0-based rank of every row within ``keys``, without one task per key.
 

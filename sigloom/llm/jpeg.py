@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import text_batches
+
 MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
@@ -477,7 +479,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 part = pdf.iloc[at : at + 256]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "media": [store(t.encode()) for t in part["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, media binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, media binary")
 
 
 def decode_media(media: DataFrame, with_tensor: bool = False) -> DataFrame:

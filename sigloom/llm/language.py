@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import text_batches
+
 #: Hash buckets of n-grams, labelled texts for each language that are learned from (about), and most languages.
 BUCKETS, SAMPLE, LANGUAGES = 1 << 13, 1_500, 512
 #: Texts under this score are rejected, and those whose two best losses are this near are ambiguous.
 REJECT, NEAR = 0.3, 0.02
+TOLD = "_sg_told"
 _letters: list[np.ndarray] = []
 
 
@@ -102,7 +105,7 @@ def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with the column ``told`` (lang_pred, score, ambiguous).
+    """``docs`` (doc_id, text, lang, ...) with the column ``_sg_told`` (lang_pred, score, ambiguous).
 
     Learns from about ``sample`` texts for each language, chosen by a hash, among rows that are not held out and
     have a language and a text; languages beyond the ``LANGUAGES`` commonest are not learned. Null and letterless
@@ -129,14 +132,14 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             pred[rows], score[rows], flag[rows] = np.array(m["langs"], object)[best], s, near
         return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": flag})
 
-    return docs.withColumn("told", tell("text"))
+    return text_batches(docs).withColumn(TOLD, tell("text"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    return identify(docs.select("doc_id", "text", "lang")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "told.*")
+    return identify(docs.select("doc_id", "text", "lang")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), f"{TOLD}.*")
 
 
 def keep_identified(docs: DataFrame, least: float = REJECT) -> DataFrame:
     """Rows of ``docs`` whose language is told with a score of ``least`` or more; all columns as they are."""
-    told = identify(docs).where((F.col("told.lang_pred") != "und") & (F.col("told.score") >= least))
+    told = identify(docs).where((F.col(f"{TOLD}.lang_pred") != "und") & (F.col(f"{TOLD}.score") >= least))
     return told.select(*docs.columns)

@@ -181,15 +181,15 @@ def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for every row of ``docs``; null texts have no lines."""
     gone = removed_lines(docs)
     each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    held = gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
-    joined = each.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    held = gone.select(F.col("doc_id").alias("_sg_id"), F.col("text_key").alias("_sg_key"), "removed")
+    joined = each.join(held, F.col("doc_id").eqNullSafe(F.col("_sg_id")) & (F.col("text_key") == F.col("_sg_key")), "left")
     empty = F.array().cast(gone.schema["removed"].dataType)
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the removed lines; a document that keeps no line has an empty text; other columns stay."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.transform("removed", lambda x: x["line"]).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    gone = removed_lines(docs).select(F.col("doc_id").alias("_sg_id"), F.col("text_key").alias("_sg_key"), F.transform("removed", lambda x: x["line"]).alias("_sg_gone"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_sg_id")) & (F.xxhash64("text") == F.col("_sg_key")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_sg_gone", i))
+    return joined.withColumn("text", F.when(F.col("_sg_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

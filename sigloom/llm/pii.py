@@ -148,11 +148,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         one = F.array(F.struct(x["kind"].alias("kind"), begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["kind"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    parts = docs.withColumn("_parts", F.when(has, told))
-    new = F.array_join(F.transform("_parts", lambda x: F.concat(x["gap"], F.coalesce(pseudonym(x["hit"], x["kind"], key), F.lit("")))), "")
-    found = F.coalesce(F.aggregate("_parts", start, place, lambda a: a["found"]), empty)
-    done = parts.withColumn("found", found).withColumn("text", F.when(F.col("_parts").isNull(), text).otherwise(new))
-    return done.drop("_parts")
+    parts = docs.withColumn("_sg_parts", F.when(has, told))
+    new = F.array_join(F.transform("_sg_parts", lambda x: F.concat(x["gap"], F.coalesce(pseudonym(x["hit"], x["kind"], key), F.lit("")))), "")
+    found = F.coalesce(F.aggregate("_sg_parts", start, place, lambda a: a["found"]), empty)
+    done = parts.withColumn("found", found).withColumn("text", F.when(F.col("_sg_parts").isNull(), text).otherwise(new))
+    return done.drop("_sg_parts")
 
 
 def pii_report(docs: DataFrame, key: str) -> DataFrame:

@@ -101,10 +101,10 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     rows with equal ids and different texts keep their own through the text's hash.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.withColumn("_sg_key", key)
     hits = find_secrets(docs.withColumn("doc_id", F.struct("doc_id", key.alias("k")))).where(F.size("live") > 0)
-    hits = hits.groupBy("doc_id").agg(F.first("live").alias("_live")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.k").alias("_k"), "_live")
-    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    hits = hits.groupBy("doc_id").agg(F.first("live").alias("_sg_live")).select(F.col("doc_id.doc_id").alias("_sg_id"), F.col("doc_id.k").alias("_sg_k"), "_sg_live")
+    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_sg_id")) & (F.col("_sg_key") == F.col("_sg_k")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -112,6 +112,6 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         fresh = x["end"] > acc["at"]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit("")))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_live", start, step)
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    done = F.aggregate("_sg_live", start, step)
+    text = F.when(F.col("_sg_live").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import text_batches
+
 SPACE = "▁"
 #: Stretches and pairs that a worker remembers; it starts anew beyond them.
 REMEMBERED = 700_000
@@ -207,4 +209,4 @@ def encode_texts(docs: DataFrame, model_path: str, with_ids: bool = False) -> Da
                 rows.append((doc, len(ids) // 4, zlib.crc32(ids), int(fallback[np.frombuffer(ids, "<u4")].sum()), zlib.crc32(back.encode()), back == text, *[ids] * with_ids))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": pdf["doc_id"].dtype})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    return text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)

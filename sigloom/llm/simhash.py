@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import components, table
+from sigloom.llm.common import components, table, text_batches
 
 #: Fingerprints in the sample that the tree is grown from, and fingerprints a shard should hold.
 SAMPLE, SHARD = 20_000, 2_048
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,7 +170,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group, that of the smallest doc_id (nulls first); all columns as they are."""
     kept = near_duplicates(docs, shingle, within).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_key").alias("_key"))
-    keyed = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    chosen = keyed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left_semi")
-    return chosen.dropDuplicates(["_own", "_hash"]).select(*docs.columns)
+    kept = kept.select(F.col("kept.doc_id").alias("_sg_id"), F.col("kept.text_key").alias("_sg_key"))
+    keyed = docs.withColumns({"_sg_own": F.col("doc_id").cast("long"), "_sg_hash": F.xxhash64("text")})
+    chosen = keyed.join(kept, F.col("_sg_own").eqNullSafe(F.col("_sg_id")) & (F.col("_sg_hash") == F.col("_sg_key")), "left_semi")
+    return chosen.dropDuplicates(["_sg_own", "_sg_hash"]).select(*docs.columns)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import text_batches
+
 #: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded.
 REMEMBERED = 1_000_000
 #: White space for both str.split and the tokenizer's pattern; other such characters take the whole-text path.
@@ -104,4 +106,4 @@ def token_pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False)
                     rows.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": pdf["doc_id"].dtype})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, schema)
+    return text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, schema)
