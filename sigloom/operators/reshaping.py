@@ -119,8 +119,8 @@ def fused_image(edges: DataFrame, by: list[str], side: int, measures: list[str])
 
 # The scalp grid, 8 rows of 9 places; an empty place has no channel.
 GRID = (
-    "- - - Fp1 - Fp2 - - -", "- - - AF3 - AF4 - - -", "F7 - F3 - Fz - F4 - F8", "- FC5 - FC1 - FC2 - FC6 -",
-    "T7 - C3 - Cz - C4 - T8", "- CP5 - CP1 - CP2 - CP6 -", "P7 - P3 - Pz - P4 - P8", "- - PO3 O1 Oz O2 PO4 - -",
+    "- - Fp1 - - - Fp2 - -", "- - AF3 - - - AF4 - -", "F7 - F3 - Fz - F4 - F8", "- FC5 - FC1 - FC2 - FC6 -",
+    "T7 - C3 - Cz - C4 - T8", "- CP5 - CP1 - CP2 - CP6 -", "P7 - P3 - Pz - P4 - P8", "- PO3 O1 - Oz - O2 PO4 -",
 )
 
 

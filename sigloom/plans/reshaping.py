@@ -87,7 +87,7 @@ def matrix_to_pixels(spark, sf_dir):
 
 @query("""WITH v AS (SELECT recording_id, CAST(floor(idx / 64) AS BIGINT) AS window_id, CASE channel WHEN 'price' THEN 'Fp1' WHEN 'quantity' THEN 'O2' WHEN 'tax' THEN 'Cz' ELSE 'T7' END AS channel, avg(value) AS value FROM signal GROUP BY ALL HAVING count(*) = 64),
 g AS (SELECT * FROM (SELECT DISTINCT recording_id, window_id FROM v), range(0, 8) a(row), range(0, 9) b(col))
-SELECT g.recording_id, g.window_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(coalesce(value, 0), 6) + 0.0 AS value FROM g LEFT JOIN v ON v.recording_id = g.recording_id AND v.window_id = g.window_id AND (channel, row, col) IN (('Fp1', 0, 3), ('O2', 7, 5), ('Cz', 4, 4), ('T7', 4, 0))""")
+SELECT g.recording_id, g.window_id, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(coalesce(value, 0), 6) + 0.0 AS value FROM g LEFT JOIN v ON v.recording_id = g.recording_id AND v.window_id = g.window_id AND (channel, row, col) IN (('Fp1', 0, 2), ('O2', 7, 6), ('Cz', 4, 4), ('T7', 4, 0))""")
 def grid_map(spark, sf_dir):
     """Window means of four channels on the scalp grid."""
     name = F.when(F.col("channel") == "price", "Fp1").when(F.col("channel") == "quantity", "O2").when(F.col("channel") == "tax", "Cz").otherwise("T7")
