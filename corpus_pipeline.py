@@ -11,7 +11,7 @@ from sigloom.llm.language import keep_identified
 from sigloom.llm.lines import drop_lines
 from sigloom.llm.packing import pack_documents
 from sigloom.llm.secrets import redact
-from sigloom.llm.simhash import keep_first
+from sigloom.llm.similar import keep_first_alike
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return keep_first(docs)
+    """One document of each group linked by five-word similarity of 0.8 or more stays, that of the smallest doc_id."""
+    return keep_first_alike(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
