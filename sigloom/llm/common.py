@@ -1,55 +1,76 @@
-"""Shared helpers: the scratch folder, materialised tables, ranks and components."""
+"""Shared helpers: slices of Arrow batches, ranks, joins with hot keys, running folds and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sigloom.scratch import mark, release, table
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows that a Python worker turns into objects at once. Spark bounds the bytes of the Arrow batch that they come in.
+SLICE = 256
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE) -> DataFrame:
+    """``df`` mapped by ``f``, a slice of at most ``rows`` rows after the other. Columns stay Arrow arrays unless ``f``
+    turns them into something else, so ids beside nulls keep every digit."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield f(batch.slice(at, rows))
 
-def text_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
-    """``docs``, after lowering the session's rows of an Arrow batch to ``rows``: texts may be very long, and a Python
-    worker holds a batch of them at once."""
-    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-    return docs
+    return df.mapInArrow(run, schema)
 
 
-def ranks(df: DataFrame, keys: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:
+def ranks(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int = 64) -> DataFrame:
     """0-based rank of every row within ``keys``, without one task per key.
 
-    Rows are numbered within (keys, salt), the salt being a hash of the order columns; the salts' counts,
-    at most ``salts`` rows for each key, give each salt its offset.
+    Rows are numbered within (keys, part), the part being a hash of the order columns; the parts' counts, at most
+    ``parts`` rows for each key, give each part its offset.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    by = [*keys, "_salt"]
-    counts = salted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    by = [*keys, "_part"]
+    counts = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = salted.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
-    return inside.join(offsets, by).withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).drop("_salt", "_rn", "_base")
+    inside = dealt.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+    return inside.join(offsets, by).withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).drop("_part", "_rn", "_base")
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row for each of ``keys`` and in ``n`` the number of its ``rows``.
+
+    Keys with more than one in ``share`` of all rows are fewer than ``share``, so they are broadcast and their rows stay
+    where they are; the others are shuffled, none of them being hot. Both sides are read twice: give written tables.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keyed.where(F.col(n) * share > total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(n) * share <= total), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def fold_running(parts: Column, start: Column, step: Callable[[Column, Column], Column], found: str, chunk: int = 512) -> Column:
+    """``aggregate(parts, start, step)`` for steps that append to the array field ``found``, whose other field is ``at``.
+
+    An append copies its array, so ``found`` starts anew in each ``chunk`` of parts and chunks are joined at the end:
+    the work of a text with very many parts stays near their number.
+    """
+    empty = start[found]
+
+    def whole(all_: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            own = F.aggregate(F.slice(all_, k * chunk + 1, F.lit(chunk)), F.struct(acc["at"].alias("at"), empty.alias(found)), step)
+            return F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(acc[found], x[found]).alias(found)))[0]
+
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int"))
+        return F.when(F.size(all_) <= chunk, F.aggregate(all_, start, step)).otherwise(F.aggregate(chunks, start, part))
+
+    return F.transform(F.array(parts), whole)[0]  # ``parts`` is made once, though it is named often
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -57,8 +78,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds, each a group-by whose hub lists never form: the minimum
     of a node's neighbours is aggregated map-side and joined back. Every round is written to the shared
-    folder. No links give no rows.
+    folder, and the one before it goes. No links give no rows.
     """
+    spark = links.sparkSession
+    since = mark(spark)
     edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -69,6 +92,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         after = table(small)
         same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
         edges = after
+        release(spark, since, keep=1)
         if same:
             break
     else:
