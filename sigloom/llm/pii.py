@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The patterns of the kinds, in the order in which they are tried.
+from sigloom.llm.common import fold_running
+
+# The patterns of the kinds, in the order in which they are tried. Unbounded groups are possessive: the
+# matcher would otherwise call itself once a repetition, and a long text would end the executor.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(PATTERNS.values())
+#: All kinds but e-mail begin with a digit, a plus or a bracket, so other places are left after one comparison.
+ANY = PATTERNS["email"] + "|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in KINDS[1:]) + ")"
 ROUNDS = 8
 #: Days from 1900-01-01 that dates are permuted among: a product, so that a date is a pair of digits.
 DAYS = (270, 271)
@@ -41,16 +45,30 @@ def feistel_pair(left: Column, right: Column, sizes: tuple[int, int], key: str,
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def _shifted(text: Column, stream: Column) -> Column:
-    """Each letter or digit moved on in its own class by a byte of ``stream`` (hex, used again from its start)."""
+def _shifted(text: Column, key: str, tweak: str, turn: Column, value: Column) -> Column:
+    """Each letter or digit moved on in its own class by a byte of a key stream, 32 of which are one digest of ``value``."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 32).cast("int")), lambda b: _prf(key, tweak, turn, F.concat_ws("|", value, b)))
+
+    def moved(stream: Column) -> Column:
+        def move(c: Column, i: Column) -> Column:
+            by = F.conv(F.substring(F.element_at(stream, F.floor(i / 32).cast("int") + 1), (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            return (F.when(c.between("0", "9"), F.char(F.pmod(F.ascii(c) - 48 + by, F.lit(10)) + 48))
+                    .when(c.between("a", "z"), F.char(F.pmod(F.ascii(c) - 97 + by, F.lit(26)) + 97))
+                    .when(c.between("A", "Z"), F.char(F.pmod(F.ascii(c) - 65 + by, F.lit(26)) + 65)).otherwise(c))
+
+        return F.array_join(F.transform(F.split(text, ""), move), "")
 
-    def move(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return (F.when(c.between("0", "9"), F.char(F.pmod(F.ascii(c) - 48 + by, F.lit(10)) + 48))
-                .when(c.between("a", "z"), F.char(F.pmod(F.ascii(c) - 97 + by, F.lit(26)) + 97))
-                .when(c.between("A", "Z"), F.char(F.pmod(F.ascii(c) - 65 + by, F.lit(26)) + 65)).otherwise(c))
+    return F.when(text == "", text).otherwise(F.transform(F.array(blocks), moved)[0])  # the stream is made once, not for each letter
 
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), move), ""))
+
+def _one(text: Column, key: str, tweak: str) -> Column:
+    """A single letter or digit permuted within its class, as a pair of numbers."""
+    out = text
+    for first, size in (("0", 10), ("a", 26), ("A", 26)):
+        at = F.ascii(text) - ord(first)
+        pair = feistel_pair(F.floor(at * 2 / size), at % (size // 2), (2, size // 2), key, f"{tweak}:{first}")
+        out = F.when(at.between(0, size - 1), F.char(pair["l"] * (size // 2) + pair["r"] + ord(first))).otherwise(out)
+    return out
 
 
 def feistel_text(text: Column, key: str, tweak: str) -> Column:
@@ -60,9 +78,9 @@ def feistel_text(text: Column, key: str, tweak: str) -> Column:
 
     def turn(acc: Column, i: Column) -> Column:
         even = i % 2 == 0
-        return F.struct(F.when(even, _shifted(acc["l"], _prf(key, tweak, i, acc["r"]))).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(_shifted(acc["r"], _prf(key, tweak, i, acc["l"]))).alias("r"))
+        return F.struct(F.when(even, _shifted(acc["l"], key, tweak, i, acc["r"])).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(_shifted(acc["r"], key, tweak, i, acc["l"])).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda a: F.concat(a["l"], a["r"]))
+    return F.when(half == 0, _one(text, key, tweak)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda a: F.concat(a["l"], a["r"])))
 
 
 def luhn_sum(digits: Column, double_last: bool) -> Column:
@@ -132,13 +150,20 @@ def pseudonym(hit: Column, kind: Column, key: str) -> Column:
             .when(kind == "ip", four(pair)).when(kind == "phone", phone).when(kind == "card", _refill(hit, card)).otherwise(hit))
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``text`` pseudonymised and ``found``, an array of (kind, start, end) in code points of the
-    original text. Null texts stay null with nothing found; other columns and repeated rows stay as they are."""
+def pseudonymise(docs: DataFrame, key: str, found: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` pseudonymised and, if ``found`` names it, a column of what was found: an array of (kind,
+    start, end) in code points of the original text.
+
+    Of an e-mail address the name is permuted and the domain stays. Null texts stay null and empty ones empty, with
+    nothing found; equal values, ties of kinds included, become the same wherever they stand; repeated rows each
+    return; other columns stay as they are, and one called ``found`` is an error; an empty table gives no rows.
+    """
+    if found in docs.columns:
+        raise ValueError(f"there is a column {found!r} already")
     text = F.col("text")
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
-    gaps, hits = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))
-    told = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.when(x["hit"].isNotNull(), classify(x["hit"])).alias("kind")))
+    gaps = F.when(text.rlike("[@0-9]"), F.split(text, ANY, -1))
+    hits = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))
+    told = F.transform(F.arrays_zip(F.col("_sg_gaps").alias("gap"), hits.alias("hit")), lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.when(x["hit"].isNotNull(), classify(x["hit"])).alias("kind")))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
@@ -148,16 +173,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
         one = F.array(F.struct(x["kind"].alias("kind"), begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["kind"].isNotNull(), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    parts = docs.withColumn("_sg_parts", F.when(has, told))
+    parts = docs.withColumn("_sg_gaps", gaps).withColumn("_sg_parts", F.when(F.size("_sg_gaps") > 1, told))
     new = F.array_join(F.transform("_sg_parts", lambda x: F.concat(x["gap"], F.coalesce(pseudonym(x["hit"], x["kind"], key), F.lit("")))), "")
-    found = F.coalesce(F.aggregate("_sg_parts", start, place, lambda a: a["found"]), empty)
-    done = parts.withColumn("found", found).withColumn("text", F.when(F.col("_sg_parts").isNull(), text).otherwise(new))
-    return done.drop("_sg_parts")
+    done = parts if found is None else parts.withColumn(found, F.coalesce(fold_running(F.col("_sg_parts"), start, place, "found")["found"], empty))
+    done = done.withColumn("text", F.when(F.col("_sg_parts").isNull(), text).otherwise(new))
+    return done.drop("_sg_gaps", "_sg_parts")
 
 
 def pii_report(docs: DataFrame, key: str) -> DataFrame:
-    """(doc_id, text, n_<kind>..., spans): the pseudonymised text, counts, and kind:start:end comma-joined."""
-    done = pseudonymise(docs.select("doc_id", "text"), key)
-    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    """(doc_id, text, n_<kind>..., spans): the pseudonymised text, counts, and kind:start:end comma-joined.
+
+    One row for each row of ``docs``, repeated ones included; null and empty texts have no spans; other columns are
+    ignored; an empty table gives no rows.
+    """
+    done = pseudonymise(docs.select("doc_id", "text"), key, "_sg_found")
+    count = lambda kind: F.size(F.filter("_sg_found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("_sg_found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return done.select("doc_id", "text", *map(count, KINDS), spans.alias("spans"))
