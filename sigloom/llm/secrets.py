@@ -1,16 +1,19 @@
-"""Secret scans: candidate spans by pattern, then how many owners of the corpus each candidate has.
+"""Secret scans: candidate spans by pattern, then how many repositories and owners of the corpus each candidate has.
 
-A value that many owners hold is a copied example; one that a single owner holds looks live. Candidates are of
-four kinds: the three base kinds, and ``owned``, a long token of mixed letters and digits outside the base spans,
-which becomes a span only where one owner alone holds it. Everything is a DataFrame expression.
+A value that many owners hold is a copied example; one that few hold looks live. Candidates are of four kinds: the
+three base kinds, and ``owned``, a long token of mixed letters and digits outside the base spans, which becomes a span
+only where one owner alone holds it. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
+from math import log10
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table
+from sigloom.llm.common import fold_running, join_counted
+from sigloom.scratch import table
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -20,8 +23,14 @@ KINDS = ("assign", "access", "hex", "owned")
 
 #: A token of at least 16 letters and digits, both among them.
 OWNED = r"((?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}(?![A-Za-z0-9]))"
-#: As many owners make a value an example.
-WIDE = 3
+#: Owners that make a value an example, in a corpus of ten owners at most, and more for each tenfold of owners.
+WIDE, WIDER = 3, 3
+
+
+def wide_from(owners: int) -> int:
+    """The number of owners from which a value is an example: a credential that a few owners share may be live still, and
+    the more owners a corpus has, the more of them may."""
+    return WIDE + int(WIDER * max(0.0, log10(max(owners, 1)) - 1))
 
 
 def spans(text: Column, pattern: str, value: int, least: int, kind: int) -> Column:
@@ -41,37 +50,53 @@ def spans(text: Column, pattern: str, value: int, least: int, kind: int) -> Colu
         kept = F.when(F.length(x["held"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"])
         return F.struct(end.alias("at"), kept.alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(start["found"])
+    return F.when(text.rlike(pattern), fold_running(parts, start, step, "found")["found"]).otherwise(start["found"])
+
 
+def owner_of(source: Column) -> tuple[Column, Column]:
+    """(owner, repository) of a source. ``owner/repository/...``, also behind a scheme and a host, gives both; a source
+    without a slash is the only repository of its owner; null is an owner of its own."""
+    path = F.split(F.coalesce(F.regexp_replace(source, "^[a-z]+://[^/]*/", ""), F.lit("")), "/")
+    return path[0], F.array_join(F.slice(path, 1, 2), "/")
 
-def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """(doc_id, owner, base, extra): arrays of spans of every whole text; null is empty."""
+
+def scan(docs: DataFrame, source: str = "source") -> DataFrame:
+    """(doc_id, owner, repository, base, extra): arrays of spans of every whole text; null is empty. A table without the
+    column ``source`` has one owner."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    owner, repository = owner_of(F.col(source) if source in docs.columns else F.lit("").cast("string"))
     base = F.concat(spans(text, ASSIGN, 2, 6, 0), spans(text, ACCESS, 1, 20, 1), spans(text, HEX, 1, 24, 2))
-    found = docs.select("doc_id", F.coalesce(F.col(owner), F.lit("")).alias("owner"), base.alias("base"), spans(text, OWNED, 1, 16, 3).alias("extra"))
+    found = docs.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), spans(text, OWNED, 1, 16, 3).alias("extra"))
     apart = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return found.withColumn("extra", apart)
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_owners) over the corpus. Each value meets each owner once before owners are counted, so a value
-    in a third of all rows is one row for each task and owner."""
-    each = found.select("owner", F.explode(F.transform(F.concat("base", "extra"), lambda x: x["value"])).alias("value"))
-    return each.distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"))
-
-
-def find_secrets(docs: DataFrame, owner: str = "source", wide: int = WIDE) -> DataFrame:
-    """(doc_id, base, live, examples, all): span arrays (start, end, kind, value), each by start, then kind.
-
-    ``all`` has the base spans and those of ``owned`` values with a single owner. ``live`` are spans whose value
-    has fewer than ``wide`` owners; the rest are ``examples``. Null owners count as one owner; repeated rows each
-    return; rows without a candidate return empty arrays; an empty table gives no rows.
+    """(value, n_owners, n_repos, n) over the corpus, n counting its spans. Each value meets each repository once before
+    they are counted, so a value in a third of all rows is one row for each task and repository."""
+    each = found.select("owner", "repository", F.explode(F.transform(F.concat("base", "extra"), lambda x: x["value"])).alias("value"))
+    by_repository = each.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repository.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n"))
+
+
+def find_secrets(docs: DataFrame, source: str = "source", wide: int | None = None) -> DataFrame:
+    """(doc_id, base, live, examples, all): span arrays (start, kind, end, value, n_owners, n_repos, live), each by start,
+    then kind, but for ``base``, which has the base spans' start, kind and end alone.
+
+    ``all`` has the base spans and those of ``owned`` values with a single owner. ``live`` are spans whose value has
+    fewer than ``wide`` owners (by default ``wide_from`` the corpus's owners); the rest are ``examples``. Null sources
+    count as one owner; repeated rows each return; null and empty texts and rows without a candidate return empty
+    arrays; other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    found = table(scan(docs, owner).withColumn("row", F.monotonically_increasing_id()))
-    counts = ownership(found)
-    each = found.select("row", F.explode(F.concat("base", "extra")).alias("s")).select("row", "s.*")
-    told = each.join(counts, "value").where((F.col("kind") < 3) | (F.col("n_owners") == 1))
-    by_row = told.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "value", (F.col("n_owners") < wide).alias("live")))).alias("all"))
+    found = table(scan(docs, source).withColumn("row", F.monotonically_increasing_id()))
+    if wide is None:
+        wide = wide_from(found.select("owner").distinct().count())
+    counts = table(ownership(found))
+    each = table(found.select("row", F.explode(F.concat("base", "extra")).alias("s")).select("row", "s.*"))
+    told = join_counted(each, counts, ["value"], "n").where((F.col("kind") < 3) | (F.col("n_owners") == 1))
+    one = F.struct("start", "kind", "end", "value", "n_owners", "n_repos", (F.col("n_owners") < wide).alias("live"))
+    by_row = told.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("all"))
     out = found.join(by_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(by_row.schema["all"].dataType)))
     return out.select(
         "doc_id", F.sort_array(F.transform("base", lambda x: F.struct(x["start"], x["kind"], x["end"]))).alias("base"),
@@ -85,19 +110,21 @@ def digest(found: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of ``find_secrets`` for each row of ``docs``."""
+    """The digest columns of ``find_secrets`` for each row of ``docs``, with the owners:repositories of each span, and how
+    many spans look live and how many are examples. Nulls, empty texts, ties and repeated rows are as there."""
     found = find_secrets(docs)
     number = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    held = F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["n_owners"], x["n_repos"])), ",")
     return found.select(
         "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
-        F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("all")).alias("spans"),
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("all")).alias("spans"), held.alias("owners_repos"),
         F.size("live").cast("long").alias("n_live"), F.size("examples").cast("long").alias("n_example"))
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; examples stay; other columns as they are.
 
-    Documents are matched by ``doc_id``, which should be unique: the spans of repeated ids are not mixed, since
+    Null and empty texts stay; ``docs`` may lack the column ``source``; an empty table gives no rows. Documents are matched by ``doc_id``, which should be unique: the spans of repeated ids are not mixed, since
     rows with equal ids and different texts keep their own through the text's hash.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))

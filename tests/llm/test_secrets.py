@@ -32,6 +32,47 @@ def test_report(spark):
     assert secrets.secret_report(docs(spark).limit(0)).count() == 0
 
 
+def brute(rows, wide):
+    """All columns of the report, counting owners and repositories in plain sets."""
+    kinds, each = ("assign", "access", "hex", "owned"), []
+    token = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])")
+    for i, t, source in rows:
+        t = t or ""
+        b = [(m.start(), 0, m.end(), m.group(1)) for m in ASSIGN.finditer(t) if len(m.group(1)) >= 6]
+        b += [(m.start(), 1, m.end(), m.group()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+        b += [(m.start(), 2, m.end(), m.group()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+        o = [(m.start(), 3, m.end(), m.group()) for m in token.finditer(t) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+        o = [x for x in o if not any(y[0] < x[2] and x[0] < y[2] for y in b)]
+        path = re.sub("^[a-z]+://[^/]*/", "", source or "").split("/")
+        each.append((i, b, o, path[0], "/".join(path[:2])))
+    owners, repos = {}, {}
+    for _, b, o, owner, repo in each:
+        for x in b + o:
+            owners.setdefault(x[3], set()).add(owner)
+            repos.setdefault(x[3], set()).add((owner, repo))
+    out = []
+    for i, b, o, _, _ in each:
+        all_ = sorted(b + [x for x in o if len(owners[x[3]]) == 1])
+        text = lambda xs: ",".join(f"{kinds[x[1]]}:{x[0]}:{x[2]}" for x in sorted(xs))
+        live = sum(len(owners[x[3]]) < wide for x in all_)
+        out.append((i, *[sum(x[1] == k for x in b) for k in range(3)], hashlib.sha256(text(b).encode()).hexdigest(), text(all_), ",".join(f"{len(owners[x[3]])}:{len(repos[x[3]])}" for x in all_), live, len(all_) - live))
+    return out
+
+
+def test_all_columns_match_brute_force(spark):
+    rows = [*ROWS, (20, "secret: Xy9Xy9Xy9 and Zz1Zz2Zz3Zz4Zz5Zz6", "https://git.example/ann/one/f.py"), (21, "secret: Xy9Xy9Xy9", "https://git.example/ann/two"), (22, "secret: Xy9Xy9Xy9", "bob/one")]
+    rows += [(1000 + k, "password: hotvalue1" if k % 3 else f"text {k}", f"o{k % 7}/r{k % 21}") for k in range(900)]  # one value in two thirds of the rows
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, source string, n_owners string")
+    wide = secrets.wide_from(len({b[3] for b in [(0, 0, 0, re.sub("^[a-z]+://[^/]*/", "", s or "").split("/")[0]) for _, _, s in rows]}))
+    got = [tuple(r) for r in secrets.secret_report(df).collect()]
+    assert sorted(got) == sorted(brute(rows, wide)) and [secrets.wide_from(n) for n in (0, 1, 10, 100, 10**6)] == [3, 3, 3, 6, 18]
+
+
+def test_a_table_without_sources_has_one_owner(spark):
+    df = spark.createDataFrame([(1, "password: abcdef1"), (2, None), (None, "password: abcdef1")], "doc_id long, text string")
+    assert sorted((r.text or "" for r in secrets.redact(df).collect())) == ["", "[secret]", "[secret]"]
+
+
 def test_redaction_keeps_examples_and_other_columns(spark):
     got = {r.doc_id: r for r in secrets.redact(docs(spark)).collect()}
     assert secrets.redact(docs(spark)).count() == len(ROWS)
