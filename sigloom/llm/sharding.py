@@ -1,22 +1,24 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, and a versioned map sends slots to shards.
 
-The map is made from the bytes of each slot, so shards get near-equal bytes; rebalancing edits the map and moves
-whole slots, never rehashing records. Records travel only as their id, size and checksum.
+Version 0 of a map deals the slots in turn, before any record is known. Each run aggregates the bytes of each slot and,
+where the shards' bytes have come apart, edits the latest version and adds it as a new one: whole slots move, records are
+never hashed anew. Records travel only as their id, size and checksum.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-import uuid
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sigloom.llm.common import scratch_dir, table
+from sigloom.scratch import exists, new_folder, table
 
 SLOTS = 8192
+#: The spread of the shards' bytes, as a share of their mean, beyond which a map is edited.
+SPREAD = 0.001
 MAP = "version int, slot int, shard int, bytes long, n long, base long"
 
 
@@ -30,52 +32,51 @@ def slot_loads(records: DataFrame) -> list[tuple[int, int, int]]:
     return sorted((r.virtual_slot, r.bytes, r.n) for r in found)
 
 
-def assign(loads: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
-    """slot -> shard: the largest slot first, each to the shard of the fewest bytes so far."""
-    heap, out = [(0, k) for k in range(shards)], {}
-    for slot, size, _ in sorted(loads, key=lambda x: (-x[1], x[0])):
-        held, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (held + size, shard))
-    return out
-
-
 def rebalance(owner: dict[int, int], loads: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
-    """An edited map for ``shards`` shards: slots of shards that are gone, and slots off the fullest shards while
-    that narrows the spread, move to the emptiest; all others stay."""
+    """An edited map for ``shards`` shards: slots of shards that are gone move to the emptiest, then slots move from the
+    fullest shard to the emptiest, each the one nearest to half their gap, while that narrows it; all others stay."""
     size, out = {s: b for s, b, _ in loads}, dict(owner)
-    held = dict.fromkeys(range(shards), 0)
-    for s, b in size.items():
+    held, by_shard = dict.fromkeys(range(shards), 0), {k: [] for k in range(shards)}
+    for s in sorted(out):
         if out[s] < shards:
-            held[out[s]] += b
-    for s in sorted((s for s in size if out[s] >= shards), key=lambda s: (-size[s], s)):
+            held[out[s]] += size.get(s, 0)
+            by_shard[out[s]].append((size.get(s, 0), s))
+    for k in by_shard:
+        by_shard[k].sort()
+    for s in sorted((s for s in out if out[s] >= shards), key=lambda s: (-size.get(s, 0), s)):
         out[s] = min(held, key=lambda k: (held[k], k))
-        held[out[s]] += size[s]
-    mean = sum(held.values()) / shards
-    by_shard = {k: sorted((s for s in size if out[s] == k), key=lambda s: (size[s], s)) for k in held}
-    for low in sorted(held, key=lambda k: (held[k], k)):
-        while True:
-            high = max(held, key=lambda k: (held[k], -k))
-            room = min(mean - held[low], held[high] - mean)
-            fit = next((s for s in reversed(by_shard[high]) if 0 < size[s] <= room), None)
-            if high == low or fit is None:
-                break
-            by_shard[high].remove(fit)
-            by_shard[low].append(fit)
-            by_shard[low].sort(key=lambda s: (size[s], s))
-            out[fit] = low
-            held[low] += size[fit]
-            held[high] -= size[fit]
-    return out
+        held[out[s]] += size.get(s, 0)
+        insort(by_shard[out[s]], (size.get(s, 0), s))
+    while True:
+        high, low = max(held, key=lambda k: (held[k], -k)), min(held, key=lambda k: (held[k], k))
+        gap, slots = held[high] - held[low], by_shard[high]
+        at = bisect_left(slots, (gap / 2, -1))
+        fits = [x for x in slots[max(0, at - 1) : at + 1] if 0 < x[0] < gap]
+        if not fits:
+            return out
+        best = min(fits, key=lambda x: (abs(x[0] - gap / 2), x))
+        slots.remove(best)
+        insort(by_shard[low], best)
+        out[best[1]] = low
+        held[high] -= best[0]
+        held[low] += best[0]
+
+
+def spread(owner: dict[int, int], loads: list[tuple[int, int, int]], shards: int) -> float:
+    """The gap between the fullest and the emptiest shard, as a share of their mean."""
+    held = dict.fromkeys(range(shards), 0)
+    for s, b, _ in loads:
+        held[owner[s]] = held.get(owner[s], 0) + b
+    return (max(held.values()) - min(held[k] for k in range(shards))) / max(1, sum(held.values()) / shards)
 
 
 def map_table(spark: SparkSession, owner: dict[int, int], loads: list[tuple[int, int, int]], version: int) -> DataFrame:
-    """The map as rows; ``base`` is the place in the shard of the slot's first record."""
-    rows, used = [], {}
-    for slot, size, n in loads:
-        shard = owner[slot]
-        rows.append({"version": version, "slot": slot, "shard": shard, "bytes": size, "n": n, "base": used.get(shard, 0)})
-        used[shard] = used.get(shard, 0) + n
+    """The map as rows of every slot; ``base`` is the place in the shard of the slot's first record."""
+    rows, used, held = [], {}, {s: (b, n) for s, b, n in loads}
+    for slot in sorted(owner):
+        size, n = held.get(slot, (0, 0))
+        rows.append({"version": version, "slot": slot, "shard": owner[slot], "bytes": size, "n": n, "base": used.get(owner[slot], 0)})
+        used[owner[slot]] = used.get(owner[slot], 0) + n
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{MAP.replace(' ', ':')}>>".replace(",:", ","))))
 
 
@@ -92,28 +93,47 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return held.where(F.col("version") == version)
 
 
+def latest_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """(version, slot -> shard) of the latest version, a row for each slot; None before the first."""
+    if not exists(spark, path):
+        return None
+    rows = load_map(spark, path).select("version", "slot", "shard").collect()
+    return (rows[0].version, {r.slot: r.shard for r in rows}) if rows else None
+
+
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): size is the text's UTF-8 bytes plus 16, null texts having none."""
+    """(doc_id, size, text_crc32, virtual_slot): size is the text's UTF-8 bytes plus 16, null texts having none. A null id
+    says nothing of its row, so such rows are dealt one by one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"))
+    slot = F.when(F.col("doc_id").isNotNull(), virtual_slot(F.col("doc_id"), slots)).otherwise(virtual_slot(F.monotonically_increasing_id(), slots))
+    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot.alias("virtual_slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its shard and its place in it, gapless from 0.
 
-    Law ``bytes``: shards hold near-equal bytes. Null ids share a slot; repeated rows each get a place (equal rows
-    may swap); other columns are ignored; an empty table gives no rows. The map has ``slots`` rows at most, so it
-    is broadcast.
+    Law ``bytes``: shards hold near-equal bytes. ``map_path`` keeps the map's versions from one run to the next; without
+    it they go with this application. The latest version holds as long as it fits the shards and their bytes are within
+    ``SPREAD``; else it is edited, and the edit is added as the next version. A map of another number of slots is an
+    error. Null ids are dealt among all slots; null texts have no bytes; repeated rows each get a place (equal rows may
+    swap); other columns are ignored; an empty table gives no rows. The map has ``slots`` rows, so it is broadcast.
     """
     spark = docs.sparkSession
+    path = map_path or new_folder(spark, "slot-map")
     held = table(records(docs, slots))
     loads = slot_loads(held)
-    if not loads:
-        chosen = map_table(spark, {0: 0}, [(0, 0, 0)], 1)
-    else:
-        path = f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-        save_map(map_table(spark, assign(loads, shards), loads, 1).coalesce(1), path)
-        chosen = load_map(spark, path)
+    version, owner = latest_map(spark, path) or (-1, {s: s % shards for s in range(slots)})
+    if len(owner) != slots:
+        raise ValueError(f"the map at {path} has {len(owner)} slots, not {slots}")
+    if version < 0:
+        version = 0
+        save_map(map_table(spark, owner, [], version).coalesce(1), path)
+    if max(owner.values()) >= shards or spread(owner, loads, shards) > SPREAD:
+        edited = rebalance(owner, loads, shards)
+        if edited != owner:
+            version, owner = version + 1, edited
+            save_map(map_table(spark, owner, loads, version).coalesce(1), path)
+    chosen = map_table(spark, owner, loads, version)  # its shards are the saved ones; the bases are of this run's rows
     place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32")) - 1
-    placed = held.withColumn("_place", place).join(F.broadcast(chosen.select(F.col("slot").alias("virtual_slot"), "shard", "base")), "virtual_slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("_place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    placed = held.withColumn("_place", place).join(F.broadcast(chosen.select(F.col("slot").alias("virtual_slot"), "shard", "base", "version")), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("_place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
