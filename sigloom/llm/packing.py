@@ -14,13 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ranks, table
+from sigloom.llm.common import ranks
 from sigloom.llm.tokens import token_pieces
+from sigloom.scratch import table
 
 #: Pricing rounds, and the rate at which a served length's price falls.
 ROUNDS, RATE = 200, 0.5
 #: Configurations taken from one pricing at most, and their price beside the best one's.
 BATCH, NEARLY = 32, 0.8
+#: Pieces of one length that a task ranks, about.
+RANKED = 250_000
 #: Shares of the configurations' use that are tried in rounding: small lengths kept back fill the rest better.
 SHARES = (1.0, 0.8, 0.6, 0.4)
 
@@ -144,7 +147,8 @@ def pack(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
         need[length] = n
     rows = placements(configurations(need, capacity))
     plan = spark.createDataFrame(rows, "length long, _begin array<long>, _seq array<long>, _off array<long>")
-    placed = ranks(pieces, ["length"], order, "_rank").join(F.broadcast(plan), "length")
+    parts = max(64, -(-int(need.max()) // RANKED))
+    placed = ranks(pieces, ["length"], order, "_rank", parts).join(F.broadcast(plan), "length")
     run = placed.withColumn("_k", F.expr("size(filter(_begin, b -> b <= _rank))"))
     return (run.withColumn("sequence_id", F.expr("element_at(_seq, _k) + _rank - element_at(_begin, _k)"))
             .withColumn("offset", F.expr("element_at(_off, _k)")).drop("_rank", "_k", "_begin", "_seq", "_off"))

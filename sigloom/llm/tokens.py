@@ -6,15 +6,15 @@ import array
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import text_batches
+from sigloom.llm.common import map_slices
 
 #: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded.
 REMEMBERED = 1_000_000
@@ -90,20 +90,19 @@ def encoder(path: str) -> ChunkEncoder:
 def token_pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of every text (null: empty) and its end id 0.
 
-    Only texts of more than ``size`` ids are cut, into pieces of ``size`` and a last shorter one.
+    Only texts of more than ``size`` ids are cut, into pieces of ``size`` and a last shorter one. Null ids stay null;
+    repeated rows each return; other columns are ignored; an empty table gives no rows.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     step = size * 4
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for pdf in batches:
-            rows = []
-            for doc, ids in zip(pdf["doc_id"], enc.encode(pdf["text"].tolist())):
-                ids += b"\0\0\0\0"
-                for k, lo in enumerate(range(0, len(ids), step)):
-                    part = ids[lo : lo + step]
-                    rows.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": pdf["doc_id"].dtype})
-
-    return text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, schema)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = [ids + b"\0\0\0\0" for ids in encoder(path).encode(batch.column(1).to_pylist())]
+        row = [k for k, ids in enumerate(every) for _ in range(0, len(ids), step)]
+        at = [lo for ids in every for lo in range(0, len(ids), step)]
+        parts = [every[k][lo : lo + step] for k, lo in zip(row, at)]
+        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array([lo // step for lo in at], pa.int32()), pa.array([lo // 4 for lo in at], pa.int64()),
+                   pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), *[pa.array(parts, pa.binary())] * with_ids]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), cut, schema)

@@ -41,8 +41,8 @@ def test_configurations_serve_the_need_and_are_close_to_best_fit(seed):
 
 
 def test_pack_documents(spark):
-    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(99, None), (99, None), (None, "x y")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(99, None), (99, None), (None, "x y"), (9007199254740993, "x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").coalesce(1)
     got = packing.pack_documents(docs, PATH, 64).collect()
     by_seq = {}
     for r in got:
