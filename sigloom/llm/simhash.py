@@ -3,7 +3,7 @@
 The tree is grown on the driver from a bounded sample of fingerprints: a node holds a vantage point and a radius,
 and sends a fingerprint inside or outside by its Hamming distance. A fingerprint has one home shard; as a query it
 also visits every shard that the triangle bound cannot rule out, so each pair within the radius meets in the home
-shard of one of its two. Only distinct fingerprints travel.
+shard of one of its two. A shard grows the tree on from its own points. Only distinct fingerprints travel.
 """
 
 from __future__ import annotations
@@ -12,70 +12,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import components, table, text_batches
+from sigloom.llm.common import components, join_counted, map_slices
+from sigloom.scratch import mark, release, table
 
-#: Fingerprints in the sample that the tree is grown from, and fingerprints a shard should hold.
-SAMPLE, SHARD = 20_000, 2_048
+#: Fingerprints in the sample that the tree is grown from, those of it that each leaf should have at least, fingerprints
+#: a shard should hold, and fingerprints of a shard that are compared without growing the tree on.
+SAMPLE, LEAST, SHARD, LEAF = 20_000, 16, 2_048, 512
+#: Words hashed at once: what a long text holds besides itself.
+WORDS_AT_ONCE = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the lower-cased (A-Z) text's word shingles, repeats included; none: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 hashes of the lower-cased (A-Z) text's word shingles in turn, repeats included, in arrays of bounded
+    size; a text of fewer words is one shingle; a text without words has none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: splits at space and 0x09 to 0x0D
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    last = ends[min(shingle, len(words)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
-    set_ = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_ * 2 > n).tobytes(), "big")
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    for at in range(0, n if words else 0, WORDS_AT_ONCE):
+        some = words[at : min(at + WORDS_AT_ONCE, n) + shingle - 1]
+        line = b" ".join(some)
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: min(WORDS_AT_ONCE, n - at)]
+        last = ends[min(shingle, len(some)) - 1 :]
+        yield np.fromiter((digest(line[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())), np.uint64, len(starts))
+
+
+def simhash(hashes: Iterator[np.ndarray]) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if it is set in over half the hashes; of none: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return simhash(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, text_key, fp): fp the fingerprint as a signed long, text_key a hash of the text. Null and empty texts give 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "fp": fp.view(np.int64)})
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "doc_id long, text_key long, fp long")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16)
 
 
-def grow(sample: np.ndarray, depth: int, seed: int = 1) -> list[tuple[int, int]]:
-    """A heap of (vantage point, radius): of some sampled points, the one whose distances spread most; the median."""
+def vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]:
+    """Of some of the points, the one whose distances spread most, and their median."""
+    tried = rng.choice(points, min(16, len(points)), replace=False)
+    some = points if len(points) <= 2048 else rng.choice(points, 2048, replace=False)
+    d = [distance(some, v) for v in tried]
+    best = int(np.argmax([x.std() for x in d]))
+    return tried[best], int(np.median(d[best]))
+
+
+def grow(sample: np.ndarray, depth: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A heap of vantage points and radii. ``depth`` is at most what leaves each leaf ``LEAST`` sampled points on average."""
     rng = np.random.default_rng(seed)
-    nodes, sets = [], [sample]
+    depth = max(0, min(depth, int(np.log2(max(1, len(sample) / LEAST)))))
+    points, radii, sets = [], [], [sample]
     for _ in range(depth):
         below = []
-        for points in sets:
-            tried = rng.choice(points, min(16, len(points)), replace=False) if len(points) else rng.integers(0, 2**63, 1).astype(np.uint64)
-            d = [distance(points, v) for v in tried]
-            k = int(np.argmax([x.std() if len(x) else 0 for x in d]))
-            radius = int(np.median(d[k])) if len(points) else 32
-            nodes.append((int(tried[k]), radius))
-            below += [points[d[k] <= radius], points[d[k] > radius]]
+        for part in sets:
+            v, radius = vantage(part if len(part) else sample, rng)
+            points.append(v)
+            radii.append(radius)
+            d = distance(part, v)
+            below += [part[d <= radius], part[d > radius]]
         sets = below
-    return nodes
+    return np.array(points, np.uint64), np.array(radii, np.int16)
 
 
-def shards(fp: np.ndarray, nodes: list[tuple[int, int]], within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shards(fp: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of ``fp``, shard, whether it is its home) for every shard a fingerprint must visit."""
     row, at, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
-    points, radii = np.array([v for v, _ in nodes], np.uint64), np.array([r for _, r in nodes], np.int16)
-    levels = (len(nodes) + 1).bit_length() - 1
+    points, radii = nodes
+    levels = (len(points) + 1).bit_length() - 1
     for _ in range(levels):
         d, r = distance(fp[row], points[at]), radii[at]
         inner, outer = d - within <= r, d + within > r
@@ -101,24 +125,31 @@ class Sets:
                 self.label = up
 
 
-def links_in_shard(fp: np.ndarray, home: np.ndarray, vantage: int, within: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def links_in_shard(fp: np.ndarray, home: np.ndarray, within: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Links that span each connected set of the shard, no more of them than fingerprints.
 
-    Every visitor is compared to the shard's own points whose distance to a vantage point is within ``within`` of
-    its own, in blocks of bounded memory.
+    The tree grows on inside: own points part at a vantage point, visitors go wherever the triangle bound lets them, and
+    few points or points that no longer part are compared.
     """
-    d = distance(fp, np.uint64(vantage))
-    own = np.flatnonzero(home)
-    own = own[np.argsort(d[own], kind="stable")]
-    marks, sets = d[own], Sets(len(fp))
-    for far in np.unique(d).tolist():
-        asks = np.flatnonzero(d == far)
-        lo, hi = np.searchsorted(marks, [far - within, far + within + 1])
-        step = max(1, block // max(1, len(asks)))
-        for k in range(lo, hi, step):
-            near = own[k : min(hi, k + step)]
-            x, y = np.nonzero(np.bitwise_count(fp[asks][:, None] ^ fp[near][None, :]) <= within)
-            sets.link(asks[x], near[y])
+    sets, rng, todo = Sets(len(fp)), np.random.default_rng(1), [(np.arange(len(fp)), np.flatnonzero(home))]
+    while todo:
+        asks, own = todo.pop()
+        if not len(own):
+            continue
+        if len(own) > leaf:
+            v, radius = vantage(fp[own], rng)
+            d = distance(fp[own], v)
+            inside = own[d <= radius]
+            if 0 < len(inside) < len(own):
+                far = distance(fp[asks], v)
+                todo += [(asks[far - within <= radius], inside), (asks[far + within > radius], own[d > radius])]
+                continue
+        for k in range(0, len(own), leaf):
+            near = own[k : k + leaf]
+            for lo in range(0, len(asks), 4096):
+                some = asks[lo : lo + 4096]
+                x, y = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[near][None, :]) <= within)
+                sets.link(some[x], near[y])
     moved = np.flatnonzero(sets.label != np.arange(len(fp)))
     return fp[moved], fp[sets.label[moved]]
 
@@ -127,10 +158,7 @@ def fingerprint_links(distinct: DataFrame, within: int = 2, sample: int = SAMPLE
     """(a, b): links among distinct fingerprints ``fp``, with the same connected sets as all pairs within ``within`` bits."""
     held = distinct.orderBy(F.xxhash64("fp")).limit(sample)
     points = np.array([r.fp for r in held.collect()], np.int64).view(np.uint64)  # ``sample`` rows at most
-    n = distinct.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
-    nodes = grow(points, depth)
-    vantage = int(points[0]) if len(points) else 0
+    nodes = grow(points, int(np.ceil(np.log2(max(1, distinct.count()) / shard))))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,7 +167,7 @@ def fingerprint_links(distinct: DataFrame, within: int = 2, sample: int = SAMPLE
             yield pd.DataFrame({"shard": at, "fp": fp[row], "home": home})
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = links_in_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), vantage, within)
+        a, b = links_in_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), within)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return distinct.select("fp").mapInPandas(deal, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(join, "a long, b long")
@@ -154,23 +182,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataF
     ignored; an empty table gives no rows.
     """
     prints = table(fingerprints(docs, shingle))
-    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    since = mark(docs.sparkSession)
+    distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = table(components(fingerprint_links(distinct, within)))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "root", "least")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    every = table(distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")))
+    release(docs.sparkSession, since, keep=1)
+    return join_counted(prints, every, ["fp"], "n").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``docs`` as in ``near_duplicates``, with its handling of nulls,
+    empty texts, ties, repeated rows and clashing names."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate group, that of the smallest doc_id (nulls first); all columns as they are."""
-    kept = near_duplicates(docs, shingle, within).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("_sg_id"), F.col("kept.text_key").alias("_sg_key"))
-    keyed = docs.withColumns({"_sg_own": F.col("doc_id").cast("long"), "_sg_hash": F.xxhash64("text")})
-    chosen = keyed.join(kept, F.col("_sg_own").eqNullSafe(F.col("_sg_id")) & (F.col("_sg_hash") == F.col("_sg_key")), "left_semi")
-    return chosen.dropDuplicates(["_sg_own", "_sg_hash"]).select(*docs.columns)

@@ -21,7 +21,8 @@ def test_fingerprints():
         assert simhash.fingerprint(t) == plain(t)
 
 
-def test_links_match_brute_force_in_small_shards(spark):
+def test_links_match_brute_force_in_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 8)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     near = base[:120] ^ np.uint64(5)
@@ -30,7 +31,7 @@ def test_links_match_brute_force_in_small_shards(spark):
         chain.append(chain[-1] ^ np.uint64(3 << k))
     fps = np.unique(np.concatenate((base, near, np.array(chain, np.uint64), np.array([0, 1], np.uint64))))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    links = simhash.fingerprint_links(df, 2, sample=100, shard=16)
+    links = simhash.fingerprint_links(df, 2, sample=100, shard=16)  # most of the tree grows in the shards
     roots = {r.node: r.root for r in components(links).collect()}
     up = {int(x): int(x) for x in fps.view(np.int64)}
 
@@ -63,14 +64,35 @@ def test_documents(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r.component_id for r in got}
     assert by[5] == 3 and by[9] == by[8] == by[7] == 7 and by[1] == 1
-    kept = simhash.keep_first(df)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 7, None] and kept.columns == df.columns
-    assert simhash.keep_first(df.limit(0)).count() == 0
+    assert simhash.simhash_report(df.limit(0)).count() == 0
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = 9007199254740993
+    rows = [(None, "one two three four"), (big, "one two three four"), (big + 2, "five six seven eight"), (big + 2, "five six seven eight")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in simhash.simhash_report(df).collect())
+    assert got == [(False, big, big), (False, big + 2, big + 2), (False, big + 2, big + 2), (True, None, big)]
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = " ".join("w%d" % (k % 97) for k in range(1000))
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "WORDS_AT_ONCE", 64)
+    assert simhash.fingerprint(text) == want == plain(text) and simhash.fingerprint("a b") == plain("a b")
+
+
+def test_hot_fingerprints_are_joined_apart(spark):
+    """A third of all rows with one fingerprint: its rows are not shuffled by it."""
+    rows = [(k, "the same words again") for k in range(700)] + [(1000 + k, f"text number w{k} of w{k * 7} many") for k in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_report(df).collect()}
+    assert len(got) == len(rows) and {got[k] for k in range(700)} == {0}
 
 
 def test_ranks_are_whole(spark):
     df = spark.createDataFrame([(k % 3, k // 2) for k in range(1000)], "g int, v long")
-    got = ranks(df, ["g"], ["v"], "r", salts=7).collect()
+    got = ranks(df, ["g"], ["v"], "r", parts=7).collect()
     for g in range(3):
         own = sorted(r.r for r in got if r.g == g)
         assert own == list(range(len(own)))
