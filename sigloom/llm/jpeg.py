@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import text_batches
+from sigloom.llm.common import map_slices
 
 MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
@@ -471,34 +470,44 @@ def feature(rgb: np.ndarray) -> str:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): the UTF-8 of every whole text (null: empty) in a progressive file. Other columns are ignored."""
+    """(doc_id, media): the UTF-8 of every whole text in a progressive file. Null and empty texts are 64 bytes 0; null ids
+    stay null; repeated rows each return; other columns are ignored; an empty table gives no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "media": [store(t.encode()) for t in part["text"]]})
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([store(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "media"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, media binary")
+    return map_slices(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, media binary", 64)
+
+
+def _decoded(data: bytes | None, with_tensor: bool) -> list:
+    """A row but for its id: of a null only that it is not intact, of a file that cannot be read its size and hash too."""
+    if data is None:
+        return [None] * 7 + [False] + [None] * 3 * with_tensor
+    own = [len(data), sha256(data).hexdigest()]
+    try:
+        image = coefficients(data)
+        n, payload = held_payload(image)
+        rgb = tensor(image)
+    except (ValueError, IndexError, KeyError, StopIteration, ZeroDivisionError):
+        return [None] * 4 + own + [None, False] + [None] * 3 * with_tensor
+    told = [n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, feature(rgb), True]
+    return told + ([*rgb.shape[1:], rgb.tobytes()] if with_tensor else [])
 
 
 def decode_media(media: DataFrame, with_tensor: bool = False) -> DataFrame:
-    """Rows of (doc_id, media) decoded: payload digests, the RGB tensor's shape, a feature[, the tensor].
+    """Rows of (doc_id, media) decoded: payload digests, the RGB tensor's feature, whether the file was intact[, the
+    tensor's height, width and samples].
 
-    ``media`` are files made by ``encode_media``; null media and files cut short raise an error in their task.
+    ``media`` are files made by ``encode_media``. Null media, and files cut short or otherwise unreadable, give a row that
+    is not intact, with nulls for what cannot be told; null ids stay null; repeated rows each return; other columns are
+    ignored; an empty table gives no rows.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", height int, width int, tensor binary" * with_tensor
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                rows = []
-                for doc, data in zip(pdf["doc_id"].iloc[at : at + 256], pdf["media"].iloc[at : at + 256]):
-                    image = coefficients(data)
-                    n, payload = held_payload(image)
-                    rgb = tensor(image)
-                    rows.append((doc, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), feature(rgb), *([*rgb.shape[1:], rgb.tobytes()] if with_tensor else [])))
-                yield pd.DataFrame(rows, columns=names + ["height", "width", "tensor"] * with_tensor).astype({"doc_id": pdf["doc_id"].dtype})
-
-    return media.mapInPandas(run, schema)
+    kinds = {"n_bytes": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "media_bytes": ("long", pa.int64()),
+             "media_sha256": ("string", pa.string()), "feature": ("string", pa.string()), "intact": ("boolean", pa.bool_())}
+    kinds |= {"height": ("int", pa.int32()), "width": ("int", pa.int32()), "tensor": ("binary", pa.binary())} if with_tensor else {}
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(*[_decoded(data, with_tensor) for data in batch.column(1).to_pylist()])
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, kind) for x, (_, kind) in zip(rows, kinds.values())]], ["doc_id", *kinds])
+
+    return map_slices(media.select(F.col("doc_id").cast("long"), "media"), run, "doc_id long, " + ", ".join(f"{c} {k}" for c, (k, _) in kinds.items()), 64)

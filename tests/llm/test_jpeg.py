@@ -151,3 +151,11 @@ def test_rows(spark):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
     assert got[2].media_sha256 == got[3].media_sha256 and got[2].feature == got[3].feature
     assert jpeg.decode_media(jpeg.encode_media(df.limit(0))).count() == 0
+
+
+def test_unreadable_media_and_large_ids(spark):
+    big, whole = 9007199254740993, jpeg.store(b"some bytes" * 50)
+    rows = [(None, whole), (big, whole), (2, None), (3, whole[: len(whole) // 2]), (4, b""), (5, b"text"), (6, whole[:-2])]
+    got = {r.doc_id: r for r in jpeg.decode_media(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1), with_tensor=True).collect()}
+    assert set(got) == {r[0] for r in rows} and got[big].intact and got[None].n_bytes == got[big].n_bytes == 500
+    assert not any(got[k].intact for k in (2, 3, 4, 5, 6)) and got[2].media_bytes is None and got[5].media_bytes == 4 and got[3].tensor is None
