@@ -7,17 +7,17 @@ the bits' reliability, and the nearest codeword wins. Near ties are flagged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import text_batches
+from sigloom.llm.common import SLICE, map_slices
 
-#: Hash buckets of n-grams, labelled texts for each language that are learned from (about), and most languages.
-BUCKETS, SAMPLE, LANGUAGES = 1 << 13, 1_500, 512
+#: Hash buckets of n-grams, and labelled texts of each language that are learned from (about).
+BUCKETS, SAMPLE = 1 << 13, 1_500
+#: Values of the hash that draws them.
+DRAWS = 1 << 62
 #: Texts under this score are rejected, and those whose two best losses are this near are ambiguous.
 REJECT, NEAR = 0.3, 0.02
 TOLD = "_sg_told"
@@ -48,20 +48,28 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 over 4; a null id counts as an empty text, so it is not held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def share_of(count: int, sample: int) -> int:
+    """The draws under which a row of a language of ``count`` rows is learned from: exact for any count, never none."""
+    return DRAWS if count <= sample else max(1, DRAWS * sample // count)
 
 
 def gram_counts(train: DataFrame) -> dict[str, np.ndarray]:
     """Counts of each bucket by language: languages x BUCKETS numbers, whatever the sample."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, texts in pdf.groupby("lang")["text"]:
-                n = sum((np.bincount(g, minlength=BUCKETS) for g in map(grams, texts)), np.zeros(BUCKETS, np.int64))
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own: dict[str, np.ndarray] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own[lang] = own.get(lang, 0) + np.bincount(grams(text), minlength=BUCKETS)
+        at = {lang: np.flatnonzero(n) for lang, n in own.items()}
+        names = [lang for lang, k in at.items() for _ in range(len(k))]
+        flat = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(flat(at.values(), np.int32)), pa.array(flat([own[x][k] for x, k in at.items()], np.int64))], ["lang", "bucket", "n"])
 
-    found = train.select("lang", "text").mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = map_slices(train.select("lang", "text"), run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for r in found.collect():
         out.setdefault(r.lang, np.zeros(BUCKETS))[r.bucket] = r.n
@@ -104,42 +112,55 @@ def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return loss.argmin(1), like.max(1) / like.sum(1), near
 
 
+def labelled_sample(docs: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows of each language, drawn by a hash of id and text, among rows that are not held out and have a
+    language and a text. Every language has its share, however many there are and however large they are."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = [(r["lang"], share_of(r["count"], sample)) for r in known.groupBy("lang").count().collect()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, _share long"))  # a row for each language
+    return known.select("doc_id", "text", "lang").join(shares, "lang").where(F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(DRAWS)) < F.col("_share"))
+
+
+def told(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, ambiguous) of each text."""
+    pred, score, flag = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    margins, rows = [], []
+    for k, text in enumerate(texts if model["langs"] else ()):
+        if len(g := grams(text)):
+            rows.append(k)
+            margins.append(np.bincount(g, minlength=BUCKETS).astype(np.float32) @ model["weights"] / len(g))
+    if rows:
+        best, score[rows], flag[rows] = decode(model, np.array(margins, np.float64))
+        for k, b in zip(rows, best.tolist()):
+            pred[k] = model["langs"][b]
+    return pred, score, flag
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` (doc_id, text, lang, ...) with the column ``_sg_told`` (lang_pred, score, ambiguous).
 
-    Learns from about ``sample`` texts for each language, chosen by a hash, among rows that are not held out and
-    have a language and a text; languages beyond the ``LANGUAGES`` commonest are not learned. Null and letterless
-    texts, and all texts if nothing can be learned, are ``und`` with score 0. Repeated rows each return.
+    Learns from ``labelled_sample``. Null, empty and letterless texts, and all texts if nothing can be learned, are
+    ``und`` with score 0; of tied codewords the first language by name wins, flagged as ambiguous; repeated rows each
+    return; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1e6, 1e6 * sample / r["count"])))]) if sizes else None
-    train = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")]) if sizes else known.limit(0)
-    model = spark.sparkContext.broadcast(fit(gram_counts(train)))  # languages x bits and BUCKETS x bits numbers
-
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def tell(texts: pd.Series) -> pd.DataFrame:
-        m = model.value
-        pred, score, flag = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        margins, rows = [], []
-        for k, text in enumerate(texts if m["langs"] else ()):
-            if len(g := grams(text)):
-                rows.append(k)
-                margins.append(np.bincount(g, minlength=BUCKETS).astype(np.float32) @ m["weights"] / len(g))
-        if rows:
-            best, s, near = decode(m, np.array(margins, np.float64))
-            pred[rows], score[rows], flag[rows] = np.array(m["langs"], object)[best], s, near
-        return pd.DataFrame({"lang_pred": pred, "score": score, "ambiguous": flag})
-
-    return text_batches(docs).withColumn(TOLD, tell("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(gram_counts(labelled_sample(docs, sample))))  # languages x bits and BUCKETS x bits numbers
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
+    def tell(texts: pa.Array) -> pa.Array:
+        parts = [told(model.value, texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+        flat = [pa.array([x for p in parts for x in p[0]], pa.string()), *[pa.array(np.concatenate([np.empty(0, kind), *[p[k] for p in parts]]).astype(kind)) for k, kind in ((1, np.float64), (2, bool))]]
+        return pa.StructArray.from_arrays(flat, ["lang_pred", "score", "ambiguous"])
+
+    return docs.withColumn(TOLD, tell("text"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, ambiguous) of every row of ``docs``, by ``identify`` and with its handling of
+    nulls, empty texts, ties and repeated rows; other columns are ignored."""
     return identify(docs.select("doc_id", "text", "lang")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), f"{TOLD}.*")
 
 
 def keep_identified(docs: DataFrame, least: float = REJECT) -> DataFrame:
     """Rows of ``docs`` whose language is told with a score of ``least`` or more; all columns as they are."""
-    told = identify(docs).where((F.col(f"{TOLD}.lang_pred") != "und") & (F.col(f"{TOLD}.score") >= least))
-    return told.select(*docs.columns)
+    kept = identify(docs).where((F.col(f"{TOLD}.lang_pred") != "und") & (F.col(f"{TOLD}.score") >= least))
+    return kept.select(*docs.columns)
