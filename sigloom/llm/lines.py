@@ -15,10 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import components, table
+from sigloom.llm.common import components, join_counted
+from sigloom.scratch import mark, release, table
 
 #: Edits allowed, the shortest line (in code points) that is compared, and the lines a bucket may hold to be joined.
 EDITS, SHORTEST, HOT = 1, 16, 64
+#: Segments for each edit that candidates are compared by before their distance is told.
+AGREE = 16
 #: Segments of the finer cut, and the candidate lines (24 bytes each) that may be broadcast.
 FINE, BROADCAST = 16, 1_000_000
 
@@ -77,9 +80,9 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 
 
 def segments_agree(a: Column, b: Column, edits: int) -> Column:
-    """Whether all but ``edits`` of 2 x ``edits`` + 2 segments of ``a`` lie in ``b``, moved by ``edits`` at most: true for
-    every pair within ``edits``, and cheap beside their distance."""
-    size, parts = F.length(a), 2 * edits + 2
+    """Whether all but ``edits`` of ``AGREE`` segments for each edit of ``a`` lie in ``b``, moved by ``edits`` at most: true
+    for every pair within ``edits``, as an edit changes one segment, and cheap beside their distance."""
+    size, parts = F.length(a), AGREE * edits
     found = []
     for i in range(parts):
         begin, end = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
@@ -134,7 +137,11 @@ def _finer(texts: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """(distinct lines (h1, h2, uid), links (a, b) of uids): links have the connected sets of all pairs of distinct
-    lines within ``edits`` edits."""
+    lines within ``edits`` edits.
+
+    Buckets over ``HOT`` lines are cut finer for one edit. For more edits there is no such cut, and joining them in pairs
+    would make the square of their size, so they are an error.
+    """
     keys = segment_keys(F.col("line"), edits)
     named = [f"k{i}" for i in range(len(keys))]
     distinct = table(lines.select("h1", "h2", *[k.alias(c) for k, c in zip(keys, named)]).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in named]).withColumn("uid", F.monotonically_increasing_id()))
@@ -142,11 +149,12 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     stats = table(_counted(every))
     two = stats.where("n = 2").select("a", "b")
     larger = table(every.join(stats.where("n > 2").select("key", "n"), "key"))
-    most = HOT if edits == 1 else (1 << 62)
-    some = _pairs(larger.where(F.col("n") <= most).select("key", "uid"))
+    if edits > 1 and (over := larger.agg(F.max("n")).first()[0] or 0) > HOT:
+        raise ValueError(f"{over} lines share a segment: with {edits} edits at most {HOT} may; use one edit or raise HOT")
+    some = _pairs(larger.where(F.col("n") <= HOT).select("key", "uid"))
     pairs = two.unionByName(some)
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    hot = larger.where(F.col("n") > most).select("uid").distinct()
+    hot = larger.where(F.col("n") > HOT).select("uid").distinct()
     wanted = table(distinct.join(ids(pairs).unionByName(hot).distinct(), "uid", "left_semi").select("h1", "h2", "uid"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted  # beyond it, lines are shuffled by hash
     texts = table(lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"]).groupBy("uid").agg(F.max("line").alias("line")))
@@ -154,7 +162,9 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
         pairs = pairs.unionByName(_finer(texts.join(hot, "uid", "left_semi")))
     candidates = table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     left, right = texts.select(F.col("uid").alias("a"), F.col("line").alias("x")), texts.select(F.col("uid").alias("b"), F.col("line").alias("y"))
-    near = candidates.join(left, "a").join(right, "b").where((F.abs(F.length("x") - F.length("y")) <= edits) & segments_agree(F.col("x"), F.col("y"), edits))
+    near = candidates.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= edits)
+    # Few bytes, but dear ones: they go to all cores, not to as few tasks as their size asks for.
+    near = near.repartition(2 * lines.sparkSession.sparkContext.defaultParallelism, "a", "b").where(segments_agree(F.col("x"), F.col("y"), edits))
     return distinct.select("h1", "h2", "uid"), near.where(banded_distance(F.col("x"), F.col("y"), edits) <= edits).select("a", "b")
 
 
@@ -163,8 +173,11 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
 
     Lines are one class if equal or linked by near-equal lines. A class keeps its first line, by doc_id (nulls first)
     and then place; the others are removed, each with the place of the one kept. Lines under ``shortest`` code points
-    never go. Rows with equal doc_id and text are one document; null texts have no lines.
+    never go. Rows with equal doc_id and text are one document; null texts have no lines, and an empty text is one short
+    line; other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    spark = docs.sparkSession
+    since = mark(spark)
     lines = explode_lines(docs, shortest)
     distinct, links = line_links(lines, edits)
     roots = components(links)
@@ -172,13 +185,15 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     classes = table(named.join(distinct.select(F.col("uid").alias("root"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "root").select("h1", "h2", "c1", "c2"))
     spots = lines.select("doc_id", "text_key", "pos", "h1", "h2").join(classes, ["h1", "h2"], "left")
     spots = table(spots.select("doc_id", "text_key", "pos", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2")))
-    first = spots.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos", "text_key")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = spots.join(first, ["c1", "c2"]).where(~F.struct("doc_id", "pos", "text_key").eqNullSafe(F.col("kept")))
+    first = table(spots.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "pos", "text_key")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    release(spark, since, keep=2)
+    gone = join_counted(spots, first, ["c1", "c2"], "n").where(~F.struct("doc_id", "pos", "text_key").eqNullSafe(F.col("kept")))
     return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").alias("line"), F.col("kept.doc_id").alias("kept_doc"), F.col("kept.pos").alias("kept_line")))).alias("removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) for every row of ``docs``; null texts have no lines."""
+    """(doc_id, n_lines, n_removed, removed) for every row of ``docs``, repeated ones included, with the handling of nulls,
+    ties and short lines of ``removed_lines``; null texts have no lines; an empty table gives no rows."""
     gone = removed_lines(docs)
     each = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     held = gone.select(F.col("doc_id").alias("_sg_id"), F.col("text_key").alias("_sg_key"), "removed")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sigloom.llm import lines
@@ -79,6 +80,24 @@ def test_two_edits(spark):
     assert got == brute(docs, 2)
 
 
+def test_more_edits_refuse_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 4)
+    df = spark.createDataFrame(made(30), "doc_id long, text string")
+    with pytest.raises(ValueError):
+        lines.removed_lines(df, 2)
+
+
+def test_the_filter_before_the_distance_keeps_every_pair(spark):
+    rng, rows = random.Random(9), []
+    for _ in range(400):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(16, 90)))
+        p, kind = rng.randrange(len(a)), rng.randrange(3)
+        rows.append((a, a[:p] + ("x" if kind == 0 else a[p] + "y" if kind == 1 else "") + a[p + 1 :]))
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(lines.segments_agree(F.col("a"), F.col("b"), 1)).count() == len(rows)
+    assert df.where(lines.segments_agree(F.col("b"), F.col("a"), 1)).count() == len(rows)
+
+
 def test_dropping_keeps_rows_and_columns(spark):
     rows = [(1, "a line that is long enough\nend", 7), (2, "x\na line that is long enough", 7), (2, "x\na line that is long enough", 7), (3, None, 7), (None, "a line that is long enough", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed int")
