@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sigloom.llm.common import scratch_dir
+from sigloom.scratch import mark, shared_folder
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -10,7 +10,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     out = {}
     for name, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, "")
-        path = f"{scratch_dir(spark)}/stage-test-{name}"
+        path = f"{shared_folder(spark)}/stage-test-{name}"
         made.write.mode("overwrite").parquet(path)
         if name != "packing":
             assert made.columns == docs.columns
@@ -26,4 +26,11 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 
 def test_run(spark):
+    before = mark(spark)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0 and len(corpus_pipeline.STAGES) == 5
+    assert mark(spark) - before == 2  # what the last stage reads, and its pieces
+
+
+def test_run_of_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
