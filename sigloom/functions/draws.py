@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, op: str, key: Column, n: Column | int = 0) -> Column:
-    """In [0, 1): the first 32 bits of an MD5 digest of seed#op#key#n."""
+    """In [0, 1): the first 52 bits of an MD5 digest of seed#op#key#n, so it tells apart more rows than any table has."""
     n = F.lit(n) if isinstance(n, int) else n
     text = F.concat_ws("#", F.lit(str(seed)), F.lit(op), key.cast("string"), n.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / 4503599627370496.0
 
 
 def between(seed: int, op: str, key: Column, low: float, high: float, n: Column | int = 0) -> Column:
@@ -19,7 +19,7 @@ def between(seed: int, op: str, key: Column, low: float, high: float, n: Column
 
 def normal(seed: int, op: str, key: Column) -> Column:
     """Standard normal by Box and Muller from two draws, the first kept off zero."""
-    u = (uniform(seed, op, key, 0) * 4294967296.0 + 1) / 4294967297.0
+    u = (uniform(seed, op, key, 0) * 4503599627370496.0 + 1) / 4503599627370497.0
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * uniform(seed, op, key, 1))
 
 
@@ -32,9 +32,9 @@ def beta(seed: int, op: str, key: Column, alpha: float, tries: int = 32) -> Colu
 
 def uniform_sql(seed: int, op: str, key: str, n: str = "0") -> str:
     """The same draw in DuckDB SQL."""
-    return f"(CAST(('0x' || substr(md5(concat_ws('#', '{seed}', '{op}', CAST({key} AS VARCHAR), CAST({n} AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5(concat_ws('#', '{seed}', '{op}', CAST({key} AS VARCHAR), CAST({n} AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
 def normal_sql(seed: int, op: str, key: str) -> str:
-    u = f"(({uniform_sql(seed, op, key)} * 4294967296.0 + 1) / 4294967297.0)"
+    u = f"(({uniform_sql(seed, op, key)} * 4503599627370496.0 + 1) / 4503599627370497.0)"
     return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {uniform_sql(seed, op, key, '1')}))"

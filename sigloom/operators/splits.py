@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from sigloom.functions.draws import uniform
 
 
-def ordinals(rows: DataFrame, draw: Column, key: str, by: list[str] | None = None, buckets: int = 256, name: str = "rank") -> DataFrame:
+def ordinals(rows: DataFrame, draw: Column, key: str, by: list[str] | None = None, buckets: int = 4096, name: str = "rank") -> DataFrame:
     """Rows with their 0-based rank by (draw in [0, 1), key), within ``by``, and ``n``, the rows ranked together.
 
     ``buckets`` x groups counts give each bucket its offset; ties in the draw go to the smaller key.
@@ -57,7 +57,7 @@ def all_folds(rows: DataFrame, group: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col(group) == F.col("fold"))
 
 
-def tail_validation(rows: DataFrame, key: str, share: float = 0.2, buckets: int = 256) -> DataFrame:
+def tail_validation(rows: DataFrame, key: str, share: float = 0.2, buckets: int = 4096) -> DataFrame:
     """The last ``share`` of rows, in order of ``key``, as validation. Rows are dealt by ranges of the key."""
     bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     width = float((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1)

@@ -40,12 +40,31 @@ def box_stats(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def correlation_matrix(rows: DataFrame, by: list[str], at: str = "idx") -> DataFrame:
-    """(by, src, dst, value): absolute Pearson correlation of every ordered pair of different channels."""
-    return channel_pairs(rows, by, at).groupBy(*by, "src", "dst").agg(F.abs(F.corr("x", "y")).alias("value"))
+    """(by, src, dst, value): absolute Pearson correlation of every ordered pair of different channels. It is symmetric, so
+    each pair is joined once and its one number is mirrored."""
+    half = channel_pairs(rows, by, at, "src < dst").groupBy(*by, "src", "dst").agg(F.abs(F.corr("x", "y")).alias("value"))
+    both = F.explode(F.array(F.struct(F.col("src").alias("s"), F.col("dst").alias("d")), F.struct(F.col("dst").alias("s"), F.col("src").alias("d"))))
+    return half.withColumn("_e", both).select(*by, F.col("_e.s").alias("src"), F.col("_e.d").alias("dst"), "value")
 
 
-def channel_pairs(rows: DataFrame, by: list[str], at: str = "idx") -> DataFrame:
-    """(by, at, src, dst, x, y): values of all ordered pairs of different channels at the same place."""
+def channel_pairs(rows: DataFrame, by: list[str], at: str = "idx", which: str = "src <> dst") -> DataFrame:
+    """(by, at, src, dst, x, y): values of all ordered pairs of different channels, or of those in ``which``, at the same place."""
     a = rows.select(*by, at, F.col("channel").alias("src"), F.col("value").alias("x"))
     b = rows.select(*by, at, F.col("channel").alias("dst"), F.col("value").alias("y"))
-    return a.join(b, [*by, at]).where("src <> dst")
+    return a.join(b, [*by, at]).where(which)
+
+
+# The order of the bands in a feature vector.
+BAND_ORDER = ("delta", "theta", "alpha", "beta", "gamma")
+
+
+def feature_vector(stats: DataFrame, hjorth_: DataFrame, entropy: DataFrame, bands: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, x): the features of a window in their fixed order, from tables that have a row for each window, but for ``bands``,
+    with one for each band, and ``nodes``, with one for each wavelet node. A band that a window lacks counts 0."""
+    power = bands.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("band", "power"))).alias("_bands"))
+    packet = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("node", "mean", "std", "energy"))).alias("_nodes"))
+    every = stats.drop("entropy").join(hjorth_, by).join(entropy.select(*by, "entropy"), by).join(power, by).join(packet, by)
+    named = [F.col(c) for c in ("mean", "var", "std", "skew", "kurt", "activity", "mobility", "complexity", "entropy", "rms")]
+    each = [F.coalesce(F.col("_bands")[b], F.lit(0.0)) for b in BAND_ORDER]
+    packed = F.flatten(F.transform("_nodes", lambda n: F.array(n["mean"], n["std"], n["energy"])))
+    return every.select(*by, F.concat(F.array(*named, *each), packed).alias("x"))

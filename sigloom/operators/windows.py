@@ -11,12 +11,13 @@ SERIES = ("recording_id", "channel")
 
 def sliding_windows(signal: DataFrame, size: int, step: int) -> DataFrame:
     """Rows with window_id and pos for every full window that holds them; a partial tail is dropped. A sample is in
-    at most ceil(size / step) windows, so rows grow by that factor and nothing is gathered."""
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step))
-    ids = F.when(first <= F.floor(F.col("idx") / step), F.sequence(first.cast("int"), F.floor(F.col("idx") / step).cast("int")))
-    length = F.max("idx").over(W.partitionBy(*SERIES)) + 1
-    each = signal.withColumn("_n", length).withColumn("window_id", F.explode(ids))
-    return each.where(F.col("window_id") * step + size <= F.col("_n")).withColumn("pos", F.col("idx") - F.col("window_id") * step).drop("_n")
+    at most ceil(size / step) windows, so rows grow by that factor and nothing is gathered or sorted: a series' length
+    is an aggregate joined back."""
+    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step)).cast("int")
+    last = F.least(F.floor(F.col("idx") / step), F.floor((F.col("_n") - size) / step)).cast("int")
+    lengths = signal.groupBy(*SERIES).agg((F.max("idx") + 1).alias("_n"))
+    each = signal.join(lengths, list(SERIES)).withColumn("window_id", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return each.withColumn("pos", F.col("idx") - F.col("window_id") * step).select(*signal.columns, "window_id", "pos")
 
 
 def tumbling_windows(signal: DataFrame, size: int) -> DataFrame:

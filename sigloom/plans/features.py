@@ -53,10 +53,10 @@ def difference(spark, sf_dir):
 
 
 @query("""SELECT recording_id, channel, idx, round(value, 6) + 0.0 AS x0, round(x1, 6) + 0.0 AS x1, round(x2, 6) + 0.0 AS x2, round(target, 6) + 0.0 AS target FROM (
-SELECT *, lead(value, 10) OVER w AS x1, lead(value, 20) OVER w AS x2, lead(value, 21) OVER w AS target FROM signal WHERE channel = 'price' WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx)) WHERE x2 IS NOT NULL""")
+SELECT *, lead(value, 10) OVER w AS x1, lead(value, 20) OVER w AS x2, lead(value, 21) OVER w AS target FROM signal WINDOW w AS (PARTITION BY recording_id, channel ORDER BY idx)) WHERE x2 IS NOT NULL""")
 def delay_embedding(spark, sf_dir):
     """Three values ten samples apart, and the next one."""
-    d = wn.delay_embedding(signal(spark, sf_dir).where("channel = 'price'"))
+    d = wn.delay_embedding(signal(spark, sf_dir))
     return d.select("recording_id", "channel", "idx", *[r6(c).alias(c) for c in ("x0", "x1", "x2", "target")])
 
 
@@ -106,7 +106,7 @@ def running_best(spark, sf_dir):
 
 @query()
 def patience_stop(spark, sf_dir):
-    """Early stopping over the histories; sequential state, so tested against a brute-force version."""
+    """Early stopping over the histories; sequential state, so tested against a loop."""
     return wn.patience_stop(history(spark, sf_dir), ["run", "metric"], "epoch", "value", 3, 0.01)
 
 

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
         if sql is not None:
             used = [name for name in _WITH if name + " " in sql.replace(",", " ").replace(")", " ").replace("\n", " ") + " "]
             need = [n for n in _WITH if any(n in _NEEDS[u] or n == u for u in used)]
-            head = ",\n".join(f"{n} AS ({_WITH[n]})" for n in need)
+            head = ",\n".join(f"{n} AS MATERIALIZED ({_WITH[n]})" for n in need)
             body = sql.strip()
             if head:
                 body = f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
@@ -92,7 +92,7 @@ _WITH = {
     "signal": " UNION ALL ".join(f"SELECT recording_id, '{c}' AS channel, idx, {c} AS value FROM wide" for c in CHANNELS),
     "irregular": "SELECT CAST(user_id AS BIGINT) AS recording_id, event_type AS channel, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS INT) AS idx, CAST(value AS DOUBLE) AS value FROM events",
     "sample": "SELECT vec_id AS sample_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings",
-    "flat": "SELECT sample_id, label, i - 1 AS i, x[i] AS v FROM sample, range(1, 65) t(i)",
+    "flat": "SELECT sample_id, label, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM sample",
     "recording": "SELECT CAST(s_suppkey AS BIGINT) AS recording_id, CAST(s_nationkey AS INT) AS subject_id, round(1 + 8 * (CAST(s_acctbal AS DOUBLE) + 1000) / 11000, 2) AS rating, round(1 + 8 * ((CAST(s_acctbal AS DOUBLE) * 7) - 11000.0 * floor(CAST(s_acctbal AS DOUBLE) * 7 / 11000.0)) / 11000, 2) AS arousal FROM supplier",
     "scored0": "SELECT l.doc_id AS row_id, CAST(quality AS INT) AS y_true, round((n_chars % 997) / 997.0 * 0.6 + quality * 0.25, 3) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
     "scored": "SELECT *, CAST(score > 0.5 AS INT) AS y_pred FROM scored0",
