@@ -8,23 +8,29 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigloom.functions.draws import beta, between, normal, uniform
+from sigloom.operators import filters, spectral
 from sigloom.operators.splits import ordinals
+from sigloom.scratch import table
 
 
 def per_sample():
     return W.partitionBy("sample_id")
 
 
-def gaussian_noise(rows: DataFrame, seed: int = 1, low: float = 0.001, high: float = 0.05) -> DataFrame:
+def noise(seed: int = 1, low: float = 0.001, high: float = 0.05) -> Column:
     """Noise of a drawn level times the sample's deviation over all its channels."""
     level = between(seed, "level", F.col("sample_id"), low, high)
     key = F.concat_ws(":", "sample_id", "channel", "idx")
-    return rows.withColumn("value", F.col("value") + normal(seed, "noise", key) * F.stddev_pop("value").over(per_sample()) * level)
+    return normal(seed, "noise", key) * F.stddev_pop("value").over(per_sample()) * level
+
+
+def gaussian_noise(rows: DataFrame, seed: int = 1, low: float = 0.001, high: float = 0.05) -> DataFrame:
+    return rows.withColumn("value", F.col("value") + noise(seed, low, high))
 
 
 def time_shift(rows: DataFrame, seed: int = 1, low: float = 0.05, high: float = 0.2) -> DataFrame:
@@ -34,12 +40,28 @@ def time_shift(rows: DataFrame, seed: int = 1, low: float = 0.05, high: float =
     return rows.withColumn("idx", F.pmod(F.col("idx") + shift, n).cast("int"))
 
 
-def window_slice(rows: DataFrame, seed: int = 1, low: float = 0.8, high: float = 0.95) -> DataFrame:
-    """A drawn share of the series from a drawn start, its places counted anew."""
+def window_slice(rows: DataFrame, seed: int = 1, low: float = 0.8, high: float = 0.95, resample: bool = False) -> DataFrame:
+    """A drawn share of the series from a drawn start, its places counted anew, or stretched to the old length."""
     n = F.max("idx").over(per_sample()) + 1
     size = F.floor(n * between(seed, "keep", F.col("sample_id"), low, high))
     start = F.floor(uniform(seed, "start", F.col("sample_id")) * (n - size + 1))
-    return rows.withColumn("_at", F.col("idx") - start).withColumn("_size", size).where(F.col("_at").between(0, F.col("_size") - 1)).withColumn("idx", F.col("_at").cast("int")).drop("_at", "_size")
+    cut = rows.withColumns({"_at": F.col("idx") - start, "_size": size, "_n": n}).where(F.col("_at").between(0, F.col("_size") - 1)).withColumn("idx", F.col("_at").cast("int"))
+    if not resample:
+        return cut.select(*rows.columns)
+    return stretched(cut).select(*rows.columns)
+
+
+def stretched(cut: DataFrame) -> DataFrame:
+    """Series of ``_size`` values stretched to ``_n`` by linear interpolation, both ends kept. A value stands at the places
+    between its neighbours, so each new place is made from the pair around it and nothing is gathered."""
+    w = W.partitionBy("sample_id", "channel").orderBy("idx")
+    step = (F.col("_size") - 1) / (F.col("_n") - 1)
+    first = F.when(F.col("idx") == 0, 0).otherwise(F.floor(F.col("idx") / step - 1e-9) + 1)
+    last = F.when(F.col("idx") == F.col("_size") - 1, F.col("_n") - 1).otherwise(F.floor((F.col("idx") + 1) / step - 1e-9))
+    spots = F.when(F.col("_size") == 1, F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
+    each = cut.withColumn("_next", F.coalesce(F.lead("value").over(w), F.col("value"))).withColumn("_to", F.explode(spots))
+    share = F.when(F.col("_size") == 1, 0.0).otherwise(F.col("_to") * step - F.col("idx"))
+    return each.withColumn("value", F.col("value") + share * (F.col("_next") - F.col("value"))).withColumn("idx", F.col("_to").cast("int"))
 
 
 def amplitude_scale(rows: DataFrame, seed: int = 1, low: float = 0.9, high: float = 1.1, per_channel: bool = False) -> DataFrame:
@@ -83,22 +105,63 @@ def pairs_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "first").join(b, ["second", "channel", "idx"])
 
 
+def soft_label(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (first, second, weight, ...) with the labels' blend: ``hard1``, ``hard2``, ``soft`` [weight, 1 - weight] and, for
+    numbers, ``blend``. ``labels`` is (sample_id, label)."""
+    one, two = labels.select(F.col("sample_id").alias("first"), F.col("label").alias("hard1")), labels.select(F.col("sample_id").alias("second"), F.col("label").alias("hard2"))
+    both = pairs.join(one, "first", "left").join(two, "second", "left")
+    return both.withColumns({"soft": F.array(F.col("weight"), 1 - F.col("weight")), "blend": F.col("weight") * F.col("hard1") + (1 - F.col("weight")) * F.col("hard2")})
+
+
+def mixup_weights(pairs: DataFrame, seed: int = 1, alpha: float = 0.2) -> DataFrame:
+    """``pairs`` with the drawn ``weight`` of the first."""
+    return pairs.withColumn("weight", beta(seed, "mixup", F.col("draw"), alpha))
+
+
 def mixup(rows: DataFrame, pairs: DataFrame, seed: int = 1, alpha: float = 0.2) -> DataFrame:
     """(draw, first, second, channel, idx, value, weight): blends by a drawn weight of the first."""
-    drawn = pairs.withColumn("weight", beta(seed, "mixup", F.col("draw"), alpha))
+    drawn = mixup_weights(pairs, seed, alpha)
     return pairs_of(rows, drawn).withColumn("value", F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b")).drop("a", "b")
 
 
-def cutmix(rows: DataFrame, pairs: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """A drawn run of the second pasted into the first; weight is the share that the first keeps."""
+def cutmix_weights(pairs: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """``pairs`` with the run of the second that is pasted (``_cut``, ``_start``) and the ``weight`` that the first keeps."""
     share = uniform(seed, "cut", F.col("draw"))
     cut = F.floor(n * (1 - share))
     start = F.floor(uniform(seed, "at", F.col("draw")) * (n - cut + 1))
-    drawn = pairs.withColumns({"_cut": cut, "_start": start, "weight": 1 - cut / n})
+    return pairs.withColumns({"_cut": cut, "_start": start, "weight": 1 - cut / n})
+
+
+def cutmix(rows: DataFrame, pairs: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """A drawn run of the second pasted into the first; weight is the share that the first keeps."""
+    drawn = cutmix_weights(pairs, n, seed)
     inside = (F.col("idx") >= F.col("_start")) & (F.col("idx") < F.col("_start") + F.col("_cut"))
     return pairs_of(rows, drawn).withColumn("value", F.when(inside, F.col("b")).otherwise(F.col("a"))).drop("a", "b", "_cut", "_start")
 
 
+def band_jitter_filter(rows: DataFrame, seed: int = 1, fs: float = 128.0) -> DataFrame:
+    """One pass of a broad band whose edges move by a draw of the sample."""
+    series = rows.withColumns({"recording_id": F.col("sample_id")})
+    done = filters.jittered(series, fs=fs, seed=seed, key="sample_id").select(F.col("recording_id").alias("sample_id"), "channel", "idx", "value")
+    return rows.drop("value").join(done, ["sample_id", "channel", "idx"]).select(*rows.columns)
+
+
+def tf_mask(rows: DataFrame, seed: int = 1, size: int = 64, chance: float = 0.1) -> DataFrame:
+    """Short-time spectra in which a run of frames and a run of bins, each a tenth of all and each with a drawn ``chance``,
+    is damped, and back. Frames overlap by half."""
+    series = rows.select(F.col("sample_id").alias("recording_id"), "channel", "idx", "value")
+    key, hop, bins = F.concat_ws(":", "recording_id", "channel"), size // 2, size // 2 + 1
+    frames = F.ceil((F.max("idx") + 1) / hop) + 1
+    wide = lambda n: F.greatest(F.lit(1), F.floor(n * 0.1))
+    run = lambda op, n: F.when(uniform(seed, op + ":hit", key) < chance, F.floor(uniform(seed, op, key) * F.greatest(F.lit(1), n - wide(n))))
+    drawn = series.groupBy("recording_id", "channel").agg(frames.alias("_frames")).withColumns({"_f": run("frames", F.col("_frames")), "_b": run("bins", F.lit(bins))})
+    spec = spectral.stft(series, size, hop).join(drawn, ["recording_id", "channel"])
+    hit = lambda c: F.coalesce(c, F.lit(-(1 << 30)))
+    masked = spectral.tf_mask(spec, (hit(F.col("_f")), hit(F.col("_f") + wide(F.col("_frames")) - 1)), (hit(F.col("_b")), hit(F.col("_b") + wide(F.lit(bins)) - 1)))
+    back = spectral.istft(masked, size, hop).select(F.col("recording_id").alias("sample_id"), "channel", F.col("idx").cast("int").alias("idx"), "value")
+    return rows.drop("value").join(back, ["sample_id", "channel", "idx"]).select(*rows.columns)
+
+
 def knn_same_class(vectors: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
     """(sample_id, neighbour, rank): the ``k`` nearest of the same label, itself left out; ties to the smaller id.
 
@@ -134,15 +197,22 @@ def knn_same_class(vectors: DataFrame, k: int = 5, block: int = 512) -> DataFram
 
 def smote(vectors: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
     """(sample_id, neighbour, x): a point on the way to a drawn near neighbour; without one, a copy."""
-    pick = F.floor(uniform(seed, "pick", F.col("sample_id")) * F.col("_n")) + 1
-    near = knn_same_class(vectors, k).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("sample_id"))).where(F.col("rank") == pick).select("sample_id", "neighbour")
     other = vectors.select(F.col("sample_id").alias("neighbour"), F.col("x").alias("_y"))
+    near = drawn_neighbour(knn_same_class(vectors, k), vectors.select("sample_id"), "sample_id", seed)
     both = vectors.join(near, "sample_id", "left").join(other, "neighbour", "left")
     step = uniform(seed, "step", F.col("sample_id"))
     moved = F.zip_with("x", "_y", lambda p, q: p + step * (q - p))
     return both.select("sample_id", "label", "neighbour", F.coalesce(moved, F.col("x")).alias("x"))
 
 
+def drawn_neighbour(near: DataFrame, wanted: DataFrame, key: str, seed: int = 1) -> DataFrame:
+    """(key, neighbour): for each row of ``wanted`` (sample_id, and ``key`` if that is another) one of its sample's
+    neighbours, drawn by ``key``; samples without neighbours have no row."""
+    counted = near.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("sample_id")))
+    pick = F.floor(uniform(seed, "pick", F.col(key)) * F.col("_n")) + 1
+    return wanted.join(counted, "sample_id").where(F.col("rank") == pick).select(key, "neighbour")
+
+
 # Techniques and their shares of the originals.
 SHARES = {
     "gaussian_noise": 0.5, "time_shift": 0.3, "window_slice": 0.3, "amplitude_scale": 0.2, "channel_dropout": 0.2, "band_jitter_filter": 0.16,
@@ -158,32 +228,89 @@ def quotas(n: int, shares: dict[str, float] = SHARES, target: float = 2.0) -> di
 
 
 def source_draws(rows: DataFrame, key: str, counts: dict[str, int], seed: int = 1) -> DataFrame:
-    """(technique, draw_no, source_id): rows drawn with replacement for each technique."""
+    """(technique, draw_no, source_id, source2_id): rows drawn with replacement for each technique, and a second one for the
+    techniques of ``PAIRED``."""
     spark = rows.sparkSession
     ranked = ordinals(rows.select(key), uniform(seed, "source", F.col(key)), key)
     total = rows.count()
-    table = spark.createDataFrame([(t, n) for t, n in counts.items() if n], "technique string, quota int")
-    draws = table.withColumn("draw_no", F.explode(F.sequence(F.lit(1), F.col("quota"))))
-    at = F.floor(uniform(seed, "draw", F.concat_ws(":", "technique", "draw_no")) * total).cast("long")
-    return draws.withColumn("rank", at).join(ranked.select("rank", F.col(key).alias("source_id")), "rank").select("technique", "draw_no", "source_id")
+    wanted = spark.createDataFrame([(t, n) for t, n in counts.items() if n], "technique string, quota long")
+    draws = wanted.withColumn("draw_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))))
+    at = lambda op: F.floor(uniform(seed, op, F.concat_ws(":", "technique", "draw_no")) * total).cast("long")
+    one = draws.withColumn("rank", at("draw")).join(ranked.select("rank", F.col(key).alias("source_id")), "rank").drop("rank")
+    two = one.withColumn("rank", F.when(F.col("technique").isin(*PAIRED), at("draw2"))).join(ranked.select("rank", F.col(key).alias("source2_id")), "rank", "left")
+    return two.select("technique", "draw_no", "source_id", "source2_id")
 
 
 #: Techniques of one sample each, by name; users add their own of the same shape.
-TECHNIQUES = {"gaussian_noise": gaussian_noise, "time_shift": time_shift, "window_slice": window_slice, "amplitude_scale": amplitude_scale, "channel_dropout": channel_dropout, "bounded_perturbation": bounded_perturbation, "segment_permutation": segment_permutation}
+TECHNIQUES = {
+    "gaussian_noise": gaussian_noise, "time_shift": time_shift, "window_slice": lambda rows, seed: window_slice(rows, seed, resample=True), "amplitude_scale": amplitude_scale, "channel_dropout": channel_dropout,
+    "band_jitter_filter": band_jitter_filter, "tf_mask": tf_mask, "bounded_perturbation": bounded_perturbation, "segment_permutation": segment_permutation,
+}
+#: Techniques of two samples.
+PAIRED = ("mixup", "cutmix", "smote")
+
+
+def sample_vectors(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sample_id, label, x): a sample's values, channel by channel, as one vector of bounded length."""
+    flat = rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "idx", "value"))), lambda r: r["value"]).alias("x"))
+    return flat.join(labels.select("sample_id", "label"), "sample_id")
+
+
+def lineage(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1) -> DataFrame:
+    """(technique, draw_no, source_id, source2_id, weight, hard1, hard2, soft, blend) of every augmented sample.
+
+    ``n`` is the samples' length. The second source of ``smote`` is a drawn near neighbour of the first, of its label, and
+    it moves a drawn step towards it, so the first's weight is one less the step; samples of one source have weight 1.
+    """
+    unknown = set(counts) - set(TECHNIQUES) - set(PAIRED)
+    if unknown:
+        raise ValueError(f"no such technique: {', '.join(sorted(unknown))}")
+    draws = source_draws(labels, "sample_id", counts, seed).withColumn("draw", F.concat_ws(":", "technique", "draw_no"))
+    kind = lambda *names: draws.where(F.col("technique").isin(*names))
+    parts = [kind(*TECHNIQUES).withColumn("weight", F.lit(1.0)), mixup_weights(kind("mixup"), seed), cutmix_weights(kind("cutmix"), n, seed).drop("_cut", "_start")]
+    if counts.get("smote"):
+        moved = kind("smote").drop("source2_id")
+        near = drawn_neighbour(knn_same_class(sample_vectors(rows, labels)), moved.withColumnRenamed("source_id", "sample_id"), "draw", seed)
+        parts.append(moved.join(near.withColumnRenamed("neighbour", "source2_id"), "draw", "left").withColumn("weight", F.when(F.col("source2_id").isNull(), 1.0).otherwise(1 - uniform(seed, "step", F.col("draw")))))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    told = soft_label(every.withColumnsRenamed({"source_id": "first", "source2_id": "second"}), labels).withColumnsRenamed({"first": "source_id", "second": "source2_id"})
+    alone = F.col("source2_id").isNull()
+    return told.withColumns({"hard2": F.coalesce("hard2", "hard1"), "blend": F.when(alone, F.col("hard1").cast("double")).otherwise(F.col("blend"))}).drop("draw")
 
 
-def augment_dataset(rows: DataFrame, counts: dict[str, int], seed: int = 1, return_original: bool = True) -> DataFrame:
-    """(technique, draw_no, source_id, channel, idx, value): augmented rows with their lineage, and the originals.
+def augment_dataset(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1, return_original: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(values, lineage): (technique, draw_no, source_id, channel, idx, value) of all augmented samples and, unless declined,
+    of the originals, and the ``lineage`` of the augmented ones.
 
-    Each output is a sample of its own, keyed by technique and draw number, so repeated sources differ.
+    ``rows`` are samples of ``n`` places, ``labels`` (sample_id, label). Each output is a sample of its own, keyed by
+    technique and draw number, so repeated sources differ; every quota of ``counts`` is met in full.
     """
-    draws = source_draws(rows.select("sample_id").distinct(), "sample_id", {t: n for t, n in counts.items() if t in TECHNIQUES}, seed)
-    base = draws.join(rows.withColumnRenamed("sample_id", "source_id"), "source_id").withColumn("sample_id", F.concat_ws(":", "technique", "draw_no"))
-    parts = [TECHNIQUES[t](base.where(F.col("technique") == t), seed) for t in counts if t in TECHNIQUES]
+    made = table(lineage(rows, labels, counts, n, seed))  # each technique reads its own part of it
+    keyed = made.withColumn("sample_id", F.concat_ws(":", "technique", "draw_no"))
+    base = keyed.select("technique", "draw_no", "source_id", "sample_id").join(rows.withColumnRenamed("sample_id", "source_id"), "source_id")
     out = ["technique", "draw_no", "source_id", "channel", "idx", "value"]
+    parts = [TECHNIQUES[t](base.where(F.col("technique") == t), seed).select(*out) for t in counts if t in TECHNIQUES and counts[t]]
+    if any(counts.get(t) for t in PAIRED):
+        two = keyed.where(F.col("technique").isin(*PAIRED)).withColumns({"draw": F.col("sample_id"), "first": F.col("source_id"), "second": F.coalesce("source2_id", "source_id")})
+        both = pairs_of(rows, cutmix_weights(two.withColumnRenamed("weight", "_w"), n, seed).drop("weight"))
+        inside = (F.col("idx") >= F.col("_start")) & (F.col("idx") < F.col("_start") + F.col("_cut"))
+        value = F.when(F.col("technique") == "cutmix", F.when(inside, F.col("b")).otherwise(F.col("a"))).otherwise(F.col("_w") * F.col("a") + (1 - F.col("_w")) * F.col("b"))
+        parts.append(both.withColumn("value", value).select(*out))
     if return_original:
-        parts.append(rows.select(F.lit("original").alias("technique"), F.lit(0).alias("draw_no"), F.col("sample_id").alias("source_id"), "channel", "idx", "value"))
-    union = parts[0].select(*out)
+        parts.append(rows.select(F.lit("original").alias("technique"), F.lit(0).cast("long").alias("draw_no"), F.col("sample_id").alias("source_id"), "channel", "idx", "value"))
+    union = parts[0]
     for p in parts[1:]:
-        union = union.unionByName(p.select(*out))
-    return union
+        union = union.unionByName(p)
+    return union, made
+
+
+def assign_groups(made: DataFrame, groups: DataFrame, random: bool = False, seed: int = 1) -> DataFrame:
+    """``made`` (technique, draw_no, source_id, ...) with the group of each source, or of a sample drawn anew. ``groups`` is
+    (sample_id, group)."""
+    if not random:
+        return made.join(groups.withColumnRenamed("sample_id", "source_id"), "source_id")
+    ranked = ordinals(groups, uniform(seed, "group", F.col("sample_id")), "sample_id").drop("sample_id", "n")
+    at = F.floor(uniform(seed, "group_of", F.concat_ws(":", "technique", "draw_no")) * groups.count()).cast("long")
+    return made.withColumn("rank", at).join(ranked, "rank").drop("rank")
