@@ -1,4 +1,8 @@
-"""Directed connectivity of channels: nearest-neighbour transfer entropy and lagged regression."""
+"""Directed connectivity of channels in windows: nearest-neighbour transfer entropy and lagged regression.
+
+A window is one group of bounded length, so its distances and its small system are solved in one place; windows, pairs of
+channels and sums over them are Spark's.
+"""
 
 from __future__ import annotations
 
@@ -6,66 +10,94 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 EULER = 0.5772156649015329
 
 
-def knn_entropy(points: DataFrame, by: list[str], dims: int, k: int = 4) -> DataFrame:
-    """(by, h): entropy by the distance to the k-th other point (``p`` arrays), all pairs within a group of ``by``,
-    which is one window of bounded length."""
-    a, b = points.select(*by, "t", "p"), points.select(*by, F.col("t").alias("t2"), F.col("p").alias("q"))
-    gap = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
-    near = a.join(b, by).where("t <> t2").select(*by, "t", "t2", gap.alias("r"))
-    kth = near.withColumn("rank", F.row_number().over(W.partitionBy(*by, "t").orderBy("r", "t2"))).where(F.col("rank") == k)
-    return kth.groupBy(*by).agg((dims * F.avg(F.log(F.col("r") + 1e-10)) + F.log(F.count(F.lit(1)).cast("double")) + EULER).alias("h"))
+def _kinds(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
+
+
+def _matrix(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Each channel's values of a window in order of place."""
+    return {c: part.sort_values("pos")["value"].to_numpy(float) for c, part in pdf.groupby("channel")}
+
+
+def embedded(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
+    """(places, dim): values ``tau`` apart, at every place that has them all and a next value."""
+    n = len(x) - (dim - 1) * tau - 1
+    return np.stack([x[i * tau : i * tau + n] for i in range(dim)], 1) if n > 0 else np.empty((0, dim))
+
+
+def kth_distances(points: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each point to the k-th nearest other one; infinite if there are fewer."""
+    if len(points) <= k:
+        return np.full(len(points), np.inf)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return np.partition(d, k - 1, axis=1)[:, k - 1]
+
+
+def kth_distance(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, tau: int = 10) -> DataFrame:
+    """(by, channel, t, r): of every delay vector and its next value in a window, the distance to the ``k``-th nearest other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for channel, x in _matrix(pdf).items():
+            own = embedded(x, dim, tau)
+            r = kth_distances(np.column_stack((own, x[(dim - 1) * tau + 1 :][: len(own)])), k)
+            out.append(pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "channel": channel, "t": np.arange(len(r), dtype=np.int32), "r": r}))
+        return pd.concat(out)
+
+    return windows.select(*by, "channel", "pos", "value").groupBy(*by).applyInPandas(run, f"{_kinds(windows, by)}, channel string, t int, r double")
 
 
 def transfer_entropy(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, tau: int = 10) -> DataFrame:
-    """(by, src, dst, value): max(0, H(y, next y) - H(y, x, next y)) for every ordered pair of channels of a window."""
-    w = W.partitionBy(*by, "channel").orderBy("pos")
-    lags = windows.select(*by, "channel", F.col("pos").alias("t"), F.array("value", *[F.lead("value", i * tau).over(w) for i in range(1, dim)]).alias("e"), F.lead("value", (dim - 1) * tau + 1).over(w).alias("nxt")).where("nxt is not null")
-    y = lags.select(*by, F.col("channel").alias("dst"), "t", F.col("e").alias("y"), "nxt")
-    x = lags.select(*by, F.col("channel").alias("src"), "t", F.col("e").alias("x"))
-    own = knn_entropy(y.select(*by, "dst", "t", F.concat("y", F.array("nxt")).alias("p")), [*by, "dst"], dim + 1, k)
-    both = y.join(x, [*by, "t"]).where("src <> dst")
-    joint = knn_entropy(both.select(*by, "src", "dst", "t", F.concat("y", "x", F.array("nxt")).alias("p")), [*by, "src", "dst"], 2 * dim + 1, k)
-    return joint.withColumnRenamed("h", "hj").join(own, [*by, "dst"]).select(*by, "src", "dst", F.greatest(F.col("h") - F.col("hj"), F.lit(0.0)).alias("value"))
-
-
-def lagged_ols(wide: DataFrame, by: list[str], at: str, channels: list[str], lags: int = 2) -> DataFrame:
-    """(by, src, dst, value): each channel regressed on ``lags`` values of all channels; the absolute coefficients of
-    a source, summed over its lags. Sums of products are Spark aggregates; a group's small system is solved alone;
-    where it has no solution the edge is null."""
-    w = W.partitionBy(*by).orderBy(at)
-    terms = [(c, k) for c in channels for k in range(1, lags + 1)]
-    cols = {f"x{i}": F.lag(c, k).over(w) for i, (c, k) in enumerate(terms)}
-    rows = wide.withColumns(cols).where(F.col(f"x{lags - 1}").isNotNull())
-    names = [F.lit(1.0), *[F.col(f"x{i}") for i in range(len(terms))]]
-    sums = [F.sum(names[i] * names[j]).alias(f"g{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
-    right = [F.sum(names[i] * F.col(c)).alias(f"r{i}_{d}") for i in range(len(names)) for d, c in enumerate(channels)]
-    gram = rows.groupBy(*by).agg(*sums, *right)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                m = len(terms) + 1
-                g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(m)] for i in range(m)], float)
-                r = np.array([[row[f"r{i}_{d}"] for d in range(len(channels))] for i in range(m)], float)
-                try:
-                    beta = np.linalg.solve(g, r)
-                except np.linalg.LinAlgError:
-                    beta = np.full(r.shape, np.nan)
-                for d, dst in enumerate(channels):
-                    for src in channels:
-                        if src != dst:
-                            v = sum(abs(beta[1 + i, d]) for i, (c, _) in enumerate(terms) if c == src)
-                            out.append((*[row[b] for b in by], src, dst, None if np.isnan(v) else float(v)))
-            yield pd.DataFrame(out, columns=[*by, "src", "dst", "value"])
-
-    keys = ", ".join(f"{b} {gram.schema[b].dataType.simpleString()}" for b in by)
-    return gram.mapInPandas(solve, f"{keys}, src string, dst string, value double")
+    """(by, src, dst, value): max(0, H(y, next y) - H(y, x, next y)) for every ordered pair of channels of a window.
+
+    Entropy is by the distance to the ``k``-th other point. Windows too short for ``k`` others give no rows.
+    """
+
+    def entropy(points: np.ndarray) -> float:
+        return points.shape[1] * float(np.log(kth_distances(points, k) + 1e-10).mean()) + np.log(len(points)) + EULER
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, x = [], _matrix(pdf)
+        own = {c: embedded(v, dim, tau) for c, v in x.items()}
+        for dst, y in own.items():
+            nxt = x[dst][(dim - 1) * tau + 1 :][: len(y), None]
+            alone = entropy(np.hstack((y, nxt))) if len(y) > k else None
+            for src in own:
+                if src != dst and alone is not None and len(own[src]) == len(y):
+                    out.append((*[pdf[b].iloc[0] for b in by], src, dst, max(0.0, alone - entropy(np.hstack((y, own[src], nxt))))))
+        return pd.DataFrame(out, columns=[*by, "src", "dst", "value"])
+
+    return windows.select(*by, "channel", "pos", "value").groupBy(*by).applyInPandas(run, f"{_kinds(windows, by)}, src string, dst string, value double")
+
+
+def lagged_ols(windows: DataFrame, by: list[str], lags: int = 10) -> DataFrame:
+    """(by, src, dst, value): in each window, each channel regressed on ``lags`` values of all channels and a constant; the
+    absolute coefficients of a source, summed over its lags.
+
+    A window without a unique solution has the absolute correlation of its channels instead; a constant channel gives null.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf)
+        names, n = sorted(x), min(map(len, x.values()))
+        m = np.stack([x[c][:n] for c in names], 1)
+        design = np.column_stack([np.ones(max(0, n - lags))] + [m[lags - k : n - k, c] for c in range(len(names)) for k in range(1, lags + 1)])
+        beta, _, rank, _ = np.linalg.lstsq(design, m[lags:], rcond=None) if len(design) else (None, None, -1, None)
+        if rank == design.shape[1]:
+            edge = np.abs(beta[1:]).reshape(len(names), lags, len(names)).sum(1)
+        else:
+            with np.errstate(all="ignore"):
+                edge = np.abs(np.atleast_2d(np.corrcoef(m.T)))
+        first = [pdf[b].iloc[0] for b in by]
+        out = [(*first, s, d, None if np.isnan(edge[i, j]) else float(edge[i, j])) for i, s in enumerate(names) for j, d in enumerate(names) if i != j]
+        return pd.DataFrame(out, columns=[*by, "src", "dst", "value"])
+
+    return windows.select(*by, "channel", "pos", "value").groupBy(*by).applyInPandas(run, f"{_kinds(windows, by)}, src string, dst string, value double")
 
 
 def connectivity_set(parts: dict[str, DataFrame]) -> DataFrame:
@@ -75,3 +107,11 @@ def connectivity_set(parts: dict[str, DataFrame]) -> DataFrame:
     for df in named[1:]:
         out = out.unionByName(df)
     return out
+
+
+def connectivity_grids(edges: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
+    """(by, measure, grid): each measure of a window as a matrix, a row for each destination and a column for each source in
+    the order of ``channels``; the diagonal and missing edges are 0."""
+    held = edges.groupBy(*by, "measure").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\t", "dst", "src"), "value"))).alias("_m"))
+    cell = lambda d, s: F.coalesce(F.col("_m")[f"{d}\t{s}"], F.lit(0.0)) if d != s else F.lit(0.0)
+    return held.select(*by, "measure", F.array(*[F.array(*[cell(d, s) for s in channels]) for d in channels]).alias("grid"))

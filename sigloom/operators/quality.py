@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sigloom.operators.windows import ecdf
 
@@ -18,6 +21,50 @@ def pair_correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.corr("a", "b").alias("r"), F.abs(F.avg("a") - F.avg("b")).alias("mean_shift"))
 
 
+# Bands in Hz whose power is compared.
+RATIO_BANDS = {"delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0)}
+
+
+def spectral_similarity(pairs: DataFrame, fs: float = 128.0, limit: float = 0.7) -> DataFrame:
+    """(sample_id, r, passed, one ratio for each band) of ``pairs`` (sample_id, channel, idx, a, b).
+
+    Both sides are whole samples, channel by channel; r is the correlation of their Fourier magnitudes, a ratio is the
+    power of b over that of a in a band. Samples have unlike lengths and transforms of thousands of values, so a sample is
+    one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["channel", "idx"])
+        a, b = (np.abs(np.fft.rfft(pdf[c].to_numpy(float))) for c in ("a", "b"))
+        freq = np.fft.rfftfreq(len(pdf), 1 / fs)
+        with np.errstate(all="ignore"):
+            r = np.corrcoef(a, b)[0, 1]
+        ratios = {}
+        for name, (low, high) in RATIO_BANDS.items():
+            at = (freq >= low) & (freq < high)
+            ratios[name] = (b[at] ** 2).sum() / ((a[at] ** 2).sum() + 1e-10)
+        return pd.DataFrame([{"sample_id": pdf["sample_id"].iloc[0], "r": r, "passed": bool(r >= limit), **ratios}])
+
+    kind = pairs.schema["sample_id"].dataType.simpleString()
+    return pairs.select("sample_id", "channel", "idx", "a", "b").groupBy("sample_id").applyInPandas(run, f"sample_id {kind}, r double, passed boolean, " + ", ".join(f"{b} double" for b in RATIO_BANDS))
+
+
+def sample_checks(pairs: DataFrame, fs: float = 128.0) -> DataFrame:
+    """(sample_id, amplitude, spectral, distribution, kernel, mmd): the four checks of each original and its copy, over all
+    channels and the whole of both. The kernel check takes channels as vectors and passes under 0.5."""
+    amp = amplitude_check(pairs, ["sample_id"]).select("sample_id", F.col("passed").alias("amplitude"))
+    spec = spectral_similarity(pairs, fs).select("sample_id", F.col("passed").alias("spectral"))
+    sides = pairs.select("sample_id", "channel", "idx", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("value")), F.struct(F.lit(2).alias("side"), F.col("b").alias("value")))).alias("e")).select("sample_id", "channel", "idx", "e.*")
+    ks = ks_two_sample(sides, ["sample_id"]).select("sample_id", F.col("passed").alias("distribution"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda r: r["value"])
+    vectors = sides.groupBy("sample_id", "side", "channel").agg(rows.alias("x")).select(F.col("sample_id").alias("own"), "side", F.col("channel").alias("sample_id"), "x")
+    mmd = mmd_rbf(vectors, by=["own"]).select(F.col("own").alias("sample_id"), "mmd", (F.col("mmd") < 0.5).alias("kernel"))
+    return amp.join(spec, "sample_id").join(ks, "sample_id").join(mmd, "sample_id")
+
+
+CHECKS = ["amplitude", "spectral", "distribution", "kernel"]
+
+
 def kolmogorov_p(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     """The asymptotic p-value of a two-sample distance."""
     en = F.sqrt(n1 * n2 / (n1 + n2))
@@ -39,14 +86,29 @@ def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
 
 
-def mmd_rbf(vectors: DataFrame, gamma: float = 1.0, limit: int = 100) -> DataFrame:
-    """Kernel distance of sides 1 and 2, over the first ``limit`` vectors of each by id: the rule has that cap."""
-    some = [vectors.where(F.col("side") == k).orderBy("sample_id").limit(limit).select("side", "sample_id", "x") for k in (1, 2)]
-    rows = some[0].unionByName(some[1])
-    pairs = rows.select(F.col("side").alias("s"), "x").crossJoin(rows.select(F.col("side").alias("t"), F.col("x").alias("y")))
-    k = pairs.groupBy("s", "t").agg(F.avg(F.exp(-gamma * squared_distance(F.col("x"), F.col("y")))).alias("k"))
+def _first_vectors(vectors: DataFrame, by: list[str], limit: int | None) -> DataFrame:
+    if limit is None:
+        return vectors
+    order = W.partitionBy(*by, "side").orderBy("sample_id")
+    return vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+
+
+def kernel_means(vectors: DataFrame, by: list[str], gamma: float = 1.0, limit: int | None = 100) -> DataFrame:
+    """(by, s, t, n, k): the number and the mean of the kernels of all pairs within and between sides 1 and 2.
+
+    The rule compares the first ``limit`` vectors of each side by id, so a group of ``by`` is bounded; without a limit all
+    pairs are compared, block by block, and the work is the square of a group.
+    """
+    some = _first_vectors(vectors, by, limit).select(*by, "side", "x")
+    other = some.select(*by, F.col("side").alias("t"), F.col("x").alias("y"))
+    pairs = some.withColumnRenamed("side", "s").join(other, by) if by else some.withColumnRenamed("side", "s").crossJoin(other)
+    return pairs.groupBy(*by, "s", "t").agg(F.count(F.lit(1)).alias("n"), F.avg(F.exp(-gamma * squared_distance(F.col("x"), F.col("y")))).alias("k"))
+
+
+def mmd_rbf(vectors: DataFrame, gamma: float = 1.0, limit: int | None = 100, by: list[str] | None = None) -> DataFrame:
+    """(by, mmd): kernel distance of sides 1 and 2; the rule has the cap of ``limit`` vectors a side, None lifts it."""
     total = F.sum(F.when(F.col("s") == F.col("t"), F.col("k")).otherwise(-F.col("k")))
-    return k.agg(F.sqrt(F.greatest(total, F.lit(0.0))).alias("mmd"))
+    return kernel_means(vectors, by or [], gamma, limit).groupBy(*(by or [])).agg(F.sqrt(F.greatest(total, F.lit(0.0))).alias("mmd"))
 
 
 def mmd_linear(vectors: DataFrame) -> DataFrame:
@@ -62,4 +124,5 @@ def quality_score(checks: DataFrame, names: list[str]) -> DataFrame:
 
 
 def pass_rates(scored: DataFrame, names: list[str]) -> DataFrame:
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("accepted").cast("double")).alias("pass_rate"), F.avg("score").alias("mean_score"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in names])
+    """(n, pass_rate, mean_score, mean_mmd, <check>_rate...) over all samples."""
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("accepted").cast("double")).alias("pass_rate"), F.avg("score").alias("mean_score"), F.avg("mmd").alias("mean_mmd"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in names])

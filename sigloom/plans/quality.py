@@ -8,19 +8,17 @@ from sigloom.functions.draws import normal_sql
 from sigloom.operators import augment as ag
 from sigloom.operators import connectivity as cn
 from sigloom.operators import quality as ql
-from sigloom.operators import spectral as sp
+from sigloom.operators import statistics as st
 from sigloom.operators import windows as wn
 from sigloom.plans.augmentation import _KEY3, _LONG, _span, long
-from sigloom.plans.registry import events, query, r6, samples, signal, wide_signal
+from sigloom.plans.registry import events, query, r6, samples, signal
 
 _NOISY = f"noisy AS (SELECT sample_id, channel, idx, value AS a, value + {normal_sql(1, 'noise', _KEY3)} * stddev_pop(value) OVER (PARTITION BY sample_id) * {_span('level', 'sample_id', 0.001, 0.05)} AS b FROM long)"
 
 
 def paired(spark, sf_dir):
-    """(sample_id, channel, idx, a, b): originals beside their noisy copies, by lineage."""
-    rows = long(spark, sf_dir)
-    noisy = ag.gaussian_noise(rows).withColumnRenamed("value", "b")
-    return rows.withColumnRenamed("value", "a").join(noisy, ["sample_id", "channel", "idx"])
+    """(sample_id, channel, idx, a, b): originals and their noisy copies, side by side."""
+    return long(spark, sf_dir).withColumn("b", F.col("value") + ag.noise()).withColumnRenamed("value", "a")
 
 
 @query(f"WITH {_LONG}, {_NOISY} SELECT sample_id, round(stddev_pop(b) / stddev_pop(a), 5) + 0.0 AS ratio, abs(stddev_pop(b) / stddev_pop(a) - 1) < 3 AS passed FROM noisy GROUP BY ALL")
@@ -38,28 +36,21 @@ def pair_original_augmented(spark, sf_dir):
     return paired(spark, sf_dir).groupBy("sample_id", "channel").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("a") * F.col("b")), 4).alias("ab"))
 
 
-_TURN = "turn AS (SELECT p.range AS pos, CAST(b.range AS INT) AS bin, cos(2 * pi() * ((p.range * b.range) % 64) / 64) AS c, -sin(2 * pi() * ((p.range * b.range) % 64) / 64) AS s FROM range(0, 64) p, range(0, 33) b)"
-_SPEC = f"""{_LONG}, {_NOISY}, {_TURN}, cut AS (SELECT sample_id, idx AS pos, a, b FROM noisy WHERE channel = 'price' AND idx < 64),
-mags AS (SELECT sample_id, bin, sqrt(pow(sum(a * c), 2) + pow(sum(a * s), 2)) AS ma, sqrt(pow(sum(b * c), 2) + pow(sum(b * s), 2)) AS mb FROM cut JOIN turn USING (pos) GROUP BY ALL)"""
+_SPEC = """flatp AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY channel, idx) - 1 AS pos, count(*) OVER (PARTITION BY sample_id) AS n, a, b FROM noisy),
+mags AS (SELECT sample_id, n, k AS bin, sqrt(pow(sum(a * cos(2 * pi() * ((pos * k) % n) / n)), 2) + pow(sum(a * sin(2 * pi() * ((pos * k) % n) / n)), 2)) AS ma, sqrt(pow(sum(b * cos(2 * pi() * ((pos * k) % n) / n)), 2) + pow(sum(b * sin(2 * pi() * ((pos * k) % n) / n)), 2)) AS mb
+  FROM flatp JOIN range(0, 20000) r(k) ON k <= n // 2 GROUP BY ALL)"""
 
 
-def magnitudes(spark, sf_dir):
-    cut = paired(spark, sf_dir).where("channel = 'price' AND idx < 64").withColumnRenamed("idx", "pos")
-    a = sp.rfft_magnitude(cut.select("sample_id", "pos", F.col("a").alias("value")), ["sample_id"], 64).withColumnRenamed("mag", "ma")
-    b = sp.rfft_magnitude(cut.select("sample_id", "pos", F.col("b").alias("value")), ["sample_id"], 64).withColumnRenamed("mag", "mb")
-    return a.join(b, ["sample_id", "bin"])
-
-
-@query(f"WITH {_SPEC} SELECT sample_id, round(corr(ma, mb), 5) + 0.0 AS r, corr(ma, mb) >= 0.7 AS passed FROM mags GROUP BY ALL")
+@query(f"WITH {_LONG}, {_NOISY}, {_SPEC} SELECT sample_id, round(corr(ma, mb), 5) + 0.0 AS r, corr(ma, mb) >= 0.7 AS passed FROM mags GROUP BY ALL")
 def spectral_similarity(spark, sf_dir):
-    r = magnitudes(spark, sf_dir).groupBy("sample_id").agg(F.corr("ma", "mb").alias("r"))
-    return r.select("sample_id", r6("r", 5).alias("r"), (F.col("r") >= 0.7).alias("passed"))
+    """Fourier magnitudes of whole samples, all channels."""
+    return ql.spectral_similarity(paired(spark, sf_dir)).select("sample_id", r6("r", 5).alias("r"), "passed")
 
 
-@query(f"WITH {_SPEC}, b AS (SELECT *, CASE WHEN bin * 2 < 0.5 THEN NULL WHEN bin * 2 < 4 THEN 'delta' WHEN bin * 2 < 8 THEN 'theta' WHEN bin * 2 < 13 THEN 'alpha' WHEN bin * 2 < 30 THEN 'beta' END AS band FROM mags) SELECT sample_id, band, round(sum(mb * mb) / (sum(ma * ma) + 1e-10), 5) + 0.0 AS ratio FROM b WHERE band IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_LONG}, {_NOISY}, {_SPEC}, b AS (SELECT *, CASE WHEN bin * 128.0 / n < 0.5 THEN NULL WHEN bin * 128.0 / n < 4 THEN 'delta' WHEN bin * 128.0 / n < 8 THEN 'theta' WHEN bin * 128.0 / n < 13 THEN 'alpha' WHEN bin * 128.0 / n < 30 THEN 'beta' END AS band FROM mags) SELECT sample_id, band, round(sum(mb * mb) / (sum(ma * ma) + 1e-10), 5) + 0.0 AS ratio FROM b WHERE band IS NOT NULL GROUP BY ALL")
 def band_power_ratio(spark, sf_dir):
-    m = magnitudes(spark, sf_dir).withColumn("band", sp.band_of(F.col("bin") * 2.0)).where("band IS NOT NULL AND band <> 'gamma'")
-    return m.groupBy("sample_id", "band").agg(r6(F.sum(F.col("mb") * F.col("mb")) / (F.sum(F.col("ma") * F.col("ma")) + 1e-10), 5).alias("ratio"))
+    wide = ql.spectral_similarity(paired(spark, sf_dir))
+    return wide.unpivot("sample_id", list(ql.RATIO_BANDS), "band", "ratio").select("sample_id", "band", r6("ratio", 5).alias("ratio"))
 
 
 _KS = """u AS (SELECT channel, value, count(*) FILTER (recording_id % 2 = 1) AS c1, count(*) FILTER (recording_id % 2 = 0) AS c2 FROM irregular GROUP BY ALL),
@@ -100,82 +91,83 @@ def mmd_linear(spark, sf_dir):
 @query(f"WITH {_SOME} SELECT s, t, n, round(k, 6) + 0.0 AS k FROM k")
 def kernel_pairs(spark, sf_dir):
     """Mean kernels within and between the sides' first hundred vectors."""
-    v = sides(spark, sf_dir)
-    some = v.where("side = 1").orderBy("sample_id").limit(100).unionByName(v.where("side = 2").orderBy("sample_id").limit(100))
-    pairs = some.select(F.col("side").alias("s"), "x").crossJoin(some.select(F.col("side").alias("t"), F.col("x").alias("y")))
-    return pairs.groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.exp(-ql.squared_distance(F.col("x"), F.col("y"))))).alias("k"))
+    return ql.kernel_means(sides(spark, sf_dir), []).select("s", "t", "n", r6("k").alias("k"))
 
 
-_CHECKS = f"""{_SPEC}, amp AS (SELECT sample_id, abs(stddev_pop(b) / stddev_pop(a) - 1) < 3 AS amplitude, abs(avg(a) - avg(b)) < 0.5 AS mean_ok FROM noisy GROUP BY ALL), spc AS (SELECT sample_id, corr(ma, mb) >= 0.7 AS spectral FROM mags GROUP BY ALL),
-checks AS (SELECT sample_id, amplitude, spectral, mean_ok, sample_id % 3 = 0 AS extra FROM amp JOIN spc USING (sample_id)), s AS (SELECT *, (amplitude::INT + spectral::INT + mean_ok::INT + extra::INT) * 0.25 AS score FROM checks)"""
+_SIDED = "vec AS (SELECT sample_id, 1 AS side, channel, idx, a AS v FROM noisy UNION ALL SELECT sample_id, 2, channel, idx, b FROM noisy)"
+_KS2 = """u AS (SELECT sample_id, v, count(*) FILTER (side = 1) AS c1, count(*) FILTER (side = 2) AS c2 FROM vec GROUP BY ALL),
+g AS (SELECT sample_id, abs(sum(c1) OVER w / sum(c1) OVER (PARTITION BY sample_id) - sum(c2) OVER w / sum(c2) OVER (PARTITION BY sample_id)) AS gap, sum(c1) OVER (PARTITION BY sample_id) AS n1 FROM u WINDOW w AS (PARTITION BY sample_id ORDER BY v ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT sample_id, (sqrt(n1 / 2) + 0.12 + 0.11 / sqrt(n1 / 2)) * max(gap) AS x FROM g GROUP BY sample_id, n1),
+ks AS (SELECT sample_id, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(2 * sum(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2 * k * k * x * x)), 0), 1) END > 0.05 AS distribution FROM x, range(1, 101) t(k) GROUP BY sample_id, x)"""
+_MMD2 = """kk AS (SELECT p.sample_id, p.side AS s, q.side AS t, p.channel AS c, q.channel AS e, exp(-sum((p.v - q.v) * (p.v - q.v))) AS k FROM vec p JOIN vec q ON q.sample_id = p.sample_id AND q.idx = p.idx GROUP BY ALL),
+km AS (SELECT sample_id, s, t, avg(k) AS k FROM kk GROUP BY ALL), mm AS (SELECT sample_id, sqrt(greatest(sum(CASE WHEN s = t THEN k ELSE -k END), 0)) AS mmd FROM km GROUP BY sample_id)"""
+_CHECKS = f"""{_LONG}, {_NOISY}, {_SPEC}, {_SIDED}, {_KS2}, {_MMD2}, amp AS (SELECT sample_id, abs(stddev_pop(b) / stddev_pop(a) - 1) < 3 AS amplitude FROM noisy GROUP BY ALL), spc AS (SELECT sample_id, corr(ma, mb) >= 0.7 AS spectral FROM mags GROUP BY ALL),
+s AS (SELECT *, mmd < 0.5 AS kernel, (amplitude::INT + spectral::INT + distribution::INT + (mmd < 0.5)::INT) * 0.25 AS score FROM amp JOIN spc USING (sample_id) JOIN ks USING (sample_id) JOIN mm USING (sample_id))"""
 
 
 def scores(spark, sf_dir):
-    pairs = paired(spark, sf_dir)
-    amp = pairs.groupBy("sample_id").agg((F.abs(F.stddev_pop("b") / F.stddev_pop("a") - 1) < 3).alias("amplitude"), (F.abs(F.avg("a") - F.avg("b")) < 0.5).alias("mean_ok"))
-    spec = magnitudes(spark, sf_dir).groupBy("sample_id").agg((F.corr("ma", "mb") >= 0.7).alias("spectral"))
-    checks = amp.join(spec, "sample_id").withColumn("extra", F.col("sample_id") % 3 == 0)
-    return ql.quality_score(checks, ["amplitude", "spectral", "mean_ok", "extra"])
+    return ql.quality_score(ql.sample_checks(paired(spark, sf_dir)), ql.CHECKS)
 
 
-@query(f"WITH {_CHECKS} SELECT sample_id, amplitude, spectral, mean_ok, CAST(score AS DOUBLE) AS score, score >= 0.5 AS accepted FROM s")
+@query(f"WITH {_CHECKS} SELECT sample_id, amplitude, spectral, distribution, kernel, round(mmd, 5) + 0.0 AS mmd, CAST(score AS DOUBLE) AS score, score >= 0.5 AS accepted FROM s")
 def quality_score(spark, sf_dir):
-    return scores(spark, sf_dir).select("sample_id", "amplitude", "spectral", "mean_ok", F.col("score").cast("double").alias("score"), "accepted")
+    """Four checks of each sample and its noisy copy: amplitude, spectrum, distribution and kernel distance."""
+    return scores(spark, sf_dir).select("sample_id", *ql.CHECKS, r6("mmd", 5).alias("mmd"), F.col("score").cast("double").alias("score"), "accepted")
 
 
-@query(f"WITH {_CHECKS} SELECT count(*) AS n, avg(CAST(score >= 0.5 AS DOUBLE)) AS pass_rate, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, avg(CAST(amplitude AS DOUBLE)) AS amplitude_rate, round(avg(CAST(spectral AS DOUBLE)), 6) + 0.0 AS spectral_rate FROM s")
+@query(f"WITH {_CHECKS} SELECT count(*) AS n, avg(CAST(score >= 0.5 AS DOUBLE)) AS pass_rate, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, round(avg(mmd), 5) + 0.0 AS mean_mmd, round(avg(CAST(amplitude AS DOUBLE)), 6) + 0.0 AS amplitude_rate, round(avg(CAST(spectral AS DOUBLE)), 6) + 0.0 AS spectral_rate, round(avg(CAST(distribution AS DOUBLE)), 6) + 0.0 AS distribution_rate FROM s")
 def quality_pass_rates(spark, sf_dir):
-    return ql.pass_rates(scores(spark, sf_dir), ["amplitude", "spectral"]).select("n", "pass_rate", r6("mean_score").alias("mean_score"), "amplitude_rate", r6("spectral_rate").alias("spectral_rate"))
+    rates = ql.pass_rates(scores(spark, sf_dir), ["amplitude", "spectral", "distribution"])
+    return rates.select("n", "pass_rate", r6("mean_score").alias("mean_score"), r6("mean_mmd", 5).alias("mean_mmd"), *[r6(f"{c}_rate").alias(f"{c}_rate") for c in ("amplitude", "spectral", "distribution")])
 
 
-_TE = """w AS (SELECT recording_id, channel, idx AS t, value, count(*) OVER (PARTITION BY recording_id, channel) AS n FROM signal WHERE channel IN ('price', 'quantity') AND idx < 64),
-e AS (SELECT recording_id, channel, t, value AS v0, lead(value, 10) OVER o AS v1, lead(value, 20) OVER o AS v2, lead(value, 21) OVER o AS nxt FROM w WHERE n = 64 WINDOW o AS (PARTITION BY recording_id, channel ORDER BY t)),
-l AS (SELECT * FROM e WHERE nxt IS NOT NULL),
-oy AS (SELECT a.recording_id, a.channel, a.t, sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.nxt - b.nxt, 2)) AS r, row_number() OVER (PARTITION BY a.recording_id, a.channel, a.t ORDER BY sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.nxt - b.nxt, 2)), b.t) AS k FROM l a JOIN l b ON a.recording_id = b.recording_id AND a.channel = b.channel AND a.t <> b.t),
-hy AS (SELECT recording_id, channel, 4 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS h FROM oy WHERE k = 4 GROUP BY ALL),
-j AS (SELECT y.recording_id, x.channel AS src, y.channel AS dst, y.t, y.v0, y.v1, y.v2, y.nxt, x.v0 AS x0, x.v1 AS x1, x.v2 AS x2 FROM l y JOIN l x ON y.recording_id = x.recording_id AND y.t = x.t AND x.channel <> y.channel),
-jr AS (SELECT a.recording_id, a.src, a.dst, a.t, b.t AS t2, sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.nxt - b.nxt, 2)) AS r FROM j a JOIN j b ON a.recording_id = b.recording_id AND a.src = b.src AND a.dst = b.dst AND a.t <> b.t),
-jk AS (SELECT *, row_number() OVER (PARTITION BY recording_id, src, dst, t ORDER BY r, t2) AS k FROM jr),
-hj AS (SELECT recording_id, src, dst, 7 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS hj FROM jk WHERE k = 4 GROUP BY ALL)"""
+_POINTS = """w AS (SELECT recording_id, channel, CAST(idx // 64 AS BIGINT) AS window_id, idx % 64 AS t, value, count(*) OVER (PARTITION BY recording_id, channel, idx // 64) AS n FROM signal),
+e AS (SELECT recording_id, channel, window_id, t, value AS v0, lead(value, 10) OVER o AS v1, lead(value, 20) OVER o AS v2, lead(value, 21) OVER o AS nxt FROM w WHERE n = 64 WINDOW o AS (PARTITION BY recording_id, channel, window_id ORDER BY t)),
+l AS MATERIALIZED (SELECT * FROM e WHERE nxt IS NOT NULL),
+oy AS (SELECT a.recording_id, a.window_id, a.channel, a.t, min(sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.nxt - b.nxt, 2)), 4)[4] AS r FROM l a JOIN l b ON a.recording_id = b.recording_id AND a.window_id = b.window_id AND a.channel = b.channel AND a.t <> b.t GROUP BY ALL)"""
+_TE = _POINTS + """,
+hy AS (SELECT recording_id, window_id, channel, 4 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS h FROM oy GROUP BY ALL),
+j AS MATERIALIZED (SELECT y.recording_id, y.window_id, x.channel AS src, y.channel AS dst, y.t, y.v0, y.v1, y.v2, y.nxt, x.v0 AS x0, x.v1 AS x1, x.v2 AS x2 FROM l y JOIN l x ON y.recording_id = x.recording_id AND y.window_id = x.window_id AND y.t = x.t AND x.channel <> y.channel),
+jr AS (SELECT a.recording_id, a.window_id, a.src, a.dst, a.t, min(sqrt(pow(a.v0 - b.v0, 2) + pow(a.v1 - b.v1, 2) + pow(a.v2 - b.v2, 2) + pow(a.x0 - b.x0, 2) + pow(a.x1 - b.x1, 2) + pow(a.x2 - b.x2, 2) + pow(a.nxt - b.nxt, 2)), 4)[4] AS r FROM j a JOIN j b ON a.recording_id = b.recording_id AND a.window_id = b.window_id AND a.src = b.src AND a.dst = b.dst AND a.t <> b.t GROUP BY ALL),
+hj AS (SELECT recording_id, window_id, src, dst, 7 * avg(ln(r + 1e-10)) + ln(count(*)) + 0.5772156649015329 AS hj FROM jr GROUP BY ALL)"""
+_BY = ["recording_id", "window_id"]
 
 
-def te_windows(spark, sf_dir):
-    s = signal(spark, sf_dir).where(F.col("channel").isin("price", "quantity"))
-    return wn.tumbling_windows(s, 64).where("window_id = 0").select("recording_id", "channel", "pos", "value")
+def windows(spark, sf_dir, size):
+    w = wn.tumbling_windows(signal(spark, sf_dir), size)
+    return w.select("recording_id", "channel", F.col("window_id").cast("long").alias("window_id"), "pos", "value")
 
 
-@query(f"WITH {_TE} SELECT hj.recording_id, src, dst, round(greatest(h - hj, 0), 5) + 0.0 AS value FROM hj JOIN hy ON hy.recording_id = hj.recording_id AND hy.channel = hj.dst")
+@query(f"WITH {_TE} SELECT hj.recording_id, hj.window_id, src, dst, round(greatest(h - hj, 0), 5) + 0.0 AS value FROM hj JOIN hy ON hy.recording_id = hj.recording_id AND hy.window_id = hj.window_id AND hy.channel = hj.dst")
 def transfer_entropy(spark, sf_dir):
-    """Between two channels in the first window of each recording."""
-    t = cn.transfer_entropy(te_windows(spark, sf_dir), ["recording_id"])
-    return t.select("recording_id", "src", "dst", r6("value", 5).alias("value"))
+    """Between all channels in every tumbling window of 64."""
+    return cn.transfer_entropy(windows(spark, sf_dir, 64), _BY).select(*_BY, "src", "dst", r6("value", 5).alias("value"))
 
 
-@query(f"WITH {_TE} SELECT recording_id, channel, t, round(r, 6) + 0.0 AS r FROM oy WHERE k = 4")
+@query(f"WITH {_POINTS} SELECT recording_id, window_id, channel, t, round(r, 6) + 0.0 AS r FROM oy")
 def kth_distance(spark, sf_dir):
-    """Distance of each delay vector and its next value to the fourth nearest other one."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("recording_id", "channel").orderBy("pos")
-    p = te_windows(spark, sf_dir).select("recording_id", "channel", F.col("pos").alias("t"), F.array("value", F.lead("value", 10).over(w), F.lead("value", 20).over(w), F.lead("value", 21).over(w)).alias("p"))
-    p = p.where(F.col("p")[3].isNotNull())
-    q = p.select("recording_id", "channel", F.col("t").alias("t2"), F.col("p").alias("q"))
-    near = p.join(q, ["recording_id", "channel"]).where("t <> t2").withColumn("r", F.sqrt(ql.squared_distance(F.col("p"), F.col("q"))))
-    rank = F.row_number().over(W.partitionBy("recording_id", "channel", "t").orderBy("r", "t2"))
-    return near.withColumn("k", rank).where("k = 4").select("recording_id", "channel", F.col("t").cast("int").alias("t"), r6("r").alias("r"))
+    """Distance of each delay vector and its next value to the fourth nearest other one, in every window of 64."""
+    return cn.kth_distance(windows(spark, sf_dir, 64), _BY).select(*_BY, "channel", "t", r6("r").alias("r"))
 
 
 @query()
 def lagged_ols(spark, sf_dir):
-    """Two lags of all channels; small systems solved for each recording, tested against a direct solution."""
-    return cn.lagged_ols(wide_signal(spark, sf_dir), ["recording_id"], "idx", ["discount", "price", "quantity", "tax"])
+    """Ten lags of all channels in every window of 128; small systems, tested against a direct solution."""
+    return cn.lagged_ols(windows(spark, sf_dir, 128), _BY)
+
+
+def measures(spark, sf_dir):
+    w = windows(spark, sf_dir, 128)
+    return cn.connectivity_set({"te": cn.transfer_entropy(w, _BY), "corr": st.correlation_matrix(w, _BY, "pos"), "ols": cn.lagged_ols(w, _BY)})
 
 
 @query()
 def connectivity_set(spark, sf_dir):
-    """Transfer entropy, correlation and regression edges of each recording in one table."""
-    from sigloom.operators.statistics import correlation_matrix
+    """Transfer entropy, correlation and regression edges of every window of 128 in one table; tested by its parts."""
+    return measures(spark, sf_dir)
+
 
-    corr = correlation_matrix(signal(spark, sf_dir), ["recording_id"])
-    ols = cn.lagged_ols(wide_signal(spark, sf_dir), ["recording_id"], "idx", ["discount", "price", "quantity", "tax"])
-    return cn.connectivity_set({"te": cn.transfer_entropy(te_windows(spark, sf_dir), ["recording_id"]), "corr": corr, "ols": ols})
+@query()
+def connectivity_grids(spark, sf_dir):
+    """Each measure of every window of 128 as a matrix of channels; tested against its edges."""
+    return cn.connectivity_grids(measures(spark, sf_dir), _BY, ["discount", "price", "quantity", "tax"])
