@@ -51,6 +51,17 @@ def invalid(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
 
+def reason(c: Column) -> Column:
+    """Why a value is rejected: null, nan or infinite; null for a valid one."""
+    return F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "infinite")
+
+
+def validate_signal(rows: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantine): the rows whose value may be used, and the others with the ``reason``."""
+    told = rows.withColumn("reason", reason(F.col(value)))
+    return told.where(F.col("reason").isNull()).drop("reason"), told.where(F.col("reason").isNotNull())
+
+
 def clean(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
 

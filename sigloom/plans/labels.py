@@ -53,12 +53,14 @@ def code_to_label(spark, sf_dir):
     return lb.code_to_label(rows, codes, "code").select("recording_id", "code", "label", "arousal", "valence")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (isnan(v)) AS n_nan, count(*) FILTER (isinf(v)) AS n_inf, round(sum(CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0 ELSE v END), 3) + 0.0 AS total FROM (SELECT CASE recording_id % 7 WHEN 0 THEN CASE idx WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) ELSE value END ELSE value END AS v FROM irregular)")
+@query("""WITH v AS (SELECT CASE WHEN recording_id % 7 <> 0 THEN value WHEN idx = 0 THEN NULL WHEN idx = 1 THEN CAST('NaN' AS DOUBLE) WHEN idx = 2 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS v FROM irregular),
+t AS (SELECT v, CASE WHEN v IS NULL THEN 'null' WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN 'infinite' ELSE 'valid' END AS reason FROM v)
+SELECT reason, count(*) AS n, round(sum(CASE WHEN reason = 'valid' THEN v END), 3) + 0.0 AS total FROM t GROUP BY reason""")
 def validate_signal(spark, sf_dir):
-    """Counts of values by the reason for which they are rejected, and the sum of the others."""
+    """Values that may be used, and the others by the reason for which they are rejected."""
     v = F.when(F.col("recording_id") % 7 == 0, F.when(F.col("idx") == 0, None).when(F.col("idx") == 1, float("nan")).when(F.col("idx") == 2, float("inf")).otherwise(F.col("value"))).otherwise(F.col("value"))
-    rows = events(spark, sf_dir).select(v.alias("v"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("n_null"), F.count_if(F.isnan("v")).alias("n_nan"), F.count_if(F.abs("v") == float("inf")).alias("n_inf"), r6(F.sum(F.when(lb.invalid(F.col("v")), 0.0).otherwise(F.col("v"))), 3).alias("total"))
+    valid, quarantine = lb.validate_signal(events(spark, sf_dir).select(v.alias("value")))
+    return valid.select(F.lit("valid").alias("reason"), "value").unionByName(quarantine.select("reason", F.lit(None).cast("double").alias("value"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), 3).alias("total"))
 
 
 @query("SELECT recording_id, channel, idx, round(CASE WHEN isnan(v) OR isinf(v) THEN 0 ELSE v END, 6) + 0.0 AS value, CAST(isnan(v) OR isinf(v) AS INT) AS cleaned FROM (SELECT *, CASE WHEN idx = 1 THEN CAST('NaN' AS DOUBLE) WHEN idx = 2 THEN CAST('-Infinity' AS DOUBLE) ELSE value END AS v FROM irregular)")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigloom.operators import metrics as mt
-from sigloom.plans.metrics import confident
+from sigloom.plans.metrics import _CONF, _PRF, confident
 from sigloom.plans.registry import events, query, r6, recordings, scored, signal, wide_signal
+from sigloom.scratch import new_folder
 from sigloom.sources import files
 
 
 @query("SELECT 'gameemo' AS dataset, subject_id, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM signal s JOIN recording r ON r.recording_id = s.recording_id WHERE subject_id IN (1, 5, 9) AND s.recording_id % 2 = 0 GROUP BY ALL")
 def read_partitioned(spark, sf_dir):
     """Three subjects of one dataset, the other folders pruned."""
-    path = files.scratch(spark)
+    path = new_folder(spark)
     rows = signal(spark, sf_dir).join(recordings(spark, sf_dir).select("recording_id", "subject_id"), "recording_id")
     rows.withColumn("dataset", F.when(F.col("recording_id") % 2 == 0, "gameemo").otherwise("deap")).repartition("dataset", "subject_id").write.partitionBy("dataset", "subject_id").parquet(path)
     some = files.read_partitioned(spark, path, "GAMEEMO", ("deap", "gameemo", "seed"), [1, 5, 9])
@@ -23,7 +24,7 @@ def read_partitioned(spark, sf_dir):
 @query("SELECT CAST(recording_id AS INT) AS subject_id, 1 AS game, idx, round(price, 6) + 0.0 AS price, round(tax, 6) + 0.0 AS tax FROM wide")
 def read_wide_csv(spark, sf_dir):
     """Recordings written as one CSV file each and read back with two of their channels."""
-    path = files.scratch(spark)
+    path = new_folder(spark)
     w = wide_signal(spark, sf_dir)
     fs = spark._jvm.org.apache.hadoop.fs
     w.withColumn("rec", F.col("recording_id")).repartition(64, "rec").sortWithinPartitions("rec", "idx").drop("recording_id", "idx").write.partitionBy("rec").option("header", True).csv(path)
@@ -39,12 +40,12 @@ def read_wide_csv(spark, sf_dir):
 def write_dataset(spark, sf_dir):
     """Rows in a folder for each dataset and technique, and their counts."""
     rows = events(spark, sf_dir).withColumn("dataset", F.when(F.col("recording_id") % 2 == 0, "a").otherwise("b")).withColumnRenamed("channel", "technique")
-    return files.write_dataset(rows, files.scratch(spark))
+    return files.write_dataset(rows, new_folder(spark))
 
 
 @query("SELECT CAST(recording_id % 25 AS INT) AS subject_id, count(*) AS n FROM irregular GROUP BY ALL")
 def write_by_subject(spark, sf_dir):
-    path = files.scratch(spark)
+    path = new_folder(spark)
     files.write_by_subject(events(spark, sf_dir).withColumn("subject_id", (F.col("recording_id") % 25).cast("int")), path)
     return spark.read.parquet(path).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -52,7 +53,7 @@ def write_by_subject(spark, sf_dir):
 @query("SELECT recording_id, channel, round(avg(value), 6) + 0.0 AS mean FROM signal GROUP BY ALL")
 def feature_cache(spark, sf_dir):
     """Features made once and read the second time."""
-    root = files.scratch(spark)
+    root = new_folder(spark)
     make = lambda: signal(spark, sf_dir).groupBy("recording_id", "channel").agg(r6(F.avg("value")).alias("mean"))
     files.feature_cache(spark, root, {"features": ["mean"]}, make)
     return files.feature_cache(spark, root, {"features": ["mean"]}, lambda: make().limit(0))
@@ -61,7 +62,7 @@ def feature_cache(spark, sf_dir):
 @query("SELECT 'm' || (row_id % 5) AS model_name, 'binary' AS classification_type, round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) + 0.0 AS accuracy, round(avg(score), 6) + 0.0 AS roc_auc FROM scored GROUP BY ALL")
 def read_results_json(spark, sf_dir):
     """A result file for each of five models, written and read."""
-    path = files.scratch(spark)
+    path = new_folder(spark)
     m = scored(spark, sf_dir).groupBy(F.concat(F.lit("m"), (F.col("row_id") % 5).cast("string")).alias("model_name")).agg(r6(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).alias("accuracy"), r6(F.avg("score")).alias("roc_auc"))
     m.select("model_name", F.lit("binary").alias("classification_type"), F.struct("accuracy", "roc_auc").alias("metrics"), F.col("model_name").alias("p")).repartition(5, "p").write.partitionBy("p").json(path)
     fs = spark._jvm.org.apache.hadoop.fs
@@ -74,19 +75,27 @@ def read_results_json(spark, sf_dir):
 @query("SELECT CASE WHEN recording_id % 2 = 0 THEN 'train' ELSE 'val' END AS phase, 'loss' AS metric, CAST(idx + 1 AS INT) AS epoch, round(avg(value), 6) + 0.0 AS value FROM irregular GROUP BY ALL")
 def read_history_json(spark, sf_dir):
     """A training history written as one document and read as rows."""
-    path = files.scratch(spark)
+    path = new_folder(spark)
     h = events(spark, sf_dir).groupBy(F.when(F.col("recording_id") % 2 == 0, "train").otherwise("val").alias("phase"), "idx").agg(r6(F.avg("value")).alias("v"))
     lists = h.groupBy("phase").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("loss"))
     lists.groupBy().pivot("phase", ["train", "val"]).agg(F.first(F.struct("loss"))).coalesce(1).write.json(path)
     return files.read_history_json(spark, path).select("phase", "metric", F.col("epoch").cast("int").alias("epoch"), "value")
 
 
-@query()
+_F = ("precision", "recall", "f1")
+_AVERAGED = " UNION ALL ".join([f"SELECT 'overall' AS part, 'macro:{c}' AS name, avg({c}) AS value FROM prf UNION ALL SELECT 'overall', 'weighted:{c}', sum({c} * support) / sum(support) FROM prf UNION ALL SELECT 'overall', 'binary:{c}', {c} FROM prf WHERE class = 1" for c in _F])
+_CLASSES = " UNION ALL ".join([f"SELECT 'class', class || ':{c}', {c} FROM prf" for c in (*_F, "support")])
+
+
+@query(f"""WITH {_PRF}, {_CONF}, s AS ({_AVERAGED} UNION ALL {_CLASSES} UNION ALL SELECT 'matrix', y_true || ':' || y_pred, n FROM cm
+UNION ALL SELECT 'confidence', 'mean', avg(confidence) FROM conf UNION ALL SELECT 'confidence', 'std', stddev_pop(confidence) FROM conf
+UNION ALL SELECT 'confidence', 'correct', avg(confidence) FILTER (y_true = y_pred) FROM conf UNION ALL SELECT 'confidence', 'incorrect', avg(confidence) FILTER (y_true <> y_pred) FROM conf)
+SELECT part, name, round(value, 6) + 0.0 AS value FROM s""")
 def write_metrics_summary(spark, sf_dir):
-    """All figures of a scored table as one document; tested against its parts."""
-    path = files.scratch(spark)
+    """All figures of a scored table written as one document, read back and listed."""
+    path = new_folder(spark)
     s = scored(spark, sf_dir)
     matrix = mt.confusion_matrix(s, 2)
     per_class = mt.per_class_prf(matrix)
     files.metrics_summary(mt.averaged_prf(per_class), per_class, mt.confidence_stats(confident(spark, sf_dir)), matrix).coalesce(1).write.json(path)
-    return spark.read.json(path)
+    return files.read_metrics_summary(spark, path).select("part", "name", r6("value").alias("value"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def read_wide_csv(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
     """(subject_id, game, idx, one column for each channel) of files ``.../SxxGyAllChannels.csv``.
 
@@ -86,3 +75,18 @@ def metrics_summary(averaged: DataFrame, per_class: DataFrame, confidence: DataF
     rows = matrix.groupBy("y_true").agg(F.transform(F.sort_array(F.collect_list(F.struct("y_pred", "n"))), lambda x: x["n"]).alias("row"))
     cells = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("y_true", "row"))), lambda x: x["row"]).alias("confusion_matrix"))
     return overall.crossJoin(each).crossJoin(confidence.select(F.struct("*").alias("confidence_stats"))).crossJoin(cells)
+
+
+def read_metrics_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(part, name, value) of documents of ``metrics_summary``: overall figures by average, those of each class, confidence
+    and the cells of the matrix."""
+    prf = "precision DOUBLE, recall DOUBLE, f1 DOUBLE"
+    doc = spark.read.schema(f"overall_metrics MAP<STRING, STRUCT<{prf}>>, per_class_metrics ARRAY<STRUCT<class INT, {prf}, support DOUBLE>>, confidence_stats MAP<STRING, DOUBLE>, confusion_matrix ARRAY<ARRAY<DOUBLE>>").json(path)
+    row = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
+    named = lambda key, c: F.concat_ws(":", key, F.lit(c))
+    three = ("precision", "recall", "f1")
+    overall = F.flatten(F.transform(F.map_entries("overall_metrics"), lambda e: F.array(*[row("overall", named(e["key"], c), e["value"][c]) for c in three])))
+    classes = F.flatten(F.transform("per_class_metrics", lambda e: F.array(*[row("class", named(e["class"].cast("string"), c), e[c]) for c in (*three, "support")])))
+    confidence = F.transform(F.map_entries("confidence_stats"), lambda e: row("confidence", e["key"], e["value"]))
+    cells = F.flatten(F.transform("confusion_matrix", lambda r, i: F.transform(r, lambda n, j: row("matrix", F.concat_ws(":", i, j), n))))
+    return doc.select(F.explode(F.concat(overall, classes, confidence, cells)).alias("e")).select("e.*")
