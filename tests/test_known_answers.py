@@ -67,9 +67,69 @@ def test_butterworth_passes_its_band_and_zero_phase_keeps_place(spark):
     gain = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / 128)) / np.polyval(a, np.exp(2j * np.pi * f / 128)))
     assert gain(10.2) == pytest.approx(1, abs=1e-3) and gain(2) < 1e-2 and gain(30) < 1e-2 and gain(8) == pytest.approx(2**-0.5, abs=1e-6)
     t = np.arange(512) / 128
-    y = fl.zero_phase(b, a, np.sin(2 * np.pi * 10 * t))
+    y, short = fl.zero_phase(b, a, [np.sin(2 * np.pi * 10 * t), np.ones(5)])
     assert np.corrcoef(y[100:400], np.sin(2 * np.pi * 10 * t)[100:400])[0, 1] > 0.999
-    assert list(fl.zero_phase(b, a, np.ones(5))) == [1] * 5
+    assert list(short) == [1] * 5
+
+
+def one_pass(b, a, x, z=None):
+    """The difference equation written out."""
+    z, out = list(np.zeros(len(b) - 1) if z is None else z), []
+    for v in x:
+        y = b[0] * v + z[0]
+        z = [b[k] * v - a[k] * y + (z[k] if k < len(z) else 0.0) for k in range(1, len(b))]
+        out.append(y)
+    return np.array(out)
+
+
+def forth_and_back(b, a, x):
+    pad = 3 * max(len(a), len(b))
+    if len(x) <= pad:
+        return x
+    ext = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    z = fl.steady(b, a)
+    y = one_pass(b, a, ext, z * ext[0])[::-1]
+    return one_pass(b, a, y, z * y[0])[::-1][pad:-pad]
+
+
+def many_series(spark, sizes=(200, 90, 20, 133, 34)):
+    rng = np.random.default_rng(11)
+    made = {(k, c): rng.normal(size=n) for k, n in enumerate(sizes) for c in "ab"}
+    rows = [(k, c, i, float(v)) for (k, c), x in made.items() for i, v in enumerate(x)]
+    return made, spark.createDataFrame(rows, "recording_id long, channel string, idx int, value double").repartition(3)
+
+
+def values_of(df, by=("recording_id", "channel")):
+    out = {}
+    for r in df.orderBy(*by, "idx").collect():
+        out.setdefault(tuple(r[c] for c in by), []).append(r["value"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("causal", [True, False])
+def test_filters_of_many_series_match_one_written_out(spark, monkeypatch, causal):
+    monkeypatch.setattr(fl, "TOGETHER", 4)
+    made, df = many_series(spark)
+    b, a = fl.butterworth(4, 8.0, 13.0, 128.0)
+    got = values_of(fl.bandpass(df, 4, 8.0, 13.0, 128.0, causal))
+    assert set(got) == set(made)
+    for key, x in made.items():
+        assert got[key] == pytest.approx(one_pass(b, a, x) if causal else forth_and_back(b, a, x), abs=1e-9)
+
+
+def test_jittered_band_matches_one_written_out(spark):
+    import hashlib
+
+    made, df = many_series(spark)
+    draw = lambda op, key: int(hashlib.md5(f"1#{op}#{key}#0".encode()).hexdigest()[:13], 16) / 2**52
+    got, by_sample = values_of(fl.jittered(df)), values_of(ag.band_jitter_filter(df.withColumnRenamed("recording_id", "sample_id")), ("sample_id", "channel"))
+    for (k, c), x in made.items():
+        for key, found in ((f"{k}:{c}", got[k, c]), (str(k), by_sample[k, c])):
+            move = (1 + draw("edge", key)) * (-1 if draw("edge:sign", key) < 0.5 else 1)
+            low, high = max(0.1, 0.5 + move) / 64, min(63.0, 45 + move) / 64
+            low = min(max(low, 0.01), 0.99)
+            b, a = fl.butterworth(4, low * 64, max(low + 0.01, min(high, 0.99)) * 64, 128.0)
+            assert found == pytest.approx(one_pass(b, a, x), abs=1e-7)
 
 
 def test_published_confusion_matrix(spark):
@@ -109,16 +169,143 @@ def test_full_shift_is_identity(spark):
     assert sorted(map(tuple, rs.circular_shift(s, F.lit(10)).collect())) == sorted(map(tuple, s.collect()))
 
 
+def windowed(spark, x, size, names="abc"):
+    rows = [(1, c, i, float(v)) for k, c in enumerate(names) for i, v in enumerate(x[:, k])]
+    return wn.tumbling_windows(spark.createDataFrame(rows, "recording_id long, channel string, idx int, value double"), size)
+
+
 def test_lagged_ols_matches_a_direct_solution(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 2))
-    for t in range(2, 200):
+    x = rng.normal(size=(256, 3))
+    for t in range(1, 256):
         x[t, 1] += 0.8 * x[t - 1, 0]
-    wide = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(x)], "recording_id long, idx int, a double, b double")
-    got = {(r.src, r.dst): r.value for r in cn.lagged_ols(wide, ["recording_id"], "idx", ["a", "b"]).collect()}
-    design = np.column_stack([np.ones(198), x[1:-1, 0], x[:-2, 0], x[1:-1, 1], x[:-2, 1]])
-    beta = np.linalg.lstsq(design, x[2:], rcond=None)[0]
-    assert got["a", "b"] == pytest.approx(abs(beta[1, 1]) + abs(beta[2, 1]), rel=1e-6)
+    x[128:, 2] = 1.0  # constant in its second window: no unique solution there
+    got = {(r.window_id, r.src, r.dst): r.value for r in cn.lagged_ols(windowed(spark, x, 128), ["recording_id", "window_id"]).collect()}
+    assert len(got) == 12
+    first = x[:128]
+    design = np.column_stack([np.ones(118)] + [first[10 - k : 128 - k, c] for c in range(3) for k in range(1, 11)])
+    beta = np.linalg.lstsq(design, first[10:], rcond=None)[0]
+    for i, src in enumerate("abc"):
+        for j, dst in enumerate("abc"):
+            if i != j:
+                assert got[0, src, dst] == pytest.approx(np.abs(beta[1 + 10 * i : 11 + 10 * i, j]).sum(), rel=1e-6)
+    assert got[0, "a", "b"] > 2 * got[0, "b", "a"]
+    assert got[1, "a", "b"] == pytest.approx(abs(np.corrcoef(x[128:, 0], x[128:, 1])[0, 1])) and got[1, "a", "c"] is None
+
+
+def test_connectivity_measures_and_grids_match_brute_force(spark):
+    x = np.random.default_rng(3).normal(size=(140, 3))
+    by, w = ["recording_id", "window_id"], windowed(spark, x, 64)
+    edges = cn.connectivity_set({"te": cn.transfer_entropy(w, by), "corr": st.correlation_matrix(w, by, "pos"), "ols": cn.lagged_ols(w, by, 2)})
+    got = {(r.window_id, r.measure, r.src, r.dst): r.value for r in edges.collect()}
+    assert len(got) == 2 * 3 * 6
+
+    def kth(points, k=4):
+        return [sorted(math.dist(p, q) for j, q in enumerate(points) if j != i)[k - 1] for i, p in enumerate(points)]
+
+    def entropy(points):
+        return len(points[0]) * sum(math.log(r + 1e-10) for r in kth(points)) / len(points) + math.log(len(points)) + cn.EULER
+
+    dist = {(r.window_id, r.channel, r.t): r.r for r in cn.kth_distance(w, by).collect()}
+    for n in (0, 1):
+        part = x[64 * n : 64 * n + 64]
+        delay = lambda c: [[part[t, c], part[t + 10, c], part[t + 20, c]] for t in range(43)]  # noqa: B023, E731
+        for j, dst in enumerate("abc"):
+            own = [y + [part[t + 21, j]] for t, y in enumerate(delay(j))]
+            assert [dist[n, dst, t] for t in range(43)] == pytest.approx(kth(own))
+            for i, src in enumerate("abc"):
+                if i != j:
+                    both = [y + z + [part[t + 21, j]] for t, (y, z) in enumerate(zip(delay(j), delay(i)))]
+                    assert got[n, "te", src, dst] == pytest.approx(max(0, entropy(own) - entropy(both)), abs=1e-9)
+                    assert got[n, "corr", src, dst] == pytest.approx(abs(np.corrcoef(part[:, i], part[:, j])[0, 1]))
+    for r in cn.connectivity_grids(edges, by, ["a", "b", "c"]).collect():
+        assert r.grid == [[got[r.window_id, r.measure, s, d] if s != d else 0.0 for s in "abc"] for d in "abc"]
+
+
+def test_identical_samples_pass_every_check(spark):
+    from sigloom.operators import quality as ql
+
+    rng = np.random.default_rng(4)
+    rows = [(s, c, i, float(v), float(v if s == 1 else 3 + 9 * rng.normal())) for s in (1, 2) for c in "ab" for i, v in enumerate(rng.normal(size=60))]
+    got = {r.sample_id: r for r in ql.quality_score(ql.sample_checks(spark.createDataFrame(rows, "sample_id long, channel string, idx int, a double, b double")), ql.CHECKS).collect()}
+    assert got[1].score == 1 and got[1].mmd == 0 and got[1].accepted
+    assert not got[2].distribution and not got[2].amplitude and not got[2].accepted
+
+
+def test_kernel_distance_without_a_limit(spark):
+    from sigloom.operators import quality as ql
+
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(130, 3)) * 0.5, rng.normal(size=(150, 3)) * 0.5 + 0.3
+    df = spark.createDataFrame([(1, k, [float(v) for v in r]) for k, r in enumerate(x)] + [(2, k, [float(v) for v in r]) for k, r in enumerate(y)], "side int, sample_id long, x array<double>")
+
+    def want(p, q):
+        k = lambda u, v: np.exp(-((u[:, None] - v[None]) ** 2).sum(2)).mean()
+        return math.sqrt(k(p, p) + k(q, q) - 2 * k(p, q))
+
+    assert ql.mmd_rbf(df, limit=None).first().mmd == pytest.approx(want(x, y))
+    assert ql.mmd_rbf(df).first().mmd == pytest.approx(want(x[:100], y[:100]))
+
+
+def test_every_quota_is_met_and_labels_are_blended(spark):
+    rng = np.random.default_rng(6)
+    n = 12
+    rows = spark.createDataFrame([(s, c, i, float(v)) for s in range(n) for c in "abc" for i, v in enumerate(rng.normal(size=64))], "sample_id long, channel string, idx int, value double")
+    labels = spark.createDataFrame([(s, s % 2) for s in range(n)], "sample_id long, label int")
+    counts = ag.quotas(n, ag.SHARES | {"cutmix": 0.1})
+    values, made = ag.augment_dataset(rows, labels, counts, 64)
+    size = {(r.technique, r.draw_no): r["count"] for r in values.where("technique <> 'original'").groupBy("technique", "draw_no").count().collect()}
+    assert len(size) == sum(counts.values()) == made.count() and set(size.values()) == {3 * 64}
+    for r in made.collect():
+        assert (r.source2_id is None) == (r.technique not in ag.PAIRED) and r.hard1 == r.source_id % 2
+        assert r.soft == pytest.approx([r.weight, 1 - r.weight]) and r.blend == pytest.approx(r.weight * r.hard1 + (1 - r.weight) * r.hard2)
+        assert r.technique != "smote" or (r.hard1 == r.hard2 and r.source2_id != r.source_id)
+    with pytest.raises(ValueError):
+        ag.augment_dataset(rows, labels, {"no such": 1}, 64)
+
+
+def test_stretched_slices_keep_their_ends(spark):
+    x = np.random.default_rng(7).normal(size=40)
+    cut = spark.createDataFrame([(1, "a", i, float(v), 33, 40) for i, v in enumerate(x[:33])], "sample_id long, channel string, idx int, value double, _size int, _n int")
+    got = [r.value for r in ag.stretched(cut).orderBy("idx").collect()]
+    assert got == pytest.approx(np.interp(np.linspace(0, 32, 40), np.arange(33), x[:33]))
+
+
+def test_draws_tell_apart_more_rows_than_32_bits(spark):
+    from sigloom.functions.draws import uniform
+
+    low = spark.range(200_000).select((uniform(1, "x", F.col("id")) * 2.0**52).cast("long").alias("u"))
+    assert low.select((F.col("u") % (1 << 20)).alias("l")).distinct().count() > 150_000
+
+
+def test_patience_matches_a_loop(spark):
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for k in range(30):
+        best, count, stop = None, 0, None
+        for i, v in enumerate(rng.normal(size=25).cumsum() * 0.05):
+            rows.append((f"r{k}", i, float(v)))
+            if best is None or v < best - 0.01:
+                best, count = float(v), 0
+            else:
+                count += 1
+                stop = i if stop is None and count >= 3 else stop
+        want[f"r{k}"] = (stop, best)
+    got = wn.patience_stop(spark.createDataFrame(rows, "run string, epoch long, value double"), ["run"], "epoch", "value", 3, 0.01).collect()
+    assert {r.run: (r.stop_at, r.best) for r in got} == want
+
+
+def test_scratch_goes(spark):
+    from sigloom.scratch import exists, mark, new_folder, release, table
+
+    since = mark(spark)
+    kept, path = table(spark.range(3)), new_folder(spark)
+    spark.range(5).write.parquet(path)
+    assert exists(spark, path) and kept.count() == 3
+    last = table(spark.range(7))
+    release(spark, since, keep=1)
+    assert not exists(spark, path) and last.count() == 7 and mark(spark) == since + 1
+    release(spark, since)
+    assert mark(spark) == since
 
 
 def test_stream_windows(spark, tmp_path):
@@ -133,16 +320,8 @@ def test_stream_windows(spark, tmp_path):
 
 
 def test_entry_without_the_optional_subpackage(monkeypatch):
-    import builtins
-
     import __spark_entry__ as entry
 
-    real = builtins.__import__
-
-    def missing(name, *args, **kwargs):
-        if name.startswith("sigloom.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
-        return real(name, *args, **kwargs)
-
-    monkeypatch.setattr(builtins, "__import__", missing)
+    real = entry.find_spec
+    monkeypatch.setattr(entry, "find_spec", lambda name: None if name in ("sigloom.llm", "corpus_pipeline") else real(name))
     assert not any(q.startswith("op") or q == "pipeline" for q in entry.queries()) and "window_features" in entry.queries()
