@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import components, map_slices
+from sigloom.llm.common import components, map_slices, small_batches
 from sigloom.llm.simhash import fingerprint_links, shingle_hashes, simhash
 from sigloom.scratch import mark, release, table
 
@@ -102,12 +102,10 @@ def plausible(sets: DataFrame, pairs: DataFrame, share: Fraction) -> DataFrame:
     """The ``pairs`` whose keys allow the overlap: what two sets share is among both's keys as far as the shorter list of
     keys goes in the common order, and beyond it at most the rest of that list's set."""
     p, q = share.numerator, share.denominator
-    sizes = sets.select("uid", "n")
-    a, b = sizes.select(F.col("uid").alias("a"), "n"), sizes.select(F.col("uid").alias("b"), F.col("n").alias("m"))
-    sized = table(pairs.join(a, "a").join(b, "b").where(F.least("n", "m") * q >= F.greatest("n", "m") * p))
-    ids = _few(sized.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-    keys = sets.join(ids, "uid", "left_semi").select("uid", "keys")
-    both = sized.join(keys.select(F.col("uid").alias("a"), F.col("keys").alias("x")), "a").join(keys.select(F.col("uid").alias("b"), F.col("keys").alias("y")), "b")
+    ids = _few(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+    keys = sets.join(ids, "uid", "left_semi")
+    one, two = keys.select(F.col("uid").alias("a"), "n", F.col("keys").alias("x")), keys.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * q >= F.greatest("n", "m") * p)
     most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
     return table(both.where(most * (p + q) >= (F.col("n") + F.col("m")) * p).select("a", "b"))
 
@@ -123,7 +121,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, sha
     wanted = _few(sets.join(ids, "uid", "left_semi").select("uid", "first.*"))
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_key"), "text")
     held = texts.join(wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))).select("uid", "text")
-    whole = table(map_slices(held, run, "uid long, set array<long>").dropDuplicates(["uid"]))
+    with small_batches(docs.sparkSession):
+        whole = table(map_slices(held, run, "uid long, set array<long>").dropDuplicates(["uid"]))
     both = pairs.join(whole.select(F.col("uid").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("uid").alias("b"), F.col("set").alias("y")), "b")
     p, q = share.numerator, share.denominator
     sizes = F.size("x") + F.size("y")
@@ -154,9 +153,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, share: F
     every = _grouped(sets, links).select("uid", "n", "root", F.posexplode("keys").alias("pos", "key"))
     counted = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("uid").alias("a"), F.max("uid").alias("b"))
     stats = table(counted.where("lo < hi"))
-    members = table(every.join(_few(stats.where("size > 2").select("key", "size")), "key"))
+    members = every.join(_few(stats.where("size > 2").select("key", "size")), "key")
+    # How much of a text its shared keys are: the least changed of many copies has most of them, and is like most others.
+    shared = members.groupBy("uid").agg((F.count(F.lit(1)) / F.first("n")).alias("shared"))
+    members = table(members.join(shared, "uid"))
     small, large = members.where(F.col("size") <= hot), members.where(F.col("size") > hot)
-    centres = large.groupBy("key").agg(F.min(F.struct("uid", "n", "pos", "root")).alias("c")).select("key", "c.*")
+    centres = large.groupBy("key").agg(F.max(F.struct("shared", "uid", "n", "pos", "root")).alias("c")).select("key", "c.*")
     tried = table(reduce(DataFrame.unionByName, [stats.where("size = 2").select("a", "b"), _pairs(small, small, share, "a < b"), _pairs(centres, large, share, "a <> b")]).distinct())
     links = links.unionByName(verified(docs, sets, tried, words, share))
     if large.isEmpty():
@@ -175,7 +177,8 @@ def keep_first_alike(docs: DataFrame, words: int = WORDS, share: Fraction = SHAR
     ``share`` are links; an empty table gives no rows."""
     spark = docs.sparkSession
     since = mark(spark)
-    prints = table(prefixes(docs, words, share))
+    with small_batches(spark):
+        prints = table(prefixes(docs, words, share))
     sets = table(prints.groupBy("uid").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_key")).alias("first")))
     roots = components(similar_links(docs, sets, words, share, hot))
     named = sets.join(roots, sets.uid == roots.node, "left").select("first", F.coalesce("root", "uid").alias("root"))
