@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,6 +28,19 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """For what is run inside: Arrow batches of ``rows`` rows at most, so that a task and its worker hold few texts at once.
+    The session's own setting is back afterwards; a result that is run later has that one, and its bound of bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(held)) if int(held) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def ranks(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int = 64) -> DataFrame:
     """0-based rank of every row within ``keys``, without one task per key.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import SLICE, map_slices
+from sigloom.llm.common import SLICE, map_slices, small_batches
 
 #: Hash buckets of n-grams, and labelled texts of each language that are learned from (about).
 BUCKETS, SAMPLE = 1 << 13, 1_500
@@ -143,7 +143,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ``und`` with score 0; of tied codewords the first language by name wins, flagged as ambiguous; repeated rows each
     return; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(gram_counts(labelled_sample(docs, sample))))  # languages x bits and BUCKETS x bits numbers
+    with small_batches(docs.sparkSession):
+        counts = gram_counts(labelled_sample(docs, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(counts))  # languages x bits and BUCKETS x bits numbers
 
     @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
     def tell(texts: pa.Array) -> pa.Array:

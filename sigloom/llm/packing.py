@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import ranks
+from sigloom.llm.common import ranks, small_batches
 from sigloom.llm.tokens import token_pieces
 from sigloom.scratch import table
 
@@ -160,6 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -
     Null and empty texts are the end id alone; long texts are cut into pieces of ``capacity``; repeated rows are
     packed as often as they come; other columns are ignored; an empty table gives no rows.
     """
-    pieces = table(token_pieces(docs, tokenizer_path, capacity))
+    with small_batches(docs.sparkSession):
+        pieces = table(token_pieces(docs, tokenizer_path, capacity))
     packed = pack(pieces, capacity, ["doc_id", "piece", "ids_crc32"])
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

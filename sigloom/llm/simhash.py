@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import components, join_counted, map_slices
+from sigloom.llm.common import components, join_counted, map_slices, small_batches
 from sigloom.scratch import mark, release, table
 
 #: Fingerprints in the sample that the tree is grown from, those of it that each leaf should have at least, fingerprints
@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataF
     rows return as often as they come; null ids never name a component that has another id; other columns are
     ignored; an empty table gives no rows.
     """
-    prints = table(fingerprints(docs, shingle))
+    with small_batches(docs.sparkSession):
+        prints = table(fingerprints(docs, shingle))
     since = mark(docs.sparkSession)
     distinct = table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     roots = table(components(fingerprint_links(distinct, within)))

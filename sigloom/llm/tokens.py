@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import map_slices
 
-#: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded.
-REMEMBERED = 1_000_000
+#: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded. Frequent words are soon back.
+REMEMBERED = 300_000
 #: White space for both str.split and the tokenizer's pattern; other such characters take the whole-text path.
 MARKS = ".,;:!?"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
