@@ -44,9 +44,9 @@ def test_recall_scores_and_odd_vectors(spark):
 
 
 def test_many_shards_and_blocks(spark):
-    x = vectors(seed=8, n=3000)
+    x = vectors(seed=8, n=1600)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
-    one, many = found(df), found(df, shard=300, block=30)
+    one, many = found(df), found(df, shard=400, block=40)
     assert recall(many, x) >= 0.9 and abs(recall(many, x) - recall(one, x)) < 0.05
 
 
