@@ -98,11 +98,16 @@ def _pairs(left: DataFrame, right: DataFrame, share: Fraction, also: str) -> Dat
     return a.join(b, "key").where("root_a <> root_b").where(_may(share)).where(also).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(uid): the sets of ``pairs``."""
+    return pairs.select(F.col("a").alias("uid")).distinct().union(pairs.select("b").distinct()).distinct()
+
+
 def plausible(sets: DataFrame, pairs: DataFrame, share: Fraction) -> DataFrame:
     """The ``pairs`` whose keys allow the overlap: what two sets share is among both's keys as far as the shorter list of
     keys goes in the common order, and beyond it at most the rest of that list's set."""
     p, q = share.numerator, share.denominator
-    ids = _few(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+    ids = _few(_ends(pairs))
     keys = sets.join(ids, "uid", "left_semi")
     one, two = keys.select(F.col("uid").alias("a"), "n", F.col("keys").alias("x")), keys.select(F.col("uid").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"))
     both = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * q >= F.greatest("n", "m") * p)
@@ -117,7 +122,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, sha
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["uid", "set"])
 
     pairs = plausible(sets, pairs, share)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    ids = _ends(pairs)
     wanted = _few(sets.join(ids, "uid", "left_semi").select("uid", "first.*"))
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_key"), "text")
     held = texts.join(wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))).select("uid", "text")
