@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import map_slices
 
 #: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded. Frequent words are soon back.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: White space for both str.split and the tokenizer's pattern; other such characters take the whole-text path.
 MARKS = ".,;:!?"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
@@ -47,9 +47,9 @@ class ChunkEncoder:
         """A chunk of letters and a closing mark is the lower-cased word and the mark; words are fewer than chunks."""
         seen, parts = self.seen, {}
         for w in chunks:
-            core = w.rstrip(MARKS)
+            core = w if w.isalpha() else w.rstrip(MARKS)
             low = core.lower()
-            if low.isalpha() and core.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core):
+            if core.isalpha() and (core.isascii() or low.isalpha() and "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
                 parts[w] = (low, w[len(core) :])
         rest = [w for w in {mark for _, mark in parts.values()}.union(w for w in chunks if w not in parts) if w not in seen]
         if rest:
