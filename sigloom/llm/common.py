@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -9,14 +10,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from sigloom.scratch import mark, release, table
 
 #: Rows that a Python worker turns into objects at once. Spark bounds the bytes of the Arrow batch that they come in.
 SLICE = 256
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE) -> DataFrame:
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, maximal runs without space and 0x09 to 0x0D, in a list for each stretch of about ``size``
+    bytes, so that a very long text never stands whole as a list."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = SLICE) -> DataFrame:
     """``df`` mapped by ``f``, a slice of at most ``rows`` rows after the other. Columns stay Arrow arrays unless ``f``
     turns them into something else, so ids beside nulls keep every digit."""
 
