@@ -40,6 +40,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(place)
 
 
+def published(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in the folder ``path``; none if it is not there."""
+    store, place = _hadoop(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def publish(spark: SparkSession, made: str, path: str) -> bool:
+    """Rename the folder ``made`` to ``path`` in one step; false, and nothing changed, if ``path`` is there already."""
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    store, place = _hadoop(spark, path)
+    store.mkdirs(place.getParent())
+    source = store.makeQualified(hadoop.Path(made))
+    context = hadoop.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, store.makeQualified(place), gateway.new_array(hadoop.Options.Rename, 0))
+    except Exception as e:
+        if store.exists(place):
+            return False
+        raise e
+    return True
+
+
 def new_folder(spark: SparkSession, name: str = "t") -> str:
     """A name in the shared folder that nothing has yet; what is written there goes when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
