@@ -26,7 +26,7 @@ def stft_magnitude(spark, sf_dir):
 @query(f"WITH {FRAMES} SELECT recording_id, channel, frame, count(*) AS bins, round(sum(sqrt(re * re + im * im)), 5) + 0.0 AS mag FROM spectrum WHERE bin BETWEEN 2 AND 25 GROUP BY ALL")
 def freq_crop(spark, sf_dir):
     """Bins of 4 to 50 Hz at 128 Hz."""
-    s = sp.freq_crop(sp.stft(signal(spark, sf_dir), 64, 32), 128, 64, 4, 50)
+    s = sp.stft(signal(spark, sf_dir), 64, 32, bins=sp.bins_between(128, 64, 4, 50))
     return s.groupBy("recording_id", "channel", "frame").agg(F.count(F.lit(1)).alias("bins"), r6(F.sum("mag"), 5).alias("mag"))
 
 
@@ -36,7 +36,7 @@ psd AS (SELECT recording_id, channel, window_id, bin, CASE WHEN bin IN (0, 32) T
 
 
 def psd(spark, sf_dir):
-    w = wn.tumbling_windows(signal(spark, sf_dir), 64)
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n")
     return sp.periodogram(w.withColumn("window_id", F.col("window_id").cast("long")), ["recording_id", "channel", "window_id"], 64, 128.0)
 
 
@@ -107,7 +107,7 @@ _BY = ["recording_id", "channel", "window_id"]
 
 
 def tumbling(spark, sf_dir):
-    w = wn.tumbling_windows(signal(spark, sf_dir), 64)
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n")
     return w.withColumn("window_id", F.col("window_id").cast("long"))
 
 
