@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sigloom.operators.ranges import ranged, running
+
 
 def confusion_matrix(scored: DataFrame, n_classes: int) -> DataFrame:
     """(y_true, y_pred, n, share): every cell, share of its true class."""
@@ -37,20 +39,15 @@ def averaged_prf(per_class: DataFrame, positive: int = 1) -> DataFrame:
     return macro.unionByName(weighted).unionByName(binary)
 
 
-def threshold_counts(scored: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+def threshold_counts(scored: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
     """(by, score, dp, dn, tp, fp, p, n): positives and negatives at each distinct score, and at or above it.
 
-    Scores are first counted, then summed in two phases by range of score, so no task holds all scores.
+    Scores are first counted, then summed in two phases over ranges of nearly equal numbers of scores, so no task holds all
+    scores, however they crowd.
     """
-    each = scored.groupBy(*by, "score").agg(F.sum("positive").alias("_p"), F.sum(1 - F.col("positive")).alias("_n"))
-    each = each.withColumn("_b", F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * buckets))
-    tops = each.groupBy(*by, "_b").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    up = w.orderBy(F.desc("_b"))
-    tops = tops.select(*by, "_b", (F.sum("_bp").over(up) - F.col("_bp")).alias("_p0"), (F.sum("_bn").over(up) - F.col("_bn")).alias("_n0"), F.sum("_bp").over(w).alias("p"), F.sum("_bn").over(w).alias("n"))
-    inside = W.partitionBy(*by, "_b").orderBy(F.desc("score"))
-    run = each.withColumn("_cp", F.sum("_p").over(inside)).withColumn("_cn", F.sum("_n").over(inside))
-    return run.join(F.broadcast(tops), [*by, "_b"]).select(*by, "score", F.col("_p").alias("dp"), F.col("_n").alias("dn"), (F.col("_p0") + F.col("_cp")).alias("tp"), (F.col("_n0") + F.col("_cn")).alias("fp"), "p", "n")
+    each = scored.groupBy(*by, "score").agg(F.sum("positive").alias("dp"), F.sum(1 - F.col("positive")).alias("dn"))
+    run = running(ranged(each, by, ["score"], parts), by, [F.desc("score")], {"tp": "dp", "fp": "dn"}, down=True)
+    return run.select(*by, "score", "dp", "dn", "tp", "fp", F.col("tp_all").alias("p"), F.col("fp_all").alias("n"))
 
 
 def roc_curve(scored: DataFrame, by: list[str]) -> DataFrame:

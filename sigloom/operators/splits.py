@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigloom.functions.draws import uniform
+from sigloom.operators.ranges import ranged, running
 
 
 def ordinals(rows: DataFrame, draw: Column, key: str, by: list[str] | None = None, buckets: int = 4096, name: str = "rank") -> DataFrame:
@@ -52,23 +53,23 @@ def leave_one_group_out(rows: DataFrame, key: str, group: str, held: int, val_sh
 
 
 def all_folds(rows: DataFrame, group: str) -> DataFrame:
-    """Every row in every group's fold: ``fold`` and whether it is held out there. Groups are few."""
+    """Every row in every group's fold: ``fold`` and whether it is held out there."""
     folds = rows.select(F.col(group).alias("fold")).distinct()
-    return rows.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col(group) == F.col("fold"))
+    return rows.crossJoin(folds).withColumn("is_test", F.col(group) == F.col("fold"))
 
 
-def tail_validation(rows: DataFrame, key: str, share: float = 0.2, buckets: int = 4096) -> DataFrame:
-    """The last ``share`` of rows, in order of ``key``, as validation. Rows are dealt by ranges of the key."""
-    bounds = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    width = float((bounds["hi"] or 0) - (bounds["lo"] or 0) + 1)
-    r = ordinals(rows, (F.col(key) - F.lit(bounds["lo"])) / F.lit(width), key, buckets=buckets)
-    return r.withColumn("split", F.when(F.col("rank") >= F.col("n") - F.floor(F.col("n") * share), "val").otherwise("train")).drop("rank", "n")
+def tail_validation(rows: DataFrame, key: str, share: float = 0.2, parts: int | None = None) -> DataFrame:
+    """The last ``share`` of rows, in order of ``key``, as validation. Rows are dealt by ranges of nearly equal size; rows of
+    one key are in any order."""
+    some = ranged(rows, [], [key], parts).withColumn("_one", F.lit(1))
+    r = running(some, [], [F.col(key)], {"_at": "_one"})
+    return r.withColumn("split", F.when(F.col("_at") > F.col("_at_all") - F.floor(F.col("_at_all") * share), "val").otherwise("train")).drop("_at", "_at_all", "_one")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """``weight``: one over the class's count."""
     counts = rows.groupBy(label).agg((1.0 / F.count(F.lit(1))).alias("weight"))
-    return rows.join(F.broadcast(counts), label)
+    return rows.join(counts, label)
 
 
 def balanced_resample(rows: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
@@ -81,7 +82,7 @@ def balanced_resample(rows: DataFrame, key: str, label: str, n: int, seed: int =
     names = ranked.select(label, "n").distinct().withColumn("_class", F.row_number().over(W.orderBy(label)) - 1)  # one row for each class
     k = names.count()
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("_class", F.floor(uniform(seed, "class", F.col("draw")) * k).cast("int"))
-    picked = draws.join(F.broadcast(names), "_class").withColumn("rank", F.floor(uniform(seed, "row", F.col("draw")) * F.col("n")).cast("long"))
+    picked = draws.join(names, "_class").withColumn("rank", F.floor(uniform(seed, "row", F.col("draw")) * F.col("n")).cast("long"))
     return picked.select("draw", label, "rank").join(ranked.select(label, "rank", key), [label, "rank"]).select("draw", key, label)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sigloom.operators.ranges import quantiles
+
 
 def stat_features(rows: DataFrame, by: list[str]) -> DataFrame:
     """Mean, variance, deviation, skewness, excess kurtosis (population), root mean square, differential entropy."""
@@ -31,11 +33,10 @@ def hjorth(rows: DataFrame, by: list[str], at: str) -> DataFrame:
 
 def box_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     """Quartiles, mean, and whiskers: the extreme values within 1.5 interquartile ranges of the box."""
-    q = rows.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("value").alias("mean"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean")
+    q = quantiles(rows, by, [0.25, 0.5, 0.75]).select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = rows.join(q, by).where(F.col("value").between(F.col("q1") - reach, F.col("q3") + reach))
-    ends = inside.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    inside = F.when(F.col("value").between(F.col("q1") - reach, F.col("q3") + reach), F.col("value"))
+    ends = rows.join(q, by).groupBy(*by).agg(F.avg("value").alias("mean"), F.min(inside).alias("low"), F.max(inside).alias("high"))
     return q.join(ends, by)
 
 

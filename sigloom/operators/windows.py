@@ -6,22 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sigloom.operators.ranges import ranged, running
+
 SERIES = ("recording_id", "channel")
 
 
-def sliding_windows(signal: DataFrame, size: int, step: int) -> DataFrame:
+def sliding_windows(signal: DataFrame, size: int, step: int, length: str | None = None) -> DataFrame:
     """Rows with window_id and pos for every full window that holds them; a partial tail is dropped. A sample is in
-    at most ceil(size / step) windows, so rows grow by that factor and nothing is gathered or sorted: a series' length
-    is an aggregate joined back."""
+    at most ceil(size / step) windows, so rows grow by that factor.
+
+    ``length`` names a column with the series' number of samples, which goes: whoever numbers samples knows it, and then
+    nothing is shuffled here. Without it the number is an aggregate that is joined back.
+    """
     first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / step)).cast("int")
     last = F.least(F.floor(F.col("idx") / step), F.floor((F.col("_n") - size) / step)).cast("int")
-    lengths = signal.groupBy(*SERIES).agg((F.max("idx") + 1).alias("_n"))
-    each = signal.join(lengths, list(SERIES)).withColumn("window_id", F.explode(F.when(first <= last, F.sequence(first, last))))
-    return each.withColumn("pos", F.col("idx") - F.col("window_id") * step).select(*signal.columns, "window_id", "pos")
+    if length:
+        each, kept = signal.withColumnRenamed(length, "_n"), [c for c in signal.columns if c != length]
+    else:
+        each, kept = signal.join(signal.groupBy(*SERIES).agg((F.max("idx") + 1).alias("_n")), list(SERIES)), signal.columns
+    each = each.withColumn("window_id", F.explode(F.when(first <= last, F.sequence(first, last))))
+    return each.withColumn("pos", F.col("idx") - F.col("window_id") * step).select(*kept, "window_id", "pos")
 
 
-def tumbling_windows(signal: DataFrame, size: int) -> DataFrame:
-    return sliding_windows(signal, size, size)
+def tumbling_windows(signal: DataFrame, size: int, length: str | None = None) -> DataFrame:
+    return sliding_windows(signal, size, size, length)
 
 
 def difference(signal: DataFrame, order: int = 1, by: tuple[str, ...] = SERIES, at: str = "idx") -> DataFrame:
@@ -90,21 +98,12 @@ def patience_stop(history: DataFrame, by: list[str], at: str, value: str, patien
     return history.groupBy(*by).agg(F.aggregate(steps, start, step).alias("s")).select(*by, F.col("s.stop").alias("stop_at"), (F.col("s.best") * sign).alias("best"))
 
 
-def ecdf(both: DataFrame, by: list[str], buckets: int = 256) -> DataFrame:
+def ecdf(both: DataFrame, by: list[str], parts: int | None = None) -> DataFrame:
     """(by, value, f1, f2): the distribution functions of two samples (side 1 and 2) at each of their values.
 
-    Counts of distinct values are summed within ranges of the value and shifted by the ranges' totals, at most
-    ``buckets`` a group, so no task orders a whole group.
+    Counts of distinct values are summed within ranges of values and shifted by the ranges' totals. Ranges hold nearly
+    equal numbers of distinct values, so no task orders a whole group, wherever its values lie.
     """
     each = both.groupBy(*by, "value").agg(F.sum((F.col("side") == 1).cast("long")).alias("n1"), F.sum((F.col("side") == 2).cast("long")).alias("n2"))
-    ends = F.broadcast(each.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
-    each = each.join(ends, by) if by else each.crossJoin(ends)
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0)
-    each = each.withColumn("_b", part.cast("int")).drop("_lo", "_hi")
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = lambda c: (F.sum(c).over(group.orderBy("_b")) - F.col(c))
-    tops = each.groupBy(*by, "_b").agg(F.sum("n1").alias("_t1"), F.sum("n2").alias("_t2"))
-    tops = F.broadcast(tops.select(*by, "_b", before("_t1").alias("_s1"), before("_t2").alias("_s2"), F.sum("_t1").over(group).alias("_all1"), F.sum("_t2").over(group).alias("_all2")))
-    inside = W.partitionBy(*by, "_b").orderBy("value")
-    run = each.withColumns({"_c1": F.sum("n1").over(inside), "_c2": F.sum("n2").over(inside)}).join(tops, [*by, "_b"])
-    return run.select(*by, "value", ((F.col("_s1") + F.col("_c1")) / F.col("_all1")).alias("f1"), ((F.col("_s2") + F.col("_c2")) / F.col("_all2")).alias("f2"))
+    run = running(ranged(each, by, ["value"], parts), by, [F.col("value")], {"c1": "n1", "c2": "n2"})
+    return run.select(*by, "value", (F.col("c1") / F.col("c1_all")).alias("f1"), (F.col("c2") / F.col("c2_all")).alias("f2"))

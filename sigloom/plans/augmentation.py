@@ -147,7 +147,7 @@ def augmentation_quota(spark, sf_dir):
 #: The shares of the techniques, with one for cutmix too, so that all ten are made.
 SHARES = ag.SHARES | {"cutmix": 0.1}
 _VALUES = ", ".join(f"('{t}', {x})" for t, x in SHARES.items())
-_FIXED = "fixed AS MATERIALIZED (SELECT recording_id * 1000 + idx // 64 AS sample_id, channel, CAST(idx % 64 AS INT) AS idx, value FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, channel, idx // 64) AS c FROM signal) WHERE c = 64), told AS MATERIALIZED (SELECT DISTINCT f.sample_id, CAST(rating >= 5 AS INT) AS label FROM fixed f JOIN recording r ON r.recording_id = f.sample_id // 1000)"
+_FIXED = "fixed AS MATERIALIZED (SELECT recording_id * 1000000000 + idx // 64 AS sample_id, channel, CAST(idx % 64 AS INT) AS idx, value FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, channel, idx // 64) AS c FROM signal) WHERE c = 64), told AS MATERIALIZED (SELECT DISTINCT f.sample_id, CAST(rating >= 5 AS INT) AS label FROM fixed f JOIN recording r ON r.recording_id = f.sample_id // 1000000000)"
 _SRC = "concat_ws(':', technique, draw_no)"
 _DRAWS = f"""{_FIXED}, q AS (SELECT technique, CAST(floor((SELECT count(*) FROM told) * share * 2.0 / 2.5 + 1e-9) AS BIGINT) AS quota FROM (VALUES {_VALUES}) t(technique, share)),
 k AS MATERIALIZED (SELECT sample_id, row_number() OVER (ORDER BY {uniform_sql(1, 'source', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM told),
@@ -163,20 +163,34 @@ lin AS MATERIALIZED (SELECT technique, draw_no, draw, source_id, source2_id, coa
   UNION ALL SELECT technique, draw_no, draw, source_id, source2_id, 1 - floor(64 * (1 - {uniform_sql(1, 'cut', 'draw')})) / 64 FROM draws WHERE technique = 'cutmix'
   UNION ALL SELECT technique, draw_no, draw, source_id, neighbour, CASE WHEN neighbour IS NULL THEN 1.0 ELSE 1 - {uniform_sql(1, 'step', 'draw')} END FROM draws LEFT JOIN nn ON nn.sample_id = source_id AND nn.rank = floor({uniform_sql(1, 'pick', 'draw')} * c) + 1 WHERE technique = 'smote'
   UNION ALL SELECT technique, draw_no, draw, source_id, NULL, 1.0 FROM draws WHERE technique NOT IN ('mixup', 'cutmix', 'smote'))"""
-#: Techniques whose values have no short SQL here; their own queries show them.
-_OWN = ("window_slice", "band_jitter_filter", "tf_mask")
+#: A recursion whose values SQL does not have; a test has them.
+_OWN = "band_jitter_filter"
+_SLICED = f"""wsz AS (SELECT *, floor(64 * {_span('keep', 'sample_id', 0.8, 0.95)}) AS size FROM base WHERE technique = 'window_slice'),
+wst AS (SELECT *, floor({uniform_sql(1, 'start', 'sample_id')} * (64 - size + 1)) AS start FROM wsz),
+wsc AS MATERIALIZED (SELECT technique, draw_no, channel, CAST(idx - start AS INT) AS at, value, size FROM wst WHERE idx >= start AND idx < start + size),
+wsx AS (SELECT technique, draw_no, channel, k.range * (size - 1) / 63 AS x, CAST(least(floor(k.range * (size - 1) / 63 + 1e-9), size - 2) AS INT) AS lo FROM (SELECT DISTINCT technique, draw_no, channel, size FROM wsc), range(0, 64) k),
+wsv AS (SELECT x.technique, x.draw_no, a.value + (x - lo) * (b.value - a.value) AS v FROM wsx x JOIN wsc a ON a.draw_no = x.draw_no AND a.channel = x.channel AND a.at = x.lo JOIN wsc b ON b.draw_no = x.draw_no AND b.channel = x.channel AND b.at = x.lo + 1)"""
+_TFKEY = "concat_ws(':', sample_id, channel)"
+_MASKED = f"""tfw AS (SELECT p.range AS pos, 0.5 - 0.5 * cos(2 * pi() * p.range / 64) AS w FROM range(0, 64) p),
+tfb AS (SELECT pos, w, CAST(b.range AS INT) AS bin, cos(2 * pi() * ((pos * b.range) % 64) / 64) AS c, sin(2 * pi() * ((pos * b.range) % 64) / 64) AS s, CASE WHEN b.range IN (0, 32) THEN 1.0 ELSE 2.0 END AS d FROM tfw, range(0, 33) b),
+tfr AS (SELECT *, CASE WHEN {uniform_sql(1, 'frames:hit', _TFKEY)} < 0.1 THEN floor({uniform_sql(1, 'frames', _TFKEY)} * 2) END AS f0, CASE WHEN {uniform_sql(1, 'bins:hit', _TFKEY)} < 0.1 THEN floor({uniform_sql(1, 'bins', _TFKEY)} * 30) END AS b0 FROM (SELECT DISTINCT technique, draw_no, sample_id, channel FROM base WHERE technique = 'tf_mask')),
+tff AS (SELECT draw_no, channel, f.range AS frame, idx + 32 - f.range * 32 AS pos, value FROM base JOIN range(0, 3) f ON idx + 32 >= f.range * 32 AND idx + 32 < f.range * 32 + 64 WHERE technique = 'tf_mask'),
+tfs AS (SELECT draw_no, channel, frame, bin, sum(value * w * c) / 32 AS re, -sum(value * w * s) / 32 AS im FROM tff JOIN tfb USING (pos) GROUP BY ALL),
+tfm AS (SELECT t.draw_no, t.channel, frame, bin, re * k AS re, im * k AS im FROM (SELECT s.*, CASE WHEN frame = f0 THEN 0.1 ELSE 1.0 END * CASE WHEN bin >= b0 AND bin < b0 + 3 THEN 0.1 ELSE 1.0 END AS k FROM tfs s JOIN tfr r ON r.draw_no = s.draw_no AND r.channel = s.channel) t),
+tfx AS (SELECT draw_no, channel, frame, pos, w, sum(d * (re * c - im * s)) / 64 AS x FROM tfm JOIN tfb USING (bin) GROUP BY ALL),
+tfv AS (SELECT 'tf_mask' AS technique, draw_no, frame * 32 + pos - 32 AS idx, sum(x * w) * 32 / nullif(sum(w * w), 0) AS v FROM tfx GROUP BY draw_no, channel, frame * 32 + pos)"""
 
 
 def fixed_samples(spark, sf_dir):
     """(sample_id, channel, idx, value): the tumbling windows of 64 of all recordings as samples of one length."""
-    w = wn.tumbling_windows(signal(spark, sf_dir), 64)
-    return w.select((F.col("recording_id") * 1000 + F.col("window_id")).alias("sample_id"), "channel", F.col("pos").cast("int").alias("idx"), "value")
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n")
+    return w.select((F.col("recording_id") * 1_000_000_000 + F.col("window_id")).alias("sample_id"), "channel", F.col("pos").cast("int").alias("idx"), "value")
 
 
 def fixed_labels(spark, sf_dir):
     """(sample_id, label): whether the recording's rating is high."""
     rated = recordings(spark, sf_dir).select("recording_id", (F.col("rating") >= 5).cast("int").alias("label"))
-    ids = fixed_samples(spark, sf_dir).select("sample_id").distinct().withColumn("recording_id", F.floor(F.col("sample_id") / 1000))
+    ids = fixed_samples(spark, sf_dir).select("sample_id").distinct().withColumn("recording_id", F.expr("sample_id DIV 1000000000"))
     return ids.join(rated, "recording_id").select("sample_id", "label")
 
 
@@ -190,11 +204,14 @@ gone AS (SELECT sample_id, channel, row_number() OVER (PARTITION BY sample_id OR
 cut AS (SELECT draw, floor(64 * (1 - {uniform_sql(1, 'cut', 'draw')})) AS cut, floor({uniform_sql(1, 'at', 'draw')} * (64 - floor(64 * (1 - {uniform_sql(1, 'cut', 'draw')})) + 1)) AS start FROM draws WHERE technique = 'cutmix'),
 two AS (SELECT technique, draw_no, CASE WHEN technique = 'cutmix' THEN CASE WHEN a.idx >= start AND a.idx < start + cut THEN b.value ELSE a.value END ELSE weight * a.value + (1 - weight) * b.value END AS v
   FROM lin LEFT JOIN cut USING (draw) JOIN fixed a ON a.sample_id = source_id JOIN fixed b ON b.sample_id = coalesce(source2_id, source_id) AND b.channel = a.channel AND b.idx = a.idx WHERE technique IN ('mixup', 'cutmix', 'smote')),
+{_SLICED},
+{_MASKED},
 vals AS (SELECT technique, draw_no, value + {normal_sql(1, 'noise', _KEY3)} * stddev_pop(value) OVER (PARTITION BY sample_id) * {_span('level', 'sample_id', 0.001, 0.05)} AS v FROM base WHERE technique = 'gaussian_noise'
   UNION ALL SELECT technique, draw_no, value * {_span('scale', 'sample_id', 0.9, 1.1)} FROM base WHERE technique = 'amplitude_scale'
   UNION ALL SELECT technique, draw_no, CASE WHEN gone THEN 0 ELSE value END FROM base JOIN gone USING (sample_id, channel) WHERE technique = 'channel_dropout'
   UNION ALL SELECT technique, draw_no, value FROM base WHERE technique = 'time_shift'
-  UNION ALL SELECT technique, draw_no, NULL FROM base WHERE technique IN {_OWN}
+  UNION ALL SELECT technique, draw_no, NULL FROM base WHERE technique = '{_OWN}'
+  UNION ALL SELECT technique, draw_no, v FROM wsv UNION ALL SELECT technique, draw_no, v FROM tfv WHERE idx BETWEEN 0 AND 63
   UNION ALL SELECT * FROM two),
 sums AS (SELECT technique, draw_no, count(*) AS n, round(sum(v), 4) + 0.0 AS total FROM vals GROUP BY ALL)
 SELECT technique, draw_no, source_id, source2_id, round(weight, 6) + 0.0 AS weight, x.label AS hard1, coalesce(y.label, x.label) AS hard2, round(weight * x.label + (1 - weight) * coalesce(y.label, x.label), 6) + 0.0 AS blend, n, total
@@ -207,7 +224,7 @@ def augment_dataset(spark, sf_dir):
     sums = values.groupBy("technique", "draw_no", "source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     told = made.select("technique", "draw_no", "source2_id", "weight", "hard1", "hard2", "blend")
     both = sums.join(told, ["technique", "draw_no"], "left").join(labels.withColumnRenamed("sample_id", "source_id"), "source_id")
-    kept = F.when(~F.col("technique").isin(*_OWN), r6("total", 4))
+    kept = F.when(F.col("technique") != _OWN, r6("total", 4))
     return both.select("technique", "draw_no", "source_id", "source2_id", r6(F.coalesce("weight", F.lit(1.0))).alias("weight"), F.coalesce("hard1", "label").alias("hard1"), F.coalesce("hard2", "label").alias("hard2"), r6(F.coalesce("blend", F.col("label").cast("double"))).alias("blend"), "n", kept.alias("total"))
 
 
@@ -218,13 +235,13 @@ def technique_counts(spark, sf_dir):
     return c.crossJoin(F.broadcast(total)).select("technique", "n", r6(F.col("n") / F.col("total")).alias("share"))
 
 
-@query(f"""WITH {_DRAWS}, grp AS MATERIALIZED (SELECT sample_id, subject_id, row_number() OVER (ORDER BY {uniform_sql(1, 'group', 'sample_id')}, sample_id) - 1 AS rank FROM told JOIN recording ON recording_id = sample_id // 1000),
+@query(f"""WITH {_DRAWS}, grp AS MATERIALIZED (SELECT sample_id, subject_id, row_number() OVER (ORDER BY {uniform_sql(1, 'group', 'sample_id')}, sample_id) - 1 AS rank FROM told JOIN recording ON recording_id = sample_id // 1000000000),
 g AS (SELECT *, CAST(floor({uniform_sql(1, 'group_of', 'draw')} * (SELECT count(*) FROM told)) AS BIGINT) AS spot FROM draws)
 SELECT technique, draw_no, source_id, a.subject_id AS subject_id, b.subject_id AS drawn_subject FROM g JOIN grp a ON a.sample_id = source_id JOIN grp b ON b.rank = spot""")
 def assign_groups(spark, sf_dir):
     """Augmented rows take their source's subject, or one drawn at random."""
     subjects = recordings(spark, sf_dir).select("recording_id", "subject_id")
-    groups = fixed_labels(spark, sf_dir).withColumn("recording_id", F.floor(F.col("sample_id") / 1000)).join(subjects, "recording_id").select("sample_id", "subject_id")
+    groups = fixed_labels(spark, sf_dir).withColumn("recording_id", F.expr("sample_id DIV 1000000000")).join(subjects, "recording_id").select("sample_id", "subject_id")
     made = fixed_draws(spark, sf_dir).drop("source2_id")
     drawn = ag.assign_groups(made, groups, random=True).withColumnRenamed("subject_id", "drawn_subject")
     return ag.assign_groups(drawn, groups).select("technique", "draw_no", "source_id", "subject_id", "drawn_subject")

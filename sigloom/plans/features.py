@@ -21,7 +21,7 @@ SELECT recording_id, channel, window_id, {_STATS} FROM centred GROUP BY ALL""")
 def window_features(spark, sf_dir):
     """Sliding windows of 128 by 64 with the statistics of each."""
     by = ["recording_id", "channel", "window_id"]
-    f = st.stat_features(wn.sliding_windows(signal(spark, sf_dir), 128, 64), by)
+    f = st.stat_features(wn.sliding_windows(signal(spark, sf_dir, "n"), 128, 64, "n"), by)
     return f.select("recording_id", "channel", F.col("window_id").cast("long").alias("window_id"), *[r6(c, 5 if c in ("skew", "kurt") else 6).alias(c) for c in f.columns[3:]])
 
 
@@ -32,7 +32,7 @@ SELECT recording_id, channel, window_id, round(activity, 6) + 0.0 AS activity, r
   round(CASE WHEN v1 > 0 AND activity > 0 THEN sqrt(v2 / v1) / sqrt(v1 / activity) ELSE 0 END, 6) + 0.0 AS complexity FROM v""")
 def hjorth(spark, sf_dir):
     """Hjorth parameters of sliding windows."""
-    h = st.hjorth(wn.sliding_windows(signal(spark, sf_dir), 128, 64), ["recording_id", "channel", "window_id"], "pos")
+    h = st.hjorth(wn.sliding_windows(signal(spark, sf_dir, "n"), 128, 64, "n"), ["recording_id", "channel", "window_id"], "pos")
     return h.select("recording_id", "channel", F.col("window_id").cast("long").alias("window_id"), *[r6(c).alias(c) for c in ("activity", "mobility", "complexity")])
 
 
@@ -40,7 +40,7 @@ def hjorth(spark, sf_dir):
 FROM signal GROUP BY ALL HAVING count(*) = 64""")
 def tumbling_rms(spark, sf_dir):
     """Tumbling windows of 64: mean and root mean square."""
-    w = wn.tumbling_windows(signal(spark, sf_dir), 64).groupBy("recording_id", "channel", "window_id").agg(F.avg("value").alias("mean"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n").groupBy("recording_id", "channel", "window_id").agg(F.avg("value").alias("mean"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
     return w.select("recording_id", "channel", F.col("window_id").cast("long").alias("window_id"), r6("mean").alias("mean"), r6("rms").alias("rms"))
 
 
@@ -65,7 +65,7 @@ l AS (SELECT *, max(window_id) OVER (PARTITION BY recording_id, channel) AS last
 SELECT recording_id, channel, window_id - p AS block_id, round(avg(m), 6) + 0.0 AS mean, count(*) AS n FROM l, range(0, 3) r(p) WHERE window_id - p >= 0 AND window_id - p + 2 <= last GROUP BY ALL""")
 def consecutive_blocks(spark, sf_dir):
     """Runs of three tumbling windows."""
-    t = wn.tumbling_windows(signal(spark, sf_dir), 64).groupBy("recording_id", "channel", "window_id").agg(F.avg("value").alias("m"))
+    t = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n").groupBy("recording_id", "channel", "window_id").agg(F.avg("value").alias("m"))
     b = wn.consecutive_blocks(t, 3).groupBy("recording_id", "channel", "block_id").agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("n"))
     return b.select("recording_id", "channel", F.col("block_id").cast("long").alias("block_id"), r6("mean").alias("mean"), "n")
 
@@ -131,7 +131,7 @@ def box_stats(spark, sf_dir):
 SELECT recording_id, window_id, src, dst, round(abs(corr(x, y)), 5) + 0.0 AS value FROM p GROUP BY ALL HAVING count(*) = 64""")
 def correlation_matrix(spark, sf_dir):
     """Absolute correlation of every pair of channels in tumbling windows."""
-    w = wn.tumbling_windows(signal(spark, sf_dir), 64)
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n")
     c = st.correlation_matrix(w, ["recording_id", "window_id"], "pos")
     return c.select("recording_id", F.col("window_id").cast("long").alias("window_id"), "src", "dst", r6("value", 5).alias("value"))
 

@@ -83,6 +83,12 @@ def mmd_rbf(spark, sf_dir):
     return ql.mmd_rbf(sides(spark, sf_dir)).select(r6("mmd", 5).alias("mmd"))
 
 
+@query(f"WITH every AS (SELECT {_SIDE} AS side, x FROM sample), k AS (SELECT a.side AS s, b.side AS t, avg(exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS k FROM every a, every b GROUP BY ALL) SELECT round(sqrt(greatest(sum(CASE WHEN s = t THEN k ELSE -k END), 0)), 5) + 0.0 AS mmd FROM k")
+def mmd_rbf_all(spark, sf_dir):
+    """Kernel distance of all odd and even vectors, tile by tile."""
+    return ql.mmd_rbf(sides(spark, sf_dir), limit=None).select(r6("mmd", 5).alias("mmd"))
+
+
 @query(f"WITH d AS (SELECT i, avg(v) FILTER (sample_id % 2 = 1) - avg(v) FILTER (sample_id % 2 = 0) AS d FROM flat GROUP BY i) SELECT round(sqrt(sum(d * d)), 6) + 0.0 AS mmd FROM d")
 def mmd_linear(spark, sf_dir):
     return ql.mmd_linear(sides(spark, sf_dir)).select(r6("mmd").alias("mmd"))
@@ -115,10 +121,10 @@ def quality_score(spark, sf_dir):
     return scores(spark, sf_dir).select("sample_id", *ql.CHECKS, r6("mmd", 5).alias("mmd"), F.col("score").cast("double").alias("score"), "accepted")
 
 
-@query(f"WITH {_CHECKS} SELECT count(*) AS n, avg(CAST(score >= 0.5 AS DOUBLE)) AS pass_rate, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, round(avg(mmd), 5) + 0.0 AS mean_mmd, round(avg(CAST(amplitude AS DOUBLE)), 6) + 0.0 AS amplitude_rate, round(avg(CAST(spectral AS DOUBLE)), 6) + 0.0 AS spectral_rate, round(avg(CAST(distribution AS DOUBLE)), 6) + 0.0 AS distribution_rate FROM s")
+@query(f"WITH {_CHECKS} SELECT count(*) AS n, avg(CAST(score >= 0.5 AS DOUBLE)) AS pass_rate, round(avg(CAST(score AS DOUBLE)), 6) + 0.0 AS mean_score, round(avg(mmd), 5) + 0.0 AS mean_mmd, round(avg(CAST(amplitude AS DOUBLE)), 6) + 0.0 AS amplitude_rate, round(avg(CAST(spectral AS DOUBLE)), 6) + 0.0 AS spectral_rate, round(avg(CAST(distribution AS DOUBLE)), 6) + 0.0 AS distribution_rate, round(avg(CAST(kernel AS DOUBLE)), 6) + 0.0 AS kernel_rate FROM s")
 def quality_pass_rates(spark, sf_dir):
-    rates = ql.pass_rates(scores(spark, sf_dir), ["amplitude", "spectral", "distribution"])
-    return rates.select("n", "pass_rate", r6("mean_score").alias("mean_score"), r6("mean_mmd", 5).alias("mean_mmd"), *[r6(f"{c}_rate").alias(f"{c}_rate") for c in ("amplitude", "spectral", "distribution")])
+    rates = ql.pass_rates(scores(spark, sf_dir), ql.CHECKS)
+    return rates.select("n", "pass_rate", r6("mean_score").alias("mean_score"), r6("mean_mmd", 5).alias("mean_mmd"), *[r6(f"{c}_rate").alias(f"{c}_rate") for c in ql.CHECKS])
 
 
 _POINTS = """w AS (SELECT recording_id, channel, CAST(idx // 64 AS BIGINT) AS window_id, idx % 64 AS t, value, count(*) OVER (PARTITION BY recording_id, channel, idx // 64) AS n FROM signal),
@@ -134,7 +140,7 @@ _BY = ["recording_id", "window_id"]
 
 
 def windows(spark, sf_dir, size):
-    w = wn.tumbling_windows(signal(spark, sf_dir), size)
+    w = wn.tumbling_windows(signal(spark, sf_dir, "n"), size, "n")
     return w.select("recording_id", "channel", F.col("window_id").cast("long").alias("window_id"), "pos", "value")
 
 

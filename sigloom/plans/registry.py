@@ -45,15 +45,19 @@ CHANNELS = {"discount": "l_discount / 0.0997", "price": "l_extendedprice / 99991
 ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 
 
-def wide_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, idx, one column for each channel) from ``lineitem``, a supplier being a recording."""
-    at = F.row_number().over(W.partitionBy("l_suppkey").orderBy(*ORDER)) - 1
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("recording_id"), at.alias("idx"), *[F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in CHANNELS.items()])
-
-
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, channel, idx, value)."""
-    return wide_signal(spark, sf_dir).unpivot(["recording_id", "idx"], list(CHANNELS), "channel", "value").select("recording_id", "channel", "idx", "value")
+def wide_signal(spark: SparkSession, sf_dir: str, length: str | None = None) -> DataFrame:
+    """(recording_id, idx, one column for each channel) from ``lineitem``, a supplier being a recording; and in ``length``, if
+    named, the recording's number of samples, counted where they are numbered."""
+    own = W.partitionBy("l_suppkey")
+    more = [F.count(F.lit(1)).over(own).cast("int").alias(length)] if length else []
+    at = F.row_number().over(own.orderBy(*ORDER)) - 1
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("recording_id"), at.alias("idx"), *[F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in CHANNELS.items()], *more)
+
+
+def signal(spark: SparkSession, sf_dir: str, length: str | None = None) -> DataFrame:
+    """(recording_id, channel, idx, value), and ``length`` as in ``wide_signal``."""
+    more = [length] if length else []
+    return wide_signal(spark, sf_dir, length).unpivot(["recording_id", "idx", *more], list(CHANNELS), "channel", "value").select("recording_id", "channel", "idx", "value", *more)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

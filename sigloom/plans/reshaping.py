@@ -91,7 +91,7 @@ SELECT g.recording_id, g.window_id, CAST(row AS INT) AS row, CAST(col AS INT) AS
 def grid_map(spark, sf_dir):
     """Window means of four channels on the scalp grid."""
     name = F.when(F.col("channel") == "price", "Fp1").when(F.col("channel") == "quantity", "O2").when(F.col("channel") == "tax", "Cz").otherwise("T7")
-    v = wn.tumbling_windows(signal(spark, sf_dir), 64).groupBy("recording_id", "window_id", name.alias("channel")).agg(F.avg("value").alias("value"))
+    v = wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n").groupBy("recording_id", "window_id", name.alias("channel")).agg(F.avg("value").alias("value"))
     return rs.grid_map(v, ["recording_id", "window_id"]).select("recording_id", F.col("window_id").cast("long").alias("window_id"), "row", "col", r6("value").alias("value"))
 
 
@@ -103,7 +103,7 @@ SELECT recording_id, window_id - t AS block_id, t AS place, channel, round(de, 5
 @query(_STACK)
 def stack_4d(spark, sf_dir):
     """Blocks of eight windows of differential entropy for each channel."""
-    v = st.stat_features(wn.tumbling_windows(signal(spark, sf_dir), 64), ["recording_id", "window_id", "channel"]).select("recording_id", "window_id", "channel", F.col("entropy").alias("value"))
+    v = st.stat_features(wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n"), ["recording_id", "window_id", "channel"]).select("recording_id", "window_id", "channel", F.col("entropy").alias("value"))
     b = wn.consecutive_blocks(v, 8, ("recording_id",))
     return b.select("recording_id", F.col("block_id").cast("long").alias("block_id"), F.col("place").cast("long").alias("place"), "channel", r6("value", 5).alias("value"))
 
@@ -118,7 +118,7 @@ SELECT recording_id, window_id - t AS block_id, CAST(r + 4 * nth AS INT) AS row,
 def fused_image(spark, sf_dir):
     """Two measures of channel pairs below each other, three windows side by side, as pixels."""
     names = F.array(*[F.lit(c) for c in ("discount", "price", "quantity", "tax")])
-    p = st.channel_pairs(wn.tumbling_windows(signal(spark, sf_dir), 64), ["recording_id", "window_id"], "pos")
+    p = st.channel_pairs(wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n"), ["recording_id", "window_id"], "pos")
     e = p.groupBy("recording_id", "window_id", "src", "dst").agg(F.round(F.abs(F.corr("x", "y")), 9).alias("corr"), F.round(F.abs(F.avg(F.col("x") - F.col("y"))), 9).alias("gap"))
     m = e.unpivot(["recording_id", "window_id", "src", "dst"], ["corr", "gap"], "measure", "value").select("recording_id", "window_id", "measure", (F.array_position(names, F.col("src")) - 1).alias("r"), (F.array_position(names, F.col("dst")) - 1).alias("c"), "value")
     b = wn.consecutive_blocks(rs.to_pixels(m, ["recording_id", "window_id", "measure"]), 3, ("recording_id",))

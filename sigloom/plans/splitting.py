@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.draws import uniform, uniform_sql
 from sigloom.operators import splits as sl
-from sigloom.plans.registry import query, r6, recordings, samples
+from sigloom.operators.ranges import weighted_draws
+from sigloom.plans.registry import query, r6, read, recordings, samples
 
 _RANK = f"SELECT *, row_number() OVER (ORDER BY {{u}}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM sample"
 
@@ -75,6 +76,16 @@ def weighted_pick(spark, sf_dir):
     return draws.join(F.broadcast(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "label")
 
 
+@query(f"""WITH c AS MATERIALIZED (SELECT o_orderkey, sum(w) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - w AS lo, sum(w) OVER () AS total FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS w FROM orders WHERE o_totalprice > 0)),
+d AS (SELECT range AS draw, {uniform_sql(42, 'weighted', 'range')} * (SELECT max(total) FROM c) AS u FROM range(0, 10000000) WHERE range < (SELECT count(*) FROM orders))
+SELECT draw, o_orderkey FROM d ASOF JOIN c ON d.u >= c.lo""")
+def weighted_rows(spark, sf_dir):
+    """As many draws with replacement as there are orders, each order as likely as its price has it."""
+    orders = read(spark, sf_dir, "orders")
+    draws = spark.range(orders.count()).select(F.col("id").alias("draw"), uniform(42, "weighted", F.col("id")).alias("u"))
+    return weighted_draws(orders, "o_orderkey", "o_totalprice", draws).select("draw", "o_orderkey")
+
+
 @query(f"""WITH r AS (SELECT sample_id, row_number() OVER (ORDER BY {uniform_sql(42, 'order', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM sample)
 SELECT range AS draw, a.sample_id AS first, b.sample_id AS second FROM range(0, 1000) d JOIN r a ON a.rank = floor({uniform_sql(42, 'first', 'range')} * a.n) JOIN r b ON b.rank = floor({uniform_sql(42, 'second', 'range')} * b.n)""")
 def random_pairs(spark, sf_dir):
