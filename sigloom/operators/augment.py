@@ -6,14 +6,16 @@ gives the same rows again.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from sigloom.functions.draws import beta, between, normal, uniform
 from sigloom.operators import filters, spectral
+from sigloom.operators.neighbours import knn_same_class
 from sigloom.operators.splits import ordinals
 from sigloom.scratch import table
 
@@ -162,39 +164,6 @@ def tf_mask(rows: DataFrame, seed: int = 1, size: int = 64, chance: float = 0.1)
     return rows.drop("value").join(back, ["sample_id", "channel", "idx"]).select(*rows.columns)
 
 
-def knn_same_class(vectors: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
-    """(sample_id, neighbour, rank): the ``k`` nearest of the same label, itself left out; ties to the smaller id.
-
-    A class is dealt in blocks of about ``block`` vectors. Two blocks meet in one group, which returns ``k`` rows a
-    vector at most, so neither a class nor its pairs are ever gathered; distances are a class's square, as the rule
-    is exact.
-    """
-    sizes = F.broadcast(vectors.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")))
-    v = vectors.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1).cast("array<long>"))
-    left = v.select("label", "own", every.alias("other"), "sample_id", "x")
-    again = v.select(*[F.col(c).alias(c) for c in v.columns])  # columns of their own, as both sides come from one table
-    right = again.select(F.col("label").alias("label"), F.col("own").alias("other"), every.alias("own"), F.col("sample_id").alias("sample_id"), F.col("x").alias("x"))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {"sample_id": [], "neighbour": [], "d": []}
-        if len(a) and len(b):
-            y, ids = np.stack(b["x"].to_numpy()), b["sample_id"].to_numpy()
-            for i, x in zip(a["sample_id"], a["x"]):
-                d = ((y - x) ** 2).sum(1)
-                best = np.lexsort((ids, d))[: k + 1]
-                best = best[ids[best] != i][:k]
-                out["sample_id"] += [i] * len(best)
-                out["neighbour"] += ids[best].tolist()
-                out["d"] += d[best].tolist()
-        return pd.DataFrame(out).astype({"sample_id": "int64", "neighbour": "int64", "d": "float64"})
-
-    by = ["label", "own", "other"]
-    some = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "sample_id long, neighbour long, d double")
-    rank = F.row_number().over(W.partitionBy("sample_id").orderBy("d", "neighbour"))
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).drop("d")
-
-
 def smote(vectors: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
     """(sample_id, neighbour, x): a point on the way to a drawn near neighbour; without one, a copy."""
     other = vectors.select(F.col("sample_id").alias("neighbour"), F.col("x").alias("_y"))
@@ -218,6 +187,8 @@ SHARES = {
     "gaussian_noise": 0.5, "time_shift": 0.3, "window_slice": 0.3, "amplitude_scale": 0.2, "channel_dropout": 0.2, "band_jitter_filter": 0.16,
     "tf_mask": 0.24, "mixup": 0.3, "cutmix": 0.0, "smote": 0.2,
 }
+#: Techniques of two samples.
+PAIRED = ("mixup", "cutmix", "smote")
 
 
 def quotas(n: int, shares: dict[str, float] = SHARES, target: float = 2.0) -> dict[str, int]:
@@ -227,6 +198,40 @@ def quotas(n: int, shares: dict[str, float] = SHARES, target: float = 2.0) -> di
     return {name: int(n * share * scale + 1e-9) for name, share in shares.items()}
 
 
+class Techniques:
+    """Techniques of one sample each, by name, with their shares of the originals.
+
+    A technique is a function of (rows, seed) that returns the rows with other values or places, all columns kept; or a
+    Python table function, which gets the rows of each sample (sample_id, channel, idx, value), ordered by channel and idx, as
+    one partition of its table argument, and the seed, and yields (channel, idx, value).
+    """
+
+    def __init__(self, techniques: dict[str, Callable | UserDefinedTableFunction], shares: dict[str, float]):
+        self.techniques, self.shares = dict(techniques), dict(shares)
+
+    def with_technique(self, name: str, technique: Callable | UserDefinedTableFunction, share: float = 0.0) -> Techniques:
+        """These techniques and one more, or another one of a known name; the original set stays as it is."""
+        if name in PAIRED:
+            raise ValueError(f"{name!r} is a technique of two samples")
+        return Techniques(self.techniques | {name: technique}, self.shares | {name: share})
+
+    def quotas(self, n: int, target: float = 2.0) -> dict[str, int]:
+        return quotas(n, self.shares, target)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.techniques
+
+    def apply(self, name: str, rows: DataFrame, seed: int) -> DataFrame:
+        """``rows`` (sample_id, channel, idx, value and others that are the same all over a sample) after the technique."""
+        made = self.techniques[name]
+        if not isinstance(made, UserDefinedTableFunction):
+            return made(rows, seed)
+        table_of = rows.select("sample_id", "channel", "idx", "value").asTable().partitionBy("sample_id").orderBy("channel", "idx")
+        told = [c for c in rows.columns if c not in ("channel", "idx", "value")]
+        found = made(table_of, F.lit(seed)).select("sample_id", "channel", "idx", "value")
+        return found.join(rows.select(*told).distinct(), "sample_id").select(*rows.columns)
+
+
 def source_draws(rows: DataFrame, key: str, counts: dict[str, int], seed: int = 1) -> DataFrame:
     """(technique, draw_no, source_id, source2_id): rows drawn with replacement for each technique, and a second one for the
     techniques of ``PAIRED``."""
@@ -241,13 +246,14 @@ def source_draws(rows: DataFrame, key: str, counts: dict[str, int], seed: int =
     return two.select("technique", "draw_no", "source_id", "source2_id")
 
 
-#: Techniques of one sample each, by name; users add their own of the same shape.
-TECHNIQUES = {
-    "gaussian_noise": gaussian_noise, "time_shift": time_shift, "window_slice": lambda rows, seed: window_slice(rows, seed, resample=True), "amplitude_scale": amplitude_scale, "channel_dropout": channel_dropout,
-    "band_jitter_filter": band_jitter_filter, "tf_mask": tf_mask, "bounded_perturbation": bounded_perturbation, "segment_permutation": segment_permutation,
-}
-#: Techniques of two samples.
-PAIRED = ("mixup", "cutmix", "smote")
+#: The techniques that come with the library.
+BUILT_IN = Techniques(
+    {
+        "gaussian_noise": gaussian_noise, "time_shift": time_shift, "window_slice": lambda rows, seed: window_slice(rows, seed, resample=True), "amplitude_scale": amplitude_scale, "channel_dropout": channel_dropout,
+        "band_jitter_filter": band_jitter_filter, "tf_mask": tf_mask, "bounded_perturbation": bounded_perturbation, "segment_permutation": segment_permutation,
+    },
+    SHARES,
+)
 
 
 def sample_vectors(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,18 +262,18 @@ def sample_vectors(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return flat.join(labels.select("sample_id", "label"), "sample_id")
 
 
-def lineage(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1) -> DataFrame:
+def lineage(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1, techniques: Techniques = BUILT_IN) -> DataFrame:
     """(technique, draw_no, source_id, source2_id, weight, hard1, hard2, soft, blend) of every augmented sample.
 
     ``n`` is the samples' length. The second source of ``smote`` is a drawn near neighbour of the first, of its label, and
     it moves a drawn step towards it, so the first's weight is one less the step; samples of one source have weight 1.
     """
-    unknown = set(counts) - set(TECHNIQUES) - set(PAIRED)
+    unknown = set(counts) - set(techniques.techniques) - set(PAIRED)
     if unknown:
         raise ValueError(f"no such technique: {', '.join(sorted(unknown))}")
     draws = source_draws(labels, "sample_id", counts, seed).withColumn("draw", F.concat_ws(":", "technique", "draw_no"))
     kind = lambda *names: draws.where(F.col("technique").isin(*names))
-    parts = [kind(*TECHNIQUES).withColumn("weight", F.lit(1.0)), mixup_weights(kind("mixup"), seed), cutmix_weights(kind("cutmix"), n, seed).drop("_cut", "_start")]
+    parts = [kind(*techniques.techniques).withColumn("weight", F.lit(1.0)), mixup_weights(kind("mixup"), seed), cutmix_weights(kind("cutmix"), n, seed).drop("_cut", "_start")]
     if counts.get("smote"):
         moved = kind("smote").drop("source2_id")
         near = drawn_neighbour(knn_same_class(sample_vectors(rows, labels)), moved.withColumnRenamed("source_id", "sample_id"), "draw", seed)
@@ -280,18 +286,19 @@ def lineage(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int,
     return told.withColumns({"hard2": F.coalesce("hard2", "hard1"), "blend": F.when(alone, F.col("hard1").cast("double")).otherwise(F.col("blend"))}).drop("draw")
 
 
-def augment_dataset(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1, return_original: bool = True) -> tuple[DataFrame, DataFrame]:
+def augment_dataset(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int, seed: int = 1, return_original: bool = True, techniques: Techniques = BUILT_IN) -> tuple[DataFrame, DataFrame]:
     """(values, lineage): (technique, draw_no, source_id, channel, idx, value) of all augmented samples and, unless declined,
     of the originals, and the ``lineage`` of the augmented ones.
 
     ``rows`` are samples of ``n`` places, ``labels`` (sample_id, label). Each output is a sample of its own, keyed by
-    technique and draw number, so repeated sources differ; every quota of ``counts`` is met in full.
+    technique and draw number, so repeated sources differ; every quota of ``counts`` is met in full. Users' own techniques
+    come with ``techniques``.
     """
-    made = table(lineage(rows, labels, counts, n, seed))  # each technique reads its own part of it
+    made = table(lineage(rows, labels, counts, n, seed, techniques))  # each technique reads its own part of it
     keyed = made.withColumn("sample_id", F.concat_ws(":", "technique", "draw_no"))
     base = keyed.select("technique", "draw_no", "source_id", "sample_id").join(rows.withColumnRenamed("sample_id", "source_id"), "source_id")
     out = ["technique", "draw_no", "source_id", "channel", "idx", "value"]
-    parts = [TECHNIQUES[t](base.where(F.col("technique") == t), seed).select(*out) for t in counts if t in TECHNIQUES and counts[t]]
+    parts = [techniques.apply(t, base.where(F.col("technique") == t), seed).select(*out) for t in counts if t in techniques and counts[t]]
     if any(counts.get(t) for t in PAIRED):
         two = keyed.where(F.col("technique").isin(*PAIRED)).withColumns({"draw": F.col("sample_id"), "first": F.col("source_id"), "second": F.coalesce("source2_id", "source_id")})
         both = pairs_of(rows, cutmix_weights(two.withColumnRenamed("weight", "_w"), n, seed).drop("weight"))
