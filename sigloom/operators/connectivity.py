@@ -6,12 +6,17 @@ channels and sums over them are Spark's.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 EULER = 0.5772156649015329
+#: Destinations of a group, and squared distances that are held of a channel at once.
+TOGETHER, HELD = 8, 1 << 16
 
 
 def _kinds(df: DataFrame, by: list[str]) -> str:
@@ -23,19 +28,30 @@ def _matrix(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: part.sort_values("pos")["value"].to_numpy(float) for c, part in pdf.groupby("channel")}
 
 
-def embedded(x: np.ndarray, dim: int, tau: int) -> np.ndarray:
-    """(places, dim): values ``tau`` apart, at every place that has them all and a next value."""
-    n = len(x) - (dim - 1) * tau - 1
-    return np.stack([x[i * tau : i * tau + n] for i in range(dim)], 1) if n > 0 else np.empty((0, dim))
+def squared(x: np.ndarray, at: slice, n: int, dim: int, tau: int) -> np.ndarray:
+    """Squared distances of the delay vectors of the places ``at`` to those of the first ``n`` places, from the series itself."""
+    out = np.zeros((at.stop - at.start, n))
+    for i in range(dim):
+        d = x[at.start + i * tau : at.stop + i * tau, None] - x[None, i * tau : i * tau + n]
+        out += d * d
+    return out
+
+
+def _parts(n: int) -> Iterator[slice]:
+    """Stretches of places whose distances to all ``n`` are held at once."""
+    step = max(1, HELD // max(1, n))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
+
 
+def kth_of(squares: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th other distance in rows of squared distances that have a place's own zero among them; infinite if there is
+    none."""
+    return np.sqrt(np.partition(squares, k, axis=1)[:, k]) if squares.shape[1] > k else np.full(len(squares), np.inf)
 
-def kth_distances(points: np.ndarray, k: int) -> np.ndarray:
-    """Distance of each point to the k-th nearest other one; infinite if there are fewer."""
-    if len(points) <= k:
-        return np.full(len(points), np.inf)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
-    return np.partition(d, k - 1, axis=1)[:, k - 1]
+
+def entropy(dim: int, logs: float, n: int) -> float:
+    """The nearest-neighbour estimate from the sum of the logarithms of ``n`` points' distances."""
+    return dim * (logs / n) + float(np.log(n)) + EULER
 
 
 def kth_distance(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, tau: int = 10) -> DataFrame:
@@ -44,35 +60,50 @@ def kth_distance(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, ta
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for channel, x in _matrix(pdf).items():
-            own = embedded(x, dim, tau)
-            r = kth_distances(np.column_stack((own, x[(dim - 1) * tau + 1 :][: len(own)])), k)
+            n = max(0, len(x) - (dim - 1) * tau - 1)
+            r = np.concatenate([np.empty(0), *(kth_of(squared(x, at, n, dim, tau) + squared(x[(dim - 1) * tau + 1 :], at, n, 1, 1), k) for at in _parts(n))])
             out.append(pd.DataFrame({**{b: pdf[b].iloc[0] for b in by}, "channel": channel, "t": np.arange(len(r), dtype=np.int32), "r": r}))
         return pd.concat(out)
 
     return windows.select(*by, "channel", "pos", "value").groupBy(*by).applyInPandas(run, f"{_kinds(windows, by)}, channel string, t int, r double")
 
 
-def transfer_entropy(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, tau: int = 10) -> DataFrame:
+def transfer_entropy(windows: DataFrame, by: list[str], k: int = 4, dim: int = 3, tau: int = 10, together: int = TOGETHER) -> DataFrame:
     """(by, src, dst, value): max(0, H(y, next y) - H(y, x, next y)) for every ordered pair of channels of a window.
 
-    Entropy is by the distance to the ``k``-th other point. Windows too short for ``k`` others give no rows.
+    Entropy is by the distance to the ``k``-th other point. Windows too short for ``k`` others give no rows. A group has all
+    channels of a window as sources and about ``together`` of them as destinations. Squared distances of joint points are
+    the sums of the channels' own, so a channel's are made once and serve all destinations; a stretch of places is held at
+    once, so memory grows with a window, not with its square.
     """
 
-    def entropy(points: np.ndarray) -> float:
-        return points.shape[1] * float(np.log(kth_distances(points, k) + 1e-10).mean()) + np.log(len(points)) + EULER
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, x = [], _matrix(pdf)
-        own = {c: embedded(v, dim, tau) for c, v in x.items()}
-        for dst, y in own.items():
-            nxt = x[dst][(dim - 1) * tau + 1 :][: len(y), None]
-            alone = entropy(np.hstack((y, nxt))) if len(y) > k else None
-            for src in own:
-                if src != dst and alone is not None and len(own[src]) == len(y):
-                    out.append((*[pdf[b].iloc[0] for b in by], src, dst, max(0.0, alone - entropy(np.hstack((y, own[src], nxt))))))
+        x = _matrix(pdf)
+        first, n_of = [pdf[b].iloc[0] for b in by], {c: max(0, len(v) - (dim - 1) * tau - 1) for c, v in x.items()}
+        wanted = sorted(pdf.loc[pdf["_own"], "channel"].unique())
+        out = []
+        for n in {n_of[d] for d in wanted if n_of[d] > k}:
+            dsts, srcs = [d for d in wanted if n_of[d] == n], [s for s in sorted(x) if n_of[s] == n]
+            sums = {(d, s): 0.0 for d in dsts for s in [None, *srcs] if s != d}
+            for at in _parts(n):
+                near = {s: squared(x[s], at, n, dim, tau) for s in srcs}
+                for d in dsts:
+                    own = near[d] + squared(x[d][(dim - 1) * tau + 1 :], at, n, 1, 1)
+                    for s in (None, *srcs):
+                        if s != d:
+                            sums[d, s] += float(np.log(kth_of(own if s is None else own + near[s], k) + 1e-10).sum())
+            for (d, s), total in sums.items():
+                if s is not None:
+                    out.append((*first, s, d, max(0.0, entropy(dim + 1, sums[d, None], n) - entropy(2 * dim + 1, total, n))))
         return pd.DataFrame(out, columns=[*by, "src", "dst", "value"])
 
-    return windows.select(*by, "channel", "pos", "value").groupBy(*by).applyInPandas(run, f"{_kinds(windows, by)}, src string, dst string, value double")
+    rows = windows.select(*by, "channel", "pos", "value")
+    named = rows.select(*by, "channel").distinct()
+    count = F.count(F.lit(1)).over(W.partitionBy(*by))
+    parts = named.select(*by, "channel", ((F.row_number().over(W.partitionBy(*by).orderBy("channel")) - 1) / together).cast("int").alias("_mine"), F.ceil(count / together).cast("int").alias("_parts"))
+    each = rows.join(parts, [*by, "channel"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = each.withColumn("_own", F.col("_part") == F.col("_mine")).drop("_mine", "_parts")
+    return dealt.groupBy(*by, "_part").applyInPandas(run, f"{_kinds(windows, by)}, src string, dst string, value double")
 
 
 def lagged_ols(windows: DataFrame, by: list[str], lags: int = 10) -> DataFrame:

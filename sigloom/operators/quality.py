@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sigloom.operators.windows import ecdf
+from sigloom.scratch import table
+
+#: Vectors of a tile of kernels.
+TILE = 4_096
 
 
 def amplitude_check(pairs: DataFrame, by: list[str], limit: float = 3.0) -> DataFrame:
@@ -124,16 +128,52 @@ def _first_vectors(vectors: DataFrame, by: list[str], limit: int | None) -> Data
     return vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
 
 
-def kernel_means(vectors: DataFrame, by: list[str], gamma: float = 1.0, limit: int | None = 100) -> DataFrame:
+def kernel_sum(x: np.ndarray, y: np.ndarray, gamma: float, rows: int = 512) -> float:
+    """The sum of the kernels of all rows of one matrix with all of another, by products of matrices."""
+    size, total = (y * y).sum(1), 0.0
+    for at in range(0, len(x), rows):
+        some = x[at : at + rows]
+        d = (some * some).sum(1)[:, None] + size - 2 * (some @ y.T)
+        total += float(np.exp(-gamma * np.maximum(d, 0)).sum())
+    return total
+
+
+def kernel_means(vectors: DataFrame, by: list[str], gamma: float = 1.0, limit: int | None = 100, tile: int = TILE) -> DataFrame:
     """(by, s, t, n, k): the number and the mean of the kernels of all pairs within and between sides 1 and 2.
 
-    The rule compares the first ``limit`` vectors of each side by id, so a group of ``by`` is bounded; without a limit all
-    pairs are compared, block by block, and the work is the square of a group.
+    The rule compares the first ``limit`` vectors of each side by id. Without a limit all pairs are compared: each side is
+    dealt in tiles of about ``tile`` vectors, two tiles meet in a group as matrices, and one number comes back. The work is
+    the square of a group of ``by``, what is shuffled that square over ``tile``, and no task holds more than two tiles.
     """
-    some = _first_vectors(vectors, by, limit).select(*by, "side", "x")
-    other = some.select(*by, F.col("side").alias("t"), F.col("x").alias("y"))
-    pairs = some.withColumnRenamed("side", "s").join(other, by) if by else some.withColumnRenamed("side", "s").crossJoin(other)
-    return pairs.groupBy(*by, "s", "t").agg(F.count(F.lit(1)).alias("n"), F.avg(F.exp(-gamma * squared_distance(F.col("x"), F.col("y")))).alias("k"))
+    some = _first_vectors(vectors, by, limit).select(*by, F.col("side").cast("int").alias("side"), F.col("x").cast("array<double>").alias("x"))
+    some = table(some.withColumn("_h", F.xxhash64("x", F.monotonically_increasing_id())))
+    count = lambda k: F.ceil(F.count(F.when(F.col("side") == k, 1)) / tile).cast("int")
+    parts = some.groupBy(*by).agg(count(1).alias("_p1"), count(2).alias("_p2")) if by else some.agg(count(1).alias("_p1"), count(2).alias("_p2"))
+    dealt = some.join(parts, by) if by else some.crossJoin(F.broadcast(parts))
+    own = F.pmod("_h", F.when(F.col("side") == 1, F.col("_p1")).otherwise(F.col("_p2"))).cast("int")
+    dealt = dealt.withColumn("_i", own)
+    span = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    tiles = lambda t, lo, hi: F.transform(span(lo, hi), lambda j: F.struct(F.lit(t).alias("t"), j.alias("j")))
+    zero, i = F.lit(0), F.col("_i")
+    # A tile meets itself, the later ones of its side, and, from side 1, all of side 2: each pair of tiles once.
+    ahead = F.when(F.col("side") == 1, F.concat(tiles(1, i, F.col("_p1") - 1), tiles(2, zero, F.col("_p2") - 1))).otherwise(tiles(2, i, F.col("_p2") - 1))
+    behind = F.when(F.col("side") == 2, F.concat(tiles(1, zero, F.col("_p1") - 1), tiles(2, zero, i))).otherwise(tiles(1, zero, i))
+    keys = [*by, "s", "i", "t", "j"]
+    one = dealt.withColumn("_e", F.explode(ahead)).select(*by, F.col("side").alias("s"), F.col("_i").alias("i"), F.col("_e.t").alias("t"), F.col("_e.j").alias("j"), "x")
+    again = dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # columns of their own, as both sides come from one table
+    two = again.withColumn("_e", F.explode(behind)).select(*by, F.col("_e.t").alias("s"), F.col("_e.j").alias("i"), F.col("side").alias("t"), F.col("_i").alias("j"), "x")
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        s, i, t, j = key[-4:]
+        total = kernel_sum(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()), gamma) if len(a) and len(b) else 0.0
+        twice = 2 if s == t and i != j else 1
+        return pd.DataFrame([[*key[:-4], s, t, len(a) * len(b) * twice, total * twice]], columns=[*by, "s", "t", "n", "total"])
+
+    kinds = "".join(f"{b} {some.schema[b].dataType.simpleString()}, " for b in by)
+    met = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(meet, f"{kinds}s int, t int, n long, total double")
+    sums = met.groupBy(*by, "s", "t").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("k")).where("n > 0")
+    mirrored = F.when(F.col("s") == F.col("t"), F.array(F.struct("s", "t"))).otherwise(F.array(F.struct("s", "t"), F.struct(F.col("t").alias("s"), F.col("s").alias("t"))))
+    return sums.withColumn("_e", F.explode(mirrored)).select(*by, "_e.s", "_e.t", "n", "k")
 
 
 def mmd_rbf(vectors: DataFrame, gamma: float = 1.0, limit: int | None = 100, by: list[str] | None = None) -> DataFrame:

@@ -11,17 +11,27 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
-def read_wide_csv(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
+def read_wide_csv(spark: SparkSession, path: str, channels: list[str], subjects: list[int] | None = None) -> DataFrame:
     """(subject_id, game, idx, one column for each channel) of files ``.../SxxGyAllChannels.csv``.
 
-    Only the named channels are kept. A file is one task, as its rows have no number but their order; missing files
-    are skipped.
+    Only the named channels are kept. ``path`` names files, or with ``subjects`` their folder, and then no other subject's
+    files are listed or read; missing files are skipped. Spark reads a file in ranges of bytes, each a task of its own. A row's
+    place counts from 0 over the whole file: its number within its range, in order of reading, behind the rows of the ranges
+    before, which a first pass counts. Values have no line breaks in them.
     """
-    raw = spark.read.option("ignoreMissingFiles", "true").csv(path, header=True, multiLine=True)
-    kept = raw.select(*[F.col(c).cast("double").alias(c) for c in channels], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-    at = F.row_number().over(W.partitionBy("_file").orderBy("_at")) - 1
+    reader = spark.read.option("ignoreMissingFiles", "true")
+    if subjects is not None:
+        reader = reader.option("pathGlobFilter", "S{" + ",".join(f"{s:02d}" for s in subjects) + "}G*AllChannels.csv")
+    raw = reader.csv(path, header=True)
+    part = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    counts = raw.select(*part).groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    kept = raw.select(*[F.col(c).cast("double").alias(c) for c in channels], *part, F.monotonically_increasing_id().alias("_at"))
+    inside = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_at")) - 1
+    numbered = kept.withColumn("_at", inside).join(offsets, ["_file", "_block"])
     name = lambda k: F.regexp_extract("_file", r"S(\d+)G(\d+)AllChannels\.csv$", k).cast("int")
-    return kept.select(name(1).alias("subject_id"), name(2).alias("game"), at.alias("idx"), *channels)
+    return numbered.select(name(1).alias("subject_id"), name(2).alias("game"), (F.col("_before") + F.col("_at")).cast("int").alias("idx"), *channels)
 
 
 def read_partitioned(spark: SparkSession, path: str, dataset: str, known: tuple[str, ...], subjects: list[int] | None = None) -> DataFrame:
