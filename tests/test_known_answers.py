@@ -15,6 +15,7 @@ from sigloom.operators import spectral as sp
 from sigloom.operators import splits as sl
 from sigloom.operators import statistics as st
 from sigloom.operators import windows as wn
+from sigloom.scratch import table
 
 
 def series(spark, values, channel="a", recording=1):
@@ -40,7 +41,7 @@ def test_constant_series(spark):
 
 @pytest.mark.parametrize("n,size,overlap,frames", [(8064, 256, 128, 64), (640, 128, 64, 11), (28000, 400, 200, 141)])
 def test_frame_counts(spark, n, size, overlap, frames):
-    assert sp.frames(series(spark, np.ones(n)), size, overlap).select("frame").distinct().count() == frames
+    assert sp.stft(series(spark, np.ones(n)), size, overlap).select("frame").distinct().count() == frames
 
 
 def test_windows(spark):
@@ -107,8 +108,7 @@ def values_of(df, by=("recording_id", "channel")):
 
 
 @pytest.mark.parametrize("causal", [True, False])
-def test_filters_of_many_series_match_one_written_out(spark, monkeypatch, causal):
-    monkeypatch.setattr(fl, "TOGETHER", 4)
+def test_filters_of_many_series_match_one_written_out(spark, causal):
     made, df = many_series(spark)
     b, a = fl.butterworth(4, 8.0, 13.0, 128.0)
     got = values_of(fl.bandpass(df, 4, 8.0, 13.0, 128.0, causal))
@@ -197,6 +197,7 @@ def test_connectivity_measures_and_grids_match_brute_force(spark):
     x = np.random.default_rng(3).normal(size=(140, 3))
     by, w = ["recording_id", "window_id"], windowed(spark, x, 64)
     edges = cn.connectivity_set({"te": cn.transfer_entropy(w, by), "corr": st.correlation_matrix(w, by, "pos"), "ols": cn.lagged_ols(w, by, 2)})
+    edges = table(edges)  # made once: sums of another run may differ in their last digit
     got = {(r.window_id, r.measure, r.src, r.dst): r.value for r in edges.collect()}
     assert len(got) == 2 * 3 * 6
 
