@@ -6,13 +6,17 @@ dequantised and inverse-transformed by one matrix product, chroma is upsampled,
 
 ``store`` keeps bytes losslessly: a byte is one quantised coefficient, 64 of them a block, in 4:2:0 colour. Each of
 the 256 values of magnitude category 8 stands for one byte, so all coefficients have one category, and every scan of
-a first approximation has a table with one symbol, which is read at a fixed stride.
+a first approximation has a table with one symbol, which is read at a fixed stride. A comment has the number of bytes and
+a checksum of all that is stored. What cannot be decoded is one kind of error, ``Unreadable``; a frame that promises
+more blocks than its file could hold is told before anything is allocated for it.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 
@@ -27,6 +31,26 @@ MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 
+#: Bits that a block has at least in a file of any origin (its first coefficient's code), bytes that it has in a file of
+#: ``store`` (63 whole ones and more), and the scans of such a file.
+LEAST_BITS, STORED_BYTES, STORED_SCANS = 1, 63, 11
+
+
+class Unreadable(ValueError):
+    """A file that is not what it should be."""
+
+
+@contextmanager
+def decoding() -> Iterator[None]:
+    """Whatever fails over the bytes of a file is ``Unreadable``."""
+    try:
+        yield
+    except Unreadable:
+        raise
+    except (ValueError, LookupError, ArithmeticError, TypeError, StopIteration) as e:
+        raise Unreadable(f"broken file: {e}") from e
+
+
 def _zigzag() -> np.ndarray:
     order = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
     return np.array([r * 8 + c for r, c in order])
@@ -115,17 +139,18 @@ def _signed(value: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
 
 
-def parse(data: bytes) -> dict:
-    """Frame, tables at each scan, scans and comments of a progressive file."""
+def parse(data: bytes, block_bits: int = LEAST_BITS, most_scans: int | None = None) -> dict:
+    """Frame, tables at each scan, scans and comments of a progressive file. A frame of more blocks than the file has
+    ``block_bits`` for, and more scans than ``most_scans``, are ``Unreadable``."""
     if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG file")
+        raise Unreadable("not a JPEG file")
     out: dict = {"scans": [], "comments": [], "quant": {}, "restart": 0}
     tables: dict[tuple[int, int], bytes] = {}
     pos = 2
     while True:
         m = MARKER.search(data, pos)
         if m is None:
-            raise ValueError("no end of image")
+            raise Unreadable("no end of image")
         kind, pos = data[m.start() + 1], m.end()
         if kind == 0xD9:
             return out
@@ -146,17 +171,22 @@ def parse(data: bytes) -> dict:
             out["restart"] = int.from_bytes(body, "big")
         elif kind == 0xC2:
             if body[0] != 8:
-                raise ValueError("8-bit samples only")
+                raise Unreadable("8-bit samples only")
             out["height"], out["width"] = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             out["parts"] = [{"id": body[6 + 3 * k], "h": body[7 + 3 * k] >> 4, "v": body[7 + 3 * k] & 15, "quant": body[8 + 3 * k]} for k in range(body[5])]
             high, wide = max(c["v"] for c in out["parts"]), max(c["h"] for c in out["parts"])
             out["mcus"] = (-(-out["height"] // (8 * high)), -(-out["width"] // (8 * wide)))
+            blocks = out["mcus"][0] * out["mcus"][1] * sum(c["h"] * c["v"] for c in out["parts"])
+            if not 0 < blocks * block_bits <= 8 * len(data):
+                raise Unreadable(f"{blocks} blocks in {len(data)} bytes")
             for c in out["parts"]:
                 c["used"] = (-(-(-(-out["height"] * c["v"] // high)) // 8), -(-(-(-out["width"] * c["h"] // wide)) // 8))
                 c["coef"] = np.zeros((out["mcus"][0] * c["v"], out["mcus"][1] * c["h"], 64), np.int16)
         elif kind in (0xC0, 0xC1, 0xC3) or 0xC5 <= kind <= 0xCF:
-            raise ValueError("progressive Huffman frames only")
+            raise Unreadable("progressive Huffman frames only")
         elif kind == 0xDA:
+            if len(out["scans"]) == most_scans:
+                raise Unreadable("too many scans")
             n = body[0]
             stop = MARKER.search(data, pos)
             end = stop.start() if stop else len(data)
@@ -316,9 +346,9 @@ def _ac_refine(bits: Bits, table: Table, coef: np.ndarray, rows: np.ndarray, ban
             k += 1
 
 
-def coefficients(data: bytes) -> dict:
+def coefficients(data: bytes, block_bits: int = LEAST_BITS, most_scans: int | None = None) -> dict:
     """The parsed image with the coefficients of all its scans in each part's ``coef`` (rows, columns, 64 in zigzag order)."""
-    image = parse(data)
+    image = parse(data, block_bits, most_scans)
     for scan in image["scans"]:
         if scan["band"][0] == 0:
             _dc(image, scan)
@@ -413,12 +443,23 @@ def _refinement(band: np.ndarray) -> bytes:
     return _packed(*bits)
 
 
-def store(data: bytes) -> bytes:
-    """A progressive 4:2:0 file that holds ``data`` losslessly, its length in a comment."""
-    payload = data + bytes(-len(data) % 64 if data else 64)
-    mcus = -(-len(payload) // 384)
+def _shape(n: int) -> tuple[int, int, int]:
+    """(bytes of the payload, rows and columns of MCUs) for ``n`` bytes."""
+    size = max(64, -(-n // 64) * 64)
+    mcus = -(-size // 384)
     cols = min(4000, int(np.ceil(np.sqrt(mcus))))
-    rows = -(-mcus // cols)
+    return size, -(-mcus // cols), cols
+
+
+def _checksum(n: int, held: np.ndarray) -> int:
+    """Of the number of bytes and of all that the blocks hold."""
+    return zlib.crc32(held.tobytes(), n & 0xFFFFFFFF)
+
+
+def store(data: bytes) -> bytes:
+    """A progressive 4:2:0 file that holds ``data`` losslessly, its length and a checksum in a comment."""
+    size, rows, cols = _shape(len(data))
+    payload = data + bytes(size - len(data))
     held = np.zeros((rows * cols, 6, 64), np.uint8)
     held.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
     luma = held[:, :4].reshape(rows, cols, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
@@ -438,7 +479,7 @@ def store(data: bytes) -> bytes:
     grid = (word[:, None] >> np.maximum(width[:, None] - 1 - places, 0)) & 1
     first = _packed(grid[places < width[:, None]].astype(np.uint8))
     frame = bytes([8]) + (rows * 16).to_bytes(2, "big") + (cols * 16).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-    out = [b"\xff\xd8", _segment(0xFE, b"bytes=%d" % len(data)), QUANT, _segment(0xC2, frame), TABLES, _scan([(1, 0), (2, 0), (3, 0)], (0, 0), 0, 1, first)]
+    out = [b"\xff\xd8", _segment(0xFE, b"bytes=%d crc32=%08x" % (len(data), _checksum(len(data), held))), QUANT, _segment(0xC2, frame), TABLES, _scan([(1, 0), (2, 0), (3, 0)], (0, 0), 0, 1, first)]
     for lo, hi in (LOW_BAND, (LOW_BAND[1] + 1, 63)):
         out += [_scan([(k + 1, 0x00)], (lo, hi), 0, 1, FIRST[p[:, lo : hi + 1]].tobytes()) for k, p in enumerate(planes)]
     out.append(_scan([(1, 0), (2, 0), (3, 0)], (0, 0), 1, 0, _packed((VALUE[held[:, :, 0]].ravel() & 1).astype(np.uint8))))
@@ -446,17 +487,29 @@ def store(data: bytes) -> bytes:
     return b"".join(out) + b"\xff\xd9"
 
 
+_HELD = re.compile(rb"bytes=(\d{1,18}) crc32=([0-9a-f]{8})")
+
+
 def held_payload(image: dict) -> tuple[int, bytes]:
-    """(bytes stored, padded payload) of an image made by ``store``."""
-    n = next(int(c[6:]) for c in image["comments"] if c.startswith(b"bytes="))
-    rows, cols = image["mcus"]
+    """(bytes stored, padded payload) of an image made by ``store``; ``Unreadable`` if its frame is not that of so many bytes,
+    or if a coefficient, the length or anything else that the blocks hold is not what the checksum was made of."""
+    told = [m for m in map(_HELD.fullmatch, image["comments"]) if m]
+    if len(told) != 1:
+        raise Unreadable("not a file of stored bytes")
+    n = int(told[0][1])
+    size, rows, cols = _shape(n)
+    if image["mcus"] != (rows, cols) or (image["height"], image["width"]) != (rows * 16, cols * 16) or [(c["id"], c["h"], c["v"]) for c in image["parts"]] != [(1, 2, 2), (2, 1, 1), (3, 1, 1)]:
+        raise Unreadable("not the frame of so many bytes")
+    if any((image["quant"][c["quant"]] != 1).any() for c in image["parts"]):
+        raise Unreadable("quantised coefficients")
     coef = [c["coef"] for c in image["parts"]]
-    held = np.empty((rows * cols, 6, 64), np.int16)
-    held[:, :4] = coef[0].reshape(rows, 2, cols, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64)
-    held[:, 4], held[:, 5] = coef[1].reshape(-1, 64), coef[2].reshape(-1, 64)
-    size = max(64, -(-n // 64) * 64)
-    flat = held.reshape(-1)[:size]
-    return n, np.where(flat < 0, flat + 255, flat).astype(np.uint8).tobytes()
+    found = np.empty((rows * cols, 6, 64), np.int16)
+    found[:, :4] = coef[0].reshape(rows, 2, cols, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64)
+    found[:, 4], found[:, 5] = coef[1].reshape(-1, 64), coef[2].reshape(-1, 64)
+    held = np.where(found < 0, found + 255, found).astype(np.uint8)
+    if _checksum(n, held) != int(told[0][2], 16) or (VALUE[held] != found).any():
+        raise Unreadable("other bytes than were stored")
+    return n, held.reshape(-1)[:size].tobytes()
 
 
 def feature(rgb: np.ndarray) -> str:
@@ -485,12 +538,13 @@ def _decoded(data: bytes | None, with_tensor: bool) -> list:
         return [None] * 7 + [False] + [None] * 3 * with_tensor
     own = [len(data), sha256(data).hexdigest()]
     try:
-        image = coefficients(data)
-        n, payload = held_payload(image)
-        rgb = tensor(image)
-    except (ValueError, IndexError, KeyError, StopIteration, ZeroDivisionError):
+        with decoding():
+            image = coefficients(data, 8 * STORED_BYTES, STORED_SCANS)
+            n, payload = held_payload(image)
+            rgb = tensor(image)
+            told = [n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, feature(rgb), True]
+    except Unreadable:
         return [None] * 4 + own + [None, False] + [None] * 3 * with_tensor
-    told = [n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, feature(rgb), True]
     return told + ([*rgb.shape[1:], rgb.tobytes()] if with_tensor else [])
 
 
@@ -498,8 +552,9 @@ def decode_media(media: DataFrame, with_tensor: bool = False) -> DataFrame:
     """Rows of (doc_id, media) decoded: payload digests, the RGB tensor's feature, whether the file was intact[, the
     tensor's height, width and samples].
 
-    ``media`` are files made by ``encode_media``. Null media, and files cut short or otherwise unreadable, give a row that
-    is not intact, with nulls for what cannot be told; null ids stay null; repeated rows each return; other columns are
+    ``media`` are files made by ``encode_media``. Null media, files cut short or otherwise unreadable, and files that hold
+    other bytes than were stored give a row that is not intact, with nulls for what cannot be told. No file makes a task
+    allocate more than a few times its own size. Null ids stay null; repeated rows each return; other columns are
     ignored; an empty table gives no rows.
     """
     kinds = {"n_bytes": ("long", pa.int64()), "payload_bytes": ("long", pa.int64()), "payload_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "media_bytes": ("long", pa.int64()),
