@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,10 +63,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigloom.llm.sharding import shard_documents
-    from sigloom.scratch import shared_folder
 
-    path = f"{shared_folder(spark)}/slot-map-{zlib.crc32(sf_dir.encode()):08x}"  # the map of this corpus lasts
-    return shard_documents(_read(spark, sf_dir, "documents"), map_path=path)
+    return shard_documents(_read(spark, sf_dir, "documents"))  # a map of its own: the same table, the same rows
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,59 @@ def test_maps_are_versioned_and_rebalancing_moves_whole_slots(spark, tmp_path):
     fewer = sharding.rebalance(first, loads, 4)
     assert set(fewer.values()) == {0, 1, 2, 3} and sum(fewer[s] != first[s] for s in first if first[s] < 4) < 20
     path = str(tmp_path / "map")
-    sharding.save_map(sharding.map_table(spark, first, loads, 1), path)
-    sharding.save_map(sharding.map_table(spark, more, loads, 2), path)
+    assert sharding.save_map(sharding.map_table(spark, first, loads, 1), path, 1)
+    assert sharding.save_map(sharding.map_table(spark, more, loads, 2), path, 2)
     assert {r.slot: r.shard for r in sharding.load_map(spark, path).collect()} == more
     assert {r.slot: r.shard for r in sharding.load_map(spark, path, 1).collect()} == first
+
+
+def test_a_version_is_published_once_and_whole(spark, tmp_path):
+    path, loads = str(tmp_path / "map"), [(s, 10, 1) for s in range(64)]
+    one, two = {s: s % 4 for s in range(64)}, {s: s % 3 for s in range(64)}
+    assert sharding.save_map(sharding.map_table(spark, one, loads, 0), path, 0)
+    assert not sharding.save_map(sharding.map_table(spark, two, loads, 0), path, 0)
+    assert sharding.owners_of(spark, path, None, 64) == (0, one) and sharding.versions(spark, path) == [0]
+    half = sharding.map_table(spark, one, loads, 1).where("slot < 32")
+    assert sharding.save_map(half, path, 1)
+    with pytest.raises(ValueError):
+        sharding.owners_of(spark, path, 1, 64)
+    with pytest.raises(ValueError):
+        sharding.load_map(spark, path, 7)
+
+
+def test_two_runs_at_once_share_one_map(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "map")
+    df = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(2000)], "doc_id long, text string")
+    with ThreadPoolExecutor(3) as pool:
+        runs = list(pool.map(lambda _: sorted(map(tuple, sharding.shard_documents(df, 4, 256, path).collect())), range(3)))
+    assert runs[0] == runs[1] == runs[2] and sharding.versions(spark, path) == [0, 1]
+
+
+def test_a_named_version_holds_and_the_query_repeats(spark, tmp_path):
+    from sigloom.llm.queries import op9_sharding
+
+    path = str(tmp_path / "map")
+    df = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(2000)], "doc_id long, text string")
+    run = lambda rows, **more: sorted(map(tuple, sharding.shard_documents(rows, 4, 256, path, **more).collect()))
+    first = run(df)
+    assert run(df.where("doc_id % 2 = 0 AND doc_id < 900")) and sharding.versions(spark, path)[-1] > 1
+    assert run(df, version=1) == first
+    with pytest.raises(ValueError):
+        sharding.shard_documents(df, 3, 256, path, version=1)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(df, 4, 256, path, version=99)
+    data = "/root/testdata/sf0.001"
+    one, two = (sorted(map(tuple, op9_sharding(spark, data).collect())) for _ in range(2))
+    assert one == two
+
+
+def test_a_hot_id_is_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 10)
+    df = spark.createDataFrame([(7, "same")] * 900 + [(k, "t") for k in range(1000, 1600)], "doc_id long, text string")
+    got = sharding.shard_documents(df, 4, 64).collect()
+    assert len(got) == 1500
+    for s in {r.shard for r in got}:
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
