@@ -1,8 +1,9 @@
 """Secret scans: candidate spans by pattern, then how many repositories and owners of the corpus each candidate has.
 
-A value that many owners hold is a copied example; one that few hold looks live. Candidates are of four kinds: the
+A value that many owners hold is a copied example, and so is one that an owner has put into many repositories: a template
+is copied, a credential is used. One that few owners hold in few repositories looks live. Candidates are of four kinds: the
 three base kinds, and ``owned``, a long token of mixed letters and digits outside the base spans, which becomes a span
-only where one owner alone holds it. Everything is a DataFrame expression.
+only where one owner alone holds it, in few repositories. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ KINDS = ("assign", "access", "hex", "owned")
 OWNED = r"((?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}(?![A-Za-z0-9]))"
 #: Owners that make a value an example, in a corpus of ten owners at most, and more for each tenfold of owners.
 WIDE, WIDER = 3, 3
+#: Repositories, of however few owners, that make it one in a corpus of ten repositories at most, and more for each tenfold.
+SPREAD, SPREADER = 8, 8
 
 
 def wide_from(owners: int) -> int:
@@ -33,6 +36,12 @@ def wide_from(owners: int) -> int:
     return WIDE + int(WIDER * max(0.0, log10(max(owners, 1)) - 1))
 
 
+def spread_from(repositories: int) -> int:
+    """The number of repositories from which a value is an example, whoever owns them: an owner's services may share a
+    credential, and the more repositories a corpus has, the more of them may."""
+    return SPREAD + int(SPREADER * max(0.0, log10(max(repositories, 1)) - 1))
+
+
 def spans(text: Column, pattern: str, value: int, least: int, kind: int) -> Column:
     """Array of (start, end, kind, hash of the value's group) of the leftmost matches, none overlapping.
 
@@ -80,22 +89,25 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n"))
 
 
-def find_secrets(docs: DataFrame, source: str = "source", wide: int | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, source: str = "source", wide: int | None = None, spread: int | None = None) -> DataFrame:
     """(doc_id, base, live, examples, all): span arrays (start, kind, end, value, n_owners, n_repos, live), each by start,
     then kind, but for ``base``, which has the base spans' start, kind and end alone.
 
-    ``all`` has the base spans and those of ``owned`` values with a single owner. ``live`` are spans whose value has
-    fewer than ``wide`` owners (by default ``wide_from`` the corpus's owners); the rest are ``examples``. Null sources
+    ``live`` are spans whose value has fewer than ``wide`` owners (by default ``wide_from`` the corpus's owners) and is in
+    fewer than ``spread`` repositories (by default ``spread_from`` the corpus's); the rest are ``examples``. ``all`` has the
+    base spans and those of ``owned`` values with a single owner and fewer than ``spread`` repositories. Null sources
     count as one owner; repeated rows each return; null and empty texts and rows without a candidate return empty
     arrays; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     found = table(scan(docs, source).withColumn("row", F.monotonically_increasing_id()))
     if wide is None:
         wide = wide_from(found.select("owner").distinct().count())
+    if spread is None:
+        spread = spread_from(found.select("owner", "repository").distinct().count())
     counts = table(ownership(found))
     each = table(found.select("row", F.explode(F.concat("base", "extra")).alias("s")).select("row", "s.*"))
-    told = join_counted(each, counts, ["value"], "n").where((F.col("kind") < 3) | (F.col("n_owners") == 1))
-    one = F.struct("start", "kind", "end", "value", "n_owners", "n_repos", (F.col("n_owners") < wide).alias("live"))
+    told = join_counted(each, counts, ["value"], "n").where((F.col("kind") < 3) | ((F.col("n_owners") == 1) & (F.col("n_repos") < spread)))
+    one = F.struct("start", "kind", "end", "value", "n_owners", "n_repos", ((F.col("n_owners") < wide) & (F.col("n_repos") < spread)).alias("live"))
     by_row = told.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("all"))
     out = found.join(by_row, "row", "left").withColumn("all", F.coalesce("all", F.array().cast(by_row.schema["all"].dataType)))
     return out.select(

@@ -32,7 +32,7 @@ def test_report(spark):
     assert secrets.secret_report(docs(spark).limit(0)).count() == 0
 
 
-def brute(rows, wide):
+def brute(rows, wide, spread=10**9):
     """All columns of the report, counting owners and repositories in plain sets."""
     kinds, each = ("assign", "access", "hex", "owned"), []
     token = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}(?![A-Za-z0-9])")
@@ -52,9 +52,9 @@ def brute(rows, wide):
             repos.setdefault(x[3], set()).add((owner, repo))
     out = []
     for i, b, o, _, _ in each:
-        all_ = sorted(b + [x for x in o if len(owners[x[3]]) == 1])
+        all_ = sorted(b + [x for x in o if len(owners[x[3]]) == 1 and len(repos[x[3]]) < spread])
         text = lambda xs: ",".join(f"{kinds[x[1]]}:{x[0]}:{x[2]}" for x in sorted(xs))
-        live = sum(len(owners[x[3]]) < wide for x in all_)
+        live = sum(len(owners[x[3]]) < wide and len(repos[x[3]]) < spread for x in all_)
         out.append((i, *[sum(x[1] == k for x in b) for k in range(3)], hashlib.sha256(text(b).encode()).hexdigest(), text(all_), ",".join(f"{len(owners[x[3]])}:{len(repos[x[3]])}" for x in all_), live, len(all_) - live))
     return out
 
@@ -64,8 +64,25 @@ def test_all_columns_match_brute_force(spark):
     rows += [(1000 + k, "password: hotvalue1" if k % 3 else f"text {k}", f"o{k % 7}/r{k % 21}") for k in range(900)]  # one value in two thirds of the rows
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, source string, n_owners string")
     wide = secrets.wide_from(len({b[3] for b in [(0, 0, 0, re.sub("^[a-z]+://[^/]*/", "", s or "").split("/")[0]) for _, _, s in rows]}))
+    spread = secrets.spread_from(len({tuple(re.sub("^[a-z]+://[^/]*/", "", s or "").split("/")[:2]) for _, _, s in rows}))
     got = [tuple(r) for r in secrets.secret_report(df).collect()]
-    assert sorted(got) == sorted(brute(rows, wide)) and [secrets.wide_from(n) for n in (0, 1, 10, 100, 10**6)] == [3, 3, 3, 6, 18]
+    assert sorted(got) == sorted(brute(rows, wide, spread)) and [secrets.wide_from(n) for n in (0, 1, 10, 100, 10**6)] == [3, 3, 3, 6, 18]
+
+
+def test_repositories_alone_and_owners_alone_tell_examples(spark):
+    """Three values: in many repositories of one owner, in one repository each of many owners, and in few of either. And an
+    owner's token in many of its own repositories, which is a template, beside one in a single repository."""
+    rows = [(k, "secret: Template1Value", f"ann/r{k}") for k in range(12)] + [(100 + k, "secret: Copied1Value", f"o{k}/one") for k in range(6)] + [(200 + k, "secret: Live1Value99", f"bob/r{k % 2}") for k in range(20)]
+    rows += [(300 + k, "see Zz1Zz2Zz3Zz4Zz5Zz6 there", f"cem/r{k}") for k in range(12)] + [(400, "see Qq1Qq2Qq3Qq4Qq5Qq6 there", "dee/r1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    owners, repositories = len({s.split("/")[0] for *_, s in rows}), len({s for *_, s in rows})
+    wide, spread = secrets.wide_from(owners), secrets.spread_from(repositories)
+    assert wide <= 6 and 2 < spread <= 12
+    got = {r.doc_id: r for r in secrets.secret_report(df).collect()}
+    assert sorted(map(tuple, got.values())) == sorted(brute(rows, wide, spread))
+    assert (got[0].n_live, got[0].n_example, got[0].owners_repos) == (0, 1, "1:12")  # by its repositories alone
+    assert (got[100].n_live, got[100].n_example, got[100].owners_repos) == (0, 1, "6:6") and secrets.spread_from(repositories) > 6  # by its owners alone
+    assert (got[200].n_live, got[200].n_example) == (1, 0) and got[300].spans == "" and got[400].spans == "owned:4:22"
 
 
 def test_a_table_without_sources_has_one_owner(spark):
