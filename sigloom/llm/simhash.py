@@ -22,6 +22,9 @@ from sigloom.scratch import mark, release, table
 #: Fingerprints in the sample that the tree is grown from, those of it that each leaf should have at least, fingerprints
 #: a shard should hold, and fingerprints of a shard that are compared without growing the tree on.
 SAMPLE, LEAST, SHARD, LEAF = 20_000, 16, 2_048, 512
+#: Fingerprints, visitors among them, from which a shard is dealt again, sampled ones of each such shard, and times that
+#: this is done at most: after two, some ten million shards.
+MOST, AGAIN, ROUNDS = 65_536, 2_048, 2
 #: Words hashed at once: what a long text holds besides itself.
 WORDS_AT_ONCE = 65_536
 
@@ -154,23 +157,67 @@ def links_in_shard(fp: np.ndarray, home: np.ndarray, within: int, leaf: int = LE
     return fp[moved], fp[sets.label[moved]]
 
 
-def fingerprint_links(distinct: DataFrame, within: int = 2, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(a, b): links among distinct fingerprints ``fp``, with the same connected sets as all pairs within ``within`` bits."""
-    held = distinct.orderBy(F.xxhash64("fp")).limit(sample)
-    points = np.array([r.fp for r in held.collect()], np.int64).view(np.uint64)  # ``sample`` rows at most
-    nodes = grow(points, int(np.ceil(np.log2(max(1, distinct.count()) / shard))))
+def _dealt(rows: DataFrame, trees: dict[int | None, tuple[np.ndarray, np.ndarray]], within: int, last: int) -> DataFrame:
+    """``rows`` (shard, fp, home) sent on by the tree of their shard: a home has one new home, a visitor none. ``last`` is more
+    than any place in a tree. Shards without a tree stay."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy()
-            row, at, home = shards(fp.view(np.uint64), nodes, within)
-            yield pd.DataFrame({"shard": at, "fp": fp[row], "home": home})
+            shard = pdf["shard"].to_numpy()
+            for own, places in pdf.groupby("shard", sort=False).indices.items():
+                fp, home = pdf["fp"].to_numpy()[places], pdf["home"].to_numpy()[places]
+                if int(own) not in trees:
+                    yield pd.DataFrame({"shard": shard[places], "fp": fp, "home": home})
+                    continue
+                row, at, mine = shards(fp.view(np.uint64), trees[int(own)], within)
+                yield pd.DataFrame({"shard": (int(own) + 1) * last + at, "fp": fp[row], "home": home[row] & mine})
+
+    return rows.mapInPandas(deal, "shard long, fp long, home boolean")
+
+
+def _largest(points: np.ndarray, trees: dict, place: dict[int, np.ndarray], within: int) -> dict[tuple[int, int], int]:
+    """Of the sampled ``place``s of each shard, how many its tree sends to each of its leaves, visitors among them."""
+    found = {}
+    for own, tree in trees.items():
+        _, at, _ = shards(points[place[own]], tree, within)
+        for leaf, n in zip(*np.unique(at, return_counts=True)):
+            found[own, int(leaf)] = int(n)
+    return found
+
+
+def fingerprint_links(distinct: DataFrame, within: int = 2, sample: int = SAMPLE, shard: int = SHARD, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): links among distinct fingerprints ``fp``, with the same connected sets as all pairs within ``within`` bits.
+
+    A sample bounds how deep a tree can grow. Where it says that a shard will hold more than ``most`` fingerprints, these are
+    dealt once more, each such shard by a tree grown from a sample of its own, and so on for ``rounds``: a task's group
+    stays bounded as fingerprints grow in number.
+    """
+    n = distinct.count()
+    held = distinct.orderBy(F.xxhash64("fp")).limit(sample)
+    points = np.array([r.fp for r in held.collect()], np.int64).view(np.uint64)  # ``sample`` rows at most
+    trees = {0: grow(points, int(np.ceil(np.log2(max(1, n / shard)))))}
+    last = 1 << 15
+    dealt = _dealt(distinct.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(True).alias("home")), trees, within, last)
+    expected = {(own + 1) * last + leaf: k * n / max(1, len(points)) for (own, leaf), k in _largest(points, trees, {0: np.arange(len(points))}, within).items()}
+    for _ in range(rounds):
+        large = {s: k for s, k in expected.items() if k > most}
+        if not large:
+            break
+        dealt = table(dealt)
+        chance = min(1.0, AGAIN * len(large) / sum(large.values()))
+        drawn = dealt.where("home").where(F.col("shard").isin(*large)).where(F.pmod(F.xxhash64(F.lit(3), "fp"), F.lit(1 << 30)) < int(chance * (1 << 30)))
+        rows = drawn.select("shard", "fp").toArrow()  # about ``AGAIN`` for each large shard
+        own, points = np.asarray(rows["shard"]), np.asarray(rows["fp"]).view(np.uint64)
+        place = {s: np.flatnonzero(own == s) for s in large}
+        trees = {s: grow(points[place[s]], int(np.ceil(np.log2(max(1, large[s] / shard))))) for s in large if len(place[s])}
+        dealt = _dealt(dealt, trees, within, last)
+        expected = {(s + 1) * last + leaf: k * large[s] / len(place[s]) for (s, leaf), k in _largest(points, trees, place, within).items()}
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = links_in_shard(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), within)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return distinct.select("fp").mapInPandas(deal, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(join, "a long, b long")
+    return dealt.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, within: int = 2) -> DataFrame:

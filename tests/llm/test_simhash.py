@@ -33,6 +33,12 @@ def test_links_match_brute_force_in_small_shards(spark, monkeypatch):
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     links = simhash.fingerprint_links(df, 2, sample=100, shard=16)  # most of the tree grows in the shards
     roots = {r.node: r.root for r in components(links).collect()}
+    seen = []
+    grow = simhash.grow
+    monkeypatch.setattr(simhash, "grow", lambda points, depth, seed=1: seen.append(len(points)) or grow(points, depth, seed))
+    monkeypatch.setattr(simhash, "LEAST", 4)
+    deeper = simhash.fingerprint_links(df, 2, sample=30, shard=4, most=40, rounds=3)  # shards are dealt again and again
+    assert {r.node: r.root for r in components(deeper).collect()} == roots and len(seen) > 4
     up = {int(x): int(x) for x in fps.view(np.int64)}
 
     def find(x):
@@ -96,3 +102,23 @@ def test_ranks_are_whole(spark):
     for g in range(3):
         own = sorted(r.r for r in got if r.g == g)
         assert own == list(range(len(own)))
+
+
+def test_shards_stay_bounded_as_fingerprints_grow(spark, monkeypatch):
+    """With a small first sample a single tree leaves thousands in a shard; dealt again, none holds more than a few hundred."""
+    monkeypatch.setattr(simhash, "AGAIN", 400)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(x),) for x in np.unique(rng.integers(0, 2**63, 12_000)).astype(np.int64)], "fp long").repartition(4)
+    largest = lambda **more: max(r.n for r in spread(**more).collect())
+
+    def spread(**more):
+        from pyspark.sql import functions as F
+
+        held = []
+        monkeypatch.setattr(simhash, "_dealt", lambda *a, f=dealt: held.append(f(*a)) or held[-1])
+        simhash.fingerprint_links(df, 2, sample=64, shard=128, **more)
+        return held[-1].groupBy("shard").agg(F.count("fp").alias("n"))
+
+    dealt = simhash._dealt
+    once, again = largest(rounds=0), largest(most=800, rounds=3)
+    assert once > 3_000 and again < 1_500
