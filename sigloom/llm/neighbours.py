@@ -28,6 +28,8 @@ from sigloom.scratch import mark, release, table
 SAMPLE, BITS, WIDER = 8_192, 512, 16
 #: Codes of a shard and queries of a block at most: a cell of the grid is their product.
 SHARD, BLOCK = 65_536, 16_384
+#: Queries that an index is built for at least, and the share of the usual margin that a shard's first answer has.
+ASKS, MARGIN = 256, 1.0
 #: Bytes of query vectors that may be broadcast; beyond them they are shuffled.
 BROADCAST = 32 << 20
 #: The 16-bit masks by their number of ones.
@@ -131,31 +133,49 @@ def _coded(rows: DataFrame, rotation: np.ndarray, longest: float) -> DataFrame:
 def candidates(coded: DataFrame, want: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id): for each row with ``ask`` the ``want`` codes nearest to it in Hamming distance, and ties.
 
-    Codes are dealt to shards by a hash and queries to blocks, as many as keep a cell bounded and all cores busy. A shard
-    gives the codes within the radius that holds its part of ``want`` and a margin for how unevenly a hash deals.
+    Codes are dealt to shards by a hash and queries to blocks, as many as keep a cell bounded and all cores busy with an
+    index that serves ``ASKS`` queries at least. A shard first gives the codes within the radius that holds its part of
+    ``want`` and a margin for how unevenly a hash deals. Where all that it gave is within the radius of the query's
+    ``want`` nearest so far, it may have more, and is asked again for ``want``; so the result is that of one shard.
     """
     n, asks = coded.count(), coded.where("ask IS NOT NULL").count()
     shards = max(1, ceil(n / shard))
-    blocks = max(ceil(asks / block), min(asks, ceil(2 * coded.sparkSession.sparkContext.defaultParallelism / shards)), 1)
-    each = want if shards == 1 else min(want, ceil(want / shards + 5 * sqrt(want / shards)) + 5)
-
-    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(asks):
-            ids = rows["id"].to_numpy()
-            index = Index(np.frombuffer(b"".join(rows["code"]), np.uint16).reshape(len(rows), -1))
-            for ask, code in zip(asks["id"].tolist(), asks["ask"]):
-                found, far, _ = index.nearest(np.frombuffer(code, np.uint16), each)
-                out.append((np.full(len(found), ask), ids[found], far))
-        columns = [np.concatenate([np.empty(0, kind), *[o[k] for o in out]]).astype(kind) for k, kind in enumerate((np.int64, np.int64, np.int32))]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "far"), columns)))
-
-    cell = lambda df, own, k, other, m: df.withColumn(own, F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(k))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>")))
-    rows = cell(coded.select("id", "code"), "shard", shards, "block", blocks).groupBy("shard", "block")
-    some = cell(coded.where("ask IS NOT NULL").select("id", "ask"), "block", blocks, "shard", shards).groupBy("shard", "block")
-    found = rows.cogroup(some).applyInPandas(search, "query_id long, vec_id long, far int")
-    place = F.rank().over(W.partitionBy("query_id").orderBy("far"))
-    return found.withColumn("place", place).where(F.col("place") <= want).select("query_id", "vec_id")
+    blocks = max(ceil(asks / block), min(ceil(asks / ASKS), ceil(2 * coded.sparkSession.sparkContext.defaultParallelism / shards)), 1)
+    each = want if shards == 1 else min(want, ceil(want / shards + MARGIN * (5 * sqrt(want / shards) + 5)))
+
+    def search(wanted: int):
+        def run(key: tuple, rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(rows) and len(asks):
+                ids = rows["id"].to_numpy()
+                index = Index(np.frombuffer(b"".join(rows["code"]), np.uint16).reshape(len(rows), -1))
+                for ask, code in zip(asks["id"].tolist(), asks["ask"]):
+                    found, far, _ = index.nearest(np.frombuffer(code, np.uint16), wanted)
+                    out.append((np.full(len(found), ask), ids[found], far))
+            columns = [np.concatenate([np.empty(0, kind), *[o[k] for o in out]]).astype(kind) for k, kind in enumerate((np.int64, np.int64, np.int32))]
+            return pd.DataFrame(dict(zip(("query_id", "vec_id", "far"), columns))).assign(shard=key[0])[["query_id", "shard", "vec_id", "far"]]
+
+        return run
+
+    result = "query_id long, shard long, vec_id long, far int"
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias(name)
+    own = lambda n: F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(n))
+    rows = coded.select(own(shards).alias("shard"), every("block", blocks), "id", "code")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of its own, as both sides come from one table
+    some = fresh(coded.where("ask IS NOT NULL").select("id", "ask")).select(every("shard", shards), own(blocks).alias("block"), "id", "ask")
+    found = rows.groupBy("shard", "block").cogroup(some.groupBy("shard", "block")).applyInPandas(search(each), result)
+    nearest_of = lambda df: df.withColumn("place", F.rank().over(W.partitionBy("query_id").orderBy("far"))).where(F.col("place") <= want)
+    if each < want:
+        found = table(found)
+        reach = nearest_of(found).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= want, F.max("far")).alias("reach"))
+        given = found.groupBy("query_id", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("last"))
+        more = table(given.join(reach, "query_id").where((F.col("n") >= each) & (F.col("reach").isNull() | (F.col("last") <= F.col("reach")))).select("query_id", "shard"))
+        if not more.isEmpty():
+            again = more.join(fresh(coded.where("ask IS NOT NULL").select(F.col("id").alias("query_id"), "ask")), "query_id").select("shard", F.pmod(F.xxhash64(F.lit(5), "query_id"), F.lit(blocks)).alias("block"), F.col("query_id").alias("id"), "ask")
+            wanted = rows.join(again.select("shard", "block").distinct(), ["shard", "block"])
+            whole = wanted.groupBy("shard", "block").cogroup(again.groupBy("shard", "block")).applyInPandas(search(want), result)
+            found = found.join(more, ["query_id", "shard"], "left_anti").unionByName(whole)
+    return nearest_of(found).select("query_id", "vec_id")
 
 
 def _first(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:

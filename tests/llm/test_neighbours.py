@@ -70,3 +70,17 @@ def test_small_odd_and_large_components(spark):
     big = spark.createDataFrame([(0, [1e200, 1.0]), (20, [1e200, -1e200]), (21, [1e308, 1e308]), (22, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = {q: [(i, z) for _, i, z in rows] for q, rows in found(big).items()}
     assert got[0] == [(20, float("inf")), (21, float("inf")), (22, 1e200)] and [i for i, _ in got[20]][:1] == [0] and len(got[20]) == 3
+
+
+def test_shards_asked_again_give_what_one_shard_gives(spark, monkeypatch):
+    """Codes crowd in one shard for some queries, and a first answer without a margin is too short: the second is exact."""
+    rng = np.random.default_rng(9)
+    have = rng.integers(0, 65536, (3_000, 4)).astype(np.uint16)
+    have[:400] = have[0] ^ rng.integers(0, 4, (400, 4)).astype(np.uint16)
+    df = spark.createDataFrame([(k, bytearray(c.tobytes()), bytearray(c.tobytes()) if k % 30 == 0 else None) for k, c in enumerate(have)], "id long, code binary, ask binary").repartition(3)
+    monkeypatch.setattr(neighbours, "MARGIN", 0.0)
+    one, many = ({(r.query_id, r.vec_id) for r in neighbours.candidates(df, 40, shard=size, block=30).collect()} for size in (5_000, 300))
+    assert one == many and len({q for q, _ in one}) == 100
+    for q in (0, 30, 600):
+        far = np.bitwise_count(have ^ have[q]).sum(1)
+        assert {v for a, v in one if a == q} == set(np.flatnonzero(far <= np.sort(far)[39]).tolist())
