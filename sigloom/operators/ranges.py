@@ -70,25 +70,32 @@ def of_bits(k: pa.Array) -> pa.Array:
     return pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64))
 
 
-def _selected(values: DataFrame, by: list[str], ranks: DataFrame, bits: int) -> DataFrame:
-    """(by, at, value): of each group the values at 0-based places ``rank`` of its order, by rounds of counting ``bits``.
-    ``ranks`` is (by, at, rank), of a few rows for each large group."""
-    keyed = table(values.select(*by, ordered_bits("value").alias("_key")))
-    ranks = table(ranks.withColumn("_lead", F.lit(0).cast("long")))
+def _selected(values: DataFrame, by: list[str], ranks: DataFrame, bits: int, small: int) -> DataFrame:
+    """(by, at, value): of each group the values at 0-based places ``rank`` of its order. ``ranks`` is (by, at, rank), of a few
+    rows for each large group.
+
+    Rounds of counting fix ``bits`` of the values, until those that share the bits so far are ``small`` in number: these are
+    ordered, or, where all bits are fixed, equal.
+    """
+    keyed, ranks = values.select(*by, ordered_bits("value").alias("_key")), table(ranks.withColumn("_lead", F.lit(0).cast("long")))
+    few = (lambda df: F.broadcast(df)) if ranks.count() <= FEW else (lambda df: df)
     for left in range(64 - bits, -1, -bits):
-        lead = F.shiftright("_key", left + bits) if left + bits < 64 else F.lit(0).cast("long")
-        digit = F.shiftright("_key", left).bitwiseAND(2**bits - 1)
-        if left + bits == 64:  # the sign comes first: negative numbers before the others
-            digit = F.shiftright("_key", left) + 2 ** (bits - 1)
-        wanted = ranks.select(*by, "_lead").distinct()
-        if ranks.count() <= FEW:
-            wanted = F.broadcast(wanted)
+        top = left + bits == 64
+        # The sign comes first: negative numbers stand before the others.
+        digit = F.shiftright("_key", left) + 2 ** (bits - 1) if top else F.shiftright("_key", left).bitwiseAND(2**bits - 1)
+        lead = F.lit(0).cast("long") if top else F.shiftright("_key", left + bits)
+        wanted = few(ranks.select(*by, "_lead").distinct())
         counts = keyed.select(*by, lead.alias("_lead"), digit.alias("_digit")).join(wanted, [*by, "_lead"]).groupBy(*by, "_lead", "_digit").agg(F.count(F.lit(1)).alias("_c"))
         up = F.sum("_c").over(W.partitionBy(*by, "_lead").orderBy("_digit"))  # 2 to the power of ``bits`` rows at most
-        summed = counts.withColumn("_to", up)
-        found = ranks.join(summed, [*by, "_lead"]).where((F.col("rank") < F.col("_to")) & (F.col("rank") >= F.col("_to") - F.col("_c")))
-        own = F.col("_digit") - (2 ** (bits - 1) if left + bits == 64 else 0)
-        ranks = table(found.select(*by, "at", (F.col("rank") - F.col("_to") + F.col("_c")).alias("rank"), (F.shiftleft("_lead", bits) + own).alias("_lead")))
+        found = ranks.join(counts.withColumn("_to", up), [*by, "_lead"]).where((F.col("rank") < F.col("_to")) & (F.col("rank") >= F.col("_to") - F.col("_c")))
+        own = F.col("_digit") - (2 ** (bits - 1) if top else 0)
+        ranks = table(found.select(*by, "at", (F.col("rank") - F.col("_to") + F.col("_c")).alias("rank"), (F.shiftleft("_lead", bits) + own).alias("_lead"), "_c"))
+        if left and (ranks.agg(F.max("_c")).first()[0] or 0) <= small:
+            wanted = few(ranks.select(*by, "_lead").distinct())
+            mine = keyed.withColumn("_lead", F.shiftright("_key", left)).join(wanted, [*by, "_lead"])
+            place = F.row_number().over(W.partitionBy(*by, "_lead").orderBy("_key")) - 1  # ``small`` rows at most
+            return mine.withColumn("rank", place.cast("long")).join(few(ranks.drop("_c")), [*by, "_lead", "rank"]).select(*by, "at", of_bits("_key").alias("value"))
+        ranks = ranks.drop("_c")
     return ranks.select(*by, "at", of_bits("_lead").alias("value"))
 
 
@@ -109,7 +116,7 @@ def quantiles(rows: DataFrame, by: list[str], shares: list[float], small: int |
         return held.groupBy(*by).agg(q, n) if by else held.agg(q, n).where("n > 0")
     whole = lambda df, other, how: df.join(F.broadcast(other) if other.count() <= FEW else other, by, how) if by else df
     places = F.explode(F.array(*[F.struct(F.lit(k * 2 + up).alias("at"), (F.ceil if up else F.floor)((F.col("n") - 1) * share).cast("long").alias("rank")) for k, share in enumerate(shares) for up in (0, 1)])).alias("_p")
-    found = _selected(whole(held, large.select(*by), "left_semi"), by, large.select(*by, places).select(*by, "_p.*"), bits)
+    found = _selected(whole(held, large.select(*by), "left_semi"), by, large.select(*by, places).select(*by, "_p.*"), bits, small)
     packed = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("_v"))
     both = packed.join(large, by) if by else packed.crossJoin(large)  # one row each
 
