@@ -22,8 +22,8 @@ from sigloom.scratch import mark, release, table
 
 #: Steps and shift of the whole numbers that stand for entries, and the size at which these end.
 STEPS, SHIFT, LARGEST = 64, 1_000_000, 2**60
-#: Spectra that one task combines, components returned, halvings of a root's bracket, and passes of refinement at most.
-FAN, COMPONENTS, HALVINGS, PASSES = 8, 32, 54, 3
+#: Spectra that one task combines, components returned, tries for a root, and passes of refinement at most.
+FAN, COMPONENTS, TRIES, PASSES = 8, 32, 80, 3
 #: Relative size beneath which an update counts as nothing, and eigenvalues as none.
 EPS = np.finfo(float).eps
 #: Largest entry of the whitened covariance minus the identity that needs no further pass.
@@ -43,19 +43,41 @@ def roots(poles: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, poles minus eigenvalues with a row for each eigenvalue) of diag(poles) + z z', for rising distinct poles.
 
     The k-th root lies between the k-th pole and the next. It is told from the nearer of the two, so that its distance to
-    both keeps its digits; brackets of all roots are halved at once.
+    both keeps its digits. All roots are sought at once: the secular function is replaced by one with the two poles beside
+    a root and the same value and slopes, whose root is the next try; a try that leaves the bracket is its middle.
     """
-    squares, k = z * z, np.arange(len(poles))
-    gap = np.append(np.diff(poles), squares.sum())
-    above = 1 + (squares / (poles - (poles + gap / 2)[:, None])).sum(1) < 0  # the root is in the upper half
-    upper = above & (k < len(poles) - 1)  # there the next pole is the nearer
+    n = len(poles)
+    squares, k = z * z, np.arange(n)
+    total = squares.sum()
+    gap = np.append(np.diff(poles), total)
+    with np.errstate(divide="ignore", invalid="ignore"):  # a gap too small to be halved
+        above = 1 + (squares / (poles - (poles + gap / 2)[:, None])).sum(1) < 0  # the root is in the upper half
+    upper = above & (k < n - 1)  # there the next pole is the nearer
     apart = poles - poles[k + upper][:, None]
     lo, hi = np.where(upper, -gap / 2, np.where(above, gap / 2, 0)), np.where(upper, 0, np.where(above, gap, gap / 2))
-    for _ in range(HALVINGS):
-        mid = (lo + hi) / 2
-        low = 1 + (squares / (apart - mid[:, None])).sum(1) < 0
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    below = np.tri(n)
+    left, right = apart[k, k], np.append(apart[k[:-1], k[1:]], 0.0)
+    right[-1] = left[-1] + total  # behind the last pole a place that no root reaches
     at = (lo + hi) / 2
+    for _ in range(TRIES):
+        part = 1 / (apart - at[:, None])
+        terms = squares * part
+        under = terms * below
+        f_under, f = under.sum(1), 1 + terms.sum(1)
+        low = f < 0
+        lo, hi = np.where(low, at, lo), np.where(low, hi, at)
+        done = (np.abs(f) <= 16 * EPS * (f - 2 * f_under)) | (hi - lo <= 2 * EPS * np.abs(at))
+        if done.all():
+            break
+        slope, slope_under = np.einsum("ij,ij->i", terms, part), np.einsum("ij,ij->i", under, part)
+        d, e = left - at, right - at
+        a = (d + e) * f - d * e * slope
+        b, c = d * e * f, f - d * slope_under - e * (slope - slope_under)
+        root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tried = at + np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
+        tried = np.where((tried > lo) & (tried < hi), tried, (lo + hi) / 2)
+        at = np.where(done, at, tried)
     return poles[k + upper] + at, apart - at[:, None]
 
 
