@@ -29,7 +29,9 @@ SAMPLE, BITS, WIDER = 8_192, 512, 16
 #: Codes of a shard and queries of a block at most: a cell of the grid is their product.
 SHARD, BLOCK = 65_536, 16_384
 #: Queries that an index is built for at least, and the share of the usual margin that a shard's first answer has.
-ASKS, MARGIN = 256, 1.0
+ASKS, MARGIN = 16, 1.0
+#: The radius from which the buckets that hold a code are listed.
+LISTED = 3
 #: Bytes of query vectors that may be broadcast; beyond them they are shuffled.
 BROADCAST = 32 << 20
 #: The 16-bit masks by their number of ones.
@@ -88,32 +90,47 @@ class Index:
         bucket = (have.astype(np.int64) + np.arange(self.m) * 65536).T.ravel()
         self.rows = (np.argsort(bucket, kind="stable") % max(1, n)).astype(np.int32)
         self.start = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=self.m * 65536)))).astype(np.int64)
+        self.full = np.flatnonzero(np.diff(self.start))  # buckets that hold a code, by substring
+        self.each = np.diff(np.searchsorted(self.full, np.arange(self.m + 1) * 65536))
         self.words = np.ascontiguousarray(have).view(np.uint64) if self.m % 4 == 0 else have
 
-    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows in the buckets whose substring differs from the query's by exactly ``radius`` bits, for any substring."""
-        at = ((code.astype(np.int64)[:, None] ^ MASKS[radius]) + np.arange(self.m)[:, None] * 65536).ravel()
+    def held(self, at: np.ndarray) -> np.ndarray:
+        """Rows in the buckets ``at``."""
         lo = self.start[at]
         n = self.start[at + 1] - lo
         full = n > 0
         lo, n = lo[full], n[full]
         return self.rows[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows in the buckets whose substring differs from the query's by exactly ``radius`` bits, for any substring."""
+        return self.held(((code.astype(np.int64)[:, None] ^ MASKS[radius]) + np.arange(self.m)[:, None] * 65536).ravel())
+
     def nearest(self, code: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(rows, distances, radius probed): all rows within the smallest Hamming radius that holds ``want`` of them, or
-        all rows if there are fewer. What probes up to radius t leave out is m (t + 1) bits away or more."""
+        all rows if there are fewer. What probes up to radius t leave out is m (t + 1) bits away or more.
+
+        Buckets are named by masks while these are few; from ``LISTED`` on, the buckets that hold a code are listed by their
+        distance once, and those of each radius are probed.
+        """
         seen, fresh = np.zeros(len(self.have), bool), np.zeros(len(self.have), bool)
         far = np.full(len(self.have), self.m * 16 + 1, np.int32)
         own = np.ascontiguousarray(code).view(self.words.dtype)
+        apart = None
         for t in range(17):
-            fresh[self.probe(code, t)] = True
+            if t < LISTED:
+                fresh[self.probe(code, t)] = True
+            else:
+                if apart is None:
+                    apart = np.bitwise_count(self.full.astype(np.uint16) ^ np.repeat(code, self.each))
+                fresh[self.held(self.full[apart == t])] = True
             rows = np.flatnonzero(fresh & ~seen)
             far[rows] = np.bitwise_count(self.words[rows] ^ own).sum(1, dtype=np.int32)
             seen |= fresh
-            sure = np.sort(far[far < self.m * (t + 1)])
+            sure = far[far < self.m * (t + 1)]
             if len(sure) >= want or seen.all():
                 break
-        reach = sure[want - 1] if len(sure) >= want else self.m * 16
+        reach = np.partition(sure, want - 1)[want - 1] if len(sure) >= want else self.m * 16
         rows = np.flatnonzero(far <= reach)
         return rows, far[rows], t
 
