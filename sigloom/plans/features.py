@@ -70,10 +70,10 @@ def consecutive_blocks(spark, sf_dir):
     return b.select("recording_id", "channel", F.col("block_id").cast("long").alias("block_id"), r6("mean").alias("mean"), "n")
 
 
-@query("SELECT recording_id, channel, CAST(idx - 96 AS INT) AS idx, round(value, 6) + 0.0 AS value FROM signal WHERE idx >= 96 AND idx < 352 AND channel IN ('price', 'tax')")
+@query("SELECT recording_id, channel, CAST(idx - 96 AS INT) AS idx, round(value, 6) + 0.0 AS value FROM signal WHERE idx >= 96 AND idx < 352")
 def crop_range(spark, sf_dir):
-    """A baseline dropped and the range after it kept, of two selected channels."""
-    return wn.crop_range(signal(spark, sf_dir).where(F.col("channel").isin("price", "tax")), 96, 352).select("recording_id", "channel", "idx", r6("value").alias("value"))
+    """A baseline dropped and the range after it kept."""
+    return wn.crop_range(signal(spark, sf_dir), 96, 352).select("recording_id", "channel", "idx", r6("value").alias("value"))
 
 
 @query("""SELECT recording_id, channel, idx, round(value, 6) + 0.0 AS value FROM (SELECT *, count(*) OVER (PARTITION BY recording_id, channel) AS n FROM irregular) WHERE n >= 12""")

@@ -57,14 +57,16 @@ def class_weights(spark, sf_dir):
 
 @query(f"""WITH r AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(42, 'balance', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER (PARTITION BY label) AS n FROM sample),
 c AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS class, count(*) OVER () AS k FROM (SELECT DISTINCT label, n FROM r)),
-d AS (SELECT range AS draw, {uniform_sql(42, 'class', 'range')} AS u, {uniform_sql(42, 'row', 'range')} AS v FROM range(0, 2000))
+d AS (SELECT range AS draw, {uniform_sql(42, 'class', 'range')} AS u, {uniform_sql(42, 'row', 'range')} AS v FROM range(0, 10000000) WHERE range < (SELECT count(*) FROM sample))
 SELECT draw, sample_id, r.label FROM d JOIN c ON c.class = floor(u * k) JOIN r ON r.label = c.label AND r.rank = floor(v * c.n)""")
 def balanced_resample(spark, sf_dir):
-    return sl.balanced_resample(samples(spark, sf_dir), "sample_id", "label", 2000).select("draw", "sample_id", "label")
+    """As many draws as there are samples, classes being equally likely."""
+    s = samples(spark, sf_dir)
+    return sl.balanced_resample(s, "sample_id", "label", s.count()).select("draw", "sample_id", "label")
 
 
 @query(f"""WITH w AS (SELECT label, count(*) AS n FROM sample GROUP BY label), c AS (SELECT *, sum(n) OVER (ORDER BY label) - n AS lo, sum(n) OVER (ORDER BY label) AS hi, sum(n) OVER () AS total FROM w)
-SELECT range AS draw, label FROM range(0, 3000) d JOIN c ON {uniform_sql(42, 'pick', 'range')} * total >= lo AND {uniform_sql(42, 'pick', 'range')} * total < hi""")
+SELECT range AS draw, label FROM (SELECT range FROM range(0, 10000000) WHERE range < (SELECT count(*) FROM sample)) d JOIN c ON {uniform_sql(42, 'pick', 'range')} * total >= lo AND {uniform_sql(42, 'pick', 'range')} * total < hi""")
 def weighted_pick(spark, sf_dir):
     """Draws with replacement in proportion to weights: the label counts, by their cumulative sum."""
     from pyspark.sql import Window as W
@@ -72,7 +74,7 @@ def weighted_pick(spark, sf_dir):
     w = samples(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     cum = w.withColumn("hi", F.sum("n").over(W.orderBy("label"))).withColumn("lo", F.col("hi") - F.col("n"))  # one row for each label
     total = samples(spark, sf_dir).count()
-    draws = spark.range(3000).select(F.col("id").alias("draw"), (uniform(42, "pick", F.col("id")) * total).alias("u"))
+    draws = spark.range(total).select(F.col("id").alias("draw"), (uniform(42, "pick", F.col("id")) * total).alias("u"))
     return draws.join(F.broadcast(cum), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("draw", "label")
 
 
@@ -87,9 +89,11 @@ def weighted_rows(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT sample_id, row_number() OVER (ORDER BY {uniform_sql(42, 'order', 'sample_id')}, sample_id) - 1 AS rank, count(*) OVER () AS n FROM sample)
-SELECT range AS draw, a.sample_id AS first, b.sample_id AS second FROM range(0, 1000) d JOIN r a ON a.rank = floor({uniform_sql(42, 'first', 'range')} * a.n) JOIN r b ON b.rank = floor({uniform_sql(42, 'second', 'range')} * b.n)""")
+SELECT range AS draw, a.sample_id AS first, b.sample_id AS second FROM (SELECT range FROM range(0, 10000000) WHERE range < (SELECT count(*) FROM sample)) d JOIN r a ON a.rank = floor({uniform_sql(42, 'first', 'range')} * a.n) JOIN r b ON b.rank = floor({uniform_sql(42, 'second', 'range')} * b.n)""")
 def random_pairs(spark, sf_dir):
-    return sl.random_pairs(samples(spark, sf_dir), "sample_id", 1000)
+    """As many pairs as there are samples."""
+    s = samples(spark, sf_dir)
+    return sl.random_pairs(s, "sample_id", s.count())
 
 
 @query(f"SELECT sample_id, round({uniform_sql(7, 'op', 'sample_id', '3')}, 9) + 0.0 AS u FROM sample")
