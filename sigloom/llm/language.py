@@ -163,6 +163,8 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = REJECT) -> DataFrame:
-    """Rows of ``docs`` whose language is told with a score of ``least`` or more; all columns as they are."""
+    """Rows of ``docs`` whose language is told with a score of ``least`` or more; all columns as they are. Null and empty texts
+    and those without letters have no language and go; rows with null ids and repeated rows are judged like others; a tie
+    of languages has a low score; columns of any name stay; an empty table gives no rows."""
     kept = identify(docs).where((F.col(f"{TOLD}.lang_pred") != "und") & (F.col(f"{TOLD}.score") >= least))
     return kept.select(*docs.columns)

@@ -203,7 +203,9 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the removed lines; a document that keeps no line has an empty text; other columns stay."""
+    """``docs`` without the removed lines; a document that keeps no line has an empty text; other columns stay. A null text
+    stays null; of equal lines the first in order of doc_id (nulls first) and place stays; repeated rows, alike in id and
+    text, all lose the same lines; columns of any name are kept; an empty table gives no rows."""
     gone = removed_lines(docs).select(F.col("doc_id").alias("_sg_id"), F.col("text_key").alias("_sg_key"), F.transform("removed", lambda x: x["line"]).alias("_sg_gone"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_sg_id")) & (F.xxhash64("text") == F.col("_sg_key")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_sg_gone", i))

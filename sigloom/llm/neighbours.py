@@ -247,5 +247,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
 
 def neighbour_report(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """``nearest`` for the rows whose id is divisible by ``every``, against all rows. Rows with a null id, and vectors that
-    are null, zero, of another length or hold a null, NaN or infinity, take no part; other columns are ignored."""
+    are null, zero, of another length or hold a null, NaN or infinity, take no part; ties go to the smaller id; a repeated row
+    counts once; other columns are ignored, whatever their names; an empty table gives no rows."""
     return nearest(usable(embeddings, "vec_id", "embedding"), F.col("id") % every == 0, k)

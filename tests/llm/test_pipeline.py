@@ -34,3 +34,24 @@ def test_run(spark):
 def test_run_of_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_repeated_rows_and_a_very_long_text(spark):
+    """Extra columns named like working ones come through all stages with their rows; a text of half a million words and rows
+    that repeat are handled like others."""
+    en = "the river and the house of this old town with that bridge over the water number %d"
+    clash = ["uid", "root", "n", "keys", "line", "value", "owner", "row", "start", "fp", "text_key", "found", "live"]
+    long_text = "\n".join(en % (k * 7919) + f" and then w{k} of x{k * 31} or y{k * 17} too" for k in range(20_000))
+    texts = [(k, en % k + f" while w{k} met x{k} at y{k} and z{k} then") for k in range(20)] + [(50, long_text)] + [(7, en % 7 + " while w7 met x7 at y7 and z7 then")] * 3
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}/r", len(t), *[f"{c}{i}" for c in clash]) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)).repartition(3)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{shared_folder(spark)}/clash-test-{name}"
+        stage(spark, docs, "").write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert {r.doc_id for r in rows} == {i for i, _ in texts} and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in clash)
+        assert len(rows) == (21 if name in ("near_dedup", "secret_scan") else 24)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in texts} and max(r.piece for r in packed if r.doc_id == 50) > 100
