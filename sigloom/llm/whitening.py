@@ -243,10 +243,9 @@ def moments(rows: DataFrame, centre: np.ndarray, rest: np.ndarray, basis: np.nda
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size + 1)), pa.array(np.append(total.ravel(), n))], ["place", "value"])
 
-    got = rows.select("x").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    got = rows.select("x").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     flat = np.zeros(k * (k + 1) + 1)
-    for r in got:
-        flat[r.place] = r.value
+    flat[np.asarray(got["place"])] = np.asarray(got["value"])
     total = flat[:-1].reshape(k + 1, k) / flat[-1]
     return total[k], total[:k]
 
