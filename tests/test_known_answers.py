@@ -309,6 +309,19 @@ def test_scratch_goes(spark):
     assert mark(spark) == since
 
 
+def test_shuffle_files_go_with_the_table_that_they_served(spark):
+    from sigloom.scratch import CLEANUP, table
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known = lambda: tracker.shuffleStatuses().size()
+    before = known()
+    counts = table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert counts.count() == 7 and spark.conf.get(CLEANUP) == "false"
+    sums = table(spark.range(1000).repartition(3).groupBy((F.col("id") % 5).alias("k")).count().join(counts.withColumnRenamed("count", "n"), "k"))
+    assert sums.count() == 5
+    assert known() <= before + 2  # those of the two counts; the tables' own are gone
+
+
 def test_stream_windows(spark, tmp_path):
     from sigloom.streaming.windows import window_stats
 
