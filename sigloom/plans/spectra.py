@@ -112,7 +112,7 @@ def tumbling(spark, sf_dir):
 
 
 def packet(spark, sf_dir):
-    return sp.packet_statistics(sp.wavelet_packet(tumbling(spark, sf_dir), _BY, 64), _BY)
+    return sp.window_packets(tumbling(spark, sf_dir), _BY, 64)
 
 
 @query(f"WITH {WAVELET} SELECT recording_id, channel, window_id, node, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(energy, 5) + 0.0 AS energy FROM wp")

@@ -342,3 +342,21 @@ def test_one_pass_checks_agree_with_the_built_in_ones(spark):
     assert len({r.distribution for r in got.values()}) == 2
     for s, r in got.items():
         assert (r.amplitude, r.distribution) == (amplitude[s], ks[s]) and r.mmd == pytest.approx(mmd[s], abs=1e-7)
+
+
+def shuffles(df):
+    """How often the plan of ``df`` shuffles, at first."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_wavelets_shuffle_a_signal_once(spark):
+    from sigloom import plans
+
+    df = plans.queries()["wavelet_packet"](spark, "/root/testdata/sf0.001")
+    assert shuffles(df) == 1
+    rows = [(1, "a", w, p, float(v)) for w in range(2) for p, v in enumerate(np.random.default_rng(w).normal(size=64))]
+    windows, by = spark.createDataFrame(rows, "recording_id long, channel string, window_id long, pos int, value double"), ["recording_id", "channel", "window_id"]
+    slow = {(r.window_id, r.node): (r["mean"], r["std"], r.energy) for r in sp.packet_statistics(sp.wavelet_packet(windows, by, 64), by).collect()}
+    assert len(slow) == 32
+    for r in sp.window_packets(windows, by, 64).collect():
+        assert (r["mean"], r["std"], r.energy) == pytest.approx(slow[r.window_id, r.node], abs=1e-12)
