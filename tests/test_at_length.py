@@ -133,6 +133,22 @@ def test_neighbours_over_cells_match_brute_force(spark, kind):
     assert {(r.sample_id, r["rank"]): r.neighbour for r in got} == knn_plain(rows, 4)
 
 
+def test_wanted_neighbours_match_brute_force_and_travel_once_to_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16))  # no bound tells these apart
+    x[7] = x[3]
+    df = spark.createDataFrame([(k, str(k % 2), [float(v) for v in r]) for k, r in enumerate(x)], "sample_id long, label string, x array<double>")
+    some = [0, 3, 7, 500, 899]
+    made = []
+    monkeypatch.setattr(nb, "table", lambda d: made.append(rg.table(d)) or made[-1])
+    got = nb.knn_same_class(df, 3, cell=10, pivots=200, most=100, wanted=spark.createDataFrame([(k,) for k in some + some], "sample_id long")).collect()
+    plain = {r: j for r, j in knn_plain([(k, k % 2, v) for k, v in enumerate(x)], 3).items() if r[0] in some}
+    assert {(r.sample_id, r["rank"]): r.neighbour for r in got} == plain
+    nb.knn_same_class(df, 3, cell=10, pivots=200, most=100).count()
+    visits = max(d.count() for d in made if d.columns == ["label", "block", "id", "x", "bound"])
+    assert visits <= 900 * 5  # 450 vectors of a class in five blocks or fewer, not in 44 cells
+
+
 def test_visits_stay_near_linear_in_clusters():
     rng = np.random.default_rng(5)
     share = []
