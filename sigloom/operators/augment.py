@@ -276,7 +276,7 @@ def lineage(rows: DataFrame, labels: DataFrame, counts: dict[str, int], n: int,
     parts = [kind(*techniques.techniques).withColumn("weight", F.lit(1.0)), mixup_weights(kind("mixup"), seed), cutmix_weights(kind("cutmix"), n, seed).drop("_cut", "_start")]
     if counts.get("smote"):
         moved = kind("smote").drop("source2_id")
-        near = drawn_neighbour(knn_same_class(sample_vectors(rows, labels)), moved.withColumnRenamed("source_id", "sample_id"), "draw", seed)
+        near = drawn_neighbour(knn_same_class(sample_vectors(rows, labels), wanted=moved.select(F.col("source_id").alias("sample_id"))), moved.withColumnRenamed("source_id", "sample_id"), "draw", seed)
         parts.append(moved.join(near.withColumnRenamed("neighbour", "source2_id"), "draw", "left").withColumn("weight", F.when(F.col("source2_id").isNull(), 1.0).otherwise(1 - uniform(seed, "step", F.col("draw")))))
     every = parts[0]
     for p in parts[1:]:

@@ -376,3 +376,25 @@ def test_wavelets_shuffle_a_signal_once(spark):
     assert len(slow) == 32
     for r in sp.window_packets(windows, by, 64).collect():
         assert (r["mean"], r["std"], r.energy) == pytest.approx(slow[r.window_id, r.node], abs=1e-12)
+
+
+def test_entropy_of_windows_of_other_shapes_and_in_one_shuffle(spark):
+    from sigloom import plans
+
+    for name in ("transfer_entropy", "kth_distance", "lagged_ols"):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.001")
+        assert shuffles(plan) == 1 and "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+    rng, size = np.random.default_rng(12), {1: {"a": 40, "b": 40, "c": 33}, 2: {"a": 40, "b": 40}, 3: {"b": 33, "c": 33}, 4: {"a": 20}}
+    made = {(w, c): rng.normal(size=n) for w, own in size.items() for c, n in own.items()}
+    rows = [(w, c, i, float(v)) for (w, c), x in made.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "w long, channel string, pos int, value double")
+    for together in (8, 1):
+        got = {(r.w, r.src, r.dst) for r in cn.transfer_entropy(df, ["w"], together=together).collect()}
+        assert got == {(w, s, d) for w in (1, 2) for s, d in ("ab", "ba")} | {(3, "b", "c"), (3, "c", "b")}
+    got = {(r.w, r.channel, r.t): r.r for r in cn.kth_distance(df, ["w"]).collect()}
+    want = {}
+    for (w, c), x in made.items():
+        points = np.array([[*x[i : i + 21 : 10], x[i + 21]] for i in range(max(0, len(x) - 21))]).reshape(-1, 4)
+        for t, p in enumerate(points):
+            want[w, c, t] = np.sort(np.sqrt(((points - p) ** 2).sum(1)))[4]
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], abs=1e-12) for key in want)
