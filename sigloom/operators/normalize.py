@@ -1,11 +1,12 @@
-"""Normalizers: statistics fitted on some rows as a small table, applied to any rows by a join."""
+"""Normalizers: statistics fitted on some rows as a small table, applied to any rows by a join that leaves these where they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.operators.ranges import quantiles
+from sigloom.operators.ranges import FEW, quantiles
+from sigloom.scratch import table
 
 TINY = 1e-8
 
@@ -27,7 +28,12 @@ def fit(rows: DataFrame, by: list[str], method: str = "zscore") -> DataFrame:
 
 
 def apply(rows: DataFrame, fitted: DataFrame, by: list[str]) -> DataFrame:
-    """``value`` normalized; NaN and infinity become 0. Without ``by`` the one fitted row is broadcast."""
-    both = rows.join(fitted, by) if by else rows.crossJoin(F.broadcast(fitted))
+    """``value`` normalized; NaN and infinity become 0. Without ``by`` the one fitted row is broadcast, and so are the rows of
+    up to ``FEW`` groups: a join by a few keys would put all rows of a key into one task."""
+    if by:
+        fitted = table(fitted)
+        both = rows.join(F.broadcast(fitted) if fitted.count() <= FEW else fitted, by)
+    else:
+        both = rows.crossJoin(F.broadcast(fitted))
     v = (F.col("value") - F.col("center")) / F.col("scale")
     return both.withColumn("value", F.when(F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)).drop("center", "scale")
