@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -42,17 +45,20 @@ def box_stats(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def correlation_matrix(rows: DataFrame, by: list[str], at: str = "idx") -> DataFrame:
     """(by, src, dst, value): absolute Pearson correlation of every ordered pair of different channels. It is symmetric, so
-    each pair is joined once and its one number is mirrored."""
+    each pair is made once and its one number is mirrored."""
     half = channel_pairs(rows, by, at, "src < dst").groupBy(*by, "src", "dst").agg(F.abs(F.corr("x", "y")).alias("value"))
     both = F.explode(F.array(F.struct(F.col("src").alias("s"), F.col("dst").alias("d")), F.struct(F.col("dst").alias("s"), F.col("src").alias("d"))))
     return half.withColumn("_e", both).select(*by, F.col("_e.s").alias("src"), F.col("_e.d").alias("dst"), "value")
 
 
 def channel_pairs(rows: DataFrame, by: list[str], at: str = "idx", which: str = "src <> dst") -> DataFrame:
-    """(by, at, src, dst, x, y): values of all ordered pairs of different channels, or of those in ``which``, at the same place."""
-    a = rows.select(*by, at, F.col("channel").alias("src"), F.col("value").alias("x"))
-    b = rows.select(*by, at, F.col("channel").alias("dst"), F.col("value").alias("y"))
-    return a.join(b, [*by, at]).where(which)
+    """(by, at, src, dst, x, y): values of all ordered pairs of different channels, or of those in ``which``, at the same place.
+    The channels of a place are one array, so rows that lie together by ``by`` are not shuffled, and others once."""
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*by, at)])
+    held = rows.where(known).groupBy(*by, at).agg(F.collect_list(F.struct("channel", "value")).alias("_all"))
+    one = held.select(*by, at, F.explode("_all").alias("_a"), "_all")
+    both = one.select(*by, at, "_a", F.explode("_all").alias("_b"))
+    return both.select(*by, at, F.col("_a.channel").alias("src"), F.col("_a.value").alias("x"), F.col("_b.channel").alias("dst"), F.col("_b.value").alias("y")).where(which)
 
 
 # The order of the bands in a feature vector.

@@ -120,6 +120,7 @@ def fused_image(spark, sf_dir):
     names = F.array(*[F.lit(c) for c in ("discount", "price", "quantity", "tax")])
     p = st.channel_pairs(wn.tumbling_windows(signal(spark, sf_dir, "n"), 64, "n"), ["recording_id", "window_id"], "pos")
     e = p.groupBy("recording_id", "window_id", "src", "dst").agg(F.round(F.abs(F.corr("x", "y")), 9).alias("corr"), F.round(F.abs(F.avg(F.col("x") - F.col("y"))), 9).alias("gap"))
-    m = e.unpivot(["recording_id", "window_id", "src", "dst"], ["corr", "gap"], "measure", "value").select("recording_id", "window_id", "measure", (F.array_position(names, F.col("src")) - 1).alias("r"), (F.array_position(names, F.col("dst")) - 1).alias("c"), "value")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("corr", "gap")]))
+    m = e.select("recording_id", "window_id", "src", "dst", each.alias("_m")).select("recording_id", "window_id", "_m.measure", (F.array_position(names, F.col("src")) - 1).alias("r"), (F.array_position(names, F.col("dst")) - 1).alias("c"), "_m.value")
     b = wn.consecutive_blocks(rs.to_pixels(m, ["recording_id", "window_id", "measure"]), 3, ("recording_id",))
     return rs.fused_image(b, ["recording_id"], 4, ["corr", "gap"]).withColumn("block_id", F.col("block_id").cast("long"))

@@ -398,3 +398,13 @@ def test_entropy_of_windows_of_other_shapes_and_in_one_shuffle(spark):
         for t, p in enumerate(points):
             want[w, c, t] = np.sort(np.sqrt(((points - p) ** 2).sum(1)))[4]
     assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], abs=1e-12) for key in want)
+
+
+def test_channel_pairs_and_normalizers_leave_rows_where_they_are(spark):
+    from sigloom import plans
+
+    assert shuffles(plans.queries()["correlation_matrix"](spark, "/root/testdata/sf0.001")) == 1
+    assert shuffles(plans.queries()["fused_image"](spark, "/root/testdata/sf0.001")) == 1
+    plan = plans.queries()["apply_normalizer"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(plan) == 1 and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
