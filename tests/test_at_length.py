@@ -408,3 +408,11 @@ def test_channel_pairs_and_normalizers_leave_rows_where_they_are(spark):
     plan = plans.queries()["apply_normalizer"](spark, "/root/testdata/sf0.001")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert shuffles(plan) == 1 and "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_a_feature_vector_moves_windows_not_values(spark):
+    from sigloom import plans
+
+    # One shuffle of the table for each of its branches, and those of joins of rows of whole windows.
+    text = plans.queries()["feature_vector"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in text and "node" not in "".join(line for line in text.split("\n") if "Exchange hashpartitioning" in line)
