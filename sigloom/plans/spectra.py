@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import filters as fl
 from sigloom.operators import spectral as sp
-from sigloom.operators import statistics as st
+from sigloom.operators import vectors as vc
 from sigloom.operators import windows as wn
-from sigloom.plans.registry import query, r6, signal
+from sigloom.plans.registry import CHANNELS, query, r6, signal, wide_signal
 
 FRAMES = """framed AS (SELECT s.recording_id, s.channel, f.frame, s.idx + 32 - f.frame * 32 AS pos, s.value FROM signal s
   JOIN (SELECT recording_id, channel, max(idx) + 1 AS n FROM signal GROUP BY ALL) l USING (recording_id, channel)
@@ -139,7 +139,6 @@ SELECT recording_id, channel, window_id, CAST(pos AS BIGINT) AS pos, round(value
 def feature_vector(spark, sf_dir):
     """The 63 features of each window and channel as a vector, listed by place: five statistics, three of Hjorth, spectral
     entropy, root mean square, five band powers, and three of each of 16 wavelet nodes."""
-    w = tumbling(spark, sf_dir)
-    density = sp.periodogram(w, _BY, 64, 128.0)
-    v = st.feature_vector(st.stat_features(w, _BY), st.hjorth(w, _BY, "pos"), sp.spectral_entropy(density, _BY), sp.band_power(density, _BY, 2.0), packet(spark, sf_dir), _BY)
+    held = vc.channel_windows(wide_signal(spark, sf_dir, "n"), ["recording_id"], list(CHANNELS), 64, "n")
+    v = vc.feature_vectors(held, ["recording_id", "window_id"], list(CHANNELS), 64, 128.0)
     return v.select(*_BY, F.posexplode("x").alias("pos", "value")).select(*_BY, F.col("pos").cast("long").alias("pos"), r6("value", 5).alias("value"))

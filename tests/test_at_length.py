@@ -416,3 +416,31 @@ def test_a_feature_vector_moves_windows_not_values(spark):
     # One shuffle of the table for each of its branches, and those of joins of rows of whole windows.
     text = plans.queries()["feature_vector"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in text and "node" not in "".join(line for line in text.split("\n") if "Exchange hashpartitioning" in line)
+
+
+def test_feature_vectors_are_those_of_their_parts_and_need_one_shuffle(spark):
+    from sigloom import plans
+    from sigloom.operators import statistics as st
+    from sigloom.operators import vectors as vc
+
+    plan = plans.queries()["feature_vector"](spark, "/root/testdata/sf0.001")
+    assert shuffles(plan) == 1 and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng(14)
+    made = {(k, c): rng.normal(size=n).cumsum().tolist() for k, n in enumerate((130, 64, 63)) for c in "ab"}
+    made[0, "b"][:64] = [0.1] * 64
+    made[0, "a"][5:9] = [None] * 4
+    made[1, "b"] = [None] * 64
+    made[1, "a"] = [None if i not in (3, 40) else float(i) for i in range(64)]
+    rows = [(k, i, made[k, "a"][i], made[k, "b"][i], len(made[k, "a"])) for k in range(3) for i in range(len(made[k, "a"]))]
+    wide = spark.createDataFrame(rows, "recording_id long, idx int, a double, b double, n int").repartition(5)
+    got = vc.feature_vectors(vc.channel_windows(wide, ["recording_id"], ["a", "b"], 64, "n"), ["recording_id", "window_id"], ["a", "b"], 64, 128.0)
+    w = wn.tumbling_windows(wide.unpivot(["recording_id", "idx", "n"], ["a", "b"], "channel", "value"), 64, "n").withColumn("window_id", F.col("window_id").cast("long"))
+    by = ["recording_id", "window_id", "channel"]
+    density = sp.periodogram(w, by, 64, 128.0)
+    want = st.feature_vector(st.stat_features(w, by), st.hjorth(w, by, "pos"), sp.spectral_entropy(density, by), sp.band_power(density, by, 2.0), sp.window_packets(w, by, 64), by)
+    told = lambda df: {tuple(r[c] for c in by): r.x for r in df.collect()}
+    got, want = told(got), told(want)
+    assert got.keys() == want.keys() and len(got) == 6
+    for key, x in want.items():
+        assert len(x) == len(got[key]) == 63
+        assert all((p is None) == (q is None) and (p is None or p == pytest.approx(q, rel=1e-9, abs=1e-9)) for p, q in zip(got[key], x)), (key, got[key], x)
