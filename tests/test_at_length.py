@@ -444,3 +444,32 @@ def test_feature_vectors_are_those_of_their_parts_and_need_one_shuffle(spark):
     for key, x in want.items():
         assert len(x) == len(got[key]) == 63
         assert all((p is None) == (q is None) and (p is None or p == pytest.approx(q, rel=1e-9, abs=1e-9)) for p, q in zip(got[key], x)), (key, got[key], x)
+
+
+def test_masked_spectra_are_made_and_inverted_in_one_place(spark):
+    from sigloom import plans
+
+    assert shuffles(plans.queries()["tf_mask_augment"](spark, "/root/testdata/sf0.001")) == 1
+    rng = np.random.default_rng(15)
+    made = {(k, c): rng.normal(size=n) for k, n in enumerate((300, 64, 33, 1, 127, 128)) for c in "ab"}
+    df = long(spark, made)
+    spec = sp.tf_mask(sp.stft(df, 16, 8), (F.lit(2), F.lit(3)), (F.lit(1), F.lit(4)))
+    want = rows_by(sp.istft(spec, 16, 8).join(df.select("recording_id", "channel", "idx"), ["recording_id", "channel", "idx"]))
+    for chunk in (64, 2):
+        got = rows_by(sp.stft_masked(df, lambda n: [F.when(n > 0, 2), F.lit(2), F.lit(1), F.lit(4)], 16, 8, chunk=chunk))
+        assert got.keys() == want.keys() and all(np.allclose(got[key], want[key], atol=1e-12) for key in want)
+
+
+def test_groups_and_samples_travel_as_rows(spark):
+    from sigloom import plans
+    from sigloom.plans import augmentation as pa_
+
+    # Samples are told from the lengths of recordings: no signal is numbered or exploded for their labels.
+    text = pa_.fixed_labels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "l_discount" not in text
+    assert plans.queries()["technique_counts"](spark, "/root/testdata/sf0.001").count() == 10
+    rows = spark.createDataFrame([(s, c, i, float(100 * s + i)) for s in (1, 2, 3) for c in "ab" for i in range(4) if (s, c) != (3, "b")], "sample_id long, channel string, idx int, value double")
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 3, 1), (2, 2, 2)], "draw long, first long, second long")
+    got = {(r.draw, r.channel, r.idx): (r.a, r.b) for r in ag.pairs_of(ag.gathered(rows), pairs).collect()}
+    want = {(d, c, i): (100.0 * p + i, 100.0 * q + i) for d, p, q in ((0, 1, 2), (1, 3, 1), (2, 2, 2)) for c in "ab" for i in range(4) if not (p == 3 and c == "b")}
+    assert got == want
