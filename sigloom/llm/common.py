@@ -16,9 +16,19 @@ from sigloom.scratch import mark, release, table
 
 #: Rows that a Python worker turns into objects at once. Spark bounds the bytes of the Arrow batch that they come in.
 SLICE = 256
+#: What a worker remembers between tasks, by what it serves.
+_kept: dict[str, dict] = {}
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+def kept(use: str) -> dict:
+    """What this worker remembers between tasks for ``use``. A worker that turns to another use forgets the former one's, so an
+    executor's idle workers do not hold on to stages that are over."""
+    if use not in _kept:
+        _kept.clear()
+    return _kept.setdefault(use, {})
+
+
 def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a UTF-8 text, maximal runs without space and 0x09 to 0x0D, in a list for each stretch of about ``size``
     bytes, so that a very long text never stands whole as a list."""

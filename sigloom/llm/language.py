@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import SLICE, map_slices, small_batches
+from sigloom.llm.common import SLICE, kept, map_slices, small_batches
 
 #: Hash buckets of n-grams, and labelled texts of each language that are learned from (about).
 BUCKETS, SAMPLE = 1 << 13, 1_500
@@ -21,13 +21,13 @@ DRAWS = 1 << 62
 #: Texts under this score are rejected, and those whose two best losses are this near are ambiguous.
 REJECT, NEAR = 0.3, 0.02
 TOLD = "_sg_told"
-_letters: list[np.ndarray] = []
 
 
 def _letter_table() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
-    return _letters[0]
+    held = kept("language")
+    if "letters" not in held:
+        held["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return held["letters"]
 
 
 def grams(text: str | None) -> np.ndarray:

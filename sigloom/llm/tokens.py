@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_slices
+from sigloom.llm.common import kept, map_slices
 
 #: Entries that a worker keeps; it starts anew beyond them, so its memory is bounded. Frequent words are soon back.
 REMEMBERED = 1_000_000
 #: White space for both str.split and the tokenizer's pattern; other such characters take the whole-text path.
 MARKS = ".,;:!?"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
-_workers: dict = {}
 
 
 class ChunkEncoder:
@@ -82,9 +81,10 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _workers:
-        _workers[path] = ChunkEncoder(path)
-    return _workers[path]
+    held = kept("tokens")
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 def token_pieces(docs: DataFrame, path: str, size: int, with_ids: bool = False) -> DataFrame:

@@ -55,3 +55,22 @@ def test_stages_with_clashing_columns_repeated_rows_and_a_very_long_text(spark):
         assert len(rows) == (21 if name in ("near_dedup", "secret_scan") else 24)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {r.doc_id for r in packed} == {i for i, _ in texts} and max(r.piece for r in packed if r.doc_id == 50) > 100
+
+
+def test_a_worker_forgets_the_tokenizer_when_it_turns_to_languages():
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from sigloom.llm import language, tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = tokens.encoder(path)
+    assert tokens.encoder(path) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    assert len(language.grams("some words")) > 0
+    gc.collect()
+    assert gone() is None
+    assert language._letter_table() is language._letter_table()
