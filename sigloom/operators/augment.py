@@ -43,11 +43,15 @@ def time_shift(rows: DataFrame, seed: int = 1, low: float = 0.05, high: float =
 
 
 def window_slice(rows: DataFrame, seed: int = 1, low: float = 0.8, high: float = 0.95, resample: bool = False) -> DataFrame:
-    """A drawn share of the series from a drawn start, its places counted anew, or stretched to the old length."""
-    n = F.max("idx").over(per_sample()) + 1
-    size = F.floor(n * between(seed, "keep", F.col("sample_id"), low, high))
-    start = F.floor(uniform(seed, "start", F.col("sample_id")) * (n - size + 1))
-    cut = rows.withColumns({"_at": F.col("idx") - start, "_size": size, "_n": n}).where(F.col("_at").between(0, F.col("_size") - 1)).withColumn("idx", F.col("_at").cast("int"))
+    """A drawn share of the series from a drawn start, its places counted anew, or stretched to the old length. Draws are made
+    at a sample's first places and told to its other rows, as a digest costs more than all else that is done to a row."""
+    draws = {"_keep": between(seed, "keep", F.col("sample_id"), low, high), "_start": uniform(seed, "start", F.col("sample_id"))}
+    told = F.max(F.when(F.col("idx") == 0, F.struct(*[d.alias(c) for c, d in draws.items()]))).over(per_sample())
+    each = rows.withColumns({"_n": F.max("idx").over(per_sample()) + 1, "_told": told})
+    each = each.withColumns({c: F.coalesce(F.col("_told")[c], d) for c, d in draws.items()})
+    size = F.floor(F.col("_n") * F.col("_keep"))
+    start = F.floor(F.col("_start") * (F.col("_n") - size + 1))
+    cut = each.withColumns({"_at": F.col("idx") - start, "_size": size}).where(F.col("_at").between(0, F.col("_size") - 1)).withColumn("idx", F.col("_at").cast("int"))
     if not resample:
         return cut.select(*rows.columns)
     return stretched(cut).select(*rows.columns)

@@ -473,3 +473,19 @@ def test_groups_and_samples_travel_as_rows(spark):
     got = {(r.draw, r.channel, r.idx): (r.a, r.b) for r in ag.pairs_of(ag.gathered(rows), pairs).collect()}
     want = {(d, c, i): (100.0 * p + i, 100.0 * q + i) for d, p, q in ((0, 1, 2), (1, 3, 1), (2, 2, 2)) for c in "ab" for i in range(4) if not (p == 3 and c == "b")}
     assert got == want
+
+
+def test_slices_are_drawn_once_a_sample(spark):
+    rows = spark.createDataFrame([(s, c, i, float(i)) for s in range(5) for c in "ab" for i in range(s == 4, 50)], "sample_id long, channel string, idx int, value double")
+    cut = ag.window_slice(rows)
+    # The draws stand under the window as well, where but one place of a sample makes them.
+    inner = [line for line in cut._jdf.queryExecution().optimizedPlan().toString().split("\n") if "md5" in line]
+    assert len(inner) >= 2 and any("= 0)" in line for line in inner)
+    got = {}
+    for r in cut.collect():
+        got.setdefault((r.sample_id, r.channel), []).append((r.idx, r.value))
+    assert len(got) == 10
+    for (s, _), own in got.items():
+        own.sort()
+        assert 39 <= len(own) <= 47 and len({v - i for i, v in own}) == 1 and (s == 4 or own[0][0] == 0)
+        assert sorted(got[s, "a"]) == sorted(got[s, "b"])
