@@ -25,8 +25,10 @@ def per_sample():
 
 
 def noise(seed: int = 1, low: float = 0.001, high: float = 0.05) -> Column:
-    """Noise of a drawn level times the sample's deviation over all its channels."""
-    level = between(seed, "level", F.col("sample_id"), low, high)
+    """Noise of a drawn level times the sample's deviation over all its channels. The level is drawn at a sample's first places
+    and told to its other rows."""
+    drawn = between(seed, "level", F.col("sample_id"), low, high)
+    level = F.coalesce(F.max(F.when(F.col("idx") == 0, drawn)).over(per_sample()), drawn)
     key = F.concat_ws(":", "sample_id", "channel", "idx")
     return normal(seed, "noise", key) * F.stddev_pop("value").over(per_sample()) * level
 

@@ -34,7 +34,8 @@ def _by_sample(pairs: DataFrame, run, columns: str) -> DataFrame:
     kind = pairs.schema["sample_id"].dataType.simpleString()
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["channel", "idx"])
+        code, names = pd.factorize(pdf["channel"], sort=True)
+        pdf = pdf.take(np.lexsort((pdf["idx"].to_numpy(), np.where(code < 0, len(names), code))))
         return pd.DataFrame([{"sample_id": pdf["sample_id"].iloc[0], **run(pdf)}])
 
     return pairs.select("sample_id", "channel", "idx", "a", "b").groupBy("sample_id").applyInPandas(group, f"sample_id {kind}, {columns}")

@@ -489,3 +489,13 @@ def test_slices_are_drawn_once_a_sample(spark):
         own.sort()
         assert 39 <= len(own) <= 47 and len({v - i for i, v in own}) == 1 and (s == 4 or own[0][0] == 0)
         assert sorted(got[s, "a"]) == sorted(got[s, "b"])
+
+
+def test_noise_levels_are_drawn_once_a_sample(spark):
+    rows = spark.createDataFrame([(s, c, i, float(i)) for s in range(3) for c in "ab" for i in range(s == 2, 20)], "sample_id long, channel string, idx int, value double")
+    noisy = ag.gaussian_noise(rows)
+    assert any("level" in line and "= 0)" in line for line in noisy._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    level = ag.between(1, "level", F.col("sample_id"), 0.001, 0.05)
+    plain = rows.withColumn("want", F.col("value") + ag.normal(1, "noise", F.concat_ws(":", "sample_id", "channel", "idx")) * F.stddev_pop("value").over(ag.per_sample()) * level)
+    both = noisy.join(plain.drop("value"), ["sample_id", "channel", "idx"])
+    assert both.count() == 118 and both.where(F.abs(F.col("value") - F.col("want")) > 1e-12).isEmpty()
