@@ -61,3 +61,20 @@ def test_pack_documents(spark):
     key = lambda r: tuple((x is None, x or 0) for x in r)
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(want, key=key)
     assert packing.pack_documents(docs.limit(0), PATH, 64).count() == 0
+
+
+def test_words_are_remembered_in_two_bounded_generations(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    enc, want = tokens.ChunkEncoder(PATH), tokens.ChunkEncoder(PATH).own
+    for k in range(40):
+        texts = [f"often again*** {a}{chr(97 + k % 26)}{chr(97 + k // 26)}x$$$" for a in "abcdefgh"]
+        assert enc.encode(texts) == [array.array("I", want.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+        assert len(enc.seen) + len(enc.older) <= 2 * (50 + 24) and ("often" in enc.seen or "often" in enc.older)
+
+
+def test_marks_behind_a_word_need_no_pattern_each():
+    enc, asked = tokens.ChunkEncoder(PATH), []
+    rest = enc._rest
+    enc._rest = lambda chunk: asked.append(chunk) or rest(chunk)
+    enc.encode(["Word### word### other### Other.*** word.***"])
+    assert sorted(asked) == ["###", ".***"]
