@@ -29,15 +29,17 @@ def fit_length(signal: DataFrame, n: int) -> DataFrame:
     return kept.select(*SERIES, "idx", "value").unionByName(zeros)
 
 
-def resample_linear(signal: DataFrame, n: int) -> DataFrame:
+def resample_linear(signal: DataFrame, n: int, length: str | None = None, following: str | None = None) -> DataFrame:
     """``n`` values at equal steps from the first to the last, linearly between neighbours.
 
-    A segment between two neighbours makes the values within it, so a series is never gathered or joined.
+    A segment between two neighbours makes the values within it, so a series is never gathered or joined. ``length`` and
+    ``following`` name columns with the series' number of samples and its next value (null for the last): whoever numbers
+    samples knows them, and then series are neither sorted nor shuffled here.
     """
     w = W.partitionBy(*SERIES)
-    total = F.max("idx").over(w) + 1
+    total = F.col(length) if length else F.max("idx").over(w) + 1
     step = (F.col("_n") - 1) / F.lit(float(n - 1))
-    each = signal.withColumn("_n", total).withColumn("_next", F.lead("value").over(w.orderBy("idx")))
+    each = signal.withColumns({"_n": total, "_next": F.col(following) if following else F.lead("value").over(w.orderBy("idx"))})
     low, high = F.ceil(F.col("idx") / step), F.ceil((F.col("idx") + 1) / step) - 1
     spots = F.when(F.col("_next").isNull(), F.array(F.lit(n - 1))).when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
     out = each.withColumn("_at", F.explode(spots)).withColumn("_p", F.col("_at") * step - F.col("idx"))

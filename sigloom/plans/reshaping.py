@@ -30,7 +30,7 @@ def fit_length(spark, sf_dir):
 
 @query(f"WITH {_N}, t AS (SELECT recording_id, channel, n, CAST(range AS INT) AS idx, range * ((n - 1) / 255.0) AS p FROM n, range(0, 256)) SELECT t.recording_id, t.channel, t.idx, round(a.value * (1 - (p - floor(p))) + coalesce(b.value, 0) * (p - floor(p)), 5) + 0.0 AS value FROM t JOIN signal a ON a.recording_id = t.recording_id AND a.channel = t.channel AND a.idx = CAST(floor(p) AS INT) LEFT JOIN signal b ON b.recording_id = t.recording_id AND b.channel = t.channel AND b.idx = CAST(floor(p) AS INT) + 1")
 def resample_linear(spark, sf_dir):
-    return _out(rs.resample_linear(signal(spark, sf_dir), 256), 5)
+    return _out(rs.resample_linear(signal(spark, sf_dir, "_length", "_following"), 256, "_length", "_following"), 5)
 
 
 @query(f"WITH {_N} SELECT s.recording_id, s.channel, CAST(s.idx - (n - 256) // 2 AS INT) AS idx, round(value, 6) + 0.0 AS value FROM signal s JOIN n USING (recording_id, channel) WHERE s.idx >= (n - 256) // 2 AND s.idx < (n - 256) // 2 + 256")

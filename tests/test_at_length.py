@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -13,6 +14,7 @@ from sigloom.operators import filters as fl
 from sigloom.operators import neighbours as nb
 from sigloom.operators import quality as ql
 from sigloom.operators import ranges as rg
+from sigloom.operators import reshaping as rs
 from sigloom.operators import spectral as sp
 from sigloom.operators import splits as sl
 from sigloom.operators import metrics as mt
@@ -499,3 +501,16 @@ def test_noise_levels_are_drawn_once_a_sample(spark):
     plain = rows.withColumn("want", F.col("value") + ag.normal(1, "noise", F.concat_ws(":", "sample_id", "channel", "idx")) * F.stddev_pop("value").over(ag.per_sample()) * level)
     both = noisy.join(plain.drop("value"), ["sample_id", "channel", "idx"])
     assert both.count() == 118 and both.where(F.abs(F.col("value") - F.col("want")) > 1e-12).isEmpty()
+
+
+def test_resampling_sorts_no_exploded_series(spark):
+    from sigloom.plans import queries
+
+    ready = queries()["resample_linear"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert ready.count("Sort [") == 1
+    rows = [(r, c, i, float(i * i + r)) for r, n in ((1, 1), (2, 2), (3, 300), (4, 7)) for c in "ab" for i in range(n)]
+    own = W.partitionBy("recording_id", "channel")
+    df = spark.createDataFrame(rows, SIGNAL)
+    told = df.withColumns({"_l": F.count("*").over(own).cast("int"), "_f": F.lead("value").over(own.orderBy("idx"))})
+    as_rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert as_rows(rs.resample_linear(told, 16, "_l", "_f")) == as_rows(rs.resample_linear(df, 16))
