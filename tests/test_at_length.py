@@ -514,3 +514,13 @@ def test_resampling_sorts_no_exploded_series(spark):
     told = df.withColumns({"_l": F.count("*").over(own).cast("int"), "_f": F.lead("value").over(own.orderBy("idx"))})
     as_rows = lambda d: sorted(tuple(r) for r in d.collect())
     assert as_rows(rs.resample_linear(told, 16, "_l", "_f")) == as_rows(rs.resample_linear(df, 16))
+
+
+def test_jittered_rows_without_more_columns_are_not_joined_back(spark):
+    rng = np.random.default_rng(4)
+    rows = long(spark, {(k, c): rng.normal(size=60) for k in (1, 2) for c in "abc"}).withColumnRenamed("recording_id", "sample_id")
+    got = ag.band_jitter_filter(rows)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    more = ag.band_jitter_filter(rows.withColumn("draw", F.concat(F.lit("d"), "sample_id")))
+    as_rows = lambda d: sorted(tuple(r) for r in d.select("sample_id", "channel", "idx", "value").collect())
+    assert more.columns == ["sample_id", "channel", "idx", "value", "draw"] and as_rows(more) == as_rows(got) and len(as_rows(got)) == 360
