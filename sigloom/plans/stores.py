@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import metrics as mt
 from sigloom.plans.metrics import _CONF, _PRF, confident
-from sigloom.plans.registry import events, query, r6, recordings, scored, signal, wide_signal
+from sigloom.plans.registry import CHANNELS, events, query, r6, recordings, scored, signal, wide_signal
 from sigloom.scratch import new_folder
 from sigloom.sources import files
 
@@ -25,14 +25,7 @@ def read_partitioned(spark, sf_dir):
 def read_wide_csv(spark, sf_dir):
     """Recordings written as one CSV file each and read back with two of their channels."""
     path = new_folder(spark)
-    w = wide_signal(spark, sf_dir)
-    fs = spark._jvm.org.apache.hadoop.fs
-    w.withColumn("rec", F.col("recording_id")).repartition(64, "rec").sortWithinPartitions("rec", "idx").drop("recording_id", "idx").write.partitionBy("rec").option("header", True).csv(path)
-    root = fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for d in store.globStatus(fs.Path(f"{path}/rec=*/part-*")):
-        rec = d.getPath().getParent().getName().split("=")[1]
-        store.rename(d.getPath(), fs.Path(f"{path}/S{int(rec):02d}G1AllChannels.csv"))
+    files.write_wide_csv(wide_signal(spark, sf_dir), path, "recording_id", "idx", F.col("recording_id"), F.lit(1), list(CHANNELS))
     return files.read_wide_csv(spark, f"{path}/S*.csv", ["price", "tax"]).select("subject_id", "game", "idx", r6("price").alias("price"), r6("tax").alias("tax"))
 
 

@@ -4,34 +4,127 @@ from __future__ import annotations
 
 import hashlib
 import json
-
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
+def write_wide_csv(rows: DataFrame, path: str, key: str, at: str, subject: Column, game: Column, channels: list[str]) -> None:
+    """A file ``path/SxxGyAllChannels.csv`` for each recording ``key``: a header and its rows' channels in order of ``at``.
+
+    Tasks write the files, a batch of rows at a time, so recordings may be of any length, and a file needs no folder of its
+    own and no step of the driver. A file gets its name when it is whole. Arrow must know the file system of ``path``.
+    """
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    first = F.row_number().over(W.partitionBy(key).orderBy(at)) == 1
+    lines = rows.select(F.when(first, F.format_string("S%02dG%dAllChannels.csv", subject, game)).alias("name"), F.to_csv(F.struct(*channels)).alias("line"))
+    lines.mapInArrow(_written(store.makeQualified(place).toString(), ",".join(channels)), "files long").write.format("noop").mode("overwrite").save()
+
+
+def _written(path: str, header: str):
+    """Of rows (name, line), those without a name being lines of the file named before, how many files were written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = FileSystem.from_uri(path)
+        out, made, n, name = None, f"{folder}/_{uuid.uuid4().hex}", 0, None
+        for batch in batches:
+            names, lines = batch.columns
+            begins = np.flatnonzero(names.is_valid())
+            parts = pc.binary_join(pa.ListArray.from_arrays(np.concatenate([[0], begins, [len(lines)]]).astype(np.int32), lines), "\n")
+            for begin, part in zip([None, *begins], parts):
+                if begin is not None:
+                    if out:
+                        out.close()
+                        store.move(made, name)
+                    out, name, n = store.open_output_stream(made, buffer_size=1 << 16), f"{folder}/{names[begin]}", n + 1
+                    out.write(f"{header}\n".encode())
+                if len(text := part.as_buffer()):
+                    out.write(text)
+                    out.write(b"\n")
+        if out:
+            out.close()
+            store.move(made, name)
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    return write
+
+
 def read_wide_csv(spark: SparkSession, path: str, channels: list[str], subjects: list[int] | None = None) -> DataFrame:
     """(subject_id, game, idx, one column for each channel) of files ``.../SxxGyAllChannels.csv``.
 
     Only the named channels are kept. ``path`` names files, or with ``subjects`` their folder, and then no other subject's
-    files are listed or read; missing files are skipped. Spark reads a file in ranges of bytes, each a task of its own. A row's
-    place counts from 0 over the whole file: its number within its range, in order of reading, behind the rows of the ranges
-    before, which a first pass counts. Values have no line breaks in them.
+    files are listed or read; missing files are skipped, and a folder without any gives no rows. Folders are listed whole, not
+    file by file, and one file's first line names the columns of all. Spark reads a file in ranges of bytes, several of them a
+    task. A row's place counts from 0 over the whole file: its number within its range, which tasks count as they read, behind
+    the rows of the ranges before, which only files large enough to be cut have; a first pass counts their rows. Values have no
+    line breaks in them.
     """
-    reader = spark.read.option("ignoreMissingFiles", "true")
+    reader = lambda: spark.read.option("ignoreMissingFiles", "true")
+    folder, _, name = path.rpartition("/")
     if subjects is not None:
-        reader = reader.option("pathGlobFilter", "S{" + ",".join(f"{s:02d}" for s in subjects) + "}G*AllChannels.csv")
-    raw = reader.csv(path, header=True)
+        folder, name = path, "S{" + ",".join(f"{s:02d}" for s in subjects) + "}G*AllChannels.csv"
+    if folder and re.search(r"[*?\[{]", name) and name.count("{") == name.count("}"):
+        path, listed = folder, lambda: reader().option("pathGlobFilter", name)
+    else:
+        listed = reader
+    head = listed().text(path).where((F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(r"\S")).select("value").first()
+    columns = spark.read.csv(spark.sparkContext.parallelize([head.value], 1), header=True).columns if head else channels
+    raw = listed().schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path, header=True)
+
     part = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    counts = raw.select(*part).groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    cut = F.col("_metadata.file_size") > _least_cut(spark)  # no file up to that size has a second range
+    kept = lambda rows: rows.select(*part, *[F.col(c).cast("double").alias(c) for c in channels])
+    counts = raw.where(cut).select(*part).groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    kept = raw.select(*[F.col(c).cast("double").alias(c) for c in channels], *part, F.monotonically_increasing_id().alias("_at"))
-    inside = F.row_number().over(W.partitionBy("_file", "_block").orderBy("_at")) - 1
-    numbered = kept.withColumn("_at", inside).join(offsets, ["_file", "_block"])
-    name = lambda k: F.regexp_extract("_file", r"S(\d+)G(\d+)AllChannels\.csv$", k).cast("int")
-    return numbered.select(name(1).alias("subject_id"), name(2).alias("game"), (F.col("_before") + F.col("_at")).cast("int").alias("idx"), *channels)
+    # A row for each range of a cut file, of some megabytes, so the table is small beside the input.
+    large = kept(raw.where(cut)).join(F.broadcast(offsets), ["_file", "_block"], "left")
+    small = kept(raw.where(~cut)).withColumn("_before", F.when(F.col("_block") == 0, 0).cast("long"))
+    known = F.coalesce("_before", F.raise_error(F.lit("a file was cut in other ranges when its rows were counted")).cast("long")).alias("_before")
+    result = T.StructType([T.StructField(c, T.IntegerType()) for c in ("subject_id", "game", "idx")] + [T.StructField(c, T.DoubleType()) for c in channels])
+    return small.unionByName(large).select("_file", "_block", known, *channels).mapInArrow(_numbered, result)
+
+
+def _least_cut(spark: SparkSession) -> int:
+    """Bytes that a range of a file has at least, unless it is the file's last."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(size(spark.conf.get(f"spark.sql.files.{c}")) for c in ("maxPartitionBytes", "openCostInBytes"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(subject, game, place, channels) of rows (file, range, rows before it, channels), which come in order of reading."""
+    held, n = None, 0
+    for batch in batches:
+        size = batch.num_rows
+        if not size:
+            continue
+        files, blocks = batch.column(0), batch.column(1)
+        other = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+        lengths = np.diff(starts, append=size)
+        ranges = [(files[i].as_py(), blocks[i].as_py()) for i in starts.tolist()]
+        place = np.arange(size) - np.repeat(starts, lengths)
+        if ranges[0] == held:
+            place[: lengths[0]] += n
+        held, n = ranges[-1], int(place[-1]) + 1
+        names = [re.search(r"S(\d+)G(\d+)AllChannels\.csv$", f) for f, _ in ranges]
+        if None in names:
+            raise ValueError(f"not named SxxGyAllChannels.csv: {ranges[names.index(None)][0]}")
+        ids = np.repeat(np.array([[int(k) for k in m.groups()] for m in names], np.int32), lengths, axis=0)
+        idx = pa.array(place + batch.column(2).to_numpy()).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), idx, *batch.columns[3:]], ["subject_id", "game", "idx", *batch.schema.names[3:]])
 
 
 def read_partitioned(spark: SparkSession, path: str, dataset: str, known: tuple[str, ...], subjects: list[int] | None = None) -> DataFrame:

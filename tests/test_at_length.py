@@ -281,6 +281,29 @@ def test_a_large_csv_is_read_in_parts_with_exact_places(spark, tmp_path):
     assert all(r.game == 2 and r.AF3 == r.subject_id * 1000 + r.idx + 0.5 and r.AF4 == -r.idx for r in rows)
 
 
+def test_recordings_are_written_a_file_each_by_tasks_and_read_from_one_listing_without_a_shuffle_of_rows(spark, tmp_path):
+    size = lambda r: 5000 if r == 7 else 11
+    rows = [(r, i, r + i / 7, None if i % 5 else -1e-7 * i) for r in range(1, 121) for i in range(size(r))]
+    signal = spark.createDataFrame(rows, "rec long, at int, AF3 double, AF4 double").repartition(5)
+    small = {"spark.sql.files.maxPartitionBytes": "40000", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    held = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        files.write_wide_csv(signal, str(tmp_path), "rec", "at", F.col("rec"), F.lit(3), ["AF4", "AF3"])
+        (tmp_path / "_left").write_text("what a lost task began")
+        assert {p.name for p in tmp_path.glob("*.csv")} == {f"S{r:02d}G3AllChannels.csv" for r in range(1, 121)}
+        assert (tmp_path / "S01G3AllChannels.csv").read_text().splitlines()[:3] == ["AF4,AF3", "-0.0,1.0", ",1.1428571428571428"]
+        got = files.read_wide_csv(spark, f"{tmp_path}/S*.csv", ["AF3", "AF4"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryFileIndex(1 paths)" in plan and "120 paths" not in plan and "SortMergeJoin" not in plan
+        assert sorted((r.subject_id, r.idx, r.AF3, r.AF4) for r in got.collect()) == sorted(rows)
+        assert files.read_wide_csv(spark, str(tmp_path), ["AF3"], subjects=[130]).collect() == []
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 @udtf(returnType="sample_id string, channel string, idx int, value double")
 class Reversed:
     """A table function: each channel of a sample backwards, plus the seed."""
