@@ -70,9 +70,7 @@ def rfft_magnitude(spark, sf_dir):
 @query("SELECT recording_id, channel, idx, round(value, 5) + 0.0 AS value FROM signal")
 def istft(spark, sf_dir):
     """The signal again, after its short-time spectra and their inverse."""
-    s = signal(spark, sf_dir)
-    back = sp.istft(sp.stft(s, 64, 32), 64, 32)
-    return s.select("recording_id", "channel", "idx").join(back, ["recording_id", "channel", "idx"]).select("recording_id", "channel", "idx", r6("value", 5).alias("value"))
+    return sp.stft_inverted(signal(spark, sf_dir), 64, 32).select("recording_id", "channel", "idx", r6("value", 5).alias("value"))
 
 
 @query(f"WITH {FRAMES} SELECT recording_id, channel, frame, bin, round(re * k, 6) + 0.0 AS re, round(im * k, 6) + 0.0 AS im FROM (SELECT *, CASE WHEN frame BETWEEN 4 AND 5 THEN 0.1 ELSE 1.0 END * CASE WHEN bin BETWEEN 10 AND 12 THEN 0.1 ELSE 1.0 END AS k FROM spectrum)")

@@ -485,6 +485,20 @@ def test_masked_spectra_are_made_and_inverted_in_one_place(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[key], want[key], atol=1e-12) for key in want)
 
 
+def test_a_signal_is_inverted_where_its_spectra_are(spark):
+    from sigloom import plans
+
+    assert shuffles(plans.queries()["istft"](spark, "/root/testdata/sf0.001")) == 1
+    rng = np.random.default_rng(16)
+    made = {(k, c): rng.normal(size=n) for k, n in enumerate((300, 64, 33, 1, 127, 128)) for c in "ab"}
+    df = long(spark, made).withColumn("value", F.when(F.col("idx") != 5, F.col("value")))
+    want = rows_by(sp.istft(sp.stft(df, 16, 8), 16, 8).join(df.select("recording_id", "channel", "idx"), ["recording_id", "channel", "idx"]))
+    for chunk in (64, 2):
+        got = rows_by(sp.stft_inverted(df, 16, 8, chunk=chunk))
+        assert got.keys() == want.keys() and all(np.allclose(got[key], want[key], atol=1e-12) for key in want)
+    assert all(np.allclose(got[key], np.where(np.arange(len(x)) == 5, 0, x), atol=1e-9) for key, x in made.items())
+
+
 def test_groups_and_samples_travel_as_rows(spark):
     from sigloom import plans
     from sigloom.plans import augmentation as pa_
