@@ -1,6 +1,7 @@
 """What holds beyond small tables: blocks, cells, ranges, tiles and splits, with small constants against brute force."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -514,6 +515,50 @@ def test_groups_and_samples_travel_as_rows(spark):
     assert got == want
 
 
+def test_samples_are_dealt_out_once_for_all_techniques(spark):
+    rng = np.random.default_rng(17)
+    rows = spark.createDataFrame([(s, c, i, float(v)) for s in range(8) for c in "ab" for i, v in enumerate(rng.normal(size=64))], "sample_id long, channel string, idx int, value double")
+    labels = spark.createDataFrame([(s, s % 2) for s in range(8)], "sample_id long, label int")
+    values, _ = ag.augment_dataset(rows, labels, dict.fromkeys(ag.SHARES, 3), 64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # with it, what is reused is found as the plan runs
+    try:
+        text = values.groupBy("technique").agg(F.sum("value"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [line for line in text.split("\n") if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    keys = [re.search(r"hashpartitioning\((\w+?)#", line).group(1) for line in dealt]
+    # Six techniques' draws, both ends of pairs, the samples, and the sums; the filter's blocks are in a scratch table.
+    assert sorted(keys) == ["first", "sample_id", "second", *["source_id"] * 6, "technique"]
+
+
+def test_filtered_samples_keep_further_columns(spark):
+    made = {(k, c): np.random.default_rng(k).normal(size=n) for k, n in enumerate((5000, 70)) for c in "ab"}
+    rows = long(spark, made).withColumnRenamed("recording_id", "sample_id")
+    plain = {(r.sample_id, r.channel, r.idx): r.value for r in ag.band_jitter_filter(rows).collect()}
+    more = ag.band_jitter_filter(rows.withColumns({"source_id": F.col("sample_id") * 7, "tag": F.concat(F.lit("t"), "sample_id")}))
+    assert not any("Join" in line and "idx" in line for line in more._jdf.queryExecution().executedPlan().toString().split("\n"))
+    got = {(r.sample_id, r.channel, r.idx): (r.value, r.source_id, r.tag) for r in more.collect()}
+    assert got.keys() == plain.keys() and all(v == (pytest.approx(plain[key], abs=1e-12), key[0] * 7, f"t{key[0]}") for key, v in got.items())
+
+
+def test_visits_in_rounds_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(900, 16))  # no bound tells these apart
+    df = spark.createDataFrame([(k, str(k % 2), [float(v) for v in r]) for k, r in enumerate(x)], "sample_id long, label string, x array<double>")
+    seen = []
+
+    def table(d):
+        out = rg.table(d)
+        seen.extend([out.count()] if out.columns == ["label", "block", "id", "x", "bound"] else [])
+        return out
+
+    monkeypatch.setattr(nb, "table", table)
+    got = nb.knn_same_class(df, 3, cell=10, pivots=200, most=100, room=1500).collect()
+    assert {(r.sample_id, r["rank"]): r.neighbour for r in got} == knn_plain([(k, k % 2, v) for k, v in enumerate(x)], 3)
+    assert len(seen) > 2 and max(seen) <= 1500 < sum(seen)
+    assert nb._rounds([("a", 0, 10), ("b", 0, 250), ("a", 1, 30)], {("a", 0): 5, ("a", 1): 5, ("b", 0): 100}, 100, 60) == [[("a", 0, 1), ("a", 1, 1)], [("b", 0, 3)]]
+
+
 def test_slices_are_drawn_once_a_sample(spark):
     rows = spark.createDataFrame([(s, c, i, float(i)) for s in range(5) for c in "ab" for i in range(s == 4, 50)], "sample_id long, channel string, idx int, value double")
     cut = ag.window_slice(rows)
