@@ -322,6 +322,20 @@ def test_shuffle_files_go_with_the_table_that_they_served(spark):
     assert known() <= before + 2  # those of the two counts; the tables' own are gone
 
 
+def test_threads_that_overlap_leave_the_shuffle_setting_as_it_was(spark):
+    from sigloom.scratch import CLEANUP, shuffles_go
+
+    before, one, two = spark.conf.get(CLEANUP), shuffles_go(spark), shuffles_go(spark)
+    spark.conf.set(CLEANUP, "false")
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == "false"
+    spark.conf.set(CLEANUP, before)
+
+
 def test_stream_windows(spark, tmp_path):
     from sigloom.streaming.windows import window_stats
 
