@@ -575,6 +575,17 @@ def test_slices_are_drawn_once_a_sample(spark):
         assert sorted(got[s, "a"]) == sorted(got[s, "b"])
 
 
+def test_shifts_are_drawn_once_a_sample(spark):
+    rows = spark.createDataFrame([(s, c, i, float(i)) for s in range(4) for c in "ab" for i in range(s == 3, 20)], "sample_id long, channel string, idx int, value double")
+    for op, made in (("shift", ag.time_shift(rows)), ("rate", ag.channel_dropout(rows, fill="mean"))):
+        lines = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if op in line and "md5" in line]
+        assert any("= 0)" in line for line in lines), op
+    sign = F.when(ag.uniform(1, "sign", F.col("sample_id")) < 0.5, -1).otherwise(1)
+    want = {r.sample_id: r.t for r in rows.select("sample_id", (20 * ag.between(1, "shift", F.col("sample_id"), 0.05, 0.2) * sign).cast("int").alias("t")).distinct().collect()}
+    got = ag.time_shift(rows).collect()
+    assert len(got) == 158 and all(r.idx == (int(r.value) + want[r.sample_id]) % 20 for r in got)
+
+
 def test_noise_levels_are_drawn_once_a_sample(spark):
     rows = spark.createDataFrame([(s, c, i, float(i)) for s in range(3) for c in "ab" for i in range(s == 2, 20)], "sample_id long, channel string, idx int, value double")
     noisy = ag.gaussian_noise(rows)
